@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, simhash
-from .common import table
+from . import line_dedup, mixing, packing, quality, simhash, token_file
+from .common import scratch_path, table
+from .encode import tokenizer_path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_file.write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+    @F.pandas_udf("long")
+    def crc(ids: pd.Series) -> pd.Series:
+        return ids.map(token_file.crc32).astype("int64")
+
+    return token_file.read_token_file(spark, path).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, keep="none")
 
@@ -29,15 +41,27 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", digest("text", "keep_bitmap").alias("x")).select("doc_id", "x.*")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, max_epochs=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, length=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_file": op2_token_file,
     "op3_line_dedup": op3_line_dedup,
+    "op4_mixing": op4_mixing,
     "op7_simhash": op7_simhash,
+    "op9_packing": op9_packing,
 }
 
 SQL: dict[str, str] = {}

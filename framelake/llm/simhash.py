@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, parallelism
@@ -170,3 +170,16 @@ def near_components(docs: DataFrame, bits: int = 3, k: int = 3, seed: int = 42,
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(names, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, bits: int = 3, k: int = 3, seed: int = 42, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of its least doc_id.  Rows that
+    repeat that id count once; rows without an id whose component has none all stay."""
+    found = near_components(docs, bits, k, seed, text)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
+    order = Window.partitionBy("_d").orderBy("_t")
+    named = docs.withColumn("_d", F.col("doc_id").cast("bigint")).join(keep, "_d", "left_semi")
+    first = named.withColumn("_t", F.xxhash64(text)).withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*docs.columns)
+    if found.where("component_id IS NULL").isEmpty():
+        return first
+    return first.unionByName(docs.where("doc_id IS NULL"))
