@@ -1,0 +1,227 @@
+"""The scalar functions of the query surface, each a Column built from Spark's own.
+
+All are null-safe and never raise on bad values: a value that cannot be read gives null.
+Date functions take dates, timestamps, epoch seconds or ISO strings.  ``REGISTRY`` maps
+the upper-case names to builders; ``register`` makes the names that Spark SQL lacks
+usable in ``spark.sql`` as inlined SQL functions, so Catalyst sees through them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+_ISO = r"^\d{4}[-:]\d{2}[-:]\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+
+
+def _col(x) -> Column:
+    return x if isinstance(x, Column) else F.col(x)
+
+
+def _num(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def iso_timestamp(x) -> Column:
+    """Timestamp of an ISO string, to the second; offsets are ignored; else null.
+
+    The pattern guards the cast: Spark alone would read words such as 'tomorrow'.
+    """
+    s = F.split_part(F.regexp_replace(_col(x).cast("string"), "Z$", ""), F.lit("+"), F.lit(1))
+    fixed = F.concat(F.translate(F.substring(s, 1, 10), ":", "-"), F.substring(s, 11, 30))
+    return F.when(s.rlike(_ISO) & F.length(s).between(10, 33), F.date_trunc("second", fixed.try_cast("timestamp")))
+
+
+def ts(x) -> Column:
+    """Timestamp of a date, timestamp, epoch second or ISO string."""
+    c = _col(x)
+    kind = F.typeof(c)  # foldable: only the branch for the column's type survives
+    return (
+        F.when(kind.isin("timestamp", "timestamp_ntz", "date"), c.cast("string").try_cast("timestamp"))
+        .when(kind.isin("int", "bigint", "double", "float"), F.timestamp_seconds(c.cast("string").try_cast("double")))
+        .otherwise(iso_timestamp(c))
+    )
+
+
+def year(x) -> Column:
+    return F.year(ts(x))
+
+
+def month(x) -> Column:
+    return F.month(ts(x))
+
+
+def day(x) -> Column:
+    return F.dayofmonth(ts(x))
+
+
+def date(x) -> Column:
+    return F.to_date(ts(x))
+
+
+def time(x) -> Column:
+    return F.date_format(ts(x), "HH:mm:ss")
+
+
+def quarter(x) -> Column:
+    return F.quarter(ts(x))
+
+
+def hour(x) -> Column:
+    return F.hour(ts(x))
+
+
+def minute(x) -> Column:
+    return F.minute(ts(x))
+
+
+def second(x) -> Column:
+    return F.second(ts(x))
+
+
+def week(x) -> Column:
+    """ISO-8601 week."""
+    return F.weekofyear(ts(x))
+
+
+def now() -> Column:
+    return F.current_timestamp()
+
+
+def add_days(x, n) -> Column:
+    """Keeps the time of day."""
+    return ts(x) + F.make_dt_interval(_num(n).cast("int"))
+
+
+def days_diff(a, b) -> Column:
+    """Whole days from a to b, rounded down."""
+    return F.floor((F.unix_micros(ts(b)) - F.unix_micros(ts(a))) / F.lit(86_400_000_000)).cast("bigint")
+
+
+def upper(x) -> Column:
+    return F.upper(_col(x).cast("string"))
+
+
+def lower(x) -> Column:
+    return F.lower(_col(x).cast("string"))
+
+
+def trim(x) -> Column:
+    """White space of any kind, both ends."""
+    return F.regexp_replace(_col(x).cast("string"), r"^\s+|\s+$", "")
+
+
+def length(x, dtype: DataType | None = None) -> Column:
+    """Characters of a string or, if ``dtype`` is an array, items of a list."""
+    return F.size(_col(x)) if isinstance(dtype, (ArrayType, MapType)) else F.length(_col(x).cast("string"))
+
+
+def string(x, dtype: DataType | None = None) -> Column:
+    if isinstance(dtype, ArrayType):
+        return F.array_join(_col(x).cast("array<string>"), ", ")
+    return F.to_json(_col(x)) if isinstance(dtype, (StructType, MapType)) else _col(x).cast("string")
+
+
+def left(x, n) -> Column:
+    """First n characters; a negative n drops that many from the end."""
+    s, n = _col(x).cast("string"), _num(n)
+    return F.substring(s, F.lit(1), F.when(n >= 0, n).otherwise(F.greatest(F.length(s) + n, F.lit(0))))
+
+
+def right(x, n) -> Column:
+    """Last n characters; 0 gives the whole string, a negative n drops from the start."""
+    s, n = _col(x).cast("string"), _num(n)
+    return F.when(n > 0, F.substring(s, F.greatest(F.length(s) - n + 1, F.lit(1)), n)).otherwise(F.substring(s, 1 - n, F.length(s)))
+
+
+def mid(x, start, n) -> Column:
+    """n characters from a zero-based start."""
+    return F.substring(_col(x).cast("string"), _num(start) + 1, _num(n))
+
+
+def concat(*xs, dtype: DataType | None = None) -> Column:
+    """Joined strings; a single list is joined by ', '."""
+    if len(xs) == 1 and isinstance(dtype, ArrayType):
+        return string(xs[0], dtype)
+    return F.concat(*[_col(x).cast("string") for x in xs])
+
+
+def round_(x, digits: int = 0) -> Column:
+    """Banker's rounding."""
+    return F.bround(_col(x).cast("double"), digits)
+
+
+def trunc(x) -> Column:
+    """Toward zero, to a whole number."""
+    return _col(x).cast("string").try_cast("double").try_cast("bigint")
+
+
+def integer(x) -> Column:
+    return trunc(x)
+
+
+def double(x) -> Column:
+    return _col(x).try_cast("double")
+
+
+def boolean(x) -> Column:
+    """Anything but 'false' is true, null too."""
+    return F.coalesce(F.upper(_col(x).cast("string")) != "FALSE", F.lit(True))
+
+
+def is_none(x) -> Column:
+    return F.isnull(_col(x))
+
+
+def hash_(x) -> Column:
+    """64-bit hash in upper hex; opaque."""
+    return F.hex(F.xxhash64(_col(x).cast("string")))
+
+
+def md5(x) -> Column:
+    return F.md5(_col(x).cast("string"))
+
+
+def random(seed: int | None = None) -> Column:
+    """0.000 to 0.999 in steps of 0.001."""
+    return F.floor((F.rand() if seed is None else F.rand(seed)) * 1000) / 1000
+
+
+def between(x, low, high) -> Column:
+    """Both ends excluded."""
+    return (_col(x) > _num(low)) & (_col(x) < _num(high))
+
+
+def sort(x) -> Column:
+    return F.array_sort(_col(x))
+
+
+REGISTRY: dict[str, Callable[..., Column]] = {
+    "YEAR": year, "MONTH": month, "DAY": day, "DATE": date, "TIME": time, "QUARTER": quarter, "HOUR": hour, "MINUTE": minute,
+    "SECOND": second, "WEEK": week, "NOW": now, "ADDDAYS": add_days, "DAYSDIFF": days_diff, "UPPER": upper, "UCASE": upper,
+    "LOWER": lower, "LCASE": lower, "TRIM": trim, "LEN": length, "STRING": string, "LEFT": left, "RIGHT": right, "MID": mid,
+    "CONCAT": concat, "ROUND": round_, "TRUNC": trunc, "INTEGER": integer, "DOUBLE": double, "BOOLEAN": boolean,
+    "ISNONE": is_none, "HASH": hash_, "MD5": md5, "RANDOM": random, "BETWEEN": between, "SORT": sort,
+}
+
+#: SQL bodies of the names that Spark SQL does not have.
+SQL_FUNCTIONS = {
+    "iso_ts(x STRING) RETURNS TIMESTAMP": "CASE WHEN split_part(regexp_replace(x, 'Z$', ''), '+', 1) RLIKE '^[0-9]{4}[-:][0-9]{2}[-:][0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$' THEN date_trunc('second', try_cast(concat(translate(substring(x, 1, 10), ':', '-'), substring(split_part(regexp_replace(x, 'Z$', ''), '+', 1), 11, 30)) AS TIMESTAMP)) END",
+    "week(x TIMESTAMP) RETURNS INT": "weekofyear(x)",
+    "time_of(x TIMESTAMP) RETURNS STRING": "date_format(x, 'HH:mm:ss')",
+    "adddays(x TIMESTAMP, n INT) RETURNS TIMESTAMP": "x + make_dt_interval(n)",
+    "daysdiff(a TIMESTAMP, b TIMESTAMP) RETURNS BIGINT": "CAST(floor((unix_micros(b) - unix_micros(a)) / 86400000000) AS BIGINT)",
+    "mid(x STRING, s INT, n INT) RETURNS STRING": "substring(x, s + 1, n)",
+    "integer(x STRING) RETURNS BIGINT": "try_cast(try_cast(x AS DOUBLE) AS BIGINT)",
+    "isnone(x STRING) RETURNS BOOLEAN": "x IS NULL",
+    "inside(x DOUBLE, lo DOUBLE, hi DOUBLE) RETURNS BOOLEAN": "x > lo AND x < hi",
+}
+
+
+def register(spark: SparkSession) -> None:
+    """Temporary SQL functions; Catalyst inlines them."""
+    for head, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

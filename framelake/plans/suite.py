@@ -5,6 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import functions as fn
+from ..operators import predicates as P
+from ..operators.dataset import Dataset
+from ..sources.reader import sql as run_sql
+from ..streaming.sink import routed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,16 +27,238 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read(spark: SparkSession, sf_dir: str, table: str) -> Dataset:
+    return Dataset(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def both(name: str, table: str, spark_sql: str, duck_sql: str | None = None) -> None:
+    """A query written in Spark SQL over one table."""
+
+    @query(name, duck_sql or spark_sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_sql(spark, spark_sql, **{table: read(spark, sf_dir, table)}).df
+
+
+# SQL surface
+both("sql_group_by", "lineitem", "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS sum_qty FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag")
+both("sql_having", "lineitem", "SELECT l_suppkey, count(*) AS n, max(l_quantity) AS most FROM lineitem GROUP BY l_suppkey HAVING count(*) > 50")
+both("sql_distinct", "orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+both("sql_order_limit", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+both("sql_subquery", "orders", "SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey) AS t WHERE n > 3")
+both(
+    "sql_alias_where",
+    "orders",
+    "SELECT y, count(*) AS n FROM (SELECT year(o_orderdate) AS y, o_totalprice FROM orders) AS t WHERE y >= 1995 GROUP BY y",
+    "SELECT y::INTEGER AS y, count(*) AS n FROM (SELECT year(o_orderdate) AS y FROM orders) WHERE y >= 1995 GROUP BY y",
+)
+
+
+@query("sql_global_agg", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS mean_qty, min(l_tax) AS least, max(l_tax) AS most FROM lineitem")
+def sql_global_agg(spark, d):
+    li = read(spark, d, "lineitem").group_by("*").aggregate([("COUNT", "*"), ("AVG", "l_quantity"), ("MIN", "l_tax"), ("MAX", "l_tax")]).df
+    return li.select(F.col("COUNT(*)").alias("n"), F.round("AVG(l_quantity)", 6).alias("mean_qty"), F.col("MIN(l_tax)").alias("least"), F.col("MAX(l_tax)").alias("most"))
+
+
+# predicates
+@query("expr_like", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A%e%'")
+def expr_like(spark, d):
+    return read(spark, d, "part").filter(P.like("p_name", "%A%e%")).select("p_partkey", "p_name").df
+
+
+@query("expr_not_like", "SELECT p_partkey FROM part WHERE p_type NOT ILIKE '%BRASS'")
+def expr_not_like(spark, d):
+    return read(spark, d, "part").filter(P.not_like("p_type", "%BRASS")).select("p_partkey").df
+
+
+@query("expr_matches", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#[1-3][0-9]?$')")
+def expr_matches(spark, d):
+    return read(spark, d, "part").filter(P.matches("p_brand", "#[1-3][0-9]?$")).select("p_partkey").df
+
+
+@query("expr_in", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def expr_in(spark, d):
+    return read(spark, d, "orders").filter(P.is_in("o_orderpriority", ["1-URGENT", "2-HIGH"])).select("o_orderkey").df
+
+
+@query("expr_not_in", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
+def expr_not_in(spark, d):
+    return read(spark, d, "orders").filter(P.not_in("o_orderpriority", ["1-URGENT", "2-HIGH"])).select("o_orderkey").df
+
+
+@query("expr_contains", "SELECT doc_id FROM documents WHERE contains(text, 'the')")
+def expr_contains(spark, d):
+    docs = read(spark, d, "documents")
+    return docs.filter(P.contains(docs.df, "text", "the")).select("doc_id").df
+
+
+@query("expr_contains_list", "SELECT vec_id FROM embeddings WHERE list_contains(list_transform(embedding, lambda x: x > 0.5), true)")
+def expr_contains_list(spark, d):
+    e = read(spark, d, "embeddings").set_value("big", F.transform("embedding", lambda x: x > F.lit(0.5)))
+    return e.filter(P.contains(e.df, "big", True)).select("vec_id").df
+
+
+_NULLED = "SELECT event_id, event_type, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS u FROM events"
+
+
+def nulled(spark, d) -> Dataset:
+    return read(spark, d, "events").select("event_id", "event_type", F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("u"))
+
+
+@query("expr_null_logic", f"SELECT event_id FROM ({_NULLED}) WHERE u IS DISTINCT FROM 5 AND NOT coalesce(u < 20, false)")
+def expr_null_logic(spark, d):
+    return nulled(spark, d).filter(P.ne("u", 5) & P.negate(F.col("u") < 20)).select("event_id").df
+
+
+@query("expr_is_none", f"SELECT event_id FROM ({_NULLED}) WHERE u IS NULL")
+def expr_is_none(spark, d):
+    return nulled(spark, d).filter(fn.is_none("u")).select("event_id").df
+
+
+@query("expr_eq", f"SELECT event_id FROM ({_NULLED}) WHERE u = 7 OR event_type = 'click'")
+def expr_eq(spark, d):
+    return nulled(spark, d).filter(P.eq("u", 7) | P.eq("event_type", "click")).select("event_id").df
+
+
+@query("expr_string", "SELECT o_orderkey FROM orders WHERE (o_totalprice > 1000 AND o_orderstatus = 'O') OR o_custkey < 10")
+def expr_string(spark, d):
+    return read(spark, d, "orders").filter("(o_totalprice > 1000 AND o_orderstatus = 'O') OR o_custkey < 10").select("o_orderkey").df
+
+
+@query("dnf_and_or", "SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' AND c_acctbal > 0) OR (c_nationkey IN (1, 2) AND c_name ILIKE '%1%')")
+def dnf_and_or(spark, d):
+    f = [[("c_mktsegment", "=", "BUILDING"), ("c_acctbal", ">", 0)], [("c_nationkey", "in", [1, 2]), ("c_name", "like", "%1%")]]
+    return read(spark, d, "customer").filter(f).select("c_custkey").df
+
+
+@query("dnf_null", f"SELECT event_id FROM ({_NULLED}) WHERE u <> 5 AND u NOT IN (6, 7)")
+def dnf_null(spark, d):
+    return nulled(spark, d).filter([("u", "!=", 5), ("u", "not in", [6, 7])]).select("event_id").df
+
+
+# scalar functions
+@query(
+    "fn_date_parts",
+    "SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, day(o_orderdate)::INTEGER AS dd, quarter(o_orderdate)::INTEGER AS q, hour(o_orderdate)::INTEGER AS h, minute(o_orderdate)::INTEGER AS mi, second(o_orderdate)::INTEGER AS s, week(o_orderdate)::INTEGER AS w, strftime(o_orderdate, '%Y-%m-%d') AS dt, strftime(o_orderdate, '%H:%M:%S') AS tm FROM orders",
+)
+def fn_date_parts(spark, d):
+    o = "o_orderdate"
+    parts = {"y": fn.year(o), "m": fn.month(o), "dd": fn.day(o), "q": fn.quarter(o), "h": fn.hour(o), "mi": fn.minute(o), "s": fn.second(o), "w": fn.week(o), "dt": fn.date(o).cast("string"), "tm": fn.time(o)}
+    return read(spark, d, "orders").select("o_orderkey", *[c.alias(k) for k, c in parts.items()]).df
+
+
+@query("fn_iso_strings", "SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, strftime(o_orderdate, '%Y-%m-%d') AS dt FROM orders")
+def fn_iso_strings(spark, d):
+    o = read(spark, d, "orders").set_value("iso", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return o.select("o_orderkey", fn.year("iso").alias("y"), fn.date("iso").cast("string").alias("dt")).df
+
+
+@query("fn_add_days", "SELECT o_orderkey, o_orderdate + to_days((o_orderkey % 40)::INTEGER) AS later FROM orders")
+def fn_add_days(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", fn.add_days("o_orderdate", F.col("o_orderkey") % 40).alias("later")).df
+
+
+@query("fn_days_diff", "SELECT o_orderkey, floor(epoch(TIMESTAMP '1996-03-01 05:00:00' - o_orderdate) / 86400)::BIGINT AS days FROM orders")
+def fn_days_diff(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", fn.days_diff("o_orderdate", F.lit("1996-03-01T05:00:00")).alias("days")).df
 
 
 @query(
-    "sql_group_by",
-    "SELECT l_returnflag, count(*)::BIGINT AS n, sum(l_quantity) AS sum_qty FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag",
+    "fn_strings",
+    "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, trim('  ' || c_name || '  ') AS t, length(c_name)::INTEGER AS n, left(c_name, 4) AS lf, right(c_name, 3) AS rt, right(c_name, -2) AS rneg, substring(c_name, 3, 5) AS md, c_name || '/' || c_nationkey AS cc, left(c_mktsegment, greatest(length(c_mktsegment) - 3, 0)) AS lneg FROM customer",
 )
-def sql_group_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def fn_strings(spark, d):
+    c = {"u": fn.upper("c_name"), "l": fn.lower("c_mktsegment"), "t": fn.trim(F.concat(F.lit("  "), "c_name", F.lit("  "))), "n": fn.length("c_name"), "lf": fn.left("c_name", 4), "rt": fn.right("c_name", 3), "rneg": fn.right("c_name", -2), "md": fn.mid("c_name", 2, 5), "cc": fn.concat("c_name", F.lit("/"), "c_nationkey"), "lneg": fn.left("c_mktsegment", -3)}
+    return read(spark, d, "customer").select("c_custkey", *[v.alias(k) for k, v in c.items()]).df
+
+
+@query("fn_numbers", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 2, 0) AS r, trunc(l_extendedprice)::BIGINT AS t, (l_quantity::VARCHAR)::DOUBLE AS dbl FROM lineitem")
+def fn_numbers(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.round_(F.col("l_quantity") / 2).alias("r"), fn.trunc("l_extendedprice").alias("t"), fn.double(F.col("l_quantity").cast("string")).alias("dbl")).df
+
+
+@query("fn_bool_hash", f"SELECT event_id, coalesce(upper(u::VARCHAR) <> 'FALSE', true) AS b, u IS NULL AS n, md5(event_type) AS m FROM ({_NULLED})")
+def fn_bool_hash(spark, d):
+    return nulled(spark, d).select("event_id", fn.boolean("u").alias("b"), fn.is_none("u").alias("n"), fn.md5("event_type").alias("m")).df
+
+
+@query("fn_between", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND l_quantity < 20")
+def fn_between(spark, d):
+    return read(spark, d, "lineitem").filter(fn.between("l_quantity", 10, 20)).select("l_orderkey", "l_linenumber").df
+
+
+@query("fn_sort_array", "SELECT vec_id, list_sort(embedding)[1]::DOUBLE AS low, list_sort(embedding)[-1]::DOUBLE AS high FROM embeddings")
+def fn_sort_array(spark, d):
+    s = fn.sort("embedding")
+    return read(spark, d, "embeddings").select("vec_id", F.element_at(s, 1).cast("double").alias("low"), F.element_at(s, -1).cast("double").alias("high")).df
+
+
+@query("fn_string_list", "SELECT conv_id, string_agg(role, ', ' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def fn_string_list(spark, d):
+    c = read(spark, d, "conversations").df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    c = c.withColumn("r", F.col("t.role"))
+    return c.select("conv_id", fn.string("r", c.schema["r"].dataType).alias("roles"))
+
+
+# dataset methods
+@query("ds_group_aggregate", "SELECT sum(l_quantity) AS s, max(l_tax) AS mx, min(l_tax) AS mn, count(l_tax) AS n, round(avg(l_tax), 9) AS a, l_returnflag, l_linestatus FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def ds_group_aggregate(spark, d):
+    g = read(spark, d, "lineitem").group_by("l_returnflag", "l_linestatus").aggregate([("SUM", "l_quantity"), ("MAX", "l_tax"), ("MIN", "l_tax"), ("COUNT", "l_tax"), ("AVG", "l_tax")]).df
+    return g.toDF("s", "mx", "mn", "n", "a", "l_returnflag", "l_linestatus").withColumn("a", F.round("a", 9))
+
+
+@query("ds_groups", "SELECT DISTINCT event_type FROM events")
+def ds_groups(spark, d):
+    return read(spark, d, "events").group_by("event_type").groups().df
+
+
+@query("ds_stats", "SELECT round(var_samp(l_quantity), 6) AS v, round(stddev_samp(l_quantity), 6) AS sd, min(l_quantity) AS mn, max(l_quantity) AS mx, round(avg(l_quantity), 6) AS a, sum(l_quantity) AS s FROM lineitem")
+def ds_stats(spark, d):
+    q = "l_quantity"
+    return read(spark, d, "lineitem").df.agg(F.round(F.var_samp(q), 6).alias("v"), F.round(F.stddev_samp(q), 6).alias("sd"), F.min(q).alias("mn"), F.max(q).alias("mx"), F.round(F.avg(q), 6).alias("a"), F.sum(q).alias("s"))
+
+
+@query("ds_distinct_on", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def ds_distinct_on(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", "o_custkey").distinct("o_custkey").df
+
+
+@query("ds_collect_set", "SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
+def ds_collect_set(spark, d):
+    return read(spark, d, "events").collect_set("event_type").count().df
+
+
+@query("ds_collected_max", "SELECT event_type, max(value) AS value FROM events GROUP BY event_type")
+def ds_collected_max(spark, d):
+    return read(spark, d, "events").collect_set("event_type").aggregate("value", max).df
+
+
+@query("ds_histogram", "SELECT floor((p_size - lo) / ((1 + hi - lo) / 9.0::DOUBLE))::INTEGER AS bin, count(*) AS n FROM part, (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part) GROUP BY 1")
+def ds_histogram(spark, d):
+    return read(spark, d, "part").histogram("p_size", 10).df
+
+
+@query("ds_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def ds_top_k(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", "o_totalprice").sort_and_take("o_totalprice", 25, descending=True).df
+
+
+@query("ds_missing_column", "SELECT o_orderkey, NULL::VARCHAR AS nothing FROM orders")
+def ds_missing_column(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", "nothing").df
+
+
+@query("ds_set_value_flatten", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def ds_set_value_flatten(spark, d):
+    e = read(spark, d, "events").set_value("p", F.from_json("props", "k bigint")).select("event_id", "p").flatten()
+    return e.df.select("event_id", F.col("`p.k`").alias("k"))
+
+
+@query("ds_rename", "SELECT r_regionkey AS id, r_name AS name FROM region")
+def ds_rename(spark, d):
+    return read(spark, d, "region").select("r_regionkey", "r_name").rename({"r_regionkey": "id", "r_name": "name"}).df
+
 
-    li = table(spark, sf_dir, "lineitem").where("l_discount > 0.05")
-    return li.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("sum_qty"))
+@query("stream_fanout", "SELECT event_id, 'out/' || event_type || '/' || unnest([1, 2]) AS path FROM events")
+def stream_fanout(spark, d):
+    e = read(spark, d, "events").df.withColumn("copies", F.array(F.lit(1), F.lit(2), F.lit(2)))
+    return routed(e, "out/{event_type}/{copies}").select("event_id", F.col("_path").alias("path"))
