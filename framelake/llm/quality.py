@@ -102,7 +102,7 @@ def trusted_ids(labels: DataFrame, max_trusted: int = 20_000) -> DataFrame:
     return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
 
 
-def llr_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = 10_000, alpha: float = 1.0, text: str = "text") -> DataFrame:
+def llr_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = 10_000, alpha: float = 100.0, text: str = "text") -> DataFrame:
     """One row: ``weights``, log(p_target / p_raw) by bucket, over all documents.
 
     Counts are combined before the shuffle, so each task ships at most ``n_buckets``
@@ -124,15 +124,15 @@ def llr_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = 10_000, al
         F.coalesce(F.sum("r"), F.lit(0)).alias("raw"),
         F.coalesce(F.sum("t"), F.lit(0)).alias("target"),
     )
-    weight = lambda x: F.when(
-        F.col("target") > 0,
-        F.log((x["t"] + alpha) / (F.col("target") + alpha * n_buckets)) - F.log((x["r"] + alpha) / (F.col("raw") + alpha * n_buckets)),
-    ).otherwise(F.lit(0.0))
+    # Both sides get the same share of pseudo-counts, so a bucket seen less than about
+    # ``alpha`` times says nothing: a document's own rare words do not tell against it.
+    ratio = F.col("target") / F.col("raw")
+    weight = lambda x: F.when(F.col("target") > 0, F.log((x["t"] + alpha * ratio) / (x["r"] + alpha)) - F.log(ratio)).otherwise(F.lit(0.0))
     return gathered.select(F.transform("b", weight).alias("weights"))
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, threshold: float = -0.035, n_buckets: int = 10_000, max_trusted: int = 20_000, text: str = "text"
+    docs: DataFrame, labels: DataFrame, threshold: float = -0.035, n_buckets: int = 10_000, alpha: float = 100.0, max_trusted: int = 20_000, text: str = "text"
 ) -> DataFrame:
     """Rows of ``docs`` with the base counts, ``llr`` (mean log-likelihood ratio per
     n-gram of the trusted target against the raw corpus), base_failed and kept.
@@ -140,7 +140,7 @@ def quality_rules(
     A document is kept if the base rules pass and ``llr`` reaches ``threshold``; the
     same corpus gives the same verdicts.
     """
-    weights = llr_weights(docs, trusted_ids(labels, max_trusted), n_buckets, text=text).scalar()
+    weights = llr_weights(docs, trusted_ids(labels, max_trusted), n_buckets, alpha, text=text).scalar()
     grams = _buckets(F.col("_w"), n_buckets)
     return (
         base_counts(docs, text)
