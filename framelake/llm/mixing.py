@@ -12,7 +12,7 @@ costs no more than any other.  Sources themselves are a small dimension table.
 
 Defined cases: null sources form one source, last; a null text has size 0 and is never
 taken; repeated rows are separate documents that tie in hash order and are then ordered
-by size; an empty table gives an empty mix; a source without words has target 0.
+by size and text hash; an empty table gives an empty mix; a source without words has target 0.
 """
 
 from __future__ import annotations
@@ -40,8 +40,9 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
         .withColumn("_open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
         .withColumn("_level", F.col("_left") / F.col("_open"))
     )
-    # The least level that no cap of the sources still open stays under.
-    level = ranked.withColumn("_fits", F.when(F.col("_full") >= F.col("_level"), F.col("_level"))).withColumn("_level", F.min("_fits").over(whole))
+    # With sources by the level that fills them, the level rises while it passes the next
+    # cap and falls from the first that it does not: the greatest is the one that holds.
+    level = ranked.withColumn("_fits", F.when(F.col("_full") >= F.col("_level"), F.col("_level"))).withColumn("_level", F.max("_fits").over(whole))
     target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_level") * F.col("weight")))
     return level.select("source", "source_size", "weight", target.alias("target"))
 
@@ -68,7 +69,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: f
         F.xxhash64(text).alias("th"),
         F.col("source"),
         F.size(words(F.col(text))).cast("bigint").alias("size"),
-        F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text)).alias("_u"),
+        F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("bigint").alias("_u"),
     )
     narrow = materialize(narrow, "sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: f
     rows = _with_left(rows, second)
     # What is left of one source in one second-level bin: ordered, cut at the border.
     at = (F.col("_1") == F.col("_b1")) & (F.col("_2") == F.col("_b2"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("_u", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("_u", "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, -1))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left2") - F.coalesce(upto, F.lit(0))))
     edge = rows.where(at).withColumn("_extra", part)
     before = F.coalesce((F.col("_1") < F.col("_b1")) | ((F.col("_1") == F.col("_b1")) & (F.col("_2") < F.col("_b2"))), F.col("_b1").isNull() & (F.col("_rest") > 0))

@@ -70,7 +70,7 @@ def test_token_file_edges(spark):
 
 def fill(sizes, weights, share, cap):
     target, total, open_ = {}, share * sum(sizes.values()), dict(sizes)
-    while open_:
+    while open_ and total > 1e-9:
         level = total / sum(weights[s] for s in open_)
         over = [s for s in open_ if cap * sizes[s] < level * weights[s] - 1e-9]
         if not over:
@@ -113,6 +113,15 @@ def test_mix_meets_targets(spark, seed):
     assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("sizes", [[10, 10, 10], [51, 20, 12], [100, 1, 1, 1, 1, 1], [1, 100, 3, 40, 7, 7, 90, 2], [5]])
+def test_water_fill_matches_its_rounds(spark, sizes):
+    names = {f"s{i}": n for i, n in enumerate(sizes)}
+    df = spark.createDataFrame([(k, n, [3.0, 1.0, 2.0][i % 3]) for i, (k, n) in enumerate(names.items())], "source string, source_size long, weight double")
+    for share, cap in ((1.5, 2), (0.4, 1), (2.0, 2), (0.9, 3)):
+        got = {r["source"]: r["target"] for r in mixing.water_fill(df, share, cap).collect()}
+        assert got == pytest.approx(fill(names, {k: [3, 1, 2][i % 3] for i, k in enumerate(names)}, share, cap)), (share, cap)
+
+
 def test_mix_edges(spark):
     assert mixing.mix(frame(spark, ["a"]).limit(0), [3, 1, 2]).count() == 0
     assert [r["taken"] for r in mixing.mix(frame(spark, [None, ""]), [3, 1, 2]).collect()] == [0, 0]
