@@ -38,3 +38,17 @@ def test_contract(spark):
     q, s = entry.queries(), entry.oracle_sql()
     assert set(suite.QUERIES) <= set(q) and set(s) <= set(q) and entry.entry(spark).count() > 0
     assert importlib.import_module("framelake").__doc__
+
+
+def test_works_without_the_training_data_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "framelake", tmp_path / "framelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, timeout=120)
+    assert out.stdout.split() == [str(len(suite.QUERIES)), str(len(suite.SQL))]
