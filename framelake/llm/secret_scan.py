@@ -33,8 +33,9 @@ _WORDS = re.compile(r"[^A-Za-z0-9]")
 
 _HEX_DIGITS, _BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Chance that two letters of prose are equal; what uniformity is held against.
-_PROSE_COLLISION = 0.0625
+#: Chance that two characters of plain text are equal, by size of the alphabet that they
+#: fall in; what uniformity is held against.  Plain numbers and a-f words repeat more.
+_PROSE_COLLISION = {16: 0.15, 32: 0.0625, 64: 0.0625}
 _BINS = 80  # of -log10 p, tenths
 _SCHEMA = "doc_id long, base array<struct<kind:int,start:int,end:int>>, found array<struct<start:int,end:int,band:int,bin:int>>"
 
@@ -90,8 +91,8 @@ def battery(token: str) -> tuple[float, float] | None:
     serial = sum((x - mid) * (y - mid) for x, y in zip(s, s[1:])) / spread if spread else 1.0
     serial_p = 2 * _upper_tail(abs(serial) * math.sqrt(n))
     # Prose of n letters: a non-central chi-squared, as a normal deviate.
-    apart = n * (m * _PROSE_COLLISION - 1)
-    prose = _upper_tail((dof + apart - chi) / math.sqrt(2 * (dof + 2 * apart))) if apart > 0 else 1.0
+    apart = n * (m * _PROSE_COLLISION[m] - 1)
+    prose = _upper_tail((dof + apart - chi) / math.sqrt(2 * (dof + 2 * apart)))
     return min(uniform, run_p, serial_p), prose
 
 

@@ -90,6 +90,7 @@ def test_random_tokens_are_found_and_prose_is_not(spark):
     r = random.Random(5)
     keys = [base64.b64encode(r.randbytes(n)).decode().rstrip("=") for n in (24, 30, 33, 48, 60) for _ in range(6)]
     prose = ["Thinonwhreederonhein counterrevolutionaryTendencies /usr/share/documentation/readme-first 2021-01-01-2022-02-02", "aaaaaaaaaaaaaaaaaaaaaaaaB1aaaaaaaaaaaa", None, ""]
+    keys += [r.randbytes(20).hex().upper() for _ in range(6)]
     docs = frame(spark, ["pre %s post" % k for k in keys] + prose * 5)
     out = {x["doc_id"]: x for x in secret_scan.secret_spans(docs).collect()}
     found = [i for i in range(len(keys)) if any(s["kind"] == 3 for s in out[i]["spans"])]
