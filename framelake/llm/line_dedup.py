@@ -120,7 +120,7 @@ def _find(min_docs: int, keep_first: bool):
                 seen, last = 0, None
             key = tuple(int(v) for v in tail[0, :2])
             if seen + int(docs[-1]) >= min_docs:  # decided: nothing more needs to be held
-                head = seen == 0 and (keep_first or first)
+                head = seen == 0 and keep_first
                 if head:
                     yield out("head", tail[:1])
                 yield out("drop", tail[int(head) :])
@@ -136,11 +136,12 @@ def _find(min_docs: int, keep_first: bool):
 
     def border(out, rows, n, headed):
         yield out("count", rows[:1], n)
-        if not headed:
+        decided = n >= min_docs
+        if not headed and (keep_first or not decided):
             yield out("head", rows[:1])
             rows = rows[1:]
         if len(rows):
-            yield out("maybe", rows)
+            yield out("drop" if decided else "maybe", rows)
 
     return run
 

@@ -1,8 +1,8 @@
 """Token-id output: concatenated ids with Elias-Fano document boundaries.
 
 File format.  A token file is a Parquet folder with one row a segment: ``part`` (range
-partition, in document order), ``segment`` (order within it), ``n_docs``, ``n_ids``,
-``width`` (bytes of an id), ``doc_ids`` (8-byte little-endian), ``ids`` (little-endian,
+partition, in document order), ``segment`` (order within it), ``before`` (ids of the
+part's earlier segments), ``n_docs``, ``n_ids``, ``width`` (bytes of an id), ``doc_ids`` (8-byte little-endian), ``ids`` (little-endian,
 ``width`` bytes each), ``low_bits``, ``low`` and ``high``: the documents' ends within the
 segment in Elias-Fano code.  Each end's ``low_bits`` lower bits are packed in ``low``;
 ``high`` is a bitmap with a one at (end >> low_bits) + k for the k-th end.  Selecting the
@@ -22,15 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parallelism
 from .encode import encoder
 
-_FILE = "part int, segment int, n_docs long, n_ids long, width int, doc_ids binary, ids binary, low_bits int, low binary, high binary"
+_FILE = "part int, segment int, before long, n_docs long, n_ids long, width int, doc_ids binary, ids binary, low_bits int, low binary, high binary"
 _DOCS = "doc_id long, start long, n_tokens long, ids binary"
 _NULL_ID = -(1 << 63)
+_SMALL_PARTS = 100_000
 
 
 def elias_fano(ends: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -76,12 +77,12 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, segment = encoder(tokenizer), TaskContext.get().partitionId(), 0
         tail = b"" if end_id is None else np.array([end_id], dtype=enc.dtype).tobytes()
-        names, ids, ends, total = [], [], [], 0
+        names, ids, ends, total, before = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             bits, low, high = elias_fano(np.array(ends, dtype=np.int64))
-            row = {"part": [part], "segment": [segment], "n_docs": [len(ends)], "n_ids": [total], "width": [enc.dtype.itemsize], "doc_ids": [np.array(names, dtype="<i8").tobytes()], "ids": [b"".join(ids)], "low_bits": [bits], "low": [low], "high": [high]}
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+            row = {"part": [part], "segment": [segment], "before": [before], "n_docs": [len(ends)], "n_ids": [total], "width": [enc.dtype.itemsize], "doc_ids": [np.array(names, dtype="<i8").tobytes()], "ids": [b"".join(ids)], "low_bits": [bits], "low": [low], "high": [high]}
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], names=list(row))
 
         for b in batches:
@@ -92,7 +93,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
                 ends.append(total)
                 if total >= segment_ids:
                     yield flush()
-                    segment += 1
+                    segment, before = segment + 1, before + total
                     names, ids, ends, total = [], [], [], 0
         if names:
             yield flush()
@@ -104,13 +105,13 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ids as little-endian unsigned 32-bit integers, start
-    the ids of all documents before.  Only segment totals, a row each, meet in one window."""
-    from pyspark.sql import Window
-
+    the ids of all documents before.  Segments stay where they are: a part's total is one
+    row, and the totals are broadcast once they have been counted."""
     rows = spark.read.schema(_FILE).parquet(path)
-    before = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("part", "segment").agg(F.sum("n_ids").alias("n"))
-    bases = sizes.select("part", "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    bases = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    small = rows.select("part").distinct().limit(_SMALL_PARTS + 1).count() <= _SMALL_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,14 +125,14 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([None if v == _NULL_ID else int(v) for v in names[part]], pa.int64()),
-                            pa.array(starts[part] + r["base"]),
+                            pa.array(starts[part] + r["before"] + r["base"]),
                             pa.array((ends[part] - starts[part]).astype(np.int64)),
                             pa.array([ids[s:e].astype("<u4").tobytes() for s, e in zip(starts[part], ends[part])], pa.binary()),
                         ],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return rows.join(bases, ["part", "segment"]).mapInArrow(run, _DOCS)
+    return rows.join(F.broadcast(bases) if small else bases, "part").drop("part").mapInArrow(run, _DOCS)
 
 
 def crc32(ids: bytes) -> int:
