@@ -10,6 +10,12 @@ posting's size.  A posting of more than ``block`` fingerprints is not compared i
 place: its members go to another round under four narrower keys, an exact split, since
 three differing bits leave at least one of four bit groups equal.
 
+With ``wide`` set, pairs of up to that many differing bits are links too if their texts
+are alike: near copies that share four fifths of their five-word shingles differ in more
+than 3 bits as often as not.  The index then posts each fingerprint under every
+``8 - wide`` positions, and its postings carry 64 four-bit minima of the text's five-word
+shingles, so pairs are verified where they meet and texts are never joined.
+
 Defined cases: a text without words has fingerprint 0, linked like any other; repeated
 rows share a fingerprint; a null doc_id gets its group's component, and never names one.
 """
@@ -29,54 +35,119 @@ from .common import materialize, parallelism
 from .graph import components
 
 _ALL = (1 << 64) - 1
+_SLOTS, _NONE = 64, np.uint64((1 << 58) - 1)
+_SKETCH = ["s0", "s1", "s2", "s3"]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _fingerprint(text: bytes, k: int, seed: int) -> int:
+def _shingles(text: bytes, k: int, seed: int) -> np.ndarray:
     w = text.lower().split()  # of bytes: A-Z alone, ASCII white space alone
     if not w:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     grams = map(b" ".join, zip(*(w[i:] for i in range(k)))) if len(w) >= k else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype=np.uint64).astype(">u8")
+    return np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype=np.uint64)
+
+
+def _bits(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
+    h = h.astype(">u8")
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65_536):
         ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, text: str = "text") -> DataFrame:
-    """(doc_id, fp): bit i is set where it is in over half the k-word shingles' hashes."""
+def _fingerprint(text: bytes, k: int, seed: int) -> int:
+    return _bits(_shingles(text, k, seed))
+
+
+def _minima(h: np.ndarray, k: int) -> np.ndarray:
+    """Four uint64: 64 four-bit minima over the shingles of 2k - 1 words, each of which is
+    named by the two k-word shingles that it starts and ends with."""
+    if not len(h):
+        return np.zeros(_SLOTS // 16, dtype=np.uint64)
+    g = h[: -(k - 1)] * np.uint64(0x9E3779B97F4A7C15) ^ h[k - 1 :] if len(h) >= k else h
+    g = (g ^ g >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    g ^= g >> np.uint64(32)
+    least = np.full(_SLOTS, _NONE, dtype=np.uint64)
+    np.minimum.at(least, (g >> np.uint64(58)).astype(np.int64), g & _NONE)
+    full = np.flatnonzero(least != _NONE)
+    if not len(full):
+        full = np.zeros(1, dtype=np.int64)
+    least = least[full[np.searchsorted(full, np.arange(_SLOTS)) % len(full)]]  # an empty slot takes the next one's
+    nibbles = (least & np.uint64(15)).reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+    return np.bitwise_or.reduce(nibbles, axis=1)
+
+
+def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, text: str = "text", sketch: bool = False) -> DataFrame:
+    """(doc_id, fp): bit i is set where it is in over half the k-word shingles' hashes.
+    sketch: s0 to s3 follow, the minima by which texts are compared."""
+    names = ["doc_id", "fp", *_SKETCH * sketch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((_fingerprint(x.as_py(), k, seed) for x in b.column(1)), dtype=np.int64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            out = np.empty((b.num_rows, len(names) - 1), dtype=np.int64)
+            for i, x in enumerate(b.column(1)):
+                h = _shingles(x.as_py(), k, seed)
+                out[i, 0] = _bits(h)
+                if sketch:
+                    out[i, 1:] = _minima(h, k).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out.T.copy())], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x")).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def _postings(fps: DataFrame, masks: Column) -> DataFrame:
-    return fps.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    rest = [c for c in fps.columns if c in _SKETCH]
+    return fps.select("fp", *rest, F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", *rest)
 
 
 def _byte_masks(least: int) -> list[int]:
     return [_signed(sum(255 << 8 * p for p in c)) for c in combinations(range(8), least)]
 
 
-def _narrower(mask: int) -> list[int]:
-    """Four masks that each also fix a quarter of the bits that ``mask`` leaves open."""
+def _narrower(mask: int, parts: int) -> list[int]:
+    """Masks that each also fix one part of the bits that ``mask`` leaves open: of one part
+    more than bits may differ, one at least is equal."""
     free = [i for i in range(64) if not mask >> i & 1]
-    return [_signed((mask & _ALL) | sum(1 << i for i in free[q::4])) for q in range(4)]
-
-
-def _forest(a: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
-    """Edges that join the members of ``a`` (distinct) which verified pairs connect."""
+    return [_signed((mask & _ALL) | sum(1 << i for i in free[q::parts])) for q in range(parts)]
+
+
+def _crowded(u: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+    """Which postings of two or more hold a pair of at most ``most`` differing bits; many
+    small postings are compared at once, and large ones are taken to hold one."""
+    sizes = ends - starts
+    out = sizes > 32
+    for n in np.unique(sizes[(sizes > 1) & ~out]):
+        at = np.flatnonzero(sizes == n)
+        for part in np.array_split(at, len(at) * n * n // 2_000_000 + 1):
+            m = u[starts[part][:, None] + np.arange(n)]
+            apart = np.bitwise_count(m[:, :, None] ^ m[:, None, :])
+            out[part] = (apart <= most).sum(axis=(1, 2)) > n
+    return out
+
+
+def _forest(rows: np.ndarray, least: int, bits: int, wide: int, agree: int) -> list[tuple[int, int]]:
+    """Edges that join the members (distinct) which verified pairs connect; rows: mask,
+    key, fp and, for ``wide``, the minima."""
+    u = np.ascontiguousarray(rows[:, 2:].T).view(np.uint64)
+    a = u[0]
     x = a[:, None] ^ a[None, :]
-    shared = (x.view(np.uint8).reshape(len(a), len(a), 8) == 0).sum(axis=2)  # the tally
-    near = (shared >= least) & (np.bitwise_count(x) <= bits)
+    shared = (x.view(np.uint8).reshape(len(a), len(a), 8) == 0).sum(axis=2, dtype=np.uint8)  # the tally
+    apart = np.bitwise_count(x)
+    near = (shared >= least) & (apart <= bits)
+    if wide > bits:
+        differ = np.zeros(x.shape, dtype=np.uint8)
+        for s in u[1:]:
+            y = s[:, None] ^ s[None, :]
+            y |= y >> np.uint64(1)
+            y |= y >> np.uint64(2)
+            differ += np.bitwise_count(y & np.uint64(0x1111111111111111))
+        near |= (shared >= least) & (apart <= wide) & (differ <= _SLOTS - agree)
     left, edges = np.ones(len(a), dtype=bool), []
     for i in range(len(a)):
         if not left[i]:
@@ -92,25 +163,27 @@ def _forest(a: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _linker(least: int, bits: int, block: int):
+def _linker(least: int, bits: int, block: int, wide: int, agree: int):
     schema = ["a", "b", "mask"]  # mask not null: a goes on under narrower keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a, b, mask) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(mask, pa.int64())], names=schema)
 
-        held, key, over = np.empty((0, 3), dtype=np.int64), None, False
+        held, key, over = None, None, False
         for b in batches:
             new = np.column_stack([c.to_numpy() for c in b.columns])
             if not len(new):
                 continue
-            a = np.concatenate([held, new])
+            a = new if held is None else np.concatenate([held, new])
             if over and tuple(a[0, :2]) != key:
                 over = False
             starts = np.flatnonzero(np.r_[True, np.any(a[1:, :2] != a[:-1, :2], axis=1)])
             ends = np.r_[starts[1:], len(a)]
             pairs: list[tuple[int, int]] = []
-            for s, e in zip(starts[:-1], ends[:-1]):
+            taken = _crowded(a[:, 2].view(np.uint64), starts[:-1], ends[:-1], wide)
+            taken[:1] |= over
+            for s, e in zip(starts[:-1][taken].tolist(), ends[:-1][taken].tolist()):
                 if over and s == 0:
                     yield out(a[s:e, 2], [None] * (e - s), a[s:e, 0])
                     over = False
@@ -118,8 +191,7 @@ def _linker(least: int, bits: int, block: int):
                     if e - s > block:
                         yield out(a[s:e, 2], [None] * (e - s), a[s:e, 0])
                     else:
-                        u = np.ascontiguousarray(a[s:e, 2]).view(np.uint64)
-                        pairs += [(a[s + i, 2], a[s + j, 2]) for i, j in _forest(u, least, bits)]
+                        pairs += [(a[s + i, 2], a[s + j, 2]) for i, j in _forest(a[s:e], least, bits, wide, agree)]
             if pairs:
                 yield out([p[0] for p in pairs], [p[1] for p in pairs], [None] * len(pairs))
             held, key = a[starts[-1] :], tuple(a[-1, :2])
@@ -128,54 +200,61 @@ def _linker(least: int, bits: int, block: int):
             if over or len(held) > block:
                 yield out(held[:, 2], [None] * len(held), held[:, 0])
                 held, over = held[:0], True
-        if len(held) > 1:
+        if held is not None and len(held) > 1:
             if len(held) > block:
                 yield out(held[:, 2], [None] * len(held), held[:, 0])
             else:
-                pairs = [(held[i, 2], held[j, 2]) for i, j in _forest(np.ascontiguousarray(held[:, 2]).view(np.uint64), least, bits)]
+                pairs = [(held[i, 2], held[j, 2]) for i, j in _forest(held, least, bits, wide, agree)]
                 if pairs:
                     yield out([p[0] for p in pairs], [p[1] for p in pairs], [None] * len(pairs))
 
     return run
 
 
-def near_links(fps: DataFrame, bits: int = 3, block: int = 2048) -> DataFrame:
-    """(a, b) links among the distinct ``fp`` that connect exactly those within ``bits``."""
-    if block < 8:
-        raise ValueError("block is 8 at least: three open bits make a posting of 8")
-    least = 8 - bits
+def near_links(fps: DataFrame, bits: int = 3, block: int = 2048, wide: int | None = None, agree: int = 48) -> DataFrame:
+    """(a, b) links among the distinct ``fp`` that connect exactly those within ``bits`` and,
+    with ``wide``, those within ``wide`` of whose 64 minima (s0 to s3) ``agree`` are equal:
+    48 of them speak for a similarity of 0.73 or more, since one in 16 agrees by chance."""
+    wide = max(bits, wide or 0)
+    if block < 1 << wide:
+        raise ValueError("block is 2 to the bits or wide at least: that many open bits make such a posting")
+    least = 8 - wide
+    fps = fps.select("fp", *(_SKETCH if wide > bits else []))
     n = parallelism(fps.sparkSession)
     postings = _postings(fps, F.array(*[F.lit(m) for m in _byte_masks(least)]))
     links, rest = None, None
     while True:
         dealt = postings.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp")
-        found = materialize(dealt.mapInArrow(_linker(least, bits, block), "a long, b long, mask long"), "links")
+        found = materialize(dealt.mapInArrow(_linker(least, bits, block, wide, agree), "a long, b long, mask long"), "links")
         own = found.where("mask IS NULL").select("a", "b")
         links = own if links is None else links.unionByName(own)
         rest = found.where("mask IS NOT NULL")
-        masks = [r["mask"] for r in rest.select("mask").distinct().collect()]  # at most 56 * 4 ** round
+        masks = [r["mask"] for r in rest.select("mask").distinct().collect()]  # 56 * 4 ** round at most, or 28 * 7 ** round
         if not masks:
             return links.distinct()
-        cases = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(v) for v in _narrower(m)]))])
-        postings = _postings(rest.select(F.col("a").alias("fp"), "mask").withColumn("masks", cases[F.col("mask")]).drop("mask"), F.col("masks")).distinct()
+        cases = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(v) for v in _narrower(m, wide + 1)]))])
+        again = rest.select(F.col("a").alias("fp"), cases[F.col("mask")].alias("masks"))
+        postings = _postings(again.join(fps, "fp"), F.col("masks")).distinct()
 
 
-def near_components(docs: DataFrame, bits: int = 3, k: int = 3, seed: int = 42, text: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, bits: int = 3, k: int = 3, seed: int = 42, text: str = "text", wide: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the least doc_id reachable over links of
-    at most ``bits`` differing bits."""
-    fps = materialize(fingerprints(docs, k, seed, text), "fingerprints")
-    groups = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    roots = components(near_links(groups.select("fp"), bits))
+    at most ``bits`` differing bits, or ``wide`` between texts that are alike."""
+    fps = materialize(fingerprints(docs, k, seed, text, sketch=wide is not None), "fingerprints")
+    one = [F.min(F.struct(*_SKETCH)).alias("s")] if wide is not None else []
+    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *one)
+    groups = materialize(groups.select("fp", "least", *(["s.*"] if one else [])), "groups")
+    roots = components(near_links(groups.drop("least"), bits, wide=wide))
     rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(names, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, bits: int = 3, k: int = 3, seed: int = 42, text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, bits: int = 3, k: int = 3, seed: int = 42, text: str = "text", wide: int | None = None) -> DataFrame:
     """``docs`` with one row of each component: that of its least doc_id.  Rows that
     repeat that id count once; rows without an id whose component has none all stay."""
-    found = near_components(docs, bits, k, seed, text)
+    found = near_components(docs, bits, k, seed, text, wide)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
     order = Window.partitionBy("_d").orderBy("_t")
     named = docs.withColumn("_d", F.col("doc_id").cast("bigint")).join(keep, "_d", "left_semi")

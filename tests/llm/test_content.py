@@ -140,3 +140,9 @@ def test_wrapper_of_a_host_without_articles(spark):
     w = html_extract.infer([p[2] for p in pages[:5]])
     assert w["main"] == "div.content" and "#TEXT" in w["expression"] and ")+" in w["expression"]
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_wrappers_of_deep_and_long_pages():
+    page = "<html><body>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "".join(f"<h2>t{i}</h2><p>x{i}</p>" for i in range(1500)) + "</body></html>"
+    assert html_extract.infer([page, page])["expression"]
+    assert html_extract.main_text(page).startswith("deep\n\nt0\n\nx0")

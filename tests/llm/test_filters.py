@@ -113,7 +113,7 @@ def brute_fp(t):
     return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
 
-def brute_components(fps):
+def brute_components(fps, alike=lambda i, j: False):
     root = list(range(len(fps)))
 
     def find(i):
@@ -123,7 +123,7 @@ def brute_components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or alike(i, j):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [find(i) for i in range(len(fps))]
@@ -176,6 +176,68 @@ def test_links_of_crowded_postings_stay_exact(spark, block):
     assert [find(i) for i in range(len(fps))] == brute_components(fps)
 
 
+def minima(text):
+    h = simhash._shingles((text or "").encode(), 3, 42)
+    return [int(x) >> 4 * k & 15 for x in simhash._minima(h, 3) for k in range(16)]
+
+
+def brute_wide(texts, wide=6):
+    """Components over 3 bits, or ``wide`` bits and 48 equal minima of 64."""
+    fps, m = [brute_fp(t) for t in texts], [minima(t) for t in texts]
+    alike = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= wide and sum(x == y for x, y in zip(m[i], m[j])) >= 48
+    return brute_components(fps, alike)
+
+
+@pytest.mark.parametrize("block", [64, 2048])
+def test_wide_links_match_brute_force(spark, block):
+    r = random.Random(block)
+    base = [str(r.randint(0, 9999)) for _ in range(150)]
+    texts = near_texts()
+    for _ in range(120):  # one crowded group
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(150)] = str(r.randint(0, 9999))
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    fps = simhash.fingerprints(frame(spark, texts), sketch=True)
+    at = {simhash._signed(brute_fp(t)): i for i, t in enumerate(texts)}
+    one = fps.dropDuplicates(["fp"])
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x in simhash.near_links(one, block=block, wide=6).collect():
+        a, b = sorted((find(at[x["a"]]), find(at[x["b"]])))
+        root[b] = a
+    want = brute_wide(texts)
+    kept = sorted(at.values())
+    assert len({find(i) for i in kept}) == len({want[i] for i in kept}) and all(find(i) == find(j) for i in kept for j in kept if want[i] == want[j])
+
+
+def test_wide_links_catch_near_copies_and_leave_others(spark):
+    r = random.Random(5)
+    vocab = [f"{a}{b}" for a in "bcdfgklmnprstv" for b in ("an", "or", "el", "um", "ish", "ent", "ado", "ip")]
+    texts, groups = [], []
+    for g in range(40):
+        base = r.choices(vocab, k=r.randint(80, 400))
+        for k in range(2):
+            w = list(base)
+            for _ in range(len(w) // 90 * k):  # 5-word similarity of about 0.9
+                w[r.randrange(len(w))] = r.choice(vocab)
+            if k:
+                w.append("end")
+            texts.append(" ".join(w))
+            groups.append(g)
+    named = {x["doc_id"]: x["component_id"] for x in simhash.near_components(frame(spark, texts), wide=6).collect()}
+    caught = sum(named[2 * g] == named[2 * g + 1] for g in range(40))
+    plain = {x["doc_id"]: x["component_id"] for x in simhash.near_components(frame(spark, texts)).collect()}
+    assert caught >= 30 and caught > sum(plain[2 * g] == plain[2 * g + 1] for g in range(40))
+    assert all(groups[i] == groups[c] for i, c in named.items())
+
+
 def test_simhash_edges(spark):
     docs = frame(spark, ["x y z", "x y z", "x y z", None], [7, None, 3, None])
     got = sorted(((str(r["doc_id"]), r["component_id"]) for r in simhash.near_components(docs).collect()), key=str)
