@@ -9,6 +9,8 @@ fails the base rules.  Repeated rows are judged alike; extra columns pass throug
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,27 +67,44 @@ def _repeated_positions(w: Column) -> Column:
     return F.transform(F.array(texts), equal)[0]
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_w`` (words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    w = F.col("_w")
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.length(F.trim(x, F.lit(" \t\x0b\x0c\r"))) > 0)
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with x evaluated once, wherever the optimizer moves the expression to: a
+    filter over these columns would else split the text anew for each word."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _counts(w: Column, text: Column) -> list[Column]:
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.length(F.trim(x, F.lit(" \t\x0b\x0c\r"))) > 0)
     covered = F.aggregate(
         _repeated_positions(w),
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end")),
         lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(i, a["end"])).cast("bigint").alias("n"), (i + 3).alias("end")),
     )["n"]
-    return (
-        docs.withColumn("_w", words(F.col(text)))
-        .withColumn("n_words", F.size(w).cast("bigint"))
-        .withColumn("word_chars", F.length(F.array_join(w, "")).cast("bigint"))
-        .withColumn("n_symbols", (F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[#*$%&|<>]", -1)) - 1).cast("bigint"))
-        .withColumn("n_dup_lines", F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("bigint"))
-        .withColumn("n_repeat_words", covered)
-    )
+    return [
+        F.size(w).cast("bigint").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+        (F.size(F.split(F.coalesce(text, F.lit("")), r"[#*$%&|<>]", -1)) - 1).cast("bigint").alias("n_symbols"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+        covered.alias("n_repeat_words"),
+    ]
+
+
+def _spread(docs: DataFrame, found: Column, names: list[str]) -> DataFrame:
+    """The columns of ``docs``, but for those of the same names, and ``found``'s fields."""
+    kept = [c for c in docs.columns if c not in (*names, "_weights")]
+    return docs.select(*kept, found.alias("_q")).select(*kept, *[F.col(f"_q.{n}") for n in names])
+
 
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
-    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    return _spread(docs, _let(words(F.col(text)), lambda w: F.struct(*_counts(w, F.col(text)))), _COUNTS)
+
+
+def _base_failed(c: Column, min_words: int, max_repeat_percent: int) -> Column:
+    return (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_percent * c["n_words"])
 
 
 def _buckets(w: Column, n_buckets: int) -> Column:
@@ -132,7 +151,7 @@ def llr_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = 10_000, al
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, threshold: float = -0.035, n_buckets: int = 10_000, alpha: float = 100.0, max_trusted: int = 20_000, text: str = "text"
+    docs: DataFrame, labels: DataFrame, threshold: float = -0.035, n_buckets: int = 10_000, alpha: float = 100.0, max_trusted: int = 20_000, min_words: int = 50, max_repeat_percent: int = 50, text: str = "text"
 ) -> DataFrame:
     """Rows of ``docs`` with the base counts, ``llr`` (mean log-likelihood ratio per
     n-gram of the trusted target against the raw corpus), base_failed and kept.
@@ -141,16 +160,17 @@ def quality_rules(
     same corpus gives the same verdicts.
     """
     weights = llr_weights(docs, trusted_ids(labels, max_trusted), n_buckets, alpha, text=text).scalar()
-    grams = _buckets(F.col("_w"), n_buckets)
-    return (
-        base_counts(docs, text)
-        .withColumn("_weights", weights)
-        .withColumn("_n", 2 * F.col("n_words") - 1)
-        .withColumn("llr", F.when(F.col("n_words") > 0, F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(F.col("_weights"), b)) / F.col("_n")))
-        .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
-        .drop("_w", "_n", "_weights")
-    )
+
+    def ratio(w: Column) -> Column:
+        total = _let(F.col("_weights"), lambda v: F.aggregate(_buckets(w, n_buckets), F.lit(0.0), lambda a, b: a + F.get(v, b)))
+        return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).alias("llr")
+
+    def verdict(c: Column) -> Column:
+        failed = _base_failed(c, min_words, max_repeat_percent)
+        return F.struct(*[c[n].alias(n) for n in [*_COUNTS, "llr"]], failed.alias("base_failed"), (~failed & F.coalesce(c["llr"] >= threshold, F.lit(False))).alias("kept"))
+
+    found = _let(_let(words(F.col(text)), lambda w: F.struct(*_counts(w, F.col(text)), ratio(w))), verdict)
+    return _spread(docs.withColumn("_weights", weights), found, [*_COUNTS, "llr", "base_failed", "kept"])
 
 
-__all__ = ["SPACES", "base_counts", "base_failed", "llr_weights", "quality_rules", "trusted_ids"]
+__all__ = ["SPACES", "base_counts", "llr_weights", "quality_rules", "trusted_ids"]
