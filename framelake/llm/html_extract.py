@@ -4,13 +4,19 @@ A page is a stream of tags and texts.  Runs of like siblings fold into a repeate
 then the streams of a few pages of one host are aligned one after the other into a
 union-free regular expression: nodes in step are merged, a node that some pages lack
 becomes optional, one that comes more than once repeated, and text that differs becomes
-a slot.  The wrapper says where a host's pages vary: outside an article element, its
-text is kept from the element that holds most of the slots, and blocks that the template
-fixes are dropped.  Inside an article, tags and class names decide.
+a slot.  A host's pages fall into templates by their skeleton of containers, and each
+template has its wrapper, which names the element that holds most of the slots: where a
+page has no article or main element, its text is that element's.
+
+Blocks that a template fixes are dropped everywhere, inside articles too.  They are
+counted over all pages: a block is fixed if more than half, and ``LEAST`` at least, of
+the distinct page contents of a host, or of one of its templates, that have text at the
+block's place have this text there.  Tags and class names are a hint for each page.
 
 Defined cases: a null or empty page gives an empty text; repeated rows and pages whose
 host cannot be read are handled like any other (host ''); broken markup is closed at the
-end, and nothing is dropped for being long.
+end, and nothing is dropped or kept for being long.  Copies count once.  A page of which
+every block is fixed keeps them.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +48,8 @@ _ABOUT_LAYOUT = frozenset("ad ads sidebar menu nav header footer cookie cookies"
 _HEADS = frozenset("header masthead".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_SKELETON = frozenset("div section main article aside nav header footer".split())
+LEAST = 3  # distinct contents that tell a fixed block; two may be copies with an edit
 _DEPTH = 120  # of the trees that wrappers are inferred from; extraction has no such bound
 
 
@@ -176,19 +185,15 @@ def _slots(node: Node) -> int:
     return node.slot + sum(_slots(k) for k in node.kids)
 
 
-def _has(node: Node, tags: tuple[str, ...]) -> bool:
-    return any(k.sig.split(".")[0] in tags or _has(k, tags) for k in node.kids)
-
-
 def infer(pages: list[str]) -> dict:
-    """{main, fixed, expression} of one host's pages: the signature of the element whose
-    slots hold most text where no article does, and texts that the template fixes."""
+    """{main, expression} of pages of one template: the signature of the element whose
+    slots hold most text, and the wrapper."""
     wrapper = None
     for p in pages:
         t = tree(p)
         wrapper = t if wrapper is None else _merge(wrapper, t)
-    out = {"main": None, "fixed": [], "expression": wrapper.expression()[:4000] if wrapper else ""}
-    if wrapper is None or len(pages) < 2 or _has(wrapper, ("article", "main")):
+    out = {"main": None, "expression": wrapper.expression()[:4000] if wrapper else ""}
+    if wrapper is None or len(pages) < 2:
         return out
     node = wrapper
     while True:  # down to the last element that still holds nearly all slots
@@ -198,26 +203,56 @@ def infer(pages: list[str]) -> dict:
             break
         node = top
     out["main"] = node.sig if node.sig not in ("#", "html", "body") else None
+    return out
 
-    def fixed(n: Node, found: list[str]) -> None:
-        if n.text and not n.slot and n.times == "1":
-            found.append(n.text)
-        for k in n.kids:
-            fixed(k, found)
 
-    fixed(wrapper, out["fixed"])
-    out["fixed"] = [t for t in out["fixed"] if len(t) <= 200][:50]
-    return out
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def template(page: str) -> int:
+    """Names the skeleton: the containers of a page, four deep, down to its articles."""
+    stack: list[str] = []
+    found = set()
+    for kind, value, attrs in events(page):
+        if value not in _SKELETON:
+            continue
+        if kind == "open":
+            stack.append(_signature(value, attrs)[0])
+            if len(stack) <= 4 and not {"article", "main"} & {x.split(".")[0] for x in stack[:-1]}:
+                found.add("/".join(stack))
+        elif kind == "close":
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].split(".")[0] == value:
+                    del stack[i:]
+                    break
+    return _signed(xxhash.xxh64_intdigest("\n".join(sorted(found))))
 
 
 def main_text(page: str | None, rules: dict | None = None) -> str:
-    """Blocks of the main text in page order, joined by two newlines."""
+    """Blocks of the main text in page order, joined by two newlines.  rules: the main
+    element and the keys of the fixed blocks, {main: {template: signature}, fixed:
+    {template: keys}}, those of '' for all templates."""
     if not page:
         return ""
-    rules = rules or {}
-    blocks: list[tuple[int, str]] = []  # (how much in the main part, text)
+    main, fixed = None, set()
+    if rules:
+        name = str(template(page))
+        main = rules["main"].get(name) or rules["main"].get("")
+        fixed = {*rules["fixed"].get(name, ()), *rules["fixed"].get("", ())}
+    blocks = page_blocks(page, main)
+    top = max((b[0] for b in blocks), default=0)
+    kept = [b for b in blocks if b[0] == top]
+    return "\n\n".join(b[1] for b in [b for b in kept if b[3] not in fixed] or kept)
+
+
+def page_blocks(page: str, main: str | None = None, heads: bool = False) -> list[tuple[int, str, int, int]]:
+    """(how much in the main part, text, place, key) of the blocks that tags and names do
+    not drop; a place is a hash of the elements around, a key one of place and text.
+    heads: page headers, which an inferred main element may hold, are not dropped."""
+    blocks: list[tuple[int, str, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, dropped, rank
+    stack: list[tuple[str, bool, int, int]] = []  # tag, dropped, rank, place
     held: list[list[str]] = []  # what came before a dropped inline element
     skip, rank = False, 0
 
@@ -226,7 +261,8 @@ def main_text(page: str | None, rules: dict | None = None) -> str:
             t = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if t:
-                blocks.append((rank, t))
+                at = stack[-1][3] if stack else 0
+                blocks.append((rank, t, _signed(at), _signed(xxhash.xxh64_intdigest(t, at))))
 
     def pop(n: int) -> None:
         nonlocal skip, rank
@@ -251,14 +287,14 @@ def main_text(page: str | None, rules: dict | None = None) -> str:
             sig, names, hidden = _signature(value, attrs)
             if value in ("html", "body") or _LAYOUT & names:
                 names -= _ABOUT_LAYOUT  # "has-sidebar" says what is inside
-            if rank:
+            if rank or heads:
                 names -= _HEADS  # an article's own header holds its title
             noise = hidden or bool(_NOISE & names)
             if value in _INLINE:
                 if noise and value != "a":
                     held.append(list(parts))  # the block goes on after the noise
                     parts.clear()
-                    stack.append((value, True, rank))
+                    stack.append((value, True, rank, stack[-1][3] if stack else 0))
                     skip = True
                 continue
             if value in _CLOSES_P and stack and stack[-1][0] == "p":
@@ -266,10 +302,10 @@ def main_text(page: str | None, rules: dict | None = None) -> str:
             if value == "li" and stack and stack[-1][0] == "li":
                 pop(len(stack) - 1)
             flush()
-            inside = rank > 0
+            inside = rank > 0 or heads
             dropped = skip or noise or (value in _DROP and not (value == "header" and inside))
-            own = 2 if value == "article" else 1 if value == "main" or sig == rules.get("main") else 0
-            stack.append((value, dropped, max(rank, own)))
+            own = 3 if value == "article" else 2 if value == "main" else 1 if sig == main else 0
+            stack.append((value, dropped, max(rank, own), xxhash.xxh64_intdigest(sig, stack[-1][3] if stack else 0)))
             skip, rank = dropped, max(rank, own)
         else:
             for i in range(len(stack) - 1, -1, -1):
@@ -286,41 +322,95 @@ def main_text(page: str | None, rules: dict | None = None) -> str:
                 if value not in _INLINE:
                     flush()
     flush()
-    top = max((r for r, _ in blocks), default=0)
-    fixed = set(rules.get("fixed") or ()) if top < 2 else set()
-    return "\n\n".join(t for r, t in blocks if r == top and t not in fixed)
+    return blocks
 
 
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def host_wrappers(pages: DataFrame, sample: int = 6) -> DataFrame:
-    """(host, rules): the wrapper of each host, from a bounded sample of its pages, the
-    first ``sample`` by hash; Spark cuts each task's share to that many before it shuffles."""
-    order = Window.partitionBy("host").orderBy("u", "h")
-    rows = pages.select(host(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("u"), F.coalesce("html", F.lit("")).alias("h"))
-    few = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample)
-    gathered = few.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("u", "h"))).alias("p"))
+def _contents(sample: int, held: int = 2000):
+    """A row a page without its html; besides, with it, the ``sample`` least contents of each
+    template in the task's share, given out whenever ``held`` pages are kept."""
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("key", pa.int64())]))
+
+    def out(hosts, names, contents, blocks, pages) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.int64()), pa.array(contents, pa.int64()), pa.array(blocks, kind), pa.array(pages, pa.string())], names=["host", "template", "content", "blocks", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[str, int], dict[int, str]] = {}
+        n = 0
+
+        def given() -> pa.RecordBatch:
+            rows = [(h, t, c, None, page) for (h, t), x in least.items() for c, page in x.items()]
+            return out(*zip(*rows))
+
+        for b in batches:
+            names, contents, found = [], [], []
+            for h, x in zip(b.column(0), b.column(1)):
+                page = x.as_py() or ""
+                blocks = sorted({(p, k) for _, _, p, k in page_blocks(page, heads=True)})
+                names.append(template(page))
+                contents.append(_signed(xxhash.xxh64_intdigest(repr(blocks))))
+                found.append([{"place": p, "key": k} for p, k in blocks])
+                few = least.setdefault((h.as_py(), names[-1]), {})
+                n -= len(few)
+                few.setdefault(contents[-1], page)
+                if len(few) > sample:
+                    del few[max(few)]
+                n += len(few)
+            yield out(b.column(0), names, contents, found, [None] * len(names))
+            if n > held:
+                yield given()
+                least, n = {}, 0
+        if n:
+            yield given()
+
+    return run
+
+
+def _fixed(contents: DataFrame, *group: str) -> DataFrame:
+    """(group, key) of the fixed blocks; only those found often enough are joined."""
+    found = contents.select(*group, F.explode("blocks").alias("b")).groupBy(*group, "b.place", "b.key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    places = contents.select(*group, F.explode(F.array_distinct(F.col("blocks.place"))).alias("place")).groupBy(*group, "place").agg(F.count("*").alias("of")).where(F.col("of") >= LEAST)
+    return found.join(places, [*group, "place"]).where("2 * n > of").select(*group, "key")
+
+
+def host_rules(pages: DataFrame, sample: int = 6) -> DataFrame:
+    """(host, rules): the main element of each template, from the wrapper of ``sample`` of
+    its distinct contents, the first by hash, and the fixed blocks, counted over all pages.
+    Where a template has no main element, that of the host's largest one holds."""
+    rows = pages.select(host(F.col("url")).alias("host"), "html")
+    seen = materialize(rows.mapInArrow(_contents(sample), "host string, template long, content long, blocks array<struct<place:long,key:long>>, h string"), "contents")
+    key = ["host", "template", "content"]
+    contents = materialize(seen.where("blocks IS NOT NULL").groupBy(*key).agg(F.first("blocks").alias("blocks")), "distinct")
+    order = Window.partitionBy("host", "template").orderBy("content")
+    few = seen.where("h IS NOT NULL").groupBy(*key).agg(F.min("h").alias("h")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample)
+    sizes = contents.groupBy("host", "template").agg(F.count("*").alias("n")).where("n > 1")
+    gathered = few.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("content", "h"))).alias("p")).join(sizes, ["host", "template"])
 
     @F.pandas_udf("string")
-    def rules(p: pd.Series) -> pd.Series:
-        return p.map(lambda rows: json.dumps(infer([r["h"] for r in rows])))
+    def main(p: pd.Series) -> pd.Series:
+        return p.map(lambda rows: infer([r["h"] for r in rows])["main"])
 
-    return gathered.select("host", rules("p").alias("rules"))
+    name = F.col("template").cast("string")
+    mains = gathered.select("host", name.alias("t"), main("p").alias("main"), "n").where("main IS NOT NULL")
+    mains = mains.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("t", "main"))).alias("mains"), F.max_by("main", F.struct("n", "t")).alias("most"))
+    mains = mains.select("host", F.map_concat("mains", F.create_map(F.lit(""), "most")).alias("main"))
+    fixed = _fixed(contents, "host").select("host", F.lit("").alias("t"), "key").unionByName(_fixed(contents, "host", "template").select("host", name.alias("t"), "key"))
+    fixed = fixed.groupBy("host", "t").agg(F.collect_list("key").alias("keys")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("t", "keys"))).alias("fixed"))
+    return mains.join(fixed, "host", "full").select("host", F.to_json(F.struct("main", "fixed")).alias("rules"))
 
 
 def extract(pages: DataFrame, sample: int = 6, small_hosts: int = 20_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
-    Wrappers are broadcast when their hosts, counted first, are few; beyond that only the
-    hosts that need one are joined, by a shuffle that Spark splits where a host is large.
+    Rules are broadcast when they, counted first, are few and small; beyond that the hosts
+    that have some are joined, by a shuffle that Spark splits where a host is large.
     """
-    wrappers = materialize(host_wrappers(pages, sample), "wrappers")
-    needed = wrappers.where(F.get_json_object("rules", "$.main").isNotNull() | (F.get_json_object("rules", "$.fixed") != "[]"))
-    needed = needed.select("host", F.struct(F.get_json_object("rules", "$.main").alias("main"), F.get_json_object("rules", "$.fixed").alias("fixed")).alias("r"))
-    needed = needed.select("host", F.to_json("r").alias("rules"))
-    small = needed.limit(small_hosts + 1).count() <= small_hosts
+    needed = materialize(host_rules(pages, sample), "rules")
+    count, chars = needed.agg(F.count("*"), F.coalesce(F.sum(F.length("rules")), F.lit(0))).first()
+    small = count <= small_hosts and chars <= 1 << 26
     keyed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.col("html").alias("h"), host(F.col("url")).alias("host"))
     rows = keyed.join(F.broadcast(needed) if small else needed, "host", "left").select("page_id", "url", "h", "rules")
 
@@ -334,7 +424,7 @@ def extract(pages: DataFrame, sample: int = 6, small_hosts: int = 20_000) -> Dat
                     if len(known) > 10_000:
                         known.clear()
                     x = json.loads(rule)
-                    known[rule] = {"main": x.get("main"), "fixed": json.loads(x.get("fixed") or "[]")}
+                    known[rule] = {"main": x.get("main") or {}, "fixed": {t: frozenset(k) for t, k in (x.get("fixed") or {}).items()}}
                 texts.append(main_text(h.as_py(), known.get(rule)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

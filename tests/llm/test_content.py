@@ -146,3 +146,18 @@ def test_wrappers_of_deep_and_long_pages():
     page = "<html><body>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "".join(f"<h2>t{i}</h2><p>x{i}</p>" for i in range(1500)) + "</body></html>"
     assert html_extract.infer([page, page])["expression"]
     assert html_extract.main_text(page).startswith("deep\n\nt0\n\nx0")
+
+
+LINKS = "page_id long, url string, html string"
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, LINKS)).collect()}
+
+
+def test_a_wrapper_holds_beside_and_inside_articles(spark):
+    article = "<body><article><h1>title {0}</h1><p>own words {0}</p><p>Share this with a friend</p></article></body>"
+    plain = "<body><div class='top'>Site name</div><div class='content'><h2>number {0}</h2><p>body {0}</p></div><div class='box'>About us</div></body>"
+    out = extracted(spark, [(article if i % 2 else plain).format(i) for i in range(12)])
+    assert out[1] == "title 1\n\nown words 1" and out[2] == "number 2\n\nbody 2"
