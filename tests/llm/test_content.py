@@ -161,3 +161,14 @@ def test_a_wrapper_holds_beside_and_inside_articles(spark):
     plain = "<body><div class='top'>Site name</div><div class='content'><h2>number {0}</h2><p>body {0}</p></div><div class='box'>About us</div></body>"
     out = extracted(spark, [(article if i % 2 else plain).format(i) for i in range(12)])
     assert out[1] == "title 1\n\nown words 1" and out[2] == "number 2\n\nbody 2"
+
+
+def test_copies_do_not_make_a_template(spark):
+    copy = "<div class='content'><h2>T</h2><p>P</p></div>"
+    assert extracted(spark, [copy, copy]) == {0: "T\n\nP", 1: "T\n\nP"}
+    others = ["<div class='content'><h2>t%d</h2><p>p%d</p></div>" % (i, i) for i in range(8)]
+    out = extracted(spark, [copy] * 20 + others)
+    assert out[0] == "T\n\nP" and out[25] == "t5\n\np5"
+    mixed = ["<body><div class='%s'><h2>t%d</h2><p>p%d</p><p>Notice of %s</p></div></body>" % (c, i, i, c) for c, n in (("a", 30), ("b", 9)) for i in range(n)]
+    out = extracted(spark, mixed)
+    assert out[3] == "t3\n\np3" and out[32] == "t2\n\np2"
