@@ -172,3 +172,9 @@ def test_copies_do_not_make_a_template(spark):
     mixed = ["<body><div class='%s'><h2>t%d</h2><p>p%d</p><p>Notice of %s</p></div></body>" % (c, i, i, c) for c, n in (("a", 30), ("b", 9)) for i in range(n)]
     out = extracted(spark, mixed)
     assert out[3] == "t3\n\np3" and out[32] == "t2\n\np2"
+
+
+def test_long_and_many_fixed_texts_are_dropped(spark):
+    notices = "".join("<p>fixed line %d</p>" % i for i in range(70)) + "<p>%s</p>" % ("legal " * 80)
+    out = extracted(spark, ["<body><nav>menu</nav><div><h2>t%d</h2><p>p%d</p></div><div>%s</div></body>" % (i, i, notices) for i in range(6)])
+    assert out == {i: "t%d\n\np%d" % (i, i) for i in range(6)}
