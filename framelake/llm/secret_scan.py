@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a randomness battery under false-discovery control.
 
 Patterns find assigned, access-key and hexadecimal secrets.  Besides, every long token
-that is no plain word gets an inferred encoding (hexadecimal, base32, base64) and, over
-that alphabet, a chi-squared test of uniformity, a runs test about the middle of the
+that is no plain word gets an inferred encoding (hexadecimal, base32, base36, base64) and,
+over that alphabet, a chi-squared test of uniformity, a runs test about the middle of the
 alphabet and a lag-1 serial-correlation test.  A token is added if no test of the battery
 rejects randomness and its uniformity is significant against prose of its length:
 significance is held to a false-discovery rate by Benjamini-Hochberg within each band of
@@ -32,10 +32,11 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _WORDS = re.compile(r"[^A-Za-z0-9]")
 
 _HEX_DIGITS, _BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE36 = "abcdefghijklmnopqrstuvwxyz0123456789"
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Chance that two characters of plain text are equal, by size of the alphabet that they
 #: fall in; what uniformity is held against.  Plain numbers and a-f words repeat more.
-_PROSE_COLLISION = {16: 0.15, 32: 0.0625, 64: 0.0625}
+_PROSE_COLLISION = {16: 0.15, 32: 0.0625, 36: 0.0625, 64: 0.0625}
 _BINS = 80  # of -log10 p, tenths
 _SCHEMA = "doc_id long, base array<struct<kind:int,start:int,end:int>>, found array<struct<start:int,end:int,band:int,bin:int>>"
 
@@ -56,11 +57,18 @@ def encoding(token: str) -> str | None:
     if all(c in _BASE32 for c in token):
         return _BASE32 if not token.isalpha() else None
     parts = [p for p in _WORDS.split(token) if p]
-    if all(p.isdigit() or p[1:].islower() or p.islower() or p.isupper() or len(p) == 1 for p in parts):
+    if all(p.isdigit() or len(p) == 1 or _word(p) for p in parts):
         return None  # words and numbers
+    if token.isalnum() and token in (low, token.upper()):
+        return _BASE36
     return _BASE64
 
 
+def _word(part: str) -> bool:
+    """Letters alone: lower, upper or capitalized."""
+    return part.isalpha() and (part.isupper() or part[1:].islower())
+
+
 def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -70,7 +78,7 @@ def battery(token: str) -> tuple[float, float] | None:
     alphabet = encoding(token)
     if alphabet is None:
         return None
-    text = token.lower() if alphabet is _HEX_DIGITS else token.replace("-", "+").replace("_", "/")
+    text = token.lower() if alphabet in (_HEX_DIGITS, _BASE36) else token.replace("-", "+").replace("_", "/")
     s, m, n = [alphabet.index(c) for c in text], len(alphabet), len(text)
     expected = n / m
     chi = sum((s.count(v) - expected) ** 2 / expected for v in set(s)) + (m - len(set(s))) * expected
@@ -106,7 +114,7 @@ def _scan(least_p: float):
         found = []
         for t in _TOKEN.finditer(text):
             token = t[0]
-            if token[1:].islower() or any(s < t.end() and t.start() < e for _, s, e in base):
+            if _word(token) or any(s < t.end() and t.start() < e for _, s, e in base):
                 continue
             p = battery(token)
             if p is not None and p[0] >= least_p:

@@ -102,6 +102,21 @@ def test_random_tokens_are_found_and_prose_is_not(spark):
     assert secret_scan.secret_spans(docs.limit(0)).count() == 0
 
 
+def test_keys_of_one_case_with_digits_are_tested(spark):
+    r = random.Random(6)
+    low, up = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(r.choices(a, k=n)) for a in (low, up) for n in (32, 40, 48, 64) for _ in range(6)]
+    short = [r.randbytes(14).hex() for _ in range(20)]
+    parts = ["-".join("".join(r.choices(low, k=4)) for _ in range(9)) for _ in range(5)]
+    assert all(secret_scan.battery(k) for k in keys + short + parts)
+    assert {secret_scan.encoding(k) for k in keys} <= {secret_scan._BASE36, secret_scan._BASE32, secret_scan._HEX_DIGITS}
+    words = ["counterrevolutionaries", "COUNTERREVOLUTIONARIES", "Counterrevolutionaries", "some-plain-words-and-2021-numbers"]
+    assert not any(secret_scan.encoding(w) for w in words)
+    out = {x["doc_id"]: x for x in secret_scan.secret_spans(frame(spark, keys + short)).collect()}
+    hit = lambda ids: sum(any(s["kind"] == 3 for s in out[i]["spans"]) for i in ids)
+    assert hit(range(len(keys))) >= 0.6 * len(keys) and hit(range(len(keys), len(keys) + len(short))) > 0
+
+
 def test_language_by_compression(spark):
     r = random.Random(8)
     vocab = {"en": "the of and that with this from have they which house water".split(), "de": "der die und nicht mit sich auch eine haus wasser über".split(), "fr": "le les des est dans pour qui maison avec été eau".split()}
