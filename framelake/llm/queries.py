@@ -47,7 +47,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
+    out = winnowing.edited_fingerprints(table(spark, sf_dir, "documents"), roll=16)
     return out.select(
         "doc_id",
         "n_chars",

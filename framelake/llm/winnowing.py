@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame expressions alone.
 
-A text's units are its words, cut every ``unit`` characters so that a giant word still
-has parts.  Every run of ``k`` units is hashed, and each window of ``w`` hashes marks its
+A text's units are its words, cut every ``unit`` characters.  With ``roll`` set, a run of
+more than ``roll`` characters without white space (Chinese, Japanese, Thai, minified code)
+has its single characters for units, so that hashes roll over every offset there.  Every run of ``k`` units is hashed, and each window of ``w`` hashes marks its
 least one, the rightmost of equals; a mark keeps its position.  Two texts that share
 w + k - 1 units in a row therefore share a mark.  Hash prefix and position sit in one
 long, so least and rightmost is a plain minimum.
@@ -22,9 +23,16 @@ _POS = (1 << 30) - 1
 _NULL_ID = -(1 << 63)
 
 
-def marks(text: Column, k: int = 4, w: int = 8, unit: int = 4) -> Column:
+def marks(text: Column, k: int = 4, w: int = 8, unit: int = 4, roll: int | None = None) -> Column:
     """array<struct<pos, hash>> in position order."""
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % unit), F.lit(0))
+    runs = lambda x, p: F.regexp_extract_all(x, F.lit(p), F.lit(0))
+    known = F.coalesce(text, F.lit(""))
+    if roll is None:
+        units = runs(known, r"[^\x20\x09-\x0D]{1,%d}" % unit)
+    else:
+        # Short words whole, and long runs in single characters; words are then cut.
+        words = runs(known, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,%d}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]" % roll)
+        units = F.flatten(F.transform(words, lambda x: F.when(F.length(x) <= unit, F.array(x)).otherwise(runs(x, "(?s).{1,%d}" % unit))))
 
     def grams(u: Column) -> Column:
         run = F.transform(F.slice(u, 1, F.greatest(F.size(u) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(u, i + j) for j in range(1, k)]))

@@ -77,6 +77,24 @@ def test_winnowing_edges(spark):
     assert len({r["d"] for r in d.collect()}) == 2
 
 
+def test_winnowing_rolls_over_unspaced_runs(spark):
+    import re
+
+    r = random.Random(3)
+    signs = [chr(c) for c in range(0x4E00, 0x4F00)] + ["\U0001f600"]
+    text = lambda n: "".join(r.choices(signs, k=n))
+    shared = text(11)  # w + k - 1 units
+    runs = [text(20 + i) + shared + text(30) for i in range(4)] + ["short words and " + text(17) + " a-word-of-16-let", "x" * 17 + " " + "y" * 16]
+    found = [[(m["pos"], m["hash"]) for m in x["m"]] for x in frame(spark, runs).orderBy("doc_id").select(winnowing.marks(F.col("text"), roll=16).alias("m")).collect()]
+    assert all({h for _, h in a} & {h for _, h in b} for a in found[:4] for b in found[:4])
+    for t, got in zip(runs, found):
+        parts = [p for w in t.split(" ") for p in (w if len(w) > 16 else re.findall(".{1,4}", w))]
+        assert got == brute_marks(" ".join(parts))
+    spark.createDataFrame([(i, t, "zh", "a", len(t)) for i, t in enumerate(runs[:2])], "doc_id long, text string, lang string, source string, n_chars long").createOrReplaceTempView("unspaced")
+    near = winnowing.edited_fingerprints(spark.table("unspaced"), roll=16).collect()
+    assert all(x["near_next"] > 0 for x in near)
+
+
 def test_pattern_spans():
     text = 'x PassWord = "hunter2!!" token: abcd.efgh-1 é api_key:"AKIAABCDEFGHIJKL9" ' + "0a" * 20 + " secret=short"
     kinds = [(secret_scan.KINDS[k], text[s:e]) for k, s, e in secret_scan.pattern_spans(text)]
