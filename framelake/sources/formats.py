@@ -4,14 +4,17 @@
 from __future__ import annotations
 
 import io
+import json
 import lzma
+import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, NullType, StringType, StructField, StructType
 
 
 def _parsed(lines: DataFrame, schema: StructType | None) -> DataFrame:
@@ -37,7 +40,6 @@ def _unxz(content: bytes) -> Iterator[str]:
 
 def _unzip(content: bytes) -> Iterator[str]:
     import csv
-    import json
 
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for name in sorted(z.namelist()):
@@ -54,21 +56,125 @@ def _unzip(content: bytes) -> Iterator[str]:
                 yield from raw.decode().splitlines()
 
 
+_ROOT = r"<([A-Za-z_][\w.-]*(?::[\w.-]+)?)[\s/>]"
+
+
+def _same_case(name: str, names: list[str]) -> str:
+    return next((x for x in names if x.lower() == name.lower()), name)
+
+
+def _wider(a: DataType, b: DataType) -> DataType:
+    """The type that holds values of both: fields of either, lists where one has a list."""
+    if a == b or isinstance(b, NullType):
+        return a
+    if isinstance(a, NullType):
+        return b
+    if isinstance(a, ArrayType) or isinstance(b, ArrayType):
+        x, y = (t.elementType if isinstance(t, ArrayType) else t for t in (a, b))
+        return ArrayType(_wider(x, y))
+    if isinstance(a, StructType) or isinstance(b, StructType):
+        # An element with text alone in one record is the value beside fields in another.
+        x, y = (t if isinstance(t, StructType) else StructType([StructField("_VALUE", t)]) for t in (a, b))
+        kinds = {f.name: f.dataType for f in x}
+        for f in y:
+            name = _same_case(f.name, list(kinds))
+            kinds[name] = _wider(kinds[name], f.dataType) if name in kinds else f.dataType
+        return StructType([StructField(n, t) for n, t in kinds.items()])
+    if {type(a), type(b)} == {LongType, DoubleType}:
+        return DoubleType()
+    return StringType()
+
+
 def _xml_lines(spark: SparkSession, paths: list[str], schema: StructType | None) -> DataFrame:
     lines = spark.read.text(paths).where(F.trim("value") != "")
     if schema is None:
-        first = lines.first()
-        if first is None:
+        # Every line is looked at, in tasks; distinct shapes alone reach the driver.
+        kinds = _line_schemas(lines)
+        if not kinds:
             return spark.createDataFrame([], StructType())
-        kind = spark.range(1).select(F.schema_of_xml(F.lit(first[0]))).first()[0]
-        return lines.select(F.from_xml("value", F.lit(kind)).alias("r")).select("r.*")
+        schema = kinds[0]
+        for k in kinds[1:]:
+            schema = _wider(schema, k)
+        schema = _filled(schema)
     return lines.select(F.from_xml("value", schema).alias("r")).select("r.*")
 
 
+def _line_schemas(lines: DataFrame) -> list[StructType]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = {json.dumps(_shape(v)) for v in b["value"]}
+            yield pd.DataFrame({"shape": sorted(found)})
+
+    rows = lines.select("value").mapInPandas(run, "shape string").distinct().orderBy("shape").toLocalIterator()
+    return [t for t in (_typed(json.loads(r[0])) for r in rows) if isinstance(t, StructType)]
+
+
+def _kind(text: str) -> str:
+    t = text.strip()
+    if re.fullmatch(r"[+-]?\d{1,18}", t):
+        return "long"
+    if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", t):
+        return "double"
+    return "boolean" if t.lower() in ("true", "false") else "string" if t else "null"
+
+
+def _shape(text: str):
+    """Names and kinds of a record's attributes and elements, its root's first; null where
+    the line is no XML, which from_xml gives as nulls."""
+    from xml.etree import ElementTree
+
+    def of(e, root: bool = False):
+        fields: list = [["_" + k.split("}")[-1], _kind(v)] for k, v in e.attrib.items()]
+        kids: dict[str, list] = {}
+        for c in e:
+            kids.setdefault(c.tag.split("}")[-1], []).append(of(c))
+        fields += [[name, found if len(found) > 1 else found[0]] for name, found in kids.items()]
+        if not fields and not root:
+            return _kind(e.text or "")
+        own = "".join([e.text or "", *[c.tail or "" for c in e]])
+        if own.strip():
+            fields.append(["_VALUE", _kind(own)])
+        return {"fields": sorted(fields, key=lambda x: x[0])}
+
+    try:
+        return of(ElementTree.fromstring(text), True)
+    except ElementTree.ParseError:
+        return None
+
+
+def _typed(shape) -> DataType:
+    if isinstance(shape, dict):
+        return StructType([StructField(n, _typed(x)) for n, x in shape["fields"]])
+    if isinstance(shape, list):
+        kind: DataType = NullType()
+        for x in shape:
+            kind = _wider(kind, _typed(x))
+        return ArrayType(kind)
+    return {"long": LongType(), "double": DoubleType(), "boolean": BooleanType(), "string": StringType()}.get(shape, NullType())
+
+
+def _filled(kind: DataType) -> DataType:
+    """Elements that are empty in every record are text."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _filled(f.dataType)) for f in kind])
+    if isinstance(kind, ArrayType):
+        return ArrayType(_filled(kind.elementType))
+    return StringType() if isinstance(kind, NullType) else kind
+
+
 def _xml(spark: SparkSession, paths: list[str], schema: StructType | None) -> DataFrame:
-    root = spark.read.text(paths[0], wholetext=True).select(F.regexp_extract("value", r"<([A-Za-z_][\w.-]*(?::[\w.-]+)?)[\s/>]", 1)).first()[0]
-    r = spark.read.option("rowTag", root).option("attributePrefix", "@").option("valueTag", "#text").option("ignoreNamespace", True)
-    return (r.schema(schema) if schema else r).xml(paths)
+    """Files grouped by their own root tag, each group read with it; files are matched by
+    the paths given."""
+    found = spark.read.text(paths, wholetext=True).select(F.regexp_extract("value", _ROOT, 1).alias("root"), F.col("_metadata.file_path").alias("path"))
+    by: dict[str, list[str]] = {}
+    for r in found.where("root <> ''").orderBy("root", "path").toLocalIterator():
+        by.setdefault(r["root"], []).append(unquote(r["path"]))
+    out = None
+    for root, files in by.items():
+        r = spark.read.option("rowTag", root).option("attributePrefix", "@").option("valueTag", "#text").option("ignoreNamespace", True)
+        df = (r.schema(schema) if schema else r).xml(files)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return spark.createDataFrame([], schema or StructType()) if out is None else out
 
 
 def _json(multi: bool) -> Callable:

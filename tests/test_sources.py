@@ -154,3 +154,14 @@ def test_database_sink(spark, tmp_path):
     said = []
     assert writers.write_database(spark.range(250).coalesce(1).toDF("n"), commit, said.append) == 250 and said == [250]
     assert [int(x) for x in open(out)] == [100, 100, 50]
+
+
+def test_xml_of_every_record_and_root(spark, tmp_path):
+    (tmp_path / "a.lxml").write_text("<r><user>q</user></r>\n<r k='v'><user>s</user><n>2</n><e/></r>\n<r><n>2.5</n><tag>x</tag><tag>y</tag></r>\n")
+    rows = [r.asDict() for r in read_files(spark, [str(tmp_path / "a.lxml")]).collect()]
+    assert [r["user"] for r in rows] == ["q", "s", None] and [r["n"] for r in rows] == [None, 2.0, 2.5]
+    assert rows[1]["_k"] == "v" and rows[2]["tag"] == ["x", "y"] and "e" in rows[0]
+    (tmp_path / "b 1.xml").write_text("<r><user>q</user></r>")
+    (tmp_path / "c.xml").write_text("<other><name>z</name></other>")
+    got = [r.asDict() for r in read_files(spark, [str(tmp_path / "b 1.xml"), str(tmp_path / "c.xml")]).collect()]
+    assert len(got) == 2 and {(r["user"], r["name"]) for r in got} == {("q", None), (None, "z")}
