@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,15 +24,27 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir.  Only where Spark runs on this machine alone, as
+    in tests, may it be unset: a local folder then serves."""
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir"):
         return sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
     return sc.getCheckpointDir()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

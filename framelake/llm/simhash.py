@@ -1,23 +1,27 @@
-"""SimHash near-dedup over a byte-position inverted index.
+"""SimHash near-dedup over a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most 3 bits share at least 5 of their 8
-positional bytes.  The index therefore posts each distinct fingerprint under every
-choice of 5 positions: a posting holds only pairs whose tally of shared positional
-bytes already reaches the guaranteed minimum, where single-byte postings would each
-hold 1/256 of the corpus.  Each task streams the postings in key order, tallies shared
-bytes, verifies the bit distance and emits a forest, so edges stay linear in a
-posting's size.  A posting of more than ``block`` fingerprints is not compared in one
-place: its members go to another round under four narrower keys, an exact split, since
-three differing bits leave at least one of four bit groups equal.
-
-With ``wide`` set, pairs of up to that many differing bits are links too if their texts
-are alike: near copies that share four fifths of their five-word shingles differ in more
-than 3 bits as often as not.  The index then posts each fingerprint under every
-``8 - wide`` positions, and its postings carry 64 four-bit minima of the text's five-word
-shingles, so pairs are verified where they meet and texts are never joined.
-
-Defined cases: a text without words has fingerprint 0, linked like any other; repeated
-rows share a fingerprint; a null doc_id gets its group's component, and never names one.
+positional bytes, so at least ``depth`` of the first ``depth + 3``.  The index has one list
+for every choice of ``depth`` of those positions and the bytes there.  In each list the
+shared positional bytes of every pair are tallied, pairs whose tally reaches the guaranteed
+minimum are retained, and only they are verified by their differing bits.  Each task streams
+lists in key order and emits a forest, so edges stay linear in a list's size.  A list of more
+than ``block`` fingerprints is not compared in one place: its members go to another round
+under four narrower keys, an exact split, since three differing bits leave at least one of
+four bit groups equal.
+
+``similar_components`` serves another contract: texts that share ``least`` of their distinct
+five-word shingles.  At a similarity of 0.8 two 64-bit fingerprints differ in about 8 bits,
+which guarantees no shared byte, so texts get 256 bits over their distinct shingles and are
+listed under 48 pairs of the 32 byte positions; about 95 of 100 pairs of similarity 0.8, and
+more above, meet in a list.  Tally and bits retain candidates only: the forest of the most
+alike ones is then verified by an exact count of shared shingles, and nothing is linked
+without it.  A crowded list is split into cells of ``block`` by ``block`` members, so that
+every pair still meets in one task.
+
+Defined cases: a text without words has fingerprint 0, linked like any other; repeated rows
+share a fingerprint; a null doc_id gets its group's component, and never names one; columns
+of any name pass through ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -31,12 +35,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism
+from .common import fresh, materialize, parallelism
 from .graph import components
 
 _ALL = (1 << 64) - 1
-_SLOTS, _NONE = 64, np.uint64((1 << 58) - 1)
-_SKETCH = ["s0", "s1", "s2", "s3"]
+_FAR = np.uint16(65_535)
+_LONG = ["f0", "f1", "f2", "f3"]  # a long fingerprint's words
+_BYTES = 8 * len(_LONG)
+#: Pairs of byte positions that long fingerprints are listed under: three perfect matchings.
+_POSITIONS = [(i, i + 1) for i in range(0, _BYTES, 2)] + [(i, i + _BYTES // 2) for i in range(_BYTES // 2)] + [(i, _BYTES - 1 - i) for i in range(_BYTES // 2)]
+_SMALL_KEYS = 200_000
+_SMALL_IDS = 200_000
 
 
 def _signed(x: int) -> int:
@@ -51,63 +60,37 @@ def _shingles(text: bytes, k: int, seed: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype=np.uint64)
 
 
+def _majority(h: np.ndarray) -> np.ndarray:
+    """Of rows of uint64 words, at least one, the bits that are set in over half."""
+    raw = np.ascontiguousarray(h.astype(">u8")).view(np.uint8).reshape(len(h), -1)
+    ones = np.zeros(8 * raw.shape[1], dtype=np.int64)
+    for at in range(0, len(h), 255):  # so many bits fit a byte
+        ones += np.unpackbits(raw[at : at + 255], axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h)).view(">i8").astype(np.int64)
+
+
 def _bits(h: np.ndarray) -> int:
-    if not len(h):
-        return 0
-    h = h.astype(">u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 65_536):
-        ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
-
-
-def _fingerprint(text: bytes, k: int, seed: int) -> int:
-    return _bits(_shingles(text, k, seed))
-
-
-def _minima(h: np.ndarray, k: int) -> np.ndarray:
-    """Four uint64: 64 four-bit minima over the shingles of 2k - 1 words, each of which is
-    named by the two k-word shingles that it starts and ends with."""
-    if not len(h):
-        return np.zeros(_SLOTS // 16, dtype=np.uint64)
-    g = h[: -(k - 1)] * np.uint64(0x9E3779B97F4A7C15) ^ h[k - 1 :] if len(h) >= k else h
-    g = (g ^ g >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    g ^= g >> np.uint64(32)
-    least = np.full(_SLOTS, _NONE, dtype=np.uint64)
-    np.minimum.at(least, (g >> np.uint64(58)).astype(np.int64), g & _NONE)
-    full = np.flatnonzero(least != _NONE)
-    if not len(full):
-        full = np.zeros(1, dtype=np.int64)
-    least = least[full[np.searchsorted(full, np.arange(_SLOTS)) % len(full)]]  # an empty slot takes the next one's
-    nibbles = (least & np.uint64(15)).reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)
-    return np.bitwise_or.reduce(nibbles, axis=1)
-
-
-def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, text: str = "text", sketch: bool = False) -> DataFrame:
-    """(doc_id, fp): bit i is set where it is in over half the k-word shingles' hashes.
-    sketch: s0 to s3 follow, the minima by which texts are compared."""
-    names = ["doc_id", "fp", *_SKETCH * sketch]
+    return int(_majority(h.reshape(-1, 1))[0]) if len(h) else 0
+
+
+def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, text: str = "text") -> DataFrame:
+    """(doc_id, fp): bit i is set where it is in over half the k-word shingles' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.empty((b.num_rows, len(names) - 1), dtype=np.int64)
-            for i, x in enumerate(b.column(1)):
-                h = _shingles(x.as_py(), k, seed)
-                out[i, 0] = _bits(h)
-                if sketch:
-                    out[i, 1:] = _minima(h, k).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out.T.copy())], names=names)
+            fps = np.fromiter((_bits(_shingles(x.as_py(), k, seed)) for x in b.column(1)), dtype=np.int64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x")).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _postings(fps: DataFrame, masks: Column) -> DataFrame:
-    rest = [c for c in fps.columns if c in _SKETCH]
-    return fps.select("fp", *rest, F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", *rest)
+    return fps.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
-def _byte_masks(least: int) -> list[int]:
-    return [_signed(sum(255 << 8 * p for p in c)) for c in combinations(range(8), least)]
+def _byte_masks(depth: int, bits: int) -> list[int]:
+    """Masks of the lists: of the first ``depth + bits`` positions, every ``depth``."""
+    return [_signed(sum(255 << 8 * p for p in c)) for c in combinations(range(min(8, depth + bits)), depth)]
 
 
 def _narrower(mask: int, parts: int) -> list[int]:
@@ -117,59 +100,82 @@ def _narrower(mask: int, parts: int) -> list[int]:
     return [_signed((mask & _ALL) | sum(1 << i for i in free[q::parts])) for q in range(parts)]
 
 
-def _crowded(u: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
-    """Which postings of two or more hold a pair of at most ``most`` differing bits; many
-    small postings are compared at once, and large ones are taken to hold one."""
+def tally(x: np.ndarray) -> np.ndarray:
+    """Shared positional bytes, of the last axis' XORed words: its zero bytes."""
+    y = x | x >> np.uint64(4)
+    y |= y >> np.uint64(2)
+    y |= y >> np.uint64(1)
+    differ = np.bitwise_count(y & np.uint64(0x0101010101010101)).sum(axis=-1, dtype=np.uint8)
+    return np.uint8(8 * x.shape[-1]) - differ
+
+
+def retained(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, XORed words) of the pairs i < j whose tally reaches ``least``."""
+    found = []
+    step = max(1, 262_144 // max(1, len(words)))
+    for at in range(0, len(words), step):
+        x = words[at : at + step, None, :] ^ words[None, at:, :]
+        i, j = np.nonzero(tally(x) >= least)
+        up = i < j
+        found.append((i[up] + at, j[up] + at, x[i[up], j[up]]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _tree(words: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
+    """Edges of a forest over the verified pairs, the least differing bits first; it joins
+    the members that such pairs connect."""
+    i, j, x = retained(words, least)
+    apart = np.bitwise_count(x).sum(axis=-1, dtype=np.uint16)
+    near = apart <= bits
+    i, j, apart = i[near], j[near], apart[near]
+    n, edges = len(words), []
+    if not len(i):
+        return edges
+    far = np.full((n, n), _FAR, dtype=np.uint16)
+    far[i, j] = far[j, i] = apart
+    left = np.zeros(n, dtype=bool)
+    left[i] = left[j] = True
+    best, source = np.full(n, _FAR, dtype=np.uint16), np.zeros(n, dtype=np.int64)
+    for _ in range(int(left.sum())):
+        v = int(np.where(left, best, _FAR).argmin())
+        if not left[v] or best[v] == _FAR:
+            v = int(left.argmax())  # the next part of the forest
+        else:
+            edges.append((int(source[v]), v))
+        left[v] = False
+        closer = left & (far[v] < best)
+        best[closer], source[closer] = far[v][closer], v
+    return edges
+
+
+def _crowded(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, bits: int) -> np.ndarray:
+    """Which lists of two or more hold a pair that the tally retains and the bits verify;
+    many small lists are compared at once, and large ones are taken to hold one."""
     sizes = ends - starts
     out = sizes > 32
     for n in np.unique(sizes[(sizes > 1) & ~out]):
         at = np.flatnonzero(sizes == n)
-        for part in np.array_split(at, len(at) * n * n // 2_000_000 + 1):
-            m = u[starts[part][:, None] + np.arange(n)]
-            apart = np.bitwise_count(m[:, :, None] ^ m[:, None, :])
-            out[part] = (apart <= most).sum(axis=(1, 2)) > n
+        for part in np.array_split(at, len(at) * n * n * words.shape[1] // 2_000_000 + 1):
+            m = words[starts[part][:, None] + np.arange(n)]
+            x = m[:, :, None, :] ^ m[:, None, :, :]
+            a, i, j = np.nonzero(tally(x) >= least)
+            up = i < j
+            a, i, j = a[up], i[up], j[up]
+            near = np.bitwise_count(x[a, i, j]).sum(axis=-1, dtype=np.uint16) <= bits
+            out[part[np.unique(a[near])]] = True
     return out
 
 
-def _forest(rows: np.ndarray, least: int, bits: int, wide: int, agree: int) -> list[tuple[int, int]]:
-    """Edges that join the members (distinct) which verified pairs connect; rows: mask,
-    key, fp and, for ``wide``, the minima."""
-    u = np.ascontiguousarray(rows[:, 2:].T).view(np.uint64)
-    a = u[0]
-    x = a[:, None] ^ a[None, :]
-    shared = (x.view(np.uint8).reshape(len(a), len(a), 8) == 0).sum(axis=2, dtype=np.uint8)  # the tally
-    apart = np.bitwise_count(x)
-    near = (shared >= least) & (apart <= bits)
-    if wide > bits:
-        differ = np.zeros(x.shape, dtype=np.uint8)
-        for s in u[1:]:
-            y = s[:, None] ^ s[None, :]
-            y |= y >> np.uint64(1)
-            y |= y >> np.uint64(2)
-            differ += np.bitwise_count(y & np.uint64(0x1111111111111111))
-        near |= (shared >= least) & (apart <= wide) & (differ <= _SLOTS - agree)
-    left, edges = np.ones(len(a), dtype=bool), []
-    for i in range(len(a)):
-        if not left[i]:
-            continue
-        left[i] = False
-        todo = [i]
-        while todo:
-            j = todo.pop()
-            new = np.flatnonzero(near[j] & left)
-            left[new] = False
-            edges += [(j, int(v)) for v in new]
-            todo += new.tolist()
-    return edges
-
-
-def _linker(least: int, bits: int, block: int, wide: int, agree: int):
+def _linker(least: int, bits: int, block: int):
     schema = ["a", "b", "mask"]  # mask not null: a goes on under narrower keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a, b, mask) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(mask, pa.int64())], names=schema)
 
+        def linked(rows: np.ndarray) -> list[tuple[int, int]]:
+            return [(rows[i, 2], rows[j, 2]) for i, j in _tree(np.ascontiguousarray(rows[:, 2:]).view(np.uint64), least, bits)]
+
         held, key, over = None, None, False
         for b in batches:
             new = np.column_stack([c.to_numpy() for c in b.columns])
@@ -181,17 +187,16 @@ def _linker(least: int, bits: int, block: int, wide: int, agree: int):
             starts = np.flatnonzero(np.r_[True, np.any(a[1:, :2] != a[:-1, :2], axis=1)])
             ends = np.r_[starts[1:], len(a)]
             pairs: list[tuple[int, int]] = []
-            taken = _crowded(a[:, 2].view(np.uint64), starts[:-1], ends[:-1], wide)
+            taken = _crowded(np.ascontiguousarray(a[:, 2:]).view(np.uint64), starts[:-1], ends[:-1], least, bits)
             taken[:1] |= over
             for s, e in zip(starts[:-1][taken].tolist(), ends[:-1][taken].tolist()):
                 if over and s == 0:
                     yield out(a[s:e, 2], [None] * (e - s), a[s:e, 0])
                     over = False
+                elif e - s > block:
+                    yield out(a[s:e, 2], [None] * (e - s), a[s:e, 0])
                 elif e - s > 1:
-                    if e - s > block:
-                        yield out(a[s:e, 2], [None] * (e - s), a[s:e, 0])
-                    else:
-                        pairs += [(a[s + i, 2], a[s + j, 2]) for i, j in _forest(a[s:e], least, bits, wide, agree)]
+                    pairs += linked(a[s:e])
             if pairs:
                 yield out([p[0] for p in pairs], [p[1] for p in pairs], [None] * len(pairs))
             held, key = a[starts[-1] :], tuple(a[-1, :2])
@@ -201,64 +206,212 @@ def _linker(least: int, bits: int, block: int, wide: int, agree: int):
                 yield out(held[:, 2], [None] * len(held), held[:, 0])
                 held, over = held[:0], True
         if held is not None and len(held) > 1:
-            if len(held) > block:
-                yield out(held[:, 2], [None] * len(held), held[:, 0])
-            else:
-                pairs = [(held[i, 2], held[j, 2]) for i, j in _forest(held, least, bits, wide, agree)]
-                if pairs:
-                    yield out([p[0] for p in pairs], [p[1] for p in pairs], [None] * len(pairs))
+            pairs = linked(held)
+            if pairs:
+                yield out([p[0] for p in pairs], [p[1] for p in pairs], [None] * len(pairs))
 
     return run
 
 
-def near_links(fps: DataFrame, bits: int = 3, block: int = 2048, wide: int | None = None, agree: int = 48) -> DataFrame:
-    """(a, b) links among the distinct ``fp`` that connect exactly those within ``bits`` and,
-    with ``wide``, those within ``wide`` of whose 64 minima (s0 to s3) ``agree`` are equal:
-    48 of them speak for a similarity of 0.73 or more, since one in 16 agrees by chance."""
-    wide = max(bits, wide or 0)
-    if block < 1 << wide:
-        raise ValueError("block is 2 to the bits or wide at least: that many open bits make such a posting")
-    least = 8 - wide
-    fps = fps.select("fp", *(_SKETCH if wide > bits else []))
+def near_links(fps: DataFrame, bits: int = 3, block: int = 2048, depth: int = 2) -> DataFrame:
+    """(a, b) links among the distinct ``fp`` that connect exactly those within ``bits``."""
+    if block < 1 << bits:
+        raise ValueError("block is 2 to the bits at least: that many open bits make such a list")
+    least = 8 - bits  # shared bytes that such pairs have
+    fps = fps.select("fp")
     n = parallelism(fps.sparkSession)
-    postings = _postings(fps, F.array(*[F.lit(m) for m in _byte_masks(least)]))
-    links, rest = None, None
+    postings = _postings(fps, F.array(*[F.lit(m) for m in _byte_masks(min(depth, least), bits)]))
+    links = None
     while True:
         dealt = postings.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp")
-        found = materialize(dealt.mapInArrow(_linker(least, bits, block, wide, agree), "a long, b long, mask long"), "links")
+        found = materialize(dealt.mapInArrow(_linker(least, bits, block), "a long, b long, mask long"), "links")
         own = found.where("mask IS NULL").select("a", "b")
         links = own if links is None else links.unionByName(own)
         rest = found.where("mask IS NOT NULL")
-        masks = [r["mask"] for r in rest.select("mask").distinct().collect()]  # 56 * 4 ** round at most, or 28 * 7 ** round
+        masks = [r["mask"] for r in rest.select("mask").distinct().collect()]  # 10 * 4 ** round at most
         if not masks:
             return links.distinct()
-        cases = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(v) for v in _narrower(m, wide + 1)]))])
-        again = rest.select(F.col("a").alias("fp"), cases[F.col("mask")].alias("masks"))
-        postings = _postings(again.join(fps, "fp"), F.col("masks")).distinct()
+        cases = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(v) for v in _narrower(m, bits + 1)]))])
+        postings = _postings(rest.select(F.col("a").alias("fp"), cases[F.col("mask")].alias("masks")), F.col("masks")).distinct()
 
 
-def near_components(docs: DataFrame, bits: int = 3, k: int = 3, seed: int = 42, text: str = "text", wide: int | None = None) -> DataFrame:
+def near_components(docs: DataFrame, bits: int = 3, k: int = 3, seed: int = 42, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row: the least doc_id reachable over links of
-    at most ``bits`` differing bits, or ``wide`` between texts that are alike."""
-    fps = materialize(fingerprints(docs, k, seed, text, sketch=wide is not None), "fingerprints")
-    one = [F.min(F.struct(*_SKETCH)).alias("s")] if wide is not None else []
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *one)
-    groups = materialize(groups.select("fp", "least", *(["s.*"] if one else [])), "groups")
-    roots = components(near_links(groups.drop("least"), bits, wide=wide))
-    rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(names, "root").select("fp", "component_id"), "named")
+    at most ``bits`` differing bits."""
+    fps = materialize(fingerprints(docs, k, seed, text), "fingerprints")
+    groups = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
+    named = _named(groups, components(near_links(groups, bits)), "fp")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, bits: int = 3, k: int = 3, seed: int = 42, text: str = "text", wide: int | None = None) -> DataFrame:
-    """``docs`` with one row of each component: that of its least doc_id.  Rows that
-    repeat that id count once; rows without an id whose component has none all stay."""
-    found = near_components(docs, bits, k, seed, text, wide)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    order = Window.partitionBy("_d").orderBy("_t")
-    named = docs.withColumn("_d", F.col("doc_id").cast("bigint")).join(keep, "_d", "left_semi")
-    first = named.withColumn("_t", F.xxhash64(text)).withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*docs.columns)
+def _named(groups: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, component_id): the least ``least`` of each component of groups."""
+    rooted = groups.join(roots, F.col(key) == F.col("node"), "left").select(key, "least", F.coalesce("root", key).alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return materialize(rooted.join(names, "root").select(key, "component_id"), "named")
+
+
+class _Shingler:
+    """Distinct shingle hashes of texts, from word hashes that are kept between texts."""
+
+    def __init__(self, k: int, most: int = 1 << 20):
+        self.k, self.most, self.known = k, most, {}
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        w, known = text.lower().split(), self.known
+        if len(known) > self.most:
+            known.clear()
+        for x in {*w}.difference(known):
+            known[x] = xxhash.xxh64_intdigest(x)
+        h = np.fromiter(map(known.__getitem__, w), dtype=np.uint64, count=len(w))
+        if len(h) < self.k:
+            return np.array([xxhash.xxh64_intdigest(b" ".join(w), 1)] if w else [], dtype=np.uint64)
+        n = len(h) - self.k + 1
+        g = h[:n].copy()
+        for i in range(1, self.k):
+            g = (g * np.uint64(0x9E3779B97F4A7C15) ^ g >> np.uint64(31)) + h[i : i + n]
+        g = (g ^ g >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.unique(g ^ g >> np.uint64(27))
+
+
+def _long_bits(distinct: np.ndarray) -> np.ndarray:
+    if not len(distinct):
+        return np.zeros(len(_LONG), dtype=np.int64)
+    h = np.empty((len(distinct), len(_LONG)), dtype=np.uint64)
+    for i in range(len(_LONG)):
+        g = (distinct + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & _ALL)) * np.uint64(0x94D049BB133111EB)
+        g = (g ^ g >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        h[:, i] = g ^ g >> np.uint64(32)
+    return _majority(h)
+
+
+def long_fingerprints(docs: DataFrame, k: int = 5, text: str = "text") -> DataFrame:
+    """(d, th, sid, f0 to f3): 256 bits over the distinct k-word shingles; sid names the set
+    of shingles, th the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = _Shingler(k)
+        for b in batches:
+            out = np.empty((b.num_rows, 1 + len(_LONG)), dtype=np.int64)
+            for i, x in enumerate(b.column(2)):
+                s = shingles(x.as_py())
+                out[i, 0] = _signed(xxhash.xxh3_64_intdigest(s.tobytes()))
+                out[i, 1:] = _long_bits(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, out.T.copy())], names=["d", "th", "sid", *_LONG])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x"))
+    return rows.mapInArrow(run, "d long, th long, sid long, " + ", ".join(f"{x} long" for x in _LONG))
+
+
+def _cells(least: int, bits: int):
+    """Edges of the lists, or cells of lists, of sorted (key, cell, sid, f0 to f3) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(a: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, np.any(a[1:, :2] != a[:-1, :2], axis=1)])
+            ends = np.r_[starts[1:], len(a)]
+            words = np.ascontiguousarray(a[:, 3:]).view(np.uint64)
+            pairs = []
+            crowded = _crowded(words, starts, ends, least, bits)
+            for s, e in zip(starts[crowded].tolist(), ends[crowded].tolist()):
+                pairs += [(a[s + i, 2], a[s + j, 2]) for i, j in _tree(words[s:e], least, bits)]
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
+
+        held = None
+        for b in batches:
+            new = np.column_stack([c.to_numpy() for c in b.columns])
+            a = new if held is None else np.concatenate([held, new])
+            if not len(a):
+                continue
+            last = np.flatnonzero(np.any(a[1:, :2] != a[:-1, :2], axis=1))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield edges(a[:cut])
+            held = a[cut:]
+        if held is not None and len(held):
+            yield edges(held)
+
+    return run
+
+
+def _candidates(groups: DataFrame, tallied: int, bits: int, block: int) -> DataFrame:
+    """(a, b) sids: the forests of all lists of the long fingerprints."""
+    spark, n = groups.sparkSession, parallelism(groups.sparkSession)
+    byte = lambda p: F.shiftrightunsigned(_LONG[p // 8], 8 * (p % 8)).bitwiseAND(F.lit(255))
+    keys = F.array(*[F.lit(q << 16).cast("bigint").bitwiseOR(F.shiftleft(byte(x), 8)).bitwiseOR(byte(y)) for q, (x, y) in enumerate(_POSITIONS)])
+    postings = groups.select("sid", *_LONG, F.explode(keys).alias("key"))
+    sizes = groups.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    sizes = materialize(sizes.select(F.col("key").alias("_key"), F.ceil(F.col("n") / block).cast("int").alias("_g")), "crowded")
+    crowded = sizes.count()
+    if crowded:
+        side = F.broadcast(sizes) if crowded <= _SMALL_KEYS else sizes
+        own = F.pmod(F.xxhash64("sid"), F.col("_g")).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda x: F.least(x, F.col("_own")) * F.col("_g") + F.greatest(x, F.col("_own")))
+        dealt = postings.join(side, F.col("key") == F.col("_key"), "left").withColumn("_own", own)
+        postings = dealt.withColumn("cell", F.explode(F.when(F.col("_g").isNull(), F.array(F.lit(0))).otherwise(cells)))
+    else:
+        postings = postings.withColumn("cell", F.lit(0))
+    rows = postings.select("key", F.col("cell").cast("bigint").alias("cell"), "sid", *_LONG)
+    dealt = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "sid")
+    return materialize(dealt.mapInArrow(_cells(tallied, bits), "a long, b long"), "candidates").distinct()
+
+
+def _verified(docs: DataFrame, fps: DataFrame, edges: DataFrame, k: int, least: float, text: str) -> DataFrame:
+    """The edges whose texts share ``least`` of their distinct shingles, counted exactly."""
+    edges = materialize(edges, "edges")
+    ids = materialize(edges.select(F.col("a").alias("sid")).unionByName(edges.select(F.col("b").alias("sid"))).distinct(), "ids")
+    one = fps.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("d", "th")).alias("x"))
+    one = materialize(one.select("sid", F.col("x.d").alias("_d"), F.col("x.th").alias("_th")), "texts_of")
+    small = one.limit(_SMALL_IDS + 1).count() <= _SMALL_IDS
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x"))
+    found = keyed.join(F.broadcast(one) if small else one, F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))).select("sid", "x")
+    found = materialize(found.groupBy("sid").agg(F.first("x").alias("x")), "texts")
+    a, b = found.select(F.col("sid").alias("a"), F.col("x").alias("ax")), found.select(F.col("sid").alias("b"), F.col("x").alias("bx"))
+    pairs = edges.join(a, "a").join(b, "b").select("a", "b", "ax", "bx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = _Shingler(k)
+        for batch in batches:
+            keep, known = [], {}
+            for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if len(known) > 500:
+                    known.clear()
+                for name, raw in ((x, s), (y, t)):
+                    if name not in known:
+                        known[name] = shingles(raw.as_py())
+                u, v = known[x], known[y]
+                shared = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(shared >= least * (len(u) + len(v) - shared))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, tallied: int = 4, bits: int = 60, block: int = 1024, text: str = "text") -> DataFrame:
+    """(d, th, component_id) for every row: the least doc_id of the texts that verified links
+    join.  A link: ``least`` of the distinct k-word shingles of both are shared.  Candidates
+    share ``tallied`` of 32 positional bytes and differ in ``bits`` of 256 bits at most, which
+    1 in 50 pairs of similarity 0.8 does not."""
+    fps = materialize(long_fingerprints(docs, k, text), "fingerprints")
+    groups = materialize(fps.groupBy("sid", *_LONG).agg(F.min("d").alias("least")), "groups")
+    links = _verified(docs, fps.select("d", "th", "sid"), _candidates(groups, tallied, bits, block), k, least, text)
+    named = _named(groups.select("sid", "least"), components(links), "sid")
+    return fps.select("d", "th", "sid").join(named, "sid").select("d", "th", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``similar_components``: that of its least
+    doc_id.  Rows that repeat that id count once, the one of the least text hash; rows
+    without an id whose component has none all stay."""
+    found = materialize(similar_components(docs, k, least, text=text), "similar")
+    # Hashes of the texts that carry the component's name; one row an id.
+    keep = found.where("d = component_id").groupBy("d").agg(F.min("th").alias("th"))
+    d, th, row = fresh(docs, "d"), fresh(docs, "th"), fresh(docs, "row")
+    keep = keep.select(F.col("d").alias(d), F.col("th").alias(th))
+    named = docs.withColumns({d: F.col("doc_id").cast("bigint"), th: F.xxhash64(text)}).join(keep, [d, th], "left_semi")
+    first = named.withColumn(row, F.row_number().over(Window.partitionBy(d, th).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))).where(F.col(row) == 1)
+    first = first.select(*[F.col(f"`{c}`") for c in docs.columns])
     if found.where("component_id IS NULL").isEmpty():
         return first
     return first.unionByName(docs.where("doc_id IS NULL"))

@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from framelake.llm import line_dedup, quality, simhash
 
@@ -176,66 +178,67 @@ def test_links_of_crowded_postings_stay_exact(spark, block):
     assert [find(i) for i in range(len(fps))] == brute_components(fps)
 
 
-def minima(text):
-    h = simhash._shingles((text or "").encode(), 3, 42)
-    return [int(x) >> 4 * k & 15 for x in simhash._minima(h, 3) for k in range(16)]
-
-
-def brute_wide(texts, wide=6):
-    """Components over 3 bits, or ``wide`` bits and 48 equal minima of 64."""
-    fps, m = [brute_fp(t) for t in texts], [minima(t) for t in texts]
-    alike = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= wide and sum(x == y for x, y in zip(m[i], m[j])) >= 48
-    return brute_components(fps, alike)
-
+def test_the_tally_decides_what_is_verified():
+    r = random.Random(6)
+    words = np.array([[r.getrandbits(64) for _ in range(4)] for _ in range(40)], dtype=np.uint64)
+    for i in range(1, 40, 2):  # pairs that share from 0 to 32 bytes
+        flip = [0 if k < i % 33 else r.randint(1, 255) for k in range(32)]
+        words[i] = words[i - 1] ^ np.frombuffer(bytes(flip), dtype=np.uint64)
+    shared = lambda a, b: sum(x == y for x, y in zip(a.tobytes(), b.tobytes()))
+    assert simhash.tally(words[0] ^ words[1]) == shared(words[0], words[1])
+    for least in (1, 4, 9, 32):
+        i, j, x = simhash.retained(words, least)
+        assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a in range(40) for b in range(a + 1, 40) if shared(words[a], words[b]) >= least]
+        assert all((x[k] == (words[i[k]] ^ words[j[k]])).all() for k in range(len(i)))
+    near = np.array([[0], [0x010101]], dtype=np.uint64)  # three bits in three bytes
+    assert simhash._tree(near, 5, 3) == [(0, 1)] and simhash._tree(near, 6, 3) == [] and simhash._tree(near, 5, 2) == []
+    assert list(simhash._crowded(near, np.array([0]), np.array([2]), 5, 3)) == [True] and list(simhash._crowded(near, np.array([0]), np.array([2]), 6, 3)) == [False]
+
+
+def brute_similar(texts, k=5, least=0.8):
+    """Components over texts that share ``least`` of their distinct k-word shingles."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)})
+    return brute_components([15 << 4 * i for i in range(len(sets))], lambda i, j: len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]))
+
+
+def edited(r, words, n):
+    w = list(words)
+    for _ in range(n):
+        w[r.randrange(len(w))] = str(r.randint(0, 9999))
+    return " ".join(w)
 
-@pytest.mark.parametrize("block", [64, 2048])
-def test_wide_links_match_brute_force(spark, block):
-    r = random.Random(block)
-    base = [str(r.randint(0, 9999)) for _ in range(150)]
-    texts = near_texts()
-    for _ in range(120):  # one crowded group
-        w = list(base)
-        for _ in range(r.randint(0, 4)):
-            w[r.randrange(150)] = str(r.randint(0, 9999))
-        texts.append(" ".join(w))
-    texts = list(dict.fromkeys(texts))
-    fps = simhash.fingerprints(frame(spark, texts), sketch=True)
-    at = {simhash._signed(brute_fp(t)): i for i, t in enumerate(texts)}
-    one = fps.dropDuplicates(["fp"])
-    root = list(range(len(texts)))
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for x in simhash.near_links(one, block=block, wide=6).collect():
-        a, b = sorted((find(at[x["a"]]), find(at[x["b"]])))
-        root[b] = a
-    want = brute_wide(texts)
-    kept = sorted(at.values())
-    assert len({find(i) for i in kept}) == len({want[i] for i in kept}) and all(find(i) == find(j) for i in kept for j in kept if want[i] == want[j])
-
-
-def test_wide_links_catch_near_copies_and_leave_others(spark):
-    r = random.Random(5)
-    vocab = [f"{a}{b}" for a in "bcdfgklmnprstv" for b in ("an", "or", "el", "um", "ish", "ent", "ado", "ip")]
-    texts, groups = [], []
-    for g in range(40):
-        base = r.choices(vocab, k=r.randint(80, 400))
-        for k in range(2):
-            w = list(base)
-            for _ in range(len(w) // 90 * k):  # 5-word similarity of about 0.9
-                w[r.randrange(len(w))] = r.choice(vocab)
-            if k:
-                w.append("end")
-            texts.append(" ".join(w))
-            groups.append(g)
-    named = {x["doc_id"]: x["component_id"] for x in simhash.near_components(frame(spark, texts), wide=6).collect()}
-    caught = sum(named[2 * g] == named[2 * g + 1] for g in range(40))
-    plain = {x["doc_id"]: x["component_id"] for x in simhash.near_components(frame(spark, texts)).collect()}
-    assert caught >= 30 and caught > sum(plain[2 * g] == plain[2 * g + 1] for g in range(40))
-    assert all(groups[i] == groups[c] for i, c in named.items())
+@pytest.mark.parametrize("block", [8, 1024])
+def test_similar_components_match_brute_force(spark, block):
+    r = random.Random(3)
+    texts = [None, "", " \n", "one", "ONE", "a b", "a b c d e", "a b c d f"]
+    base = [str(r.randint(0, 9999)) for _ in range(200)]
+    texts += [edited(r, base, r.randint(0, 9)) for _ in range(60)]  # a crowded group, some of it below 0.8
+    for _ in range(25):
+        base = [str(r.randint(0, 9999)) for _ in range(r.randint(60, 300))]
+        texts += [" ".join(base)] + [edited(r, base, r.randint(1, len(base) // 40)) for _ in range(r.randint(0, 3))]
+    texts += texts[30:34] + ["x y z " * 5_000, "x y z " * 5_001]
+    got = {x["d"]: x["component_id"] for x in simhash.similar_components(frame(spark, texts), block=block).collect()}
+    want = brute_similar(texts)
+    apart = sum(got[i] != c for i, c in enumerate(want))
+    assert all(want[i] == want[c] for i, c in got.items()) and apart <= 2, apart  # nothing is linked that should not be
+
+
+def test_one_of_each_passes_any_columns(spark):
+    r = random.Random(8)
+    base = [str(r.randint(0, 9999)) for _ in range(100)]
+    one, two, other = " ".join(base), edited(r, base, 1), edited(r, base, 60)
+    rows = [(5, one), (3, two), (9, one), (3, two), (None, one), (None, "alone here"), (7, None)]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    for c in ("d", "th", "_d", "__d", "__th", "__row", "sid", "component_id", "f0", "a.b"):
+        df = df.withColumn(c, F.lit(1))
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns and other
+    assert sorted(str(x["doc_id"]) for x in out.collect()) == ["3", "7", "None", "None"]
+    assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
 def test_simhash_edges(spark):

@@ -13,7 +13,7 @@ import corpus_pipeline
 from framelake.llm import queries
 from framelake.llm.encode import encoder, tokenizer_path
 
-from .test_filters import SCHEMA, brute_lines, brute_wide
+from .test_filters import SCHEMA, brute_lines, brute_similar
 
 
 def norm(names, rows):
@@ -108,7 +108,7 @@ def test_stages_match_brute_force(spark, sf_dir):
 
     three = step("simhash_near_dedup", two)
     ids = sorted(texts)
-    comp = brute_wide([texts[i] for i in ids])
+    comp = brute_similar([texts[i] for i in ids])
     assert sorted(r["doc_id"] for r in three.collect()) == sorted({ids[c] for c in comp}) and 96 not in {r["doc_id"] for r in three.collect()}
 
     four = step("mixing", three)
