@@ -171,7 +171,8 @@ def test_wrapper_of_a_host_without_articles(spark):
     out = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
     assert out[4] == "number 4\n\nbody number 4 text\n\nextra 4" and out[90] == "" and out[91] == "x" and out[92] == "only"
     w = html_extract.infer([p[2] for p in pages[:5]])
-    assert w["main"] == "div.content" and "#TEXT" in w["expression"] and ")+" in w["expression"]
+    items, at = w["region"][-1]
+    assert items[at][0] == "div.content" and "#TEXT" in w["expression"] and ")+" in w["expression"]
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
@@ -211,3 +212,77 @@ def test_long_and_many_fixed_texts_are_dropped(spark):
     notices = "".join("<p>fixed line %d</p>" % i for i in range(70)) + "<p>%s</p>" % ("legal " * 80)
     out = extracted(spark, ["<body><nav>menu</nav><div><h2>t%d</h2><p>p%d</p></div><div>%s</div></body>" % (i, i, notices) for i in range(6)])
     assert out == {i: "t%d\n\np%d" % (i, i) for i in range(6)}
+
+
+def brute_common(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignment_matches_brute_force():
+    r = random.Random(1)
+    for n in [0, 1, 2, 5, 9, 17, 40] * 20:
+        x, y = ([r.choice("abcd#") for _ in range(r.randint(0, n))] for _ in range(2))
+        found = html_extract.align(x, y)
+        assert len(found) == brute_common(x, y) and all(x[i] == y[j] for i, j in found)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:]))
+    assert len(html_extract.align(list("ab") * 2_000, list("ba") * 2_000)) == 3_999
+
+
+def random_page(r):
+    item = lambda: r.choice(["<p>w%d</p>", "<h2>w%d</h2>", "<ul><li>w%d</li><li>x</li></ul>", "<dl><dt>w%d</dt><dd>y</dd></dl>"]) % r.randint(0, 3)
+    pairs = "".join("<h3>t%d</h3><p>u</p>" % r.randint(0, 9) for _ in range(r.randint(0, 4)))
+    return "<html><body><div class=top>Site</div><div class=content>%s%s</div>%s</body></html>" % ("".join(item() for _ in range(r.randint(0, 5))), pairs, "<div class=more>m</div>" * r.randint(0, 1))
+
+
+def test_a_wrapper_is_an_expression_of_its_pages():
+    import re
+
+    r = random.Random(2)
+    for n in (1, 2, 3, 6):
+        for _ in range(25):
+            pages = [random_page(r) for _ in range(n)]
+            w = html_extract.wrapper(pages)
+            assert "|" not in re.sub(r"\\.", "", w.pattern())  # free of unions
+            for p in pages:
+                assert re.fullmatch(w.pattern(), html_extract.stream(html_extract.page_tree(p))), (p, w.expression())
+
+
+def test_every_page_of_the_table_comes_through_its_wrapper(spark):
+    import json
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = html_extract.wrappers(pages).collect()
+    assert all(json.loads(w["region"]) and "#TEXT" in w["expression"] for w in found if w["n"] > 1)
+    ways = {(w["host"], w["template"]): json.loads(w["region"]) for w in found}
+    rows = pages.select("html", html_extract.host(F.col("url")).alias("host")).collect()
+    many = {h for h in {x["host"] for x in rows} if sum(x["host"] == h for x in rows) > 1}
+    decided = set()
+    for x in rows:
+        root = html_extract.page_tree(x["html"])
+        at = html_extract.locate(root, ways[x["host"], html_extract.template(root)])
+        assert [k.tag for k, _, _ in at] == ["article"]
+        decided.add(x["host"])
+    assert many and many <= decided
+
+
+def test_names_are_hints_and_not_words_in_names(spark):
+    page = "<html><body><form><div class=top>Site</div><article class='post'><header class='article-header'><h1>T{0}</h1></header><p>own {0} text</p><div class='search-results'><p>found {0}</p></div><div class='related-work'><p>work {0}</p></div><div class='related-posts'><p>see {0}</p></div><div class='post-comments'><p>first {0}</p></div></article><article class=teaser><p>tea {0}</p></article><article class=small><p>z{0}</p></article></form></body></html>"
+    out = extracted(spark, [page.format(i) for i in range(5)])
+    assert out == {i: f"T{i}\n\nown {i} text\n\nfound {i}\n\nwork {i}" for i in range(5)}
+    assert html_extract.main_text("<form><p>one</p><p>two</p></form>") == "one\n\ntwo"
+    hidden = "<p>a <span class=ad>x <span>y</span> z</span> b<i hidden>never closed</p><p>c</p>"
+    assert html_extract.main_text(hidden) == "a b\n\nc"
+
+
+def test_a_long_page_and_odd_columns(spark):
+    long = "<html><body><article><h1>t</h1>%s</article></body></html>" % "".join(f"<p>words of paragraph {i}</p>" for i in range(150_000))
+    df = spark.createDataFrame([(1, "http://a.example/", long), (2, "http://a.example/", long), (3, "http://a.example/", None), (3, "http://a.example/", "<p>x")], LINKS)
+    for c in ("text", "host", "h", "rules", "blocks", "content", "template", "n_chars", "_k"):
+        df = df.withColumn(c, F.lit(1))
+    out = sorted((r["page_id"], r["n_chars"]) for r in html_extract.extract(df).collect())
+    want = 1 + sum(2 + len(f"words of paragraph {i}") for i in range(150_000))
+    assert out == [(1, want), (2, want), (3, 0), (3, 1)]
