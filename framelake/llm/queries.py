@@ -69,6 +69,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
         secret_scan.span_text(F.col("spans")).alias("spans"),
+        "n_tested",
+        "n_confirmed",
     )
 
 

@@ -1,22 +1,29 @@
 """Secret scans: fixed patterns, and a randomness battery under false-discovery control.
 
-Patterns find assigned, access-key and hexadecimal secrets.  Besides, every long token
-that is no plain word gets an inferred encoding (hexadecimal, base32, base36, base64) and,
-over that alphabet, a chi-squared test of uniformity, a runs test about the middle of the
-alphabet and a lag-1 serial-correlation test.  A token is added if no test of the battery
-rejects randomness and its uniformity is significant against prose of its length:
-significance is held to a false-discovery rate by Benjamini-Hochberg within each band of
-lengths, over the tokens of the whole corpus, from a table of fixed size.
-
-Defined cases: a null or empty text has no spans; spans are in code points, end
-exclusive; an added span never overlaps a pattern's; repeated rows are scanned alike.
+Patterns find assigned, access-key and hexadecimal secrets.  Besides, every long token that is
+no plain word gets an inferred encoding (hexadecimal, base32, base36, base64) and, over that
+alphabet, a battery of tests: chi-squared uniformity, runs about the middle of the alphabet,
+and lag-1 serial correlation.  A token that no test tells from a random one is held against
+plain text of its length by two of them: how unevenly plain text uses the alphabet, and how
+seldom it changes between letters of one case, digits and marks.  The two p-values are combined
+by Fisher's rule and held to a false-discovery rate by Benjamini-Hochberg within each band of
+lengths, over all tested tokens of the corpus, from a table of fixed size.  Tokens inside
+pattern spans are tested like any other: their spans stay, and the battery tells which of them
+it confirms.
+
+Defined cases: a null or empty text has no spans; spans are in code points, end exclusive; an
+added span never overlaps a pattern's; repeated rows are scanned alike; a text of any length is
+swept once; extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,8 +44,11 @@ _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Chance that two characters of plain text are equal, by size of the alphabet that they
 #: fall in; what uniformity is held against.  Plain numbers and a-f words repeat more.
 _PROSE_COLLISION = {16: 0.15, 32: 0.0625, 36: 0.0625, 64: 0.0625}
-_BINS = 80  # of -log10 p, tenths
-_SCHEMA = "doc_id long, base array<struct<kind:int,start:int,end:int>>, found array<struct<start:int,end:int,band:int,bin:int>>"
+#: Chance that plain text in an alphabet changes between classes (digits, lower and upper
+#: letters, marks) from one character to the next: words with numbers, or in camel case.
+_PROSE_CHANGE = {16: 0.15, 32: 0.08, 36: 0.12, 64: 0.3}
+_BINS = 400  # of -log10 p, tenths; p under 1e-40 would tell from as many tokens as no corpus has
+_SCHEMA = "doc_id long, base array<struct<kind:int,start:int,end:int>>, found array<struct<start:int,end:int,band:int,bin:int,own:boolean>>"
 
 
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
@@ -73,15 +83,36 @@ def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _log_tail(z: float) -> float:
+    """Natural logarithm of the normal upper tail, however far."""
+    return math.log(_upper_tail(z)) if z < 30 else -z * z / 2 - math.log(z * math.sqrt(2 * math.pi))
+
+
+def _log_at_least(k: int, n: int, p: float) -> float:
+    """Natural logarithm of the chance of k or more of n, each of chance p."""
+    if k <= 0:
+        return 0.0
+    if n > 2_000:
+        return _log_tail((k - 0.5 - n * p) / math.sqrt(n * p * (1 - p)))
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
+    top = max(logs)
+    return min(0.0, top + math.log(sum(math.exp(x - top) for x in logs)))
+
+
+def _class(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+
+
 def battery(token: str) -> tuple[float, float] | None:
-    """(least p-value of the randomness tests, p-value against prose) of a token."""
+    """(least p-value of the randomness tests, -log10 of the p-value against plain text)."""
     alphabet = encoding(token)
     if alphabet is None:
         return None
     text = token.lower() if alphabet in (_HEX_DIGITS, _BASE36) else token.replace("-", "+").replace("_", "/")
-    s, m, n = [alphabet.index(c) for c in text], len(alphabet), len(text)
-    expected = n / m
-    chi = sum((s.count(v) - expected) ** 2 / expected for v in set(s)) + (m - len(set(s))) * expected
+    places = {c: i for i, c in enumerate(alphabet)}
+    s, m, n = [places[c] for c in text], len(alphabet), len(text)
+    expected, counts = n / m, Counter(s)
+    chi = sum((c - expected) ** 2 / expected for c in counts.values()) + (m - len(counts)) * expected
     # Wilson-Hilferty: chi-squared of m - 1 degrees as a normal deviate.
     dof = m - 1
     uniform = _upper_tail(((chi / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof)))
@@ -91,17 +122,20 @@ def battery(token: str) -> tuple[float, float] | None:
     if 0 < a < n:
         mean = 1 + 2 * a * (n - a) / n
         var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-        run_p = 2 * _upper_tail(abs(runs - mean) / math.sqrt(var))
+        run_p = 2 * _upper_tail(max(0.0, abs(runs - mean) - 0.5) / math.sqrt(var))
     else:
         run_p = 2 * 0.5**n
     mid = sum(s) / n
     spread = sum((v - mid) ** 2 for v in s)
     serial = sum((x - mid) * (y - mid) for x, y in zip(s, s[1:])) / spread if spread else 1.0
-    serial_p = 2 * _upper_tail(abs(serial) * math.sqrt(n))
-    # Prose of n letters: a non-central chi-squared, as a normal deviate.
+    serial_p = 2 * _upper_tail(abs(serial + 1 / n) * math.sqrt(n))
+    # Plain text: a non-central chi-squared, as a normal deviate, and changes of class.
     apart = n * (m * _PROSE_COLLISION[m] - 1)
-    prose = _upper_tail((dof + apart - chi) / math.sqrt(2 * (dof + 2 * apart)))
-    return min(uniform, run_p, serial_p), prose
+    uneven = _log_tail((dof + apart - chi) / math.sqrt(2 * (dof + 2 * apart)))
+    classes = [_class(c) for c in text]
+    changes = _log_at_least(sum(x != y for x, y in zip(classes, classes[1:])), n - 1, _PROSE_CHANGE[m])
+    both = uneven + changes  # Fisher's rule: p = q (1 - ln q) of the product q
+    return min(uniform, run_p, serial_p), -(both + math.log(1 - both)) / math.log(10)
 
 
 def band(n: int) -> int:
@@ -111,18 +145,18 @@ def band(n: int) -> int:
 def _scan(least_p: float):
     def spans(text: str):
         base = pattern_spans(text)
+        starts, reach = [b[1] for b in base], list(accumulate((b[2] for b in base), max))
         found = []
         for t in _TOKEN.finditer(text):
-            token = t[0]
-            if _word(token) or any(s < t.end() and t.start() < e for _, s, e in base):
-                continue
-            p = battery(token)
+            p = None if _word(t[0]) else battery(t[0])
             if p is not None and p[0] >= least_p:
-                found.append((t.start(), t.end(), band(len(token)), min(_BINS - 1, int(-10 * math.log10(max(p[1], 1e-9))))))
-        return [dict(zip(("kind", "start", "end"), b)) for b in base], [dict(zip(("start", "end", "band", "bin"), f)) for f in found]
+                before = bisect_left(starts, t.end())  # patterns' spans that start before its end
+                own = before > 0 and reach[before - 1] > t.start()
+                found.append((t.start(), t.end(), band(len(t[0])), max(0, min(_BINS - 1, int(10 * p[1]))), own))
+        return [dict(zip(("kind", "start", "end"), b)) for b in base], [dict(zip(("start", "end", "band", "bin", "own"), f)) for f in found]
 
     base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("band", pa.int32()), ("bin", pa.int32())]))
+    found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("band", pa.int32()), ("bin", pa.int32()), ("own", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,7 +168,7 @@ def _scan(least_p: float):
 
 def _cuts(scanned: DataFrame, rate: float) -> dict[int, int]:
     """Per band the least bin of -log10 p that Benjamini-Hochberg lets through."""
-    counts = scanned.select(F.explode("found").alias("f")).groupBy("f.band", "f.bin").count().collect()  # 4 x 80 rows at most
+    counts = scanned.select(F.explode("found").alias("f")).groupBy("f.band", "f.bin").count().collect()  # 4 x 400 rows at most
     cuts = {}
     for k in {r["band"] for r in counts}:
         by_bin = {r["bin"]: r["count"] for r in counts if r["band"] == k}
@@ -147,8 +181,10 @@ def _cuts(scanned: DataFrame, rate: float) -> dict[int, int]:
 
 
 def secret_spans(docs: DataFrame, rate: float = 0.01, least_p: float = 0.001, text: str = "text") -> DataFrame:
-    """(doc_id, base, spans) for every row: spans are base spans and added ones (kind 3),
-    array<struct<start, kind, end>> in order."""
+    """(doc_id, base, spans, n_tested, n_confirmed) for every row: spans are base spans and
+    added ones (kind 3), array<struct<start, kind, end>> in order; n_tested counts the tokens
+    that the battery took for random, n_confirmed those of them inside base spans that the
+    false-discovery control lets through."""
     scanned = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("x")).mapInArrow(_scan(least_p), _SCHEMA), "scanned")
     cuts = _cuts(scanned, rate)
 
@@ -156,9 +192,10 @@ def secret_spans(docs: DataFrame, rate: float = 0.01, least_p: float = 0.001, te
         return f["bin"] >= F.get(F.array(*[F.lit(cuts.get(k, _BINS)) for k in range(4)]), f["band"])
 
     item = lambda kind, s: F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"))
-    added = F.transform(F.filter("found", passes), lambda f: item(F.lit(3), f))
+    added = F.transform(F.filter("found", lambda f: passes(f) & ~f["own"]), lambda f: item(F.lit(3), f))
+    confirmed = F.size(F.filter("found", lambda f: passes(f) & f["own"])).cast("bigint")
     base = F.transform("base", lambda s: item(s["kind"], s))
-    return scanned.select("doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, added)).alias("spans"))
+    return scanned.select("doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, added)).alias("spans"), F.size("found").cast("bigint").alias("n_tested"), confirmed.alias("n_confirmed"))
 
 
 def span_text(spans: Column) -> Column:

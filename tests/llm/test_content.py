@@ -286,3 +286,60 @@ def test_a_long_page_and_odd_columns(spark):
     out = sorted((r["page_id"], r["n_chars"]) for r in html_extract.extract(df).collect())
     want = 1 + sum(2 + len(f"words of paragraph {i}") for i in range(150_000))
     assert out == [(1, want), (2, want), (3, 0), (3, 1)]
+
+
+def planted(r, kind, n):
+    raw = r.randbytes(n)
+    if kind == "b36":
+        return "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    return raw.hex() if kind == "hex" else (base64.b32encode(raw) if kind == "b32" else base64.b64encode(raw)).decode().rstrip("=")
+
+
+PLAIN = "getElementByIdAndNameFromTheList AbstractSingletonProxyFactoryBean article-12345-how-to-do-x9-things GL_TEXTURE_2D_MULTISAMPLE_ARRAY V2ExtendedUserInformationModel img_20210304_112233_burst 550e8400-e29b-41d4-a716-446655440000 deadbeefdeadbeefdead counterrevolutionaryTendencies /2021/03/04/some-news-from-5-places abcdefghijklmnopqrstuvwxyz0123456789".split()
+
+
+def test_false_discovery_control_matches_brute_force(spark):
+    r = random.Random(11)
+    keys = [planted(r, k, n) for k, n in (("hex", 12), ("hex", 15), ("b32", 18), ("b32", 30), ("b64", 15), ("b64", 30), ("b64", 45), ("b36", 24), ("b36", 60)) for _ in range(8)]
+    texts = ["see %s and %s" % (k, r.choice(PLAIN)) for k in keys] + PLAIN * 3 + ['token = "%s"' % planted(r, "hex", 20) for _ in range(9)] + [None, ""]
+    tested = []
+    for i, t in enumerate(texts):
+        base = secret_scan.pattern_spans(t or "")
+        for m in secret_scan._TOKEN.finditer(t or ""):
+            p = None if secret_scan._word(m[0]) else secret_scan.battery(m[0])
+            if p and p[0] >= 0.001:
+                tested.append((secret_scan.band(len(m[0])), max(0, int(10 * p[1])), i, m.span(), any(s < m.end() and m.start() < e for _, s, e in base)))
+    passed = set()
+    for b in range(4):
+        mine = sorted((x for x in tested if x[0] == b), key=lambda x: -x[1])
+        least = [x[1] for k, x in enumerate(mine) if len(mine) * 10 ** (-x[1] / 10) <= 0.01 * sum(y[1] >= x[1] for y in mine)]
+        passed |= {x[2:] for x in mine if least and x[1] >= min(least)}
+    out = {x["doc_id"]: x for x in secret_scan.secret_spans(frame(spark, texts)).collect()}
+    got = {(i, (s["start"], s["end"])) for i, x in out.items() for s in x["spans"] if s["kind"] == 3}
+    assert got == {(i, span) for i, span, own in passed if not own}
+    for i, x in out.items():
+        assert x["n_tested"] == sum(t[2] == i for t in tested) and x["n_confirmed"] == sum(p[0] == i and p[2] for p in passed)
+    assert sum(x["n_confirmed"] for x in out.values()) >= 8
+
+
+def test_planted_keys_are_caught_and_plain_tokens_left(spark):
+    r = random.Random(12)
+    kinds = [("hex", 15), ("b32", 30), ("b64", 24), ("b36", 40)]
+    keys = [planted(r, k, n) for k, n in kinds for _ in range(50)]
+    texts = ["a %s b" % k for k in keys] + ["a %s b" % x for x in PLAIN]
+    out = {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"] if s["kind"] == 3] for x in secret_scan.secret_spans(frame(spark, texts)).collect()}
+    for q, k in enumerate(kinds):
+        assert sum(out[i] == [(2, 2 + len(keys[i]))] for i in range(50 * q, 50 * q + 50)) >= 45, k
+    assert sum(bool(out[i]) for i in range(len(keys), len(texts))) <= 1
+
+
+def test_a_dump_of_keys_takes_one_sweep(spark):
+    import time
+
+    r = random.Random(13)
+    text = " ".join(planted(r, "hex", 20) for _ in range(50_000)) + " " + "aB3" * 300_000
+    df = frame(spark, [text]).withColumns({c: F.lit(1) for c in ("base", "found", "spans", "x", "own")})
+    began = time.perf_counter()
+    row = secret_scan.secret_spans(df).collect()[0]
+    assert len(row["base"]) == 50_000 and row["n_confirmed"] > 49_000 and time.perf_counter() - began < 60
+    assert secret_scan._log_tail(40) == pytest.approx(-804.6, abs=0.1) and secret_scan._log_at_least(3_000, 5_000, 0.3) < -500
