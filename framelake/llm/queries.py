@@ -47,16 +47,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = winnowing.edited_fingerprints(table(spark, sf_dir, "documents"), roll=16)
-    return out.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        winnowing.digest(F.col("marks")).alias("fingerprint"),
-        winnowing.digest(F.col("edited_marks")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
-    )
+    out = winnowing.edited_fingerprints(table(spark, sf_dir, "documents"), roll=24)
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

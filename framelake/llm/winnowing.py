@@ -1,15 +1,17 @@
 """Document fingerprints by winnowing, in DataFrame expressions alone.
 
-A text's units are its words, cut every ``unit`` characters.  With ``roll`` set, a run of
-more than ``roll`` characters without white space (Chinese, Japanese, Thai, minified code)
-has its single characters for units, so that hashes roll over every offset there.  Every run of ``k`` units is hashed, and each window of ``w`` hashes marks its
-least one, the rightmost of equals; a mark keeps its position.  Two texts that share
-w + k - 1 units in a row therefore share a mark.  Hash prefix and position sit in one
-long, so least and rightmost is a plain minimum.
+A text's units are its words, cut every ``unit`` characters.  With ``roll`` set, characters of
+scripts that write no spaces (Han, kana, Thai, Lao, Khmer, Burmese) are units one by one, and
+so are those of any run of more than ``roll`` characters without white space (base64, minified
+code), so that hashes roll over every offset there.  Every run of ``k`` units is hashed, and
+each window of ``w`` hashes marks its least one, the rightmost of equals; a mark keeps its
+position.  Two texts that share w + k - 1 units in a row therefore share a mark.  Hash prefix
+and position sit in one long, so least and rightmost is a plain minimum.
 
 Defined cases: a null or blank text has no marks, and two such texts are alike; fewer
 than ``k`` units make one hash, fewer than ``w`` hashes one window; repeated rows have
-equal fingerprints, and a repeated row's next document is its repetition.
+equal fingerprints, and a repeated row's next document is its repetition; extra columns do
+not matter.
 """
 
 from __future__ import annotations
@@ -21,18 +23,23 @@ from .common import materialize, parallelism
 
 _POS = (1 << 30) - 1
 _NULL_ID = -(1 << 63)
+_SPACE = r"\x20\x09-\x0D"
+#: Scripts without spaces between words.
+_UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 
 
 def marks(text: Column, k: int = 4, w: int = 8, unit: int = 4, roll: int | None = None) -> Column:
     """array<struct<pos, hash>> in position order."""
     runs = lambda x, p: F.regexp_extract_all(x, F.lit(p), F.lit(0))
     known = F.coalesce(text, F.lit(""))
-    if roll is None:
-        units = runs(known, r"[^\x20\x09-\x0D]{1,%d}" % unit)
-    else:
-        # Short words whole, and long runs in single characters; words are then cut.
-        words = runs(known, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,%d}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]" % roll)
-        units = F.flatten(F.transform(words, lambda x: F.when(F.length(x) <= unit, F.array(x)).otherwise(runs(x, "(?s).{1,%d}" % unit))))
+    units = runs(known, r"[^%s]{1,%d}" % (_SPACE, unit))
+    if roll is not None:
+        # Single characters, short words whole, and long runs in single characters; words are
+        # then cut.  Most texts have short words alone, which the plain way cuts alike.
+        part = f"[^{_SPACE}{_UNSPACED}]"
+        words = runs(known, "[%s]|(?<!%s)%s{1,%d}(?!%s)|%s" % (_UNSPACED, part, part, roll, part, part))
+        cut = F.flatten(F.transform(words, lambda x: F.when(F.length(x) <= unit, F.array(x)).otherwise(runs(x, "(?s).{1,%d}" % unit))))
+        units = F.when(known.rlike("%s{%d}|[%s]" % (part, roll + 1, _UNSPACED)), cut).otherwise(units)
 
     def grams(u: Column) -> Column:
         run = F.transform(F.slice(u, 1, F.greatest(F.size(u) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(u, i + j) for j in range(1, k)]))
@@ -52,13 +59,13 @@ def marks(text: Column, k: int = 4, w: int = 8, unit: int = 4, roll: int | None
 
 
 def hashes(marked: Column) -> Column:
-    return F.array_distinct(F.transform(marked, lambda m: m["hash"]))
+    """Upper 32 bits of the marks' hashes in position order: what a fingerprint holds."""
+    return F.transform(marked, lambda m: F.shiftright(m["hash"], 32).cast("int"))
 
 
-def digest(marked: Column) -> Column:
-    """128 bits that name a fingerprint, marks and positions."""
-    part = lambda *x: F.lower(F.lpad(F.hex(F.xxhash64(*x)), 16, "0"))
-    return F.concat(part(marked), part(marked, F.lit(1)))
+def printed(found: Column) -> Column:
+    """A fingerprint as text: eight hexadecimal digits a mark, in position order."""
+    return F.array_join(F.transform(found, lambda h: F.lpad(F.lower(F.hex(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -90,29 +97,40 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", **kw) -> DataFrame:
     """Per row of ``docs``: doc_id, n_chars, edited (the last half of the text replaced by
-    the first as many characters of the next document), the marks of both, and the
-    likeness of the text's marks to the edited text's and the next document's."""
+    the first as many characters of the next document), the fingerprints of both, and the
+    likeness of the text's marks to the edited text's and the next document's.
+
+    A text is shuffled once and marked once; its hashes then go to its own row, and with its
+    head to the row before it.
+    """
     nexts = materialize(with_next(docs, text), "nexts")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     one = F.row_number().over(Window.partitionBy("d", "th").orderBy("th"))
     texts = keyed.withColumn("_k", one).where("_k = 1").drop("_k")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    after = texts.select(F.col("d").alias("next_d"), F.col("th").alias("next_th"), "x").join(nexts, ["next_d", "next_th"])
-    after = after.select("d", "th", "n_chars", "copies", F.substring(F.col("x"), F.lit(1), half).alias("head"), hashes(marks(F.col("x"), **kw)).alias("next_hashes"))
-    rows = texts.join(after, ["d", "th"])
+    before = nexts.select(F.col("d").alias("to_d"), F.col("th").alias("to_th"), "n_chars", "copies", F.col("next_d").alias("d"), F.col("next_th").alias("th"))
+    sent = texts.join(before, ["d", "th"]).select("d", "th", "to_d", "to_th", "n_chars", "copies", F.substring(F.col("x"), F.lit(1), half).alias("head"), hashes(marks(F.col("x"), **kw)).alias("h"))
+    row = lambda d, th, own, following, *rest: F.struct(F.col(d).alias("d"), F.col(th).alias("th"), own.alias("own"), following.alias("following"), *rest)
+    none = F.lit(None)
+    to_own = row("d", "th", F.col("h"), none.cast("array<int>"), none.cast("string").alias("head"), none.cast("bigint").alias("n_chars"), none.cast("bigint").alias("copies"))
+    to_previous = row("to_d", "to_th", none.cast("array<int>"), F.array_distinct("h"), F.col("head"), F.col("n_chars").cast("bigint").alias("n_chars"), F.col("copies").cast("bigint").alias("copies"))
+    sent = sent.select(F.explode(F.array(to_own, to_previous)).alias("r")).select("r.*")
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    got = sent.groupBy("d", "th").agg(*[first(c) for c in ("own", "following", "head", "n_chars", "copies")])
+    rows = texts.join(got, ["d", "th"])
     # All but the last of repeated rows are followed by themselves.
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     own = F.col("_i") < F.col("copies")
     rows = rows.withColumn("head", F.when(own, F.substring(F.col("x"), F.lit(1), half)).otherwise(F.col("head")))
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("x"), F.lit(1), F.col("n_chars") - half), F.col("head")))
-    rows = rows.withColumn("marks", marks(F.col("x"), **kw)).withColumn("edited_marks", marks(F.col("edited"), **kw))
-    rows = rows.withColumn("_h", hashes(F.col("marks"))).withColumn("_e", hashes(F.col("edited_marks")))
+    rows = rows.select("d", "n_chars", "edited", "own", "following", own.alias("_own"), hashes(marks(F.col("edited"), **kw)).alias("changed"))
+    distinct = F.array_distinct("own")
     return rows.select(
         F.when(F.col("d") != _NULL_ID, F.col("d")).alias("doc_id"),
-        F.col("n_chars").cast("bigint").alias("n_chars"),
+        "n_chars",
         "edited",
-        "marks",
-        "edited_marks",
-        likeness(F.col("_h"), F.col("_e")).alias("near_edited"),
-        F.when(own, 1.0).otherwise(likeness(F.col("_h"), F.col("next_hashes"))).alias("near_next"),
+        printed(F.col("own")).alias("fingerprint"),
+        printed(F.col("changed")).alias("edited_fingerprint"),
+        likeness(distinct, F.array_distinct("changed")).alias("near_edited"),
+        F.when(F.col("_own"), 1.0).otherwise(likeness(distinct, F.col("following"))).alias("near_next"),
     )

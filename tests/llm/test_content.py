@@ -39,7 +39,10 @@ def brute_marks(text, k=4, w=8, unit=4):
 
 def test_winnowing_matches_brute_force(spark):
     texts = corpus(11, 40) + ["y" * 300, "ab ab ab ab ab ab ab ab ab ab ab ab ab"]
-    rows = winnowing.edited_fingerprints(frame(spark, texts)).collect()
+    df = frame(spark, texts).withColumns({c: F.lit(1) for c in ("d", "th", "x", "head", "own", "marks", "copies", "rank")})
+    rows = winnowing.edited_fingerprints(df).collect()
+    marked = {r["doc_id"]: [(m["pos"], m["hash"]) for m in r["m"]] for r in frame(spark, texts).select("doc_id", winnowing.marks(F.col("text")).alias("m")).collect()}
+    shown = lambda x: "".join("%08x" % (v >> 32 & 0xFFFFFFFF) for _, v in x)
     got = {r["doc_id"]: r for r in rows}
     assert len(rows) == len(texts)
     sim = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
@@ -51,8 +54,9 @@ def test_winnowing_matches_brute_force(spark):
         r = got[i]
         assert r["edited"] == edited and r["n_chars"] == len(t)
         want, ed, nx = brute_marks(t), brute_marks(edited), brute_marks(nxt)
-        assert [(m["pos"], m["hash"]) for m in r["marks"]] == want, t[:60]
-        hs = lambda x: {v for _, v in x}
+        assert r["fingerprint"] == shown(want) and r["edited_fingerprint"] == shown(ed), t[:60]
+        assert marked[i] == want
+        hs = lambda x: {v >> 32 for _, v in x}
         assert r["near_edited"] == pytest.approx(sim(hs(want), hs(ed))) and r["near_next"] == pytest.approx(sim(hs(want), hs(nx)))
         marks[t] = want
 
@@ -73,7 +77,7 @@ def test_winnowing_edges(spark):
     assert winnowing.edited_fingerprints(frame(spark, ["a"]).limit(0)).count() == 0
     one = winnowing.edited_fingerprints(frame(spark, ["only one text"])).collect()[0]
     assert one["near_next"] == 1.0 and one["edited"] == "only on" + "only o"
-    d = frame(spark, ["a b", "a b", "a c"]).select(winnowing.digest(winnowing.marks(F.col("text"))).alias("d"))
+    d = frame(spark, ["a b", "a b", "a c"]).select(winnowing.printed(winnowing.hashes(winnowing.marks(F.col("text")))).alias("d"))
     assert len({r["d"] for r in d.collect()}) == 2
 
 
@@ -81,17 +85,22 @@ def test_winnowing_rolls_over_unspaced_runs(spark):
     import re
 
     r = random.Random(3)
-    signs = [chr(c) for c in range(0x4E00, 0x4F00)] + ["\U0001f600"]
-    text = lambda n: "".join(r.choices(signs, k=n))
-    shared = text(11)  # w + k - 1 units
-    runs = [text(20 + i) + shared + text(30) for i in range(4)] + ["short words and " + text(17) + " a-word-of-16-let", "x" * 17 + " " + "y" * 16]
-    found = [[(m["pos"], m["hash"]) for m in x["m"]] for x in frame(spark, runs).orderBy("doc_id").select(winnowing.marks(F.col("text"), roll=16).alias("m")).collect()]
-    assert all({h for _, h in a} & {h for _, h in b} for a in found[:4] for b in found[:4])
-    for t, got in zip(runs, found):
-        parts = [p for w in t.split(" ") for p in (w if len(w) > 16 else re.findall(".{1,4}", w))]
-        assert got == brute_marks(" ".join(parts))
-    spark.createDataFrame([(i, t, "zh", "a", len(t)) for i, t in enumerate(runs[:2])], "doc_id long, text string, lang string, source string, n_chars long").createOrReplaceTempView("unspaced")
-    near = winnowing.edited_fingerprints(spark.table("unspaced"), roll=16).collect()
+    han = [chr(c) for c in [*range(0x4E00, 0x4F00), 0x20001]]
+    code = [chr(c) for c in range(0x21, 0x7F)] + ["\U0001f600"]
+    for signs in (han, code):
+        text = lambda n: "".join(r.choices(signs, k=n))  # noqa: E731, B023
+        shared = text(11)  # w + k - 1 units
+        runs = [text(20 + i) + shared + text(30) for i in range(4)] + ["short words and " + text(25) + " a-word-of-24-characters" + " x" * 9, "x" * 25 + " " + "y" * 24]
+        if signs is han:  # short runs of such scripts too
+            runs[3] = text(2) + shared + " " + text(1)
+        found = [[(m["pos"], m["hash"]) for m in x["m"]] for x in frame(spark, runs).orderBy("doc_id").select(winnowing.marks(F.col("text"), roll=24).alias("m")).collect()]
+        assert all({h for _, h in a} & {h for _, h in b} for a in found[:4] for b in found[:4])
+        for t, got in zip(runs, found):
+            parts = [p for w in re.findall("[%s]|[^ %s]+" % ("".join(han), "".join(han)), t) for p in (w if len(w) > 24 else re.findall(".{1,4}", w))]
+            assert got == brute_marks(" ".join(parts)), t
+    plain = frame(spark, ["Plain words, none of them long, and élan."]).select(winnowing.marks(F.col("text"), roll=24).alias("a"), winnowing.marks(F.col("text")).alias("b")).first()
+    assert plain["a"] == plain["b"]
+    near = winnowing.edited_fingerprints(frame(spark, runs[:2]), roll=24).collect()
     assert all(x["near_next"] > 0 for x in near)
 
 
