@@ -45,6 +45,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

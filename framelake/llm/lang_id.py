@@ -6,8 +6,8 @@ dictionary and not on itself, and gets the language whose total is smallest; a m
 narrow for its length marks it as rejected.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no
-training rows every text is; equal totals go to the language
-commonest in training.
+training rows every text is; equal totals go to the language commonest in training; repeated
+rows are judged alike; a text of any length is compressed whole; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -16,29 +16,35 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _LETTER = regex.compile(r"\p{L}")
 _OUT = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
 
 
-def train(labelled: DataFrame, docs_per_lang: int = 800, chars_per_doc: int = 300, dictionary_bytes: int = 1 << 18, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionary content by language, the commonest first.  The sample is bounded: about ``docs_per_lang`` texts
-    a language, picked by a hash of the text, of which ``chars_per_doc`` characters each
-    are used; every language's row count sets its sampling rate."""
+def train(labelled: DataFrame, docs_per_lang: int = 200, dictionary_bytes: int = 1 << 18, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+    """Dictionary content by language, the commonest first: whole texts, joined, of a bounded
+    sample.  The sample: of each language's distinct texts of at most an eighth of
+    ``dictionary_bytes``, the ``docs_per_lang`` first by hash; those that still fit into the
+    dictionary are taken, in that order.  What reaches the driver is so bounded by the
+    parameters and the number of languages."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}  # one row a language
-    if not counts:
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row a language
+    fitting = rows.where(F.octet_length(text) <= dictionary_bytes // 8).select(F.col(lang).alias("k"), F.xxhash64(text, F.lit(11)).alias("u"), F.col(text).alias("t"))
+    # A language's first hashes; a partial top of each task is what the window shuffles.
+    first = fitting.select("k", "u").distinct().withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("u"))).where(F.col("n") <= docs_per_lang)
+    least = {r[0]: r[1] for r in first.groupBy("k").agg(F.max("u")).collect()}
+    if not least:
         return {}
-    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))])[F.col(lang)]
-    draw = F.pmod(F.xxhash64(text, F.lit(11)), F.lit(1_000_003)) / 1_000_003
-    picked = rows.where(draw < rate).select(lang, F.substring(text, 1, chars_per_doc).alias("t"), F.xxhash64(text).alias("u"))
-    out: dict[str, list] = {k: [] for k in counts}
-    for r in picked.collect():
-        out[r[lang]].append((r["u"], r["t"]))
-    by_count = sorted(out, key=lambda k: (-counts[k], k))
-    return {k: "\n".join(t for _, t in sorted(out[k])[: 2 * docs_per_lang]).lower().encode()[-dictionary_bytes:] for k in by_count if out[k]}
+    upto = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
+    picked = fitting.where(F.col("u") <= upto[F.col("k")]).groupBy("k", "u").agg(F.min("t").alias("t"))
+    out: dict[str, list[bytes]] = {k: [] for k in counts}
+    for r in picked.orderBy("k", "u").collect():
+        t = r["t"].lower().encode()
+        if sum(map(len, out[r["k"]])) + len(t) < dictionary_bytes:
+            out[r["k"]].append(t)
+    return {k: b"\n".join(out[k]) for k in sorted(out, key=lambda k: (-counts[k], k)) if out[k]}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 6, piece: int = 1_024, least_margin: float = 0.005, text: str = "text") -> DataFrame:

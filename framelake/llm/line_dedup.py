@@ -10,7 +10,8 @@ bitmap per document, never text.
 
 Defined cases: a null or empty text is one empty line, whose empty key is never
 dropped.  A document is a (doc_id, text hash) pair, so repeated rows count once and
-lose the same lines; a null doc_id is an id like any other.
+lose the same lines; a null doc_id is an id like any other; columns of any name pass through,
+but for one that has the bitmap's own name, which it replaces.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, materialize, parallelism
+from .common import SPACE_CHARS, columns, fresh, materialize, parallelism
 
 _SPACES = SPACE_CHARS.encode()
 _LINES = "h1 long, h2 long, d long, t long, p int"
@@ -187,11 +188,14 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: s
     return gone.groupBy("d", "t").agg(F.collect_list("p").alias("p")).mapInArrow(pack, "d long, t long, keep_bitmap binary")
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str = "first", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``keep_bitmap`` (null: all lines stay)."""
+def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str = "first", text: str = "text", bitmap: str = "keep_bitmap") -> DataFrame:
+    """Every row of ``docs`` with the column ``bitmap`` (null: all lines stay)."""
     maps = keep_bitmaps(docs, min_docs, min_chars, keep, text)
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID))).withColumn("_t", F.xxhash64(text))
-    return keyed.join(maps, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left").drop("_d", "_t", "d", "t")
+    own_d, own_t, map_d, map_t = (fresh(docs, x) for x in ("own_d", "own_t", "map_d", "map_t"))
+    maps = maps.select(F.col("d").alias(map_d), F.col("t").alias(map_t), F.col("keep_bitmap").alias(bitmap))
+    docs = docs.drop(bitmap)
+    keyed = docs.withColumns({own_d: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)), own_t: F.xxhash64(text)})
+    return keyed.join(maps, (F.col(own_d) == F.col(map_d)) & (F.col(own_t) == F.col(map_t)), "left").select(*columns(docs), bitmap)
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
@@ -206,16 +210,16 @@ def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
     return len(lines) + len(drop), len(drop), "\n".join(lines)
 
 
-def drop_lines(deduped: DataFrame, text: str = "text") -> DataFrame:
-    """Applies ``keep_bitmap``: the same columns, without it, and the text that stays.
+def drop_lines(deduped: DataFrame, text: str = "text", bitmap: str = "keep_bitmap") -> DataFrame:
+    """Applies ``bitmap``: the same columns, without it, and the text that stays.
     A null text stays null; rows that keep all lines never leave the JVM's columns."""
-    schema = deduped.drop("keep_bitmap").schema
+    schema = deduped.drop(bitmap).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i, maps = b.schema.get_field_index(text), b.column("keep_bitmap")
+            i, maps = b.schema.get_field_index(text), b.column(bitmap)
             texts = [x.as_py() if not m.is_valid else kept_text(x.as_py(), m.as_py())[2] for x, m in zip(b.column(i), maps)]
-            cols = [pa.array(texts, pa.string()) if f.name == text else b.column(f.name) for f in b.schema if f.name != "keep_bitmap"]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in b.schema if f.name != "keep_bitmap"])
+            cols = [pa.array(texts, pa.string()) if f.name == text else b.column(f.name) for f in b.schema if f.name != bitmap]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in b.schema if f.name != bitmap])
 
     return deduped.mapInArrow(run, schema)

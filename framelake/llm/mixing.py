@@ -12,7 +12,9 @@ costs no more than any other.  Sources themselves are a small dimension table.
 
 Defined cases: null sources form one source, last; a null text has size 0 and is never
 taken; repeated rows are separate documents that tie in hash order and are then ordered
-by size and text hash; an empty table gives an empty mix; a source without words has target 0.
+by size and text hash; an empty table gives an empty mix; a source without words has target 0;
+in the mix itself columns of any name pass through, and rows that repeat an id, text and source
+share their words, which the one of the least hash of all columns carries.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import columns, fresh, materialize, words
 
 _BINS = 1024
 _SMALL_SOURCES = 100_000
@@ -120,12 +122,14 @@ def first_words(text: Column, n: Column) -> Column:
 def apply_mix(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: each row once for every whole repetition and, where a repetition is
     a part, with its first words; the columns of ``docs``."""
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("_d")
-    take = mixed.where("taken > 0").groupBy(key, F.col("th").alias("_th")).agg(F.min("size").alias("_size"), F.sum("taken").alias("_all"))
-    joined = docs.withColumn("_d", key).withColumn("_th", F.xxhash64(text)).join(take, ["_d", "_th"])
-    # Repeated rows share their words: the first of them carries what all of them take.
-    joined = joined.withColumn("_k", F.row_number().over(Window.partitionBy("_d", "_th").orderBy("_all"))).where("_k = 1")
-    copies = F.sequence(F.lit(1), F.ceil(F.col("_all") / F.col("_size")).cast("int"))
-    out = joined.withColumn("_c", F.explode(copies)).withColumn("_n", F.col("_all") - (F.col("_c") - 1) * F.col("_size"))
-    cut = F.when(F.col("_n") >= F.col("_size"), F.col(text)).otherwise(first_words(F.col(text), F.col("_n")))
-    return out.withColumn(text, cut).select(*docs.columns)
+    d, th, took, size, every, rank, copy, left = (fresh(docs, x) for x in ("d", "th", "source", "size", "all", "rank", "copy", "left"))
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID))
+    take = mixed.where("taken > 0").groupBy(key.alias(f"{d}2"), F.col("th").alias(f"{th}2"), F.col("source").alias(took)).agg(F.min("size").alias(size), F.sum("taken").alias(every))
+    same = (F.col(d) == F.col(f"{d}2")) & (F.col(th) == F.col(f"{th}2")) & F.col("source").eqNullSafe(F.col(took))
+    joined = docs.withColumns({d: key, th: F.xxhash64(text)}).join(take, same)
+    order = Window.partitionBy(d, th, took).orderBy(F.xxhash64(*columns(docs)))
+    joined = joined.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    copies = F.sequence(F.lit(1), F.ceil(F.col(every) / F.col(size)).cast("int"))
+    out = joined.withColumn(copy, F.explode(copies)).withColumn(left, F.col(every) - (F.col(copy) - 1) * F.col(size))
+    cut = F.when(F.col(left) >= F.col(size), F.col(text)).otherwise(first_words(F.col(text), F.col(left)))
+    return out.withColumn(text, cut).select(*columns(docs))

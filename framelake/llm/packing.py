@@ -5,7 +5,8 @@ window may end (document ends, sentence ends, and, where neither serves, any pla
 the least cost of packing everything before a place follows from the places at most
 ``length`` ids earlier: padding is linear in the window's start, so a monotone queue
 gives the best start in constant time, and the few starts a power of two away, which
-need no padding, are looked up besides.  Work is done in blocks of ``block`` windows; a
+need no padding, are looked up besides.  Each window costs ``_WINDOW`` ids, so that a short one
+is taken only where it saves that much padding.  Work is done in blocks of ``block`` windows; a
 block's last windows are packed again with what follows, so memory is bounded.
 
 Defined cases: a null text is empty and holds the end id alone; an empty table gives no
@@ -33,7 +34,8 @@ _NULL_ID = -(1 << 63)
 
 
 def best_cuts(ends: np.ndarray, penalties: np.ndarray, total: int, length: int, final: bool) -> list[int]:
-    """Ends of the windows that pack ``total`` ids at the least padding plus penalties.
+    """Ends of the windows that pack ``total`` ids at the least padding plus penalties and
+    windows' costs.
 
     ends: places where a window may end at a penalty, ascending; any other place within
     a gap wider than ``length`` is made up for by cuts at full windows.  Unless
@@ -69,7 +71,7 @@ def best_cuts(ends: np.ndarray, penalties: np.ndarray, total: int, length: int,
             k = at.get(e - w)
             if k is not None and best[k] <= value:
                 value, j = best[k], k
-        value += cost[i]
+        value += cost[i] + _WINDOW
         best[i], back[i] = value, j
         at[e] = i
         key = value + e
@@ -84,7 +86,7 @@ def best_cuts(ends: np.ndarray, penalties: np.ndarray, total: int, length: int,
     return cuts if final else cuts[: max(0, len(cuts) - 4)]
 
 
-_SENTENCE, _HARD = 2.0, 24.0
+_SENTENCE, _HARD, _WINDOW = 2.0, 24.0, 64.0
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, block: int = 128, text: str = "text") -> DataFrame:

@@ -4,7 +4,8 @@ Everything is DataFrame expressions: per-document work stays in the row (sorted
 hash arrays instead of an exploded shuffle), and only bucket counts are shuffled.
 
 Defined cases: a null or blank text has no words, all counts 0, ``llr`` null and
-fails the base rules.  Repeated rows are judged alike; extra columns pass through.
+fails the base rules.  Repeated rows are judged alike; extra columns pass through, but for
+those that have the name of a result, which it replaces.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import SPACES, fresh, words
 
 _POS_BITS = 30
 _POS_MASK = (1 << _POS_BITS) - 1
@@ -91,8 +92,9 @@ def _counts(w: Column, text: Column) -> list[Column]:
 
 def _spread(docs: DataFrame, found: Column, names: list[str]) -> DataFrame:
     """The columns of ``docs``, but for those of the same names, and ``found``'s fields."""
-    kept = [c for c in docs.columns if c not in (*names, "_weights")]
-    return docs.select(*kept, found.alias("_q")).select(*kept, *[F.col(f"_q.{n}") for n in names])
+    q = fresh(docs, "found")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*kept, found.alias(q)).select(*kept, *[F.col(f"{q}.{n}") for n in names])
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -161,8 +163,10 @@ def quality_rules(
     """
     weights = llr_weights(docs, trusted_ids(labels, max_trusted), n_buckets, alpha, text=text).scalar()
 
+    held = fresh(docs, "weights")
+
     def ratio(w: Column) -> Column:
-        total = _let(F.col("_weights"), lambda v: F.aggregate(_buckets(w, n_buckets), F.lit(0.0), lambda a, b: a + F.get(v, b)))
+        total = _let(F.col(held), lambda v: F.aggregate(_buckets(w, n_buckets), F.lit(0.0), lambda a, b: a + F.get(v, b)))
         return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).alias("llr")
 
     def verdict(c: Column) -> Column:
@@ -170,7 +174,7 @@ def quality_rules(
         return F.struct(*[c[n].alias(n) for n in [*_COUNTS, "llr"]], failed.alias("base_failed"), (~failed & F.coalesce(c["llr"] >= threshold, F.lit(False))).alias("kept"))
 
     found = _let(_let(words(F.col(text)), lambda w: F.struct(*_counts(w, F.col(text)), ratio(w))), verdict)
-    return _spread(docs.withColumn("_weights", weights), found, [*_COUNTS, "llr", "base_failed", "kept"])
+    return _spread(docs.withColumn(held, weights), found, [*_COUNTS, "llr", "base_failed", "kept"]).drop(held)
 
 
 __all__ = ["SPACES", "base_counts", "llr_weights", "quality_rules", "trusted_ids"]

@@ -160,6 +160,20 @@ def test_language_by_compression(spark):
     assert {x["lang_pred"] for x in none} == {"und"}
 
 
+def test_languages_of_the_table_are_told(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    out = lang_id.classify(docs.where(held), lang_id.train(docs.where(~held)))
+    right = out.join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'")
+    n, ok = right.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert n > 200 and ok >= 0.97 * n, (n, ok)
+    rows = [(1, "der die und " * 400_000, "de"), (2, "the of and " * 20, "en"), (2, "the of and " * 20, "en"), (3, "der die und " * 20, "de")]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("x", "k", "u", "t", "n", "score", "lang_pred")})
+    d = lang_id.train(few)
+    assert len(d["de"]) < 1_000 and d["en"].count(b"the") == 20  # whole texts, each once
+    assert [(r["doc_id"], r["lang_pred"]) for r in lang_id.classify(few, d).orderBy("doc_id").collect()] == [(1, "de"), (2, "en"), (2, "en"), (3, "de")]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="cookie-notice">we use cookies</div><!-- <p>gone</p> -->
 <article><header><h1>Title &amp;  <em>more</em></h1></header><p>One<b>bold</b> &lt;x&gt;<br>two <p>three&nbsp;four<div class="ad">buy</div><ul><li>i1<li>i2</ul>

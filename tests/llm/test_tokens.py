@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from framelake.llm import encode, mixing, packing, token_file
 from framelake.llm.common import scratch_path
@@ -37,9 +38,20 @@ def test_encoder_on_odd_texts(texts):
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=1500))
 def test_elias_fano_round_trip(sizes):
     ends = np.cumsum(sizes)
-    b = token_file.Boundaries(len(ends), *token_file.elias_fano(ends))
-    assert b.ends().tolist() == ends.tolist()
-    assert [b.end(k) for k in range(0, len(ends), 7)] == ends[::7].tolist()
+    code = token_file.elias_fano(ends)
+    b = token_file.Items(len(ends), code)
+    assert b.select(np.arange(len(ends))).tolist() == ends.tolist()
+    assert [b.item(k) for k in range(0, len(ends), 7)] == ends[::7].tolist()
+    for v in (0, int(ends[0]), int(ends[-1]), int(ends[-1]) + 1, int(ends[len(ends) // 2])):
+        assert b.find(v) == (int(np.searchsorted(ends, v)), int(np.searchsorted(ends, v, side="right")))
+    assert len(code["low"]) + len(code["high"]) <= len(ends) * (3 + max(1, int(ends[-1]) // len(ends)).bit_length()) / 8 + 2
+
+
+def test_elias_fano_of_wide_ids():
+    ids = np.array([-(1 << 63), -(1 << 63), -5, 0, 7, 7, (1 << 63) - 1], dtype=np.int64)
+    first = ids.view(np.uint64) - ids.view(np.uint64)[0]
+    items = token_file.Items(len(ids), token_file.elias_fano(first))
+    assert [int(ids[0]) + (x & (1 << 64) - 1) for x in items.select(np.arange(7)).tolist()] == ids.tolist()
 
 
 @pytest.mark.parametrize("segment_ids", [40, 10**6])
@@ -56,6 +68,9 @@ def test_token_file_round_trip(spark, segment_ids):
         assert (r["doc_id"], r["start"], r["n_tokens"]) == (i, start, len(want))
         assert np.frombuffer(r["ids"], "<u4").tolist() == want
         start += len(want)
+    some = sorted(ids)[3::11] + [-1]
+    few = sorted(token_file.read_token_file(spark, path, doc_ids=some).collect(), key=lambda r: r["start"])
+    assert few == [r for r in got if r["doc_id"] in some] and len(few) == len(some) - 1
 
 
 def test_token_file_edges(spark):
@@ -122,6 +137,21 @@ def test_water_fill_matches_its_rounds(spark, sizes):
         assert got == pytest.approx(fill(names, {k: [3, 1, 2][i % 3] for i, k in enumerate(names)}, share, cap)), (share, cap)
 
 
+def test_a_mix_keeps_each_source_its_words(spark):
+    rows = [(1, "w " * 10, "en", "A", 0), (1, "w " * 10, "en", "B", 0), (1, "w " * 10, "en", None, 0), (2, "v " * 6, "en", "A", 0), (2, "v " * 6, "en", "A", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("_d", "th", "_th", "_size", "size", "taken", "source2", "__d", "__copy", "a.b"):
+        docs = docs.withColumn(c, F.lit("x"))
+    mixed = mixing.mix(docs, [3, 1, 2])
+    taken, made = defaultdict(int), defaultdict(int)
+    for x in mixed.collect():
+        taken[x["source"]] += x["taken"]
+    out = mixing.apply_mix(docs, mixed)
+    for x in out.collect():
+        made[x["source"]] += len(x["text"].split())
+    assert out.columns == docs.columns and made == {s: n for s, n in taken.items() if n} and len(made) > 1
+
+
 def test_mix_edges(spark):
     assert mixing.mix(frame(spark, ["a"]).limit(0), [3, 1, 2]).count() == 0
     assert [r["taken"] for r in mixing.mix(frame(spark, [None, ""]), [3, 1, 2]).collect()] == [0, 0]
@@ -139,6 +169,7 @@ def test_best_cuts_match_exhaustive_search(gaps):
     pen = np.full(len(ends), 2.0)
     pen[::3] = 0.0
     cuts = packing.best_cuts(ends, pen, total, length, True)
+    fixed = packing._WINDOW
     places, cost = [0], {0: 0.0}
     for e, p in zip(ends.tolist(), pen.tolist()):
         while e - places[-1] > length:
@@ -148,8 +179,8 @@ def test_best_cuts_match_exhaustive_search(gaps):
         cost[e] = p
     best = {0: 0.0}
     for e in places[1:]:
-        best[e] = min(best[s] + (0 if e - s in (64, 128, 256) else length - e + s) for s in places if s < e and e - s <= length) + cost[e]
-    got = sum((0 if b - a in (64, 128, 256) else length - b + a) + cost[b] for a, b in zip([0, *cuts], cuts))
+        best[e] = min(best[s] + (0 if e - s in (64, 128, 256) else length - e + s) for s in places if s < e and e - s <= length) + cost[e] + fixed
+    got = sum((0 if b - a in (64, 128, 256) else length - b + a) + cost[b] + fixed for a, b in zip([0, *cuts], cuts))
     assert cuts[-1] == total and got == pytest.approx(best[total])
 
 
@@ -182,6 +213,15 @@ def test_pack_holds_every_id_once(spark, block):
     assert waste < 0.05 * total + 4 * 2048
 
 
+def test_few_more_sequences_than_the_least(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs.coalesce(1), encode.tokenizer_path("byte_bpe_50k.json")).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    total = sum(r["n"] for r in rows)
+    least = -(-total // 2048)
+    assert least <= len(rows) <= 1.07 * least + 4  # 510 for 481; 581 if windows cost nothing
+    assert sum(padding(r["n"], 2048) for r in rows) < 0.01 * total + 4 * 2048
+
+
 def test_pack_edges(spark):
     name = encode.tokenizer_path("byte_bpe_50k.json")
     rows = packing.pack(frame(spark, ["a b", "a b", None], [2, 2, None]), name).collect()
