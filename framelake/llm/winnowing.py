@@ -39,7 +39,10 @@ def marks(text: Column, k: int = 4, w: int = 8, unit: int = 4, roll: int | None
         part = f"[^{_SPACE}{_UNSPACED}]"
         words = runs(known, "[%s]|(?<!%s)%s{1,%d}(?!%s)|%s" % (_UNSPACED, part, part, roll, part, part))
         cut = F.flatten(F.transform(words, lambda x: F.when(F.length(x) <= unit, F.array(x)).otherwise(runs(x, "(?s).{1,%d}" % unit))))
-        units = F.when(known.rlike("%s{%d}|[%s]" % (part, roll + 1, _UNSPACED)), cut).otherwise(units)
+        plain = f"[^{_SPACE}]"
+        long = known.rlike("(?<!%s)%s{%d}" % (plain, plain, roll + 1))
+        unspaced = (F.octet_length(known) > F.length(known)) & known.rlike(f"[{_UNSPACED}]")
+        units = F.when(unspaced | long, cut).otherwise(units)
 
     def grams(u: Column) -> Column:
         run = F.transform(F.slice(u, 1, F.greatest(F.size(u) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(u, i + j) for j in range(1, k)]))
@@ -65,7 +68,7 @@ def hashes(marked: Column) -> Column:
 
 def printed(found: Column) -> Column:
     """A fingerprint as text: eight hexadecimal digits a mark, in position order."""
-    return F.array_join(F.transform(found, lambda h: F.lpad(F.lower(F.hex(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    return F.lower(F.array_join(F.transform(found, lambda h: F.lpad(F.hex(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
