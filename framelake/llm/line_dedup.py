@@ -213,13 +213,14 @@ def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
 def drop_lines(deduped: DataFrame, text: str = "text", bitmap: str = "keep_bitmap") -> DataFrame:
     """Applies ``bitmap``: the same columns, without it, and the text that stays.
     A null text stays null; rows that keep all lines never leave the JVM's columns."""
-    schema = deduped.drop(bitmap).schema
+    names = [c for c in deduped.columns if c != bitmap]
+    numbered = deduped.select(*columns(deduped.drop(bitmap)), bitmap).toDF(*[f"c{i}" for i in range(len(names))], "bitmap")  # mapInArrow takes no dots in names
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i, maps = b.schema.get_field_index(text), b.column(bitmap)
-            texts = [x.as_py() if not m.is_valid else kept_text(x.as_py(), m.as_py())[2] for x, m in zip(b.column(i), maps)]
-            cols = [pa.array(texts, pa.string()) if f.name == text else b.column(f.name) for f in b.schema if f.name != bitmap]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in b.schema if f.name != bitmap])
+            texts = [x.as_py() if not m.is_valid else kept_text(x.as_py(), m.as_py())[2] for x, m in zip(b.column(at), b.column("bitmap"))]
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return deduped.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, numbered.drop("bitmap").schema).toDF(*names)

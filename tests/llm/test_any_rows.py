@@ -1,0 +1,88 @@
+"""Every operator and stage on odd tables: clashing columns, nulls, ties, repeated rows, a long
+text, and no rows at all."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from framelake.llm import html_extract, lang_id, line_dedup, mixing, packing, quality, secret_scan, simhash, token_file, winnowing
+from framelake.llm.common import fresh, scratch_path
+from framelake.llm.encode import tokenizer_path
+
+EXTRA = ["d", "t", "th", "_d", "_t", "__d", "x", "key", "keep_bitmap", "kept", "llr", "n_words", "source2", "size", "taken", "_weights", "__row", "sid", "found", "base", "row.s", "copy", "fp", "k", "u"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    r = random.Random(21)
+    vocab = ["w%d" % i for i in range(400)] + ["é", "中文", "token=abcdefgh12"]
+    text = lambda n: "\n".join(" ".join(r.choices(vocab, k=12)) for _ in range(n))
+    one = text(9)
+    rows = [(i, text(r.randint(1, 9)), r.choice(["en", "de", None]), r.choice(["a", "b", None])) for i in range(40)]
+    rows += [(5, one, "en", "a"), (5, one, "en", "a"), (5, one, "en", "b"), (None, one, "en", "a"), (None, None, None, None), (60, "", "en", "a"), (61, " \n\t", None, "b")]
+    rows += [(70, "long " * 3 + text(20_000), "en", "a")]  # a megabyte and a half
+    df = spark.createDataFrame([(*x, None if x[1] is None else len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in EXTRA:
+        df = df.withColumn(c, F.lit(7))
+    path = scratch_path(spark, "odd")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def token_rows(spark, df):
+    path = scratch_path(spark, "tokens")
+    token_file.write_token_file(df, path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_file.read_token_file(spark, path)
+
+
+def labels(spark):
+    return spark.createDataFrame([*((i, 1, 0) for i in (*range(40), 70)), (3, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "op1": lambda s, d: quality.quality_rules(d, labels(s)),
+    "op2": token_rows,
+    "op3": lambda s, d: line_dedup.line_dedup(d, min_docs=3, keep="none"),
+    "op4": lambda s, d: mixing.mix(d, [3, 1, 2]),
+    "op5": lambda s, d: winnowing.edited_fingerprints(d, roll=24),
+    "op6": lambda s, d: secret_scan.secret_spans(d),
+    "op7": lambda s, d: simhash.near_components(d),
+    "op8": lambda s, d: lang_id.classify(d, lang_id.train(d)),
+    "op9": lambda s, d: packing.pack(d, tokenizer_path("byte_bpe_50k.json")),
+    "op10": lambda s, d: html_extract.extract(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), *[F.col(f"`{c}`") for c in EXTRA])),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_operators(spark, docs, name):
+    out = OPERATORS[name](spark, docs)
+    key = "page_id" if name == "op10" else "doc_id"
+    ids = lambda df, c: sorted((str(r[0]) for r in df.select(c).collect()))
+    if name == "op9":
+        assert set(ids(out, key)) == set(ids(docs, "doc_id"))
+        assert out.where("start = 0").count() == docs.count()
+    else:
+        assert ids(out, key) == ids(docs, "doc_id")
+    if name in ("op1", "op3"):
+        assert {c for c in docs.columns if c not in ("kept", "llr", "n_words", "keep_bitmap")} < set(out.columns)
+    assert OPERATORS[name](spark, docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages(spark, docs, tmp_path_factory, name, stage):
+    sf = str(tmp_path_factory.mktemp("labels"))
+    labels(spark).write.parquet(f"{sf}/labels.parquet")
+    out = stage(spark, docs, sf)
+    if name != "packing":
+        assert out.columns == docs.columns
+        assert {r[0] for r in out.select(F.col("`row.s`"), "kept").collect()} == {7}
+    if name == "line_dedup":
+        assert out.count() == docs.count()
+    assert out.count() > 5 and stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_a_fresh_name_is_no_column(spark):
+    df = spark.range(1).withColumns({"__d": F.lit(1), "___D": F.lit(1)})
+    assert fresh(df, "d") == "____d"
