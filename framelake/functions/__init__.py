@@ -2,15 +2,15 @@
 
 All are null-safe and never raise on bad values: a value that cannot be read gives null.
 Date functions take dates, timestamps, epoch seconds or ISO strings.  ``REGISTRY`` maps
-the upper-case names to builders; ``register`` makes the names that Spark SQL lacks
-usable in ``spark.sql`` as inlined SQL functions, so Catalyst sees through them.
+the upper-case names to builders, ``SQL_NAMES`` to the same in Spark SQL, by which ``sql()``
+and string expressions are lowered, so Catalyst sees through them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
@@ -207,21 +207,64 @@ REGISTRY: dict[str, Callable[..., Column]] = {
     "ISNONE": is_none, "HASH": hash_, "MD5": md5, "RANDOM": random, "BETWEEN": between, "SORT": sort,
 }
 
-#: SQL bodies of the names that Spark SQL does not have.
-SQL_FUNCTIONS = {
-    "iso_ts(x STRING) RETURNS TIMESTAMP": "CASE WHEN split_part(regexp_replace(x, 'Z$', ''), '+', 1) RLIKE '^[0-9]{4}[-:][0-9]{2}[-:][0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$' THEN date_trunc('second', try_cast(concat(translate(substring(x, 1, 10), ':', '-'), substring(split_part(regexp_replace(x, 'Z$', ''), '+', 1), 11, 30)) AS TIMESTAMP)) END",
-    "week(x TIMESTAMP) RETURNS INT": "weekofyear(x)",
-    "time_of(x TIMESTAMP) RETURNS STRING": "date_format(x, 'HH:mm:ss')",
-    "adddays(x TIMESTAMP, n INT) RETURNS TIMESTAMP": "x + make_dt_interval(n)",
-    "daysdiff(a TIMESTAMP, b TIMESTAMP) RETURNS BIGINT": "CAST(floor((unix_micros(b) - unix_micros(a)) / 86400000000) AS BIGINT)",
-    "mid(x STRING, s INT, n INT) RETURNS STRING": "substring(x, s + 1, n)",
-    "integer(x STRING) RETURNS BIGINT": "try_cast(try_cast(x AS DOUBLE) AS BIGINT)",
-    "isnone(x STRING) RETURNS BOOLEAN": "x IS NULL",
-    "inside(x DOUBLE, lo DOUBLE, hi DOUBLE) RETURNS BOOLEAN": "x > lo AND x < hi",
-}
-
-
-def register(spark: SparkSession) -> None:
-    """Temporary SQL functions; Catalyst inlines them."""
-    for head, body in SQL_FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+_ISO_SQL = (
+    "CASE WHEN split_part(regexp_replace({0}, 'Z$', ''), '+', 1) RLIKE '^[0-9]{{4}}[-:][0-9]{{2}}[-:][0-9]{{2}}([T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]+)?)?)?$'"
+    " THEN date_trunc('second', try_cast(concat(translate(substring({0}, 1, 10), ':', '-'), substring(split_part(regexp_replace({0}, 'Z$', ''), '+', 1), 11, 30)) AS TIMESTAMP)) END"
+)
+
+
+def _ts_sql(x: str) -> str:
+    s = f"CAST({x} AS STRING)"
+    return f"(CASE WHEN typeof({x}) IN ('timestamp', 'timestamp_ntz', 'date') THEN try_cast({s} AS TIMESTAMP) WHEN typeof({x}) IN ('int', 'bigint', 'double', 'float') THEN timestamp_seconds(try_cast({s} AS DOUBLE)) ELSE {_ISO_SQL.format(s)} END)"
+
+
+def _of_time(template: str) -> Callable:
+    return lambda a, *_: template.format(_ts_sql(a[0]))
+
+
+def _of_text(template: str) -> Callable:
+    return lambda a, *_: template.format(f"CAST({a[0]} AS STRING)", *a[1:])
+
+
+def _plain(template: str) -> Callable:
+    return lambda a, *_: template.format(*a)
+
+
+def _is_list(raw: list, lists) -> bool:
+    name = "".join(raw[0]).strip().strip("`").lower()
+    return name in lists or name.startswith(("array(", "sort(", "split("))
+
+
+def _listed(of_list: str, of_text: str) -> Callable:
+    """Type-directed: lists are known by the names of array columns and by array functions."""
+    return lambda a, raw, lists: (of_list if _is_list(raw, lists) else of_text).format(a[0])
+
+
+def _concat_sql(a: list[str], raw: list, lists) -> str:
+    if len(a) == 1 and _is_list(raw, lists):
+        return f"array_join(CAST({a[0]} AS ARRAY<STRING>), ', ')"
+    return "concat(" + ", ".join(f"CAST({x} AS STRING)" for x in a) + ")"
+
+
+_LEFT_SQL = "substring({0}, 1, CASE WHEN {1} >= 0 THEN {1} ELSE greatest(length({0}) + {1}, 0) END)"
+_RIGHT_SQL = "(CASE WHEN {1} > 0 THEN substring({0}, greatest(length({0}) - {1} + 1, 1), {1}) ELSE substring({0}, 1 - {1}, length({0})) END)"
+_WHOLE_SQL = "try_cast(try_cast({0} AS DOUBLE) AS BIGINT)"
+
+#: The functions by name in SQL texts and expressions: (arguments, their tokens, names of array
+#: columns) to Spark SQL that means the same as the Columns of ``REGISTRY``.
+SQL_NAMES: dict[str, Callable[[list[str], list, frozenset], str]] = {
+    "YEAR": _of_time("year({0})"), "MONTH": _of_time("month({0})"), "DAY": _of_time("dayofmonth({0})"), "DATE": _of_time("to_date({0})"),
+    "TIME": _of_time("date_format({0}, 'HH:mm:ss')"), "QUARTER": _of_time("quarter({0})"), "HOUR": _of_time("hour({0})"),
+    "MINUTE": _of_time("minute({0})"), "SECOND": _of_time("second({0})"), "WEEK": _of_time("weekofyear({0})"),
+    "NOW": lambda *_: "current_timestamp()",
+    "ADDDAYS": lambda a, *_: f"({_ts_sql(a[0])} + make_dt_interval(CAST({a[1]} AS INT)))",
+    "DAYSDIFF": lambda a, *_: f"CAST(floor((unix_micros({_ts_sql(a[1])}) - unix_micros({_ts_sql(a[0])})) / 86400000000) AS BIGINT)",
+    "UPPER": _of_text("upper({0})"), "UCASE": _of_text("upper({0})"), "LOWER": _of_text("lower({0})"), "LCASE": _of_text("lower({0})"),
+    "TRIM": _of_text(r"regexp_replace({0}, r'^\s+|\s+$', '')"), "LEN": _listed("size({0})", "length(CAST({0} AS STRING))"),
+    "STRING": _listed("array_join(CAST({0} AS ARRAY<STRING>), ', ')", "CAST({0} AS STRING)"), "LEFT": _of_text(_LEFT_SQL), "RIGHT": _of_text(_RIGHT_SQL),
+    "MID": _of_text("substring({0}, ({1}) + 1, {2})"), "CONCAT": _concat_sql,
+    "ROUND": lambda a, *_: f"bround(CAST({a[0]} AS DOUBLE), {a[1] if len(a) > 1 else 0})", "TRUNC": _of_text(_WHOLE_SQL), "INTEGER": _of_text(_WHOLE_SQL),
+    "DOUBLE": _plain("try_cast({0} AS DOUBLE)"), "BOOLEAN": _of_text("coalesce(upper({0}) <> 'FALSE', true)"), "ISNONE": _plain("({0} IS NULL)"),
+    "HASH": _of_text("hex(xxhash64({0}))"), "MD5": _of_text("md5({0})"), "RANDOM": lambda *_: "(floor(rand() * 1000) / 1000)",
+    "BETWEEN": _plain("({0} > {1} AND {0} < {2})"), "SORT": _plain("array_sort({0})"),
+}

@@ -20,16 +20,28 @@ class CollectedSet:
         """(key, count)."""
         return Dataset(self.df.groupBy(self.key).agg(F.count("*").alias("count")))
 
-    def aggregate(self, column: str, f: str | Callable[[list], Any], returns: str = "double") -> Dataset:
+    def aggregate(self, column: str, f: str | Callable[[list], Any], returns: str = "double", merge: Callable[[list], Any] | None = None) -> Dataset:
         """One value a key: 'max', 'min', 'sum', 'len', 'avg' in Spark, or a function of the
-        list of values, run beside the data; such a key's values must fit a worker."""
+        list of values, run beside the data.  With ``merge`` the function is taken over parts
+        of a key's values in each task and ``merge`` over the parts' results, so a key of any
+        size is spread; without it a key's values must fit a worker."""
         native = {"max": F.max, "min": F.min, "sum": F.sum, "len": F.count, "count": F.count, "avg": F.avg}
         for fn, name in ((max, "max"), (min, "min"), (sum, "sum"), (len, "len")):
             f = name if f is fn else f
         if isinstance(f, str):
             return Dataset(self.df.groupBy(self.key).agg(native[f](column).alias(column)))
-        run = F.pandas_udf(lambda s: s.map(lambda v: f(list(v))), returns)
-        return Dataset(self.df.groupBy(self.key).agg(F.collect_list(column).alias("_v")).select(self.key, run("_v").alias(column)))
+        rows, last = self.df.select(self.key, column), merge or f
+        if merge is not None:
+            key = rows.schema[self.key].dataType.simpleString()
+
+            def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    for k, v in b.groupby(b.columns[0], dropna=False)[b.columns[1]]:
+                        yield pd.DataFrame({"k": pd.Series([None if pd.isna(k) else k], dtype=object), "v": [f(list(v))]})
+
+            rows = rows.mapInPandas(parts, f"k {key}, v {returns}").toDF(self.key, column)
+        run = F.pandas_udf(lambda s: s.map(lambda v: last(list(v))), returns)
+        return Dataset(rows.groupBy(self.key).agg(F.collect_list(column).alias("_v")).select(self.key, run("_v").alias(column)))
 
     def apply(self, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> Dataset:
         """A function of each key's records."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StructType
 
-from . import display, predicates
+from . import dialect, display, predicates
 
 
 class Storage(Enum):
@@ -38,8 +38,11 @@ class Dataset:
                 return cls(spark.createDataFrame([], StructType()), storage)
             full = [{k: float(v) if isinstance(v, int) and not isinstance(v, bool) and any(isinstance(q.get(k), float) for q in rows) else v for k in names for v in [r.get(k)]} for r in rows]
             void = [k for k in names if all(r[k] is None for r in full)]
-            df = spark.createDataFrame([tuple(r[k] for k in names) for r in full], [*names]) if not void else spark.createDataFrame([tuple(r[k] for k in names if k not in void) for r in full], [k for k in names if k not in void]).select("*", *[F.lit(None).cast("string").alias(k) for k in void])
-            return cls(df, storage)
+            known = [k for k in names if k not in void]
+            if not known:
+                return cls(spark.range(len(full)).select(*[F.lit(None).cast("string").alias(k) for k in void]), storage)
+            df = spark.createDataFrame([tuple(r[k] for k in known) for r in full], known)
+            return cls(df.select(*[F.lit(None).cast("string").alias(k) if k in void else F.col(f"`{k}`") for k in names]), storage)
         return cls(spark.createDataFrame(rows, schema), storage)
 
     def _new(self, df: DataFrame) -> Dataset:
@@ -47,10 +50,11 @@ class Dataset:
 
     # projection
     def select(self, *columns: str | Column) -> Dataset:
-        """Columns by name ('*' for all), SQL expression or Column; a missing name is null."""
+        """Columns by name ('*' for all), expression or Column; a missing name is null, and a
+        function without a name is labelled FUNCTION(a,b)."""
         if len(columns) == 1 and isinstance(columns[0], (list, tuple)):
             columns = tuple(columns[0])
-        out = []
+        out, lists = [], {f.name.lower() for f in self.df.schema if isinstance(f.dataType, ArrayType)}
         for c in columns:
             if isinstance(c, Column):
                 out.append(c)
@@ -61,7 +65,8 @@ class Dataset:
             elif c.replace("_", "").isalnum():
                 out.append(F.lit(None).cast("string").alias(c))
             else:
-                out.append(F.expr(c))
+                found = dialect.labelled(dialect.tokens(f"SELECT {c}"))[1:]
+                out += [F.expr(dialect.lowered(x, lists).strip()) for x in dialect._arguments(found)]
         return self._new(self.df.select(*out))
 
     project = select
@@ -95,6 +100,10 @@ class Dataset:
         return self._new(self.df.select(*[c for f in self.df.schema.fields for c in leaves(F.col(f"`{f.name}`"), f.name, f.dataType)]))
 
     # filters
+    def filter_rows(self, f: Callable[[dict], Any]) -> Dataset:
+        """Rows of which a Python function is true."""
+        return self._new(predicates.filter_rows(self.df, f))
+
     def filter(self, predicate) -> Dataset:
         return self._new(self.df.filter(predicates.to_predicate(self.df, predicate)))
 
@@ -129,9 +138,19 @@ class Dataset:
         return None if r is None else r.asDict(True)
 
     def get_items(self, *positions: int, order: list[str] | None = None) -> list[dict]:
-        """Rows by position in the order of ``order``, all columns by default."""
-        ranked = self.df.orderBy(*(order or self.df.columns)).limit(max(positions) + 1).collect()
-        return [ranked[p].asDict(True) for p in positions if p < len(ranked)]
+        """Rows by position in the order of ``order``, all columns by default.  A row count for
+        each partition tells where a position lies; only the rows asked for are collected."""
+        sorted_ = self.df.orderBy(*(order or self.df.columns)).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+        try:
+            sizes = sorted_.groupBy(F.shiftright("_id", 33).alias("part")).count().orderBy("part").collect()  # one row a partition
+            ids, before = {}, 0
+            for part, n in sizes:
+                ids |= {(part << 33) + p - before: p for p in positions if before <= p < before + n}
+                before += n
+            rows = {ids[r["_id"]]: r for r in sorted_.where(F.col("_id").isin(list(ids))).collect()} if ids else {}
+            return [{k: v for k, v in rows[p].asDict(True).items() if k != "_id"} for p in positions if p in rows]
+        finally:
+            sorted_.unpersist()
 
     # aggregation
     def group_by(self, *columns: str):

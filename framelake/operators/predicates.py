@@ -8,14 +8,17 @@ their own rule: a null field fails every test.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from . import dialect
+
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
@@ -66,14 +69,16 @@ def not_in(a, values: Sequence) -> Column:
 _DNF: dict[str, Callable[[DataFrame, str, Any], Column]] = {
     "=": lambda d, f, v: F.col(f) == v,
     "==": lambda d, f, v: F.col(f) == v,
-    "is": lambda d, f, v: F.col(f) == v,
+    "is": lambda d, f, v: F.col(f).eqNullSafe(v) if v is None else F.col(f) == v,
     "!=": lambda d, f, v: F.col(f) != v,
     "<>": lambda d, f, v: F.col(f) != v,
     "<": lambda d, f, v: F.col(f) < v,
     ">": lambda d, f, v: F.col(f) > v,
     "<=": lambda d, f, v: F.col(f) <= v,
     ">=": lambda d, f, v: F.col(f) >= v,
+    "is not": lambda d, f, v: ~F.col(f).eqNullSafe(v),
     "like": lambda d, f, v: like(f, v),
+    "not like": lambda d, f, v: ~like(f, v),
     "matches": lambda d, f, v: matches(f, v),
     "~": lambda d, f, v: matches(f, v),
     "in": lambda d, f, v: F.col(f).isin(list(v)),
@@ -90,6 +95,8 @@ def dnf(df: DataFrame, filters) -> Column:
     if filters is None:
         return F.lit(True)
     if isinstance(filters, tuple):
+        if len(filters) == 2 and str(filters[0]).upper() == "NOT":
+            return negate(dnf(df, filters[1]))
         field, op, value = filters
         if op.lower() not in _DNF:
             raise ValueError(f"unknown operator {op!r}")
@@ -102,24 +109,68 @@ def dnf(df: DataFrame, filters) -> Column:
     raise ValueError("filters are a tuple, a list of tuples or a list of lists of tuples")
 
 
-def to_predicate(df: DataFrame, f) -> Column:
-    """Column of a SQL string, a DNF, a Column or a callable that gives a Column.
+def to_dnf(text: str):
+    """A condition without parentheses as the tuples and lists that ``dnf`` takes."""
+    found = dialect.tokens(text)
+
+    def split(part: list[str], word: str) -> list[list[str]]:
+        out: list[list[str]] = [[]]
+        for t in part:
+            if t.upper() == word:
+                out.append([])
+            else:
+                out[-1].append(t)
+        return out
+
+    def value(t: str):
+        named = {"TRUE": True, "FALSE": False, "NONE": None, "NULL": None}
+        if t[:1] in "'\"":
+            return t[1:-1]
+        return named[t.upper()] if t.upper() in named else float(t) if "." in t else int(t)
+
+    def test(part: list[str]):
+        words = [t for t in part if t != " "]
+        if words[0].upper() == "NOT":
+            return ("NOT", test(words[1:]))
+        at = next(i for i, t in enumerate(words) if t.upper() in _DNF_WORDS or t in _DNF_MARKS)
+        name, rest = "".join(words[:at]).strip("`"), words[at:]
+        n = 2 if rest[0].upper() in ("NOT", "IS") and rest[1].upper() in ("LIKE", "IN", "CONTAINS", "NOT") else 1
+        op, right = " ".join(rest[:n]).lower(), rest[n:]
+        if right[0] == "(":
+            return (name, op, [value(t) for t in right[1:-1] if t != ","])
+        return (name, op, value("".join(right)))
+
+    parts = [[test(c) for c in split(p, "AND")] for p in split(found, "OR")]
+    return parts if len(parts) > 1 else parts[0] if len(parts[0]) > 1 else parts[0][0]
+
 
-    A callable over rows that does not give a Column runs as a Python function; that is
-    the slow way and the last resort.
-    """
+_DNF_WORDS = frozenset("IS IN LIKE MATCHES CONTAINS NOT".split())
+_DNF_MARKS = frozenset("= == != <> < > <= >= <=>".split())
+
+
+def filter_rows(df: DataFrame, f: Callable[[dict], Any]) -> DataFrame:
+    """Rows of which a Python function is true, in Arrow batches beside the data; Columns and
+    strings are faster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(f(r)) for r in b.to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def to_predicate(df: DataFrame, f) -> Column:
+    """Column of a string in the dialect, a DNF, a Column or a function of the DataFrame that
+    gives a Column; for functions of rows there is ``filter_rows``."""
     if isinstance(f, Column):
         return f
     if isinstance(f, str):
-        return F.expr(f)
+        return F.expr(dialect.lowered(f, {c.name.lower() for c in df.schema if isinstance(c.dataType, ArrayType)}))
     if f is None or isinstance(f, (tuple, list)):
         return dnf(df, f)
     if callable(f):
-        try:
-            p = f(df)
-            if isinstance(p, Column):
-                return p
-        except Exception:  # noqa: BLE001  (a function of rows fails on a DataFrame in its own ways)
-            pass
-        return F.udf(lambda r: bool(f(r.asDict(True))), "boolean")(F.struct(*df.columns))
-    raise TypeError("a filter is a string, a DNF, a Column or a callable")
+        p = f(df)
+        if isinstance(p, Column):
+            return p
+        raise TypeError("a filter's function gives a Column; for functions of rows there is filter_rows")
+    raise TypeError("a filter is a string, a DNF, a Column or a function")

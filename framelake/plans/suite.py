@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import predicates as P
 from ..operators.dataset import Dataset
+from ..session import scratch_path
+from ..sources import storage, writers
+from ..sources.reader import reader
 from ..sources.reader import sql as run_sql
+from ..streaming import sink
 from ..streaming.sink import routed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +140,21 @@ def dnf_null(spark, d):
     return nulled(spark, d).filter([("u", "!=", 5), ("u", "not in", [6, 7])]).select("event_id").df
 
 
+@query("expr_string_like", f"SELECT event_id, event_type FROM ({_NULLED}) WHERE event_type ILIKE 'C%' AND (u IS NULL OR u < 50)")
+def expr_string_like(spark, d):
+    return nulled(spark, d).filter("event_type LIKE 'C%' AND (u IS NONE OR u < 50)").select("event_id", "event_type").df
+
+
+@query("expr_string_matches", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#[1-3]') AND contains(p_type, 'STEEL') AND p_name NOT ILIKE '%a%'")
+def expr_string_matches(spark, d):
+    return read(spark, d, "part").filter("p_brand MATCHES '#[1-3]' and p_type contains 'STEEL' and p_name not like '%A%'").select("p_partkey").df
+
+
+@query("expr_string_null", f"SELECT event_id FROM ({_NULLED}) WHERE u IS DISTINCT FROM 5 AND NOT coalesce(u < 20, false) AND NOT coalesce(u IN (30, 31), false)")
+def expr_string_null(spark, d):
+    return nulled(spark, d).filter("u != 5 AND NOT u < 20 AND NOT u IN (30, 31)").select("event_id").df
+
+
 # scalar functions
 @query(
     "fn_date_parts",
@@ -213,8 +233,11 @@ def ds_groups(spark, d):
 
 @query("ds_stats", "SELECT round(var_samp(l_quantity), 6) AS v, round(stddev_samp(l_quantity), 6) AS sd, min(l_quantity) AS mn, max(l_quantity) AS mx, round(avg(l_quantity), 6) AS a, sum(l_quantity) AS s FROM lineitem")
 def ds_stats(spark, d):
-    q = "l_quantity"
-    return read(spark, d, "lineitem").df.agg(F.round(F.var_samp(q), 6).alias("v"), F.round(F.stddev_samp(q), 6).alias("sd"), F.min(q).alias("mn"), F.max(q).alias("mx"), F.round(F.avg(q), 6).alias("a"), F.sum(q).alias("s"))
+    li, q = read(spark, d, "lineitem"), "l_quantity"
+    least, most = li.min_max(q)
+    row = [(li.variance(q), li.standard_deviation(q), least, most, li.mean(q), li.sum(q))]
+    out = spark.createDataFrame(row, "v double, sd double, mn double, mx double, a double, s double")
+    return out.withColumns({c: F.round(c, 6) for c in ("v", "sd", "a")})
 
 
 @query("ds_distinct_on", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -262,3 +285,111 @@ def ds_rename(spark, d):
 def stream_fanout(spark, d):
     e = read(spark, d, "events").df.withColumn("copies", F.array(F.lit(1), F.lit(2), F.lit(2)))
     return routed(e, "out/{event_type}/{copies}").select("event_id", F.col("_path").alias("path"))
+
+
+# sources and sinks: written by a sink, read back by the reader
+DAY = "2024-02-03"
+
+
+@query("writer_roundtrip", "SELECT c_custkey, c_name, f AS format FROM customer, (VALUES ('parquet'), ('jsonl'), ('zstd'), ('lzma'), ('flat')) AS t(f)")
+def writer_roundtrip(spark, d):
+    out, customer = None, read(spark, d, "customer").df
+    for format in ("parquet", "jsonl", "zstd", "lzma", "flat"):
+        root = scratch_path(spark, "roundtrip")
+        writers.write_batch(customer, root, DAY, format=format)
+        back = reader(spark, root, start_date=DAY, select=["c_custkey", "c_name"]).df.withColumn("format", F.lit(format))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("catalog_frames", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def catalog_frames(spark, d):
+    """The newest frame that is complete and not ignored."""
+    root, orders = scratch_path(spark, "frames"), read(spark, d, "orders").df
+    frame = lambda name, status: writers.write_batch(orders.where(F.col("o_orderstatus") == status), root, DAY, frame_id=f"as_at_{name}", always_complete=True)
+    frame("1", "O")
+    frame("2", "F")
+    storage.touch(spark, f"{frame('3', 'P')}/frame.ignore")
+    storage.delete(spark, f"{frame('4', 'O')}/frame.complete")
+    return reader(spark, root, start_date=DAY, select=["o_orderkey", "o_totalprice"]).df
+
+
+@query("catalog_partition_filter", "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+def catalog_partition_filter(spark, d):
+    root = scratch_path(spark, "partitions")
+    writers.write_batch(read(spark, d, "customer").df, root, DAY, partition_by=["c_mktsegment", "c_nationkey"])
+    return reader(spark, root, start_date=DAY, partition_filter=("c_mktsegment", "==", "BUILDING"), filters="c_acctbal > 0", select=["c_custkey", "c_acctbal"]).df
+
+
+@query("catalog_freshness", "SELECT r_regionkey, r_name FROM region")
+def catalog_freshness(spark, d):
+    root = scratch_path(spark, "freshness")
+    writers.write_batch(read(spark, d, "region").df, root, DAY)
+    return reader(spark, root, start_date="2024-02-06", freshness_limit="3d").df
+
+
+@query("cursor_resume", "SELECT n_nationkey, n_name FROM nation")
+def cursor_resume(spark, d):
+    """A read that stops after seven rows and goes on from its cursor."""
+    root = scratch_path(spark, "cursor")
+    writers.write_batch(read(spark, d, "nation").df.repartition(3), root, DAY, format="jsonl")
+    start = lambda cursor: reader(spark, root, start_date=DAY, cursor=cursor)
+    first = start({})
+    rows = [r for _, r in zip(range(7), first)]
+    rows += list(start(first.cursor))
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
+
+
+@query("sql_dataset_path", "SELECT upper(left(l_shipmode, 3)) AS mode, count(*) AS n, max(l_quantity) AS most FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) WHERE l_linestatus <> 'F' AND l_returnflag ILIKE 'n' GROUP BY 1")
+def sql_dataset_path(spark, d):
+    """FROM names a dated dataset below a root."""
+    root = scratch_path(spark, "datasets")
+    writers.write_batch(read(spark, d, "lineitem").df.withColumn("l_shipmode", F.concat("l_returnflag", "l_linestatus")), f"{root}/sales/lines", DAY)
+    return run_sql(spark, "SELECT UPPER(LEFT(l_shipmode, 3)) AS mode, COUNT(*) AS n, MAX(l_quantity) AS most FROM sales.lines WHERE l_linestatus != 'F' AND l_returnflag LIKE 'n' GROUP BY UPPER(LEFT(l_shipmode, 3))", root=root, reader_options={"start_date": DAY}).df
+
+
+@query("sql_labels", 'SELECT left(c_mktsegment, 2) AS "LEFT(c_mktsegment,2)", substring(c_name, 2, 4) AS "MID(c_name,1,4)", c_custkey FROM customer')
+def sql_labels(spark, d):
+    return run_sql(spark, "SELECT LEFT(c_mktsegment, 2), mid(c_name, 1, 4), c_custkey FROM customer", customer=read(spark, d, "customer")).df
+
+
+@query(
+    "fn_sql_names",
+    "SELECT o_orderkey, week(o_orderdate)::INTEGER AS w, strftime(o_orderdate, '%H:%M:%S') AS t, o_orderdate + to_days(3) AS later, right(o_orderpriority, 3) AS r, left(o_orderpriority, -2) AS l, trunc(o_totalprice)::BIGINT AS n, o_totalprice > 1000 AND o_totalprice < 90000 AS b, md5(o_orderstatus) AS m FROM orders",
+)
+def fn_sql_names(spark, d):
+    q = "SELECT o_orderkey, WEEK(o_orderdate) AS w, TIME(o_orderdate) AS t, ADDDAYS(o_orderdate, 3) AS later, RIGHT(o_orderpriority, 3) AS r, LEFT(o_orderpriority, -2) AS l, INTEGER(o_totalprice) AS n, BETWEEN(o_totalprice, 1000, 90000) AS b, MD5(o_orderstatus) AS m FROM orders"
+    return run_sql(spark, q, orders=read(spark, d, "orders")).df
+
+
+@query("stream_batches", "SELECT event_id, event_type FROM events")
+def stream_batches(spark, d):
+    """Three micro-batches of a stream, routed by type, seen together by the reader."""
+    source, root = scratch_path(spark, "source"), scratch_path(spark, "sink")
+    events = read(spark, d, "events").df.select("event_id", "event_type")
+    events.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sink.start(stream, f"{root}/{{date}}/{{event_type}}", scratch_path(spark, "marks"), clock=lambda: datetime.datetime(2024, 2, 3)).awaitTermination()
+    return reader(spark, root, start_date=DAY, template="{date}", select=["event_id", "event_type"]).df
+
+
+@query("ds_items", "SELECT o_orderkey, o_custkey, (row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1)::BIGINT AS place FROM orders QUALIFY place IN (0, 7, 1000)")
+def ds_items(spark, d):
+    places = (0, 7, 1000)
+    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey").get_items(*places, order=["o_custkey", "o_orderkey"])
+    return spark.createDataFrame([(r["o_orderkey"], r["o_custkey"], p) for r, p in zip(rows, places)], "o_orderkey long, o_custkey long, place long")
+
+
+@query("ds_sample", "SELECT true AS near")
+def ds_sample(spark, d):
+    """A third of the rows, give or take a tenth."""
+    orders = read(spark, d, "orders")
+    n = orders.count()
+    return spark.createDataFrame([(abs(orders.sample(1 / 3, seed=1).count() - n / 3) < n / 10,)], "near boolean")
+
+
+@query("ds_collected_function", "SELECT event_type, max(value) - min(value) AS value FROM events GROUP BY event_type")
+def ds_collected_function(spark, d):
+    """A Python function over parts of each key's values, and one that merges the parts."""
+    spread = read(spark, d, "events").collect_set("event_type").aggregate("value", lambda v: [min(v), max(v)], returns="array<double>", merge=lambda parts: [min(p[0] for p in parts), max(p[1] for p in parts)])
+    return spread.df.select("event_type", (F.col("value")[1] - F.col("value")[0]).alias("value"))

@@ -7,20 +7,22 @@ each time; files that are done are never opened again.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from . import formats
 
 
 class CursorRead:
-    """Iterates over the rows of ``files``; ``cursor`` after any row resumes behind it."""
+    """Iterates over the rows of ``files``; ``cursor`` after any row resumes behind it.  Rows
+    before it are skipped in Spark and never reach the driver; ``chosen`` filters and selects,
+    and offsets count what it lets through."""
 
-    def __init__(self, spark: SparkSession, files: list[str], cursor: dict | str | None = None, schema: StructType | None = None):
+    def __init__(self, spark: SparkSession, files: list[str], cursor: dict | str | None = None, schema: StructType | None = None, format: str | None = None, chosen: Callable[[DataFrame], DataFrame] | None = None):
         state = json.loads(cursor) if isinstance(cursor, str) else dict(cursor or {})
-        self.spark, self.files, self.schema = spark, sorted(files), schema
+        self.spark, self.files, self.schema, self.format, self.chosen = spark, sorted(files), schema, format, chosen
         self.done, self.file, self.row = set(state.get("done", [])), state.get("file"), state.get("row", 0)
 
     @property
@@ -33,11 +35,11 @@ class CursorRead:
                 continue
             skip = self.row if f == self.file else 0
             self.file, self.row = f, skip
-            df = formats.read_files(self.spark, [f], self.schema)
+            df = formats.read_files(self.spark, [f], self.schema, self.format)
             if df is not None:
-                for i, r in enumerate(df.coalesce(1).toLocalIterator()):
-                    if i >= skip:
-                        self.row = i + 1
-                        yield r.asDict(True)
+                df = self.chosen(df) if self.chosen else df
+                for i, r in enumerate(df.coalesce(1).offset(skip).toLocalIterator(), skip):
+                    self.row = i + 1
+                    yield r.asDict(True)
             self.done.add(f)
             self.file, self.row = None, 0

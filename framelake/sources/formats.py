@@ -1,5 +1,5 @@
 """File formats by extension.  Spark reads what it can; archives go through one
-``mapInPandas`` that yields lines, which Spark then parses."""
+``mapInPandas`` that yields JSON lines, which Spark then parses."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import lzma
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 from urllib.parse import unquote
 
 import pandas as pd
@@ -16,44 +17,104 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, NullType, StringType, StructField, StructType
 
-
-def _parsed(lines: DataFrame, schema: StructType | None) -> DataFrame:
-    """JSON lines of a one-column frame, with an inferred or given schema."""
-    if schema is None:
-        spark = lines.sparkSession
-        schema = spark.read.json(lines.rdd.map(lambda r: r[0])).schema
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+from ..session import scratch_path
 
 
 def _archive(spark: SparkSession, paths: list[str], unpack: Callable[[bytes], Iterator[str]], schema: StructType | None) -> DataFrame:
+    """Without a schema the lines are written once to the shared folder, so that archives are
+    unpacked a single time and Spark infers over all lines."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                yield pd.DataFrame({"value": [x for x in unpack(content) if x.strip()]})
+                lines = iter(unpack(content))
+                while part := list(islice(lines, 10_000)):
+                    yield pd.DataFrame({"value": [x for x in part if x.strip()]})
+
+    lines = spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, "value string")
+    if schema is not None:
+        return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    path = scratch_path(spark, "lines")
+    lines.write.text(path)
+    return spark.read.json(path)
 
-    return _parsed(spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, "value string"), schema)
+
+def _lines(raw: bytes) -> Iterator[str]:
+    """Lines end at line feeds alone: other separators of Unicode may be in a value."""
+    return (x.removesuffix("\r") for x in raw.decode().split("\n"))
 
 
 def _unxz(content: bytes) -> Iterator[str]:
-    yield from lzma.decompress(content).decode().splitlines()
+    return _lines(lzma.decompress(content))
 
 
-def _unzip(content: bytes) -> Iterator[str]:
+def _unzstd(content: bytes) -> Iterator[str]:
+    import zstandard
+
+    with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as f:
+        return _lines(f.read())
+
+
+def _table(rows: list[dict]) -> Iterator[str]:
+    return (json.dumps(r, default=str) for r in rows)
+
+
+def _parquet_member(content: bytes) -> Iterator[str]:
+    import pyarrow.parquet
+
+    return _table(pyarrow.parquet.read_table(io.BytesIO(content)).to_pylist())
+
+
+def _orc_member(content: bytes) -> Iterator[str]:
+    import pyarrow.orc
+
+    return _table(pyarrow.orc.read_table(io.BytesIO(content)).to_pylist())
+
+
+def _csv_member(content: bytes) -> Iterator[str]:
     import csv
 
+    return _table(list(csv.DictReader(io.StringIO(content.decode()))))
+
+
+def _xml_record(text: str | bytes):
+    """An XML document as a record: attributes @name, text #text, repeats as lists."""
+    from xml.etree import ElementTree
+
+    def of(e):
+        out = {"@" + k.split("}")[-1]: v for k, v in e.attrib.items()}
+        for c in e:
+            name = c.tag.split("}")[-1]
+            out[name] = [*(out[name] if isinstance(out[name], list) else [out[name]]), of(c)] if name in out else of(c)
+        own = (e.text or "").strip()
+        return {**out, "#text": own} if out and own else out or own or None
+
+    return of(ElementTree.fromstring(text))
+
+
+#: Members of a zip file, by their own extensions.
+_MEMBERS: dict[str, Callable[[bytes], Iterator[str]]] = {
+    "zip": lambda raw: _unzip(raw),
+    "lzma": _unxz,
+    "zstd": _unzstd,
+    "zst": _unzstd,
+    "jsonl": _lines,
+    "json": lambda raw: iter([json.dumps(json.loads(raw))]),
+    "csv": _csv_member,
+    "parquet": _parquet_member,
+    "orc": _orc_member,
+    "txt": lambda raw: iter([json.dumps({"value": raw.decode()})]),
+    "xml": lambda raw: iter([json.dumps(_xml_record(raw))]),
+    "lxml": lambda raw: (json.dumps(_xml_record(x)) for x in _lines(raw) if x.strip()),
+}
+
+
+def _unzip(content: bytes) -> Iterator[str]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for name in sorted(z.namelist()):
-            raw = z.read(name)
-            if name.endswith(".zip"):
-                yield from _unzip(raw)
-            elif name.endswith(".lzma"):
-                yield from _unxz(raw)
-            elif name.endswith(".csv"):
-                yield from (json.dumps(r) for r in csv.DictReader(io.StringIO(raw.decode())))
-            elif name.endswith(".json"):
-                yield json.dumps(json.loads(raw))
-            elif name.endswith(".jsonl"):
-                yield from raw.decode().splitlines()
+            unpack = _MEMBERS.get(name.rsplit(".", 1)[-1].lower())
+            if unpack:
+                yield from unpack(z.read(name))
 
 
 _ROOT = r"<([A-Za-z_][\w.-]*(?::[\w.-]+)?)[\s/>]"
@@ -205,12 +266,20 @@ READERS: dict[str, Callable[[SparkSession, list[str], StructType | None], DataFr
 }
 
 
+#: Spark's own writer names its JSON-lines files so; any other .json file is one document.
+_SPARK_JSON = re.compile(r"/part-\d{5}-[0-9a-f-]{36}[^/]*\.json$")
+
+
+def extension(path: str) -> str:
+    return "jsonl" if _SPARK_JSON.search(path) else path.rsplit(".", 1)[-1].lower()
+
+
 def read_files(spark: SparkSession, paths: list[str], schema: StructType | None = None, format: str | None = None) -> DataFrame | None:
     """One frame of all files, by extension or one ``format`` for all; files of unknown
     extensions are left out, and None is returned when nothing remains."""
     by: dict[str, list[str]] = {}
     for p in paths:
-        by.setdefault((format or p.rsplit(".", 1)[-1]).lower().lstrip("."), []).append(p)
+        by.setdefault(format.lower().lstrip(".") if format else extension(p), []).append(p)
     out = None
     for ext in sorted(by):
         if ext in READERS:

@@ -23,19 +23,31 @@ def is_data(path: str) -> bool:
 
 
 def choose_partitioning(files: list[str], partition: tuple[str, str, str] | None = None) -> list[str]:
-    """Files of one ``by_*`` folder: that of the partition filter's field if it exists,
-    else the last by name; files outside any pass when there is none."""
-    fields = sorted({m[1] for f in files if (m := _BY.search(f))})
-    if not fields:
-        return files
-    field = fields[-1]
-    if partition:
-        name, op, value = partition
-        if op != "=":
-            raise NotImplementedError("partition filters know '=' alone")
-        if name in fields:
-            return [f for f in files if f"/by_{name}/{name}={sanitize(value)}/" in f]
-    return [f for f in files if f"/by_{field}/" in f]
+    """Of every folder that holds ``by_*`` folders the files of one of them: that of the
+    partition filter's field if it exists there, else the last by name.  Files of folders
+    without any pass."""
+    if partition and partition[1] not in ("=", "=="):
+        raise NotImplementedError("partition filters know '=' alone")
+    fields: dict[str, set[str]] = defaultdict(set)
+    for f in files:
+        if m := _BY.search(f):
+            fields[f[: m.start()]].add(m[1])
+    chosen = {}
+    for folder, names in fields.items():
+        chosen[folder] = f"{folder}/by_{max(names)}/"
+        if partition and sanitize(partition[0]) in names:
+            name = sanitize(partition[0])
+            chosen[folder] = f"{folder}/by_{name}/{name}={sanitize(partition[2])}/"
+
+    def passes(f: str) -> bool:
+        folder = f
+        while "/" in folder:  # the nearest folder above that has partitionings
+            folder = folder.rsplit("/", 1)[0]
+            if folder in chosen:
+                return f.startswith(chosen[folder])
+        return True
+
+    return [f for f in files if passes(f)]
 
 
 def newest_frames(files: list[str]) -> list[str]:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
+from ..operators import dialect
 from ..operators.dataset import Dataset, Storage
 from . import formats, frames, storage
+from .cursor import CursorRead
 from .paths import DAY_TEMPLATE, as_datetime, date_paths, parse_delta
 
 
@@ -42,15 +45,15 @@ def data_files(
     start, end = start_date or today, end_date or start_date or today
 
     def found(a, b) -> list[str]:
-        listed = [f for p in date_paths(f"{dataset.rstrip('/')}/{template}", a, b) for f in storage.files(spark, p)]
-        return frames.resolve(sorted(set(listed)), partition_filter)
+        paths = date_paths(f"{dataset.rstrip('/')}/{template}", a, b)
+        return sorted({f for p in paths for f in frames.resolve(storage.files(spark, p), partition_filter)})
 
     out = found(start, end)
     if not out and freshness_limit:
         if as_datetime(start).date() != as_datetime(end).date():
             raise InvalidReaderConfigError("freshness_limit needs start_date and end_date to be one day")
         day = as_datetime(start)
-        for _ in range(parse_delta(freshness_limit).days):
+        for _ in range(parse_delta(freshness_limit) // datetime.timedelta(days=1)):  # whole days that the limit holds
             day -= datetime.timedelta(days=1)
             if out := found(day.date(), day.date()):
                 break
@@ -72,29 +75,42 @@ def reader(
     schema: StructType | None = None,
     persistence: Storage = Storage.NONE,
     valid_dataset_prefixes: list[str] | None = None,
-) -> Dataset:
+    cursor: dict | str | None = None,
+) -> Dataset | CursorRead:
     """Selects after filtering, so filters may use columns that are not selected; Spark
-    pushes both to the scan."""
+    pushes both to the scan.  With a ``cursor``, {} for the first read, rows come one by one
+    from a resumable ``CursorRead`` instead."""
     if valid_dataset_prefixes and not any(dataset.startswith(p) for p in valid_dataset_prefixes):
         raise AccessDenied(f"{dataset} is outside the allowed prefixes")
     paths = data_files(spark, dataset, start_date, end_date, template, partition_filter, freshness_limit, raw_path)
+
+    def chosen(df: DataFrame) -> DataFrame:
+        out = Dataset(df) if filters is None else Dataset(df).filter(filters)
+        return (out.select(*select) if select else out).df
+
+    if cursor is not None:
+        return CursorRead(spark, paths, cursor, schema, override_format, chosen)
     df = formats.read_files(spark, paths, schema, override_format)
     if df is None:
         raise DataNotFoundError(f"no data in {dataset}")
-    out = Dataset(df)
-    if filters is not None:
-        out = out.filter(filters)
-    if select:
-        out = out.select(*select)
-    return Dataset(out.df, persistence)
-
-
-def sql(spark: SparkSession, statement: str, **datasets: Dataset | DataFrame) -> Dataset:
-    """Spark SQL over named datasets, with the function names of ``functions.register``."""
-    from ..functions import register
-
-    register(spark)
-    frames_ = {k: v.df if isinstance(v, Dataset) else v for k, v in datasets.items()}
-    for name, df in frames_.items():
-        df.createOrReplaceTempView(name)
-    return Dataset(spark.sql(statement))
+    return Dataset(chosen(df), persistence)
+
+
+def sql(spark: SparkSession, statement: str, root: str = "", reader_options: dict | None = None, **datasets: Dataset | DataFrame) -> Dataset:
+    """Spark SQL over datasets.  A name after FROM is one of ``datasets`` or, with dots for
+    slashes, a dataset's path below ``root``, read with ``reader_options`` (dates, filters and
+    so on).  Operators, function names and labels are those of ``dialect``."""
+    known = {k: v.df if isinstance(v, Dataset) else v for k, v in datasets.items()}
+    tokens, names = dialect.tokens(statement), {}
+    for i in dialect.dataset_places(tokens):
+        name = tokens[i]
+        if name not in names:
+            path = name.replace(".", "/")
+            dialect.check_dataset(name)
+            df = known[name] if name in known else reader(spark, f"{root.rstrip('/')}/{path}" if root else path, **(reader_options or {})).df
+            names[name] = f"_dataset_{uuid.uuid4().hex}"
+            df.createOrReplaceTempView(names[name])
+            known[name] = df
+        tokens[i] = f"{names[name]} AS {name}" if name.isidentifier() else names[name]
+    lists = {f.name.lower() for df in known.values() for f in df.schema.fields if isinstance(f.dataType, ArrayType)}
+    return Dataset(spark.sql(dialect.lowered(dialect.labelled(tokens), lists)))

@@ -51,6 +51,19 @@ def check_columns(df: DataFrame, schema: StructType) -> None:
         raise SchemaError(f"missing {sorted(want.keys() - have.keys())}, excess {sorted(have.keys() - want.keys())}, of another type {wrong}")
 
 
+_WIDER = {"void": None, "tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double", "timestamp_ntz": "timestamp"}
+
+
+def declared(df: DataFrame, schema: StructType) -> DataFrame:
+    """The schema's columns in its order and types: nulls without a type and narrower numbers
+    are cast, anything else that differs raises."""
+    want = {f.name: f.dataType for f in schema}
+    cast = {f.name: F.col(f"`{f.name}`").cast(want[f.name]) for f in df.schema if f.name in want and _WIDER.get(f.dataType.simpleString(), "") in (None, want[f.name].simpleString())}
+    df = df.withColumns(cast) if cast else df
+    check_columns(df, schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in schema])
+
+
 def conform(df: DataFrame, schema: StructType) -> tuple[DataFrame, Column]:
     """(rows with a ``_typed`` struct of the schema's types, validity of a row): text that
     does not read as its column's type makes the row invalid; nulls are valid."""

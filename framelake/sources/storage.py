@@ -34,3 +34,34 @@ def touch(spark: SparkSession, path: str) -> None:
 
 def delete(spark: SparkSession, path: str) -> None:
     _fs(spark, path).delete(_path(spark, path), True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme."""
+    return _fs(spark, path).makeQualified(_path(spark, path)).toString()
+
+
+def make(spark: SparkSession, path: str) -> None:
+    _fs(spark, path).mkdirs(_path(spark, path))
+
+
+def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Folders right below ``path`` whose names start with ``prefix``."""
+    fs, p = _fs(spark, path), _path(spark, path)
+    found = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    return sorted(x.toString() for x in found if x.getName().startswith(prefix))
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    fs, to = _fs(spark, source), _path(spark, target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(_path(spark, source), to):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def clear(spark: SparkSession, path: str, keep: str | None = None) -> None:
+    """Deletes what lies in a folder, but for one entry."""
+    fs = _fs(spark, path)
+    for s in fs.listStatus(_path(spark, path)):
+        if keep is None or s.getPath().getName() != keep.rsplit("/", 1)[-1]:
+            fs.delete(s.getPath(), True)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 import re
+import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..operators.dataset import Dataset
 from . import storage
 from .paths import DAY_TEMPLATE, as_datetime, fill
-from .schema import check_columns, expect
+from .schema import declared, expect
 
 FORMATS = ("jsonl", "zstd", "lzma", "parquet", "text", "flat")
 
@@ -27,60 +29,85 @@ def check_name(dataset: str) -> str:
 
 def write_files(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite", rows_per_file: int = 1_000_000, schema: StructType | None = None) -> None:
     """One of ``FORMATS``; files roll over after ``rows_per_file`` rows."""
+    if schema is not None:
+        df = declared(df, schema)
+    _write(df, path, format, mode, rows_per_file)
+
+
+def _write(df: DataFrame, path: str, format: str, mode: str = "overwrite", rows_per_file: int = 1_000_000, by: str | None = None) -> None:
+    """``by``: one folder a value of that column, in the same job."""
     if format not in FORMATS:
         raise ValueError(f"format is one of {', '.join(FORMATS)}")
-    if schema is not None:
-        check_columns(df, schema)
-        df = df.select(*[f.name for f in schema])
+    if format in ("zstd", "lzma"):
+        return write_archives(df, path, format, rows_per_file, mode, by)
+    if format == "flat":
+        df = Dataset(df.withColumnRenamed(by, "_by") if by else df).flatten().df
+        df = df.withColumnRenamed("_by", by) if by else df
+    elif format == "text":
+        names = [c for c in df.columns if c != by]
+        df = df.select(F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in names]).alias("value"), *([by] if by else []))
     w = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    w = w.partitionBy(by) if by else w
     if format == "parquet":
         w.option("compression", "zstd").parquet(path)
-    elif format == "jsonl":
-        w.json(path)
-    elif format == "flat":
-        Dataset(df).flatten().df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).json(path)
     elif format == "text":
-        df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns]).alias("value")).write.mode(mode).text(path)
+        w.text(path)
     else:
-        write_archives(df, path, format, rows_per_file)
-
+        w.json(path)
 
-def write_archives(df: DataFrame, path: str, format: str, rows_per_file: int = 100_000) -> None:
-    """JSON lines in zstd or lzma files.  Tasks write under their attempt's name and rename,
-    so a lost executor leaves no half file; needs a path that tasks can open."""
-    import os
 
-    os.makedirs(path, exist_ok=True)
+def write_archives(df: DataFrame, path: str, format: str, rows_per_file: int = 100_000, mode: str = "overwrite", by: str | None = None) -> None:
+    """JSON lines in zstd or lzma files, on any file system that tasks reach.  Each attempt of
+    a task writes under names of its own in a staging folder and reports them; those of the
+    attempts that count are then moved to ``path``, so that a lost executor leaves nothing."""
+    spark = df.sparkSession
+    if mode not in ("overwrite", "append"):
+        raise ValueError("mode is overwrite or append")
+    storage.make(spark, path)
+    staging = f"{storage.qualified(spark, path)}/_staging-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import lzma
-        import os
 
         import zstandard
+        from pyarrow import fs
         from pyspark import TaskContext
 
         pack = zstandard.compress if format == "zstd" else lzma.compress
-        part, files, held = TaskContext.get().partitionId(), 0, []
+        where, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub("^s3[an]:", "s3:", staging)))
+        where.create_dir(root)
+        task, made, held = TaskContext.get(), [], {}
 
-        def flush() -> None:
-            nonlocal files
-            name = f"{path}/part-{part:05d}-{files:04d}.{format}"
-            with open(f"{path}/.{part}-{TaskContext.get().taskAttemptId()}", "wb") as f:
-                f.write(pack(("\n".join(held) + "\n").encode()))
-            os.replace(f.name, name)
-            files += 1
-            held.clear()
+        def flush(value) -> None:
+            lines = held.pop(value)
+            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(made):04d}.{format}"
+            with where.open_output_stream(f"{root}/{name}") as f:
+                f.write(pack(("\n".join(lines) + "\n").encode()))
+            made.append((name, value))
 
         for b in batches:
-            for line in b["value"]:
-                held.append(line)
-                if len(held) >= rows_per_file:
-                    flush()
-        if held:
-            flush()
-        yield pd.DataFrame({"files": [files]})
-
-    df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(run, "files long").agg(F.sum("files")).collect()
+            for value, line in zip(b["by"], b["value"]):
+                held.setdefault(value, []).append(line)
+                if len(held[value]) >= rows_per_file:
+                    flush(value)
+        for value in list(held):
+            flush(value)
+        yield pd.DataFrame(made, columns=["name", "by"])
+
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != by])
+    key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    made = df.select(F.to_json(rest).alias("value"), key.alias("by")).mapInPandas(run, "name string, by string").collect()  # one row a file
+    if mode == "overwrite":
+        storage.clear(spark, path, keep=staging)
+    for name, value in made:
+        folder = f"{path}/{by}={quote(value, safe='')}" if by else path
+        storage.move(spark, f"{staging}/{name}", f"{folder}/{re.sub(r'-[0-9]+-', '-', name, count=1) if mode == 'overwrite' else name}")
+    storage.delete(spark, staging)
+
+
+def frame_name() -> str:
+    """Of now, to the microsecond: two batches in one second are two frames."""
+    return f"as_at_{datetime.datetime.now(datetime.timezone.utc):%Y%m%d-%H%M%S-%f}"
 
 
 def write_batch(
@@ -99,31 +126,49 @@ def write_batch(
     """Writes a frame and, last, its ``frame.complete``, which makes it visible; a failure
     leaves the frame unseen.  An empty batch writes no frame unless ``always_complete``.
 
-    ``partition_by`` writes one alternative partitioning, ``by_<column>``, a column.
+    ``partition_by`` writes one alternative partitioning, ``by_<column>``, a column: each in
+    one job, whose folders are then moved into place.
     """
     spark = df.sparkSession
     day = as_datetime(date) if date is not None else datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
     folder = f"{check_name(dataset)}/{fill(template, day)}"
-    frame = frame_id or f"as_at_{datetime.datetime.now(datetime.timezone.utc):%Y%m%d-%H%M%S}"
+    frame = frame_id or frame_name()
     if expectations:
         df = expect(df, expectations)
     if schema is not None:
-        check_columns(df, schema)
+        df = declared(df, schema)
     if not always_complete and df.isEmpty():
         return None
     if not partition_by:
-        write_files(df, f"{folder}/{frame}", format, schema=schema, rows_per_file=rows_per_file)
+        _write(df, f"{folder}/{frame}", format, rows_per_file=rows_per_file)
         storage.touch(spark, f"{folder}/{frame}/frame.complete")
         return f"{folder}/{frame}"
     for column in partition_by:
-        keyed = df.withColumn("_p", F.regexp_replace(F.col(column).cast("string"), "[^A-Za-z0-9_.@-]", "_"))
-        for value in [r[0] for r in keyed.select("_p").distinct().collect()]:  # one folder a value
-            path = f"{folder}/by_{column}/{column}={value}/{frame}"
-            write_files(keyed.where(F.col("_p").eqNullSafe(value)).drop("_p"), path, format, schema=schema, rows_per_file=rows_per_file)
-            storage.touch(spark, f"{path}/frame.complete")
+        write_routed(df.withColumn("_path", F.concat(F.lit(f"by_{column}/{column}="), _safe(F.col(column)), F.lit(f"/{frame}"))), folder, format, rows_per_file, marker="frame.complete")
     return folder
 
 
+def _safe(c):
+    return F.coalesce(F.regexp_replace(c.cast("string"), "[^A-Za-z0-9_.@-]", "_"), F.lit("null"))
+
+
+def write_routed(routed: DataFrame, root: str, format: str, rows_per_file: int = 1_000_000, marker: str | None = None) -> list[str]:
+    """Rows into the folders below ``root`` that their ``_path`` names, which are replaced: one
+    job writes them all to a staging folder, and its folders are then moved."""
+    spark, staging = routed.sparkSession, f"{root}/_staging-{uuid.uuid4().hex}"
+    _write(routed, staging, format, rows_per_file=rows_per_file, by="_path")
+    out = []
+    for made in storage.folders(spark, staging, "_path="):
+        path = f"{root}/{unquote(made.split('_path=', 1)[1])}"
+        storage.delete(spark, path)
+        storage.move(spark, made, path)
+        if marker:
+            storage.touch(spark, f"{path}/{marker}")
+        out.append(path)
+    storage.delete(spark, staging)
+    return sorted(out)
+
+
 def write_database(df: DataFrame, commit: Callable[[pd.DataFrame], None], finalizer: Callable[[int], None] | None = None, batch_rows: int = 100) -> int:
     """Hands ``commit`` batches of rows beside the data, then calls ``finalizer`` on the
     driver with the row count.  For JDBC tables ``df.write.jdbc`` is the shorter way."""

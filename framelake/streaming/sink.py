@@ -1,7 +1,7 @@
 """Streaming sink: rows routed to paths made of their own values, bad rows set aside.
 
-Each micro-batch is a batch write named by its batch id, so a batch that runs twice
-writes the same frame; the stream's checkpoint makes reads resumable.
+Each micro-batch is one write to folders named by its batch id, so a batch that runs twice
+writes the same files; the stream's checkpoint makes reads resumable.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, StructType
 
-from ..sources import storage
+from ..sources import writers
 from ..sources.paths import fill
 from ..sources.schema import conform
 
@@ -45,13 +45,16 @@ def routed(df: DataFrame, template: str) -> DataFrame:
     return out.withColumn("_path", F.concat(*path)).drop(*[f"_v{i}" for i in order.values()])
 
 
-def write_batch(df: DataFrame, batch_id: int, template: str, schema: StructType | None = None, at: datetime.datetime | None = None, format: str = "json") -> None:
+def write_batch(df: DataFrame, batch_id: int, template: str, schema: StructType | None = None, at: datetime.datetime | None = None, format: str = "jsonl") -> None:
     """One micro-batch.  ``template`` is a path with date places, filled from the clock, and
-    {column} places; rows that do not fit ``schema`` go to a BACKOUT folder beside it."""
+    {column} places; rows that do not fit ``schema`` go to a BACKOUT folder beside it.  Its
+    files lie in a folder of the stream's and the batch's name, beside those of other batches:
+    a reader sees all of them, and a batch that runs twice replaces its own."""
     spark = df.sparkSession
     root = template.split("{")[0].rsplit("/", 1)[0]
-    template = fill(template, at or datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None))
-    frame = f"as_at_batch-{batch_id:012d}"
+    rest = fill(template, at or datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None))[len(root) + 1 :]
+    stream = (spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream")[:8]
+    name = f"batch-{stream}-{batch_id:012d}"
     df.persist()
     try:
         good = df
@@ -59,20 +62,15 @@ def write_batch(df: DataFrame, batch_id: int, template: str, schema: StructType
             typed, valid = conform(df, schema)
             bad = typed.where(~valid).drop("_typed")
             if not bad.isEmpty():
-                bad.write.mode("overwrite").format(format).save(f"{root}/BACKOUT/{frame}")
+                writers.write_files(bad, f"{root}/BACKOUT/{name}", format)
             good = typed.where(valid).select("_typed.*")
-        rows = routed(good, template).persist()
-        try:
-            for path in [r[0] for r in rows.select("_path").distinct().toLocalIterator()]:
-                rows.where(F.col("_path") == path).drop("_path").write.mode("overwrite").format(format).save(f"{path}/{frame}")
-                storage.touch(spark, f"{path}/{frame}/frame.complete")
-        finally:
-            rows.unpersist()
+        rows = routed(good, rest)
+        writers.write_routed(rows.withColumn("_path", F.concat("_path", F.lit(f"/{name}"))), root, format)
     finally:
         df.unpersist()
 
 
-def start(stream: DataFrame, template: str, checkpoint: str, schema: StructType | None = None, clock: Callable[[], datetime.datetime] | None = None, trigger: dict | None = None, format: str = "json") -> StreamingQuery:
+def start(stream: DataFrame, template: str, checkpoint: str, schema: StructType | None = None, clock: Callable[[], datetime.datetime] | None = None, trigger: dict | None = None, format: str = "jsonl") -> StreamingQuery:
     """Starts the sink; ``trigger`` is passed on, availableNow by default."""
     run = lambda df, i: write_batch(df, i, template, schema, clock() if clock else None, format)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

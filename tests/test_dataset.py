@@ -39,7 +39,7 @@ def test_filters(ds):
     assert names(ds.filter(P.negate(F.col("age") > 10))) == ["Bo", "cy"] and names(ds.filter(P.not_in("age", [36]))) == ["Bo", "cy"]
     assert names(ds.filter(("tags", "contains", "y"))) == ["Ada", "Dee"] and names(ds.filter(("name", "contains", "e"))) == ["Dee"]
     assert names(ds.filter(("name", "~", "^[A-B]"))) == ["Ada", "Bo"] and names(ds.filter(("name", "!in", ["Ada", "cy"]))) == ["Bo", "Dee"]
-    assert names(ds.filter(lambda d: d["age"] == 7)) == ["Bo"] and names(ds.filter(lambda r: len(r["name"]) == 2 and r["age"] is None)) == ["cy"]
+    assert names(ds.filter(lambda d: d["age"] == 7)) == ["Bo"] and names(ds.filter_rows(lambda r: len(r["name"]) == 2 and r["age"] is None)) == ["cy"]
     assert names(ds.filter(P.not_like("dob", "18%"))) == ["Bo", "Dee", "cy"] and ds.filter(("absent", "=", 1)).count() == 0
     with pytest.raises(ValueError):
         ds.filter(("age", "??", 1))
@@ -101,3 +101,27 @@ def test_schema_display_and_storage(spark, ds):
 def test_flatten(spark):
     d = Dataset.of(spark, [{"a": 1, "b": {"c": "x", "d": "y"}, "e": ["p", "q"]}], "a int, b struct<c:string,d:string>, e array<string>")
     assert d.flatten().keys() == ["a", "b.c", "b.d", "e"] and d.flatten(items=2).first() == {"a": 1, "b.c": "x", "b.d": "y", "e.0": "p", "e.1": "q"}
+
+
+def test_items_by_position_reach_the_driver_alone(spark):
+    from framelake.operators.dataset import Dataset
+
+    d = Dataset(spark.range(1000).selectExpr("id % 250 AS k", "id AS v").repartition(7))
+    want = sorted((i % 250, i) for i in range(1000))
+    assert [tuple(r.values()) for r in d.get_items(0, 999, 500, 3, 5000)] == [want[0], want[999], want[500], want[3]]
+    assert d.get_items(1, order=["v"]) == [{"k": 1, "v": 1}] and d.get_items(2000) == []
+
+
+def test_a_hot_key_is_aggregated_in_parts(spark):
+    from framelake.operators.dataset import Dataset
+
+    d = Dataset(spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 'hot', 'b')) AS k", "CAST(id AS double) AS v").repartition(5))
+    out = {r["k"]: r["v"] for r in d.collect_set("k").aggregate("v", lambda x: max(x) - 0.0, merge=max)}
+    assert out == {None: 2997.0, "hot": 2998.0, "b": 2999.0}
+
+
+def test_literal_rows_keep_their_column_order(spark):
+    from framelake.operators.dataset import Dataset
+
+    assert Dataset.of(spark, [{"a": None, "b": 1}, {"b": 2, "c": "x"}]).keys() == ["a", "b", "c"]
+    assert Dataset.of(spark, [{"a": None}]).first() == {"a": None}

@@ -54,9 +54,3 @@ def test_numbers(spark):
     assert [one(spark, fn.between("x", 1, 3), x=v) for v in (1, 2, 3)] == [False, True, False]
     assert 0 <= one(spark, fn.random(1)) < 1 and len(one(spark, fn.hash_("x"), x="a")) >= 15 and one(spark, fn.md5("x"), x="a").startswith("0cc1")
     assert len(fn.REGISTRY) == 35
-
-
-def test_sql_names(spark):
-    fn.register(spark)
-    row = spark.sql("SELECT mid('abcdef', 1, 3), daysdiff(timestamp'2020-01-02', timestamp'2020-01-01'), integer('5.5'), isnone(NULL), inside(2, 1, 3), week(timestamp'2021-01-02'), iso_ts('2021-01-11 12:00+0100'), adddays(timestamp'2020-01-01', 2), time_of(timestamp'2020-01-01 10:00:00'), iso_ts('tomorrow')").first()
-    assert list(row) == ["bcd", -1, 5, True, True, 53, datetime.datetime(2021, 1, 11, 12), datetime.datetime(2020, 1, 3), "10:00:00", None]

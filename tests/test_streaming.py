@@ -1,7 +1,10 @@
 import datetime
 import json
 
+import pytest
+
 from framelake.sources import schema, storage
+from framelake.sources.reader import reader
 from framelake.streaming import sink
 
 AT = datetime.datetime(2023, 4, 5, 6)
@@ -27,11 +30,22 @@ def test_stream_routes_rows_and_sets_bad_ones_aside(spark, tmp_path):
     (src / "1.json").write_text(json.dumps({"key": "3", "kind": "b"}))
     sink.start(stream(), template, marks, s, clock=lambda: AT + datetime.timedelta(days=1)).awaitTermination()
     assert read("2023-04-06/b/*") == ["3"] and read("2023-04-05/a/*") == ["1", "None"]
-    assert any(f.endswith("frame.complete") for f in storage.files(spark, f"{out}/2023-04-06/b"))
 
 
-def test_a_batch_twice_is_a_batch_once(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "key long, kind string")
-    for _ in range(2):
-        sink.write_batch(df, 7, f"{tmp_path}/o/{{kind}}", at=AT)
-    assert spark.read.json(f"{tmp_path}/o/*/*").count() == 2
+def test_a_reader_sees_every_batch(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    stream = lambda: spark.readStream.schema("key long, kind string").json(str(src))
+    for i in range(3):
+        (src / f"{i}.json").write_text(json.dumps({"key": i, "kind": "a"}))
+        sink.start(stream(), f"{out}/year_{{yyyy}}/month_{{mm}}/day_{{dd}}/{{kind}}", str(tmp_path / "ck"), clock=lambda: AT).awaitTermination()
+    assert sorted(r["key"] for r in reader(spark, out, start_date="2023-04-05")) == [0, 1, 2]
+    assert not [f for f in storage.files(spark, out) if "_staging" in f]
+
+
+@pytest.mark.parametrize("format", ["jsonl", "parquet", "zstd"])
+def test_a_batch_twice_is_a_batch_once(spark, tmp_path, format):
+    df = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", None)], "key long, kind string, tags array<string>")
+    for i in (7, 7, 8):
+        sink.write_batch(df, i, f"{tmp_path}/o/{{date}}/{{kind}}/{{tags}}", at=AT, format=format)
+    assert reader(spark, f"{tmp_path}/o", start_date="2023-04-05", template="{date}").count() == 6
