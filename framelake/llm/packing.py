@@ -41,51 +41,57 @@ def best_cuts(ends: np.ndarray, penalties: np.ndarray, total: int, length: int,
     a gap wider than ``length`` is made up for by cuts at full windows.  Unless
     ``final``, the last windows are left out, since what follows may change them.
     """
-    places, cost = [0], [0.0]
-    for e, p in zip(ends.tolist(), penalties.tolist()):
-        while e - places[-1] > length:  # no place in reach: a cut inside a sentence
-            places.append(places[-1] + length)
-            cost.append(_HARD)
-        if e > places[-1]:
-            places.append(e)
-            cost.append(p)
-    if places[-1] < total:
-        while total - places[-1] > length:
-            places.append(places[-1] + length)
-            cost.append(_HARD)
-        places.append(total)
-        cost.append(0.0)
+    places, cost = _places(ends, penalties, total, length)
     n = len(places)
+    # Starts that make a window of a power of two, which takes no padding.
+    exact: dict[int, list[int]] = {}
+    for w in (1 << k for k in range(length.bit_length()) if 64 <= 1 << k <= length):
+        start = np.searchsorted(places, places - w)
+        for i in np.flatnonzero(places[start] == places - w).tolist():
+            exact.setdefault(i, []).append(int(start[i]))
+    low = np.searchsorted(places, places - length).tolist()  # the first start in reach
+    at, fixed = places.tolist(), (cost + _WINDOW).tolist()
     best, back = [0.0] * n, [0] * n
-    at = {0: 0}  # place -> index
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # best + place, ascending
-    powers = [1 << k for k in range(length.bit_length()) if 64 <= 1 << k <= length]
+    queue: deque[int] = deque([0])  # starts by best + place, ascending
+    keys = [0.0] * n
     for i in range(1, n):
-        e = places[i]
-        low = e - length
-        while places[queue[0][1]] < low:
+        e, first = at[i], low[i]
+        while queue[0] < first:
             queue.popleft()
-        value, j = queue[0]
-        value = value + length - e
-        for w in powers:  # windows that take no padding
-            k = at.get(e - w)
-            if k is not None and best[k] <= value:
+        j = queue[0]
+        value = keys[j] + length - e
+        for k in exact.get(i, ()):
+            if best[k] <= value:
                 value, j = best[k], k
-        value += cost[i] + _WINDOW
+        value += fixed[i]
         best[i], back[i] = value, j
-        at[e] = i
-        key = value + e
-        while queue and queue[-1][0] >= key:
+        key = keys[i] = value + e
+        while queue and keys[queue[-1]] >= key:
             queue.pop()
-        queue.append((key, i))
+        queue.append(i)
     cuts, i = [], n - 1
     while i:
-        cuts.append(places[i])
+        cuts.append(at[i])
         i = back[i]
     cuts.reverse()
     return cuts if final else cuts[: max(0, len(cuts) - 4)]
 
 
+def _places(ends: np.ndarray, penalties: np.ndarray, total: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where windows may end, from 0 to ``total``, and their costs; a gap wider than
+    ``length`` is cut at full windows."""
+    places, cost = np.asarray(ends, dtype=np.int64), np.asarray(penalties, dtype=np.float64)
+    places, cost = np.r_[0, places[places > 0]], np.r_[0.0, cost[places > 0]]
+    if places[-1] < total:
+        places, cost = np.r_[places, total], np.r_[cost, 0.0]
+    wide = np.flatnonzero(np.diff(places) > length)
+    more = [np.arange(places[i] + length, places[i + 1], length) for i in wide]  # cuts inside a sentence
+    if more:
+        at = np.repeat(wide + 1, [len(m) for m in more])
+        places, cost = np.insert(places, at, np.concatenate(more)), np.insert(cost, at, _HARD)
+    return places, cost
+
+
 _SENTENCE, _HARD, _WINDOW = 2.0, 24.0, 64.0
 
 
@@ -110,10 +116,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, b
                 return None
             stream = np.concatenate([w[2] for w in waiting])
             borders = np.cumsum([len(w[2]) for w in waiting])
-            sentences = np.flatnonzero(stops[stream]) + 1
-            ends = np.union1d(sentences, borders)
-            penalties = np.full(len(ends), _SENTENCE)
-            penalties[np.searchsorted(ends, borders)] = 0.0
+            may = np.concatenate([[False], stops[stream]])
+            may[borders] = True
+            ends = np.flatnonzero(may)
+            document = np.zeros(len(may), dtype=bool)
+            document[borders] = True
+            penalties = np.where(document[ends], 0.0, _SENTENCE)
             cuts = best_cuts(ends, penalties, size, length, final)
             rows: list[tuple] = []
             done, at, inside = 0, 0, 0  # ids packed; document in turn; its ids packed here
