@@ -199,6 +199,11 @@ def sort(x) -> Column:
     return F.array_sort(_col(x))
 
 
+def tokenize(x) -> Column:
+    """Lower-case words of letters and digits; other signs but white space are dropped."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(_col(x)), r"[^a-z0-9\s]", ""), r"\s+"), "")
+
+
 REGISTRY: dict[str, Callable[..., Column]] = {
     "YEAR": year, "MONTH": month, "DAY": day, "DATE": date, "TIME": time, "QUARTER": quarter, "HOUR": hour, "MINUTE": minute,
     "SECOND": second, "WEEK": week, "NOW": now, "ADDDAYS": add_days, "DAYSDIFF": days_diff, "UPPER": upper, "UCASE": upper,

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StructType, VariantType
 
 from . import dialect, display, predicates
 
@@ -123,9 +123,10 @@ class Dataset:
 
     # order
     def sort_and_take(self, column: str, take: int = 5000, descending: bool = False) -> Dataset:
-        """Top rows; nulls first ascending, last descending."""
+        """Top rows; nulls first ascending, last descending; equal ones by the other columns."""
         c = F.col(column)
-        return self._new(self.df.orderBy(c.desc() if descending else c.asc()).limit(take))
+        rest = [F.col(f"`{f.name}`") for f in self.df.schema if f.name != column and not isinstance(f.dataType, (MapType, VariantType))]
+        return self._new(self.df.orderBy(c.desc() if descending else c.asc(), *rest).limit(take))
 
     def take(self, n: int) -> Dataset:
         return self._new(self.df.limit(n))

@@ -94,6 +94,28 @@ def labelled(found: list[str]) -> list[str]:
     return out
 
 
+def aliased(found: list[str]) -> list[str]:
+    """Names that the select list gives to functions stand for them in WHERE."""
+    out, named, where, depth = [], {}, None, 0
+    for i, t in enumerate(found):
+        depth += (t == "(") - (t == ")")
+        word = t.upper()
+        if word == "AS" and out:
+            end = _next(found, i)
+            start = _operand(out)
+            if len(out) - start > 1 and out[start].upper() not in _AGGREGATES and re.fullmatch(r"[A-Za-z_]\w*", _at(found, end)) and "(" in out[start:]:
+                named[found[end], depth] = "".join(out[start:]).strip()
+        elif word == "WHERE":
+            where = depth
+        elif word in ("GROUP", "HAVING", "ORDER", "LIMIT", "SELECT") or (where is not None and depth < where):
+            where = None
+        if where is not None and (t, where) in named:
+            out.append(f"({named[t, where]})")
+        else:
+            out.append(t)
+    return tokens("".join(out))
+
+
 def _label(item: list[str]) -> list[str]:
     parts = [t for t in item if t not in (" ", "")]
     if len(parts) < 3 or parts[1] != "(" or not re.fullmatch(r"[A-Za-z_]\w*", parts[0]) or _closing(parts, 1) != len(parts):

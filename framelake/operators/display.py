@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html import escape
+from textwrap import fill
 
 from pyspark.sql import DataFrame
 
@@ -26,3 +27,8 @@ def html_table(df: DataFrame, limit: int = 5, width: int = 64) -> str:
     names, rows = _cells(df, limit, width)
     row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape(c)}</{tag}>" for c in cells) + "</tr>"
     return "<table>" + row(names, "th") + "".join(row(r, "td") for r in rows) + "</table>"
+
+
+def wrap_text(text: str, width: int) -> str:
+    """Each line of a text filled to a width."""
+    return "\n".join(fill(line, width) for line in text.splitlines())

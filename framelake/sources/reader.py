@@ -113,4 +113,4 @@ def sql(spark: SparkSession, statement: str, root: str = "", reader_options: dic
             known[name] = df
         tokens[i] = f"{names[name]} AS {name}" if name.isidentifier() else names[name]
     lists = {f.name.lower() for df in known.values() for f in df.schema.fields if isinstance(f.dataType, ArrayType)}
-    return Dataset(spark.sql(dialect.lowered(dialect.labelled(tokens), lists)))
+    return Dataset(spark.sql(dialect.lowered(dialect.labelled(dialect.aliased(tokens)), lists)))

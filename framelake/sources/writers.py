@@ -34,6 +34,13 @@ def write_files(df: DataFrame, path: str, format: str = "parquet", mode: str = "
     _write(df, path, format, mode, rows_per_file)
 
 
+def rows_of(df: DataFrame, file_bytes: int = 62 << 20, looked_at: int = 1_000) -> int:
+    """How many rows make a file of about ``file_bytes`` as JSON lines, told by the first
+    ``looked_at`` rows; for ``rows_per_file``."""
+    mean = df.limit(looked_at).agg(F.avg(F.length(F.to_json(F.struct("*"))))).first()[0]
+    return max(1, int(file_bytes / (mean + 1))) if mean else 1_000_000
+
+
 def _write(df: DataFrame, path: str, format: str, mode: str = "overwrite", rows_per_file: int = 1_000_000, by: str | None = None) -> None:
     """``by``: one folder a value of that column, in the same job."""
     if format not in FORMATS:
