@@ -16,8 +16,9 @@ which guarantees no shared byte, so texts get 256 bits over their distinct shing
 listed under 48 pairs of the 32 byte positions; about 95 of 100 pairs of similarity 0.8, and
 more above, meet in a list.  Tally and bits retain candidates only: the forest of the most
 alike ones is then verified by an exact count of shared shingles, and nothing is linked
-without it.  A crowded list is split into cells of ``block`` by ``block`` members, so that
-every pair still meets in one task.
+without it.  In a crowded list, mostly one group of near copies, members are first held against
+a few leaders; components of what that links are not compared within themselves again, and all
+other pairs still meet, in cells of ``block`` by ``block`` members.
 
 Defined cases: a text without words has fingerprint 0, linked like any other; repeated rows
 share a fingerprint; a null doc_id gets its group's component, and never names one; columns
@@ -303,18 +304,80 @@ def long_fingerprints(docs: DataFrame, k: int = 5, text: str = "text") -> DataFr
     return rows.mapInArrow(run, "d long, th long, sid long, " + ", ".join(f"{x} long" for x in _LONG))
 
 
-def _cells(least: int, bits: int):
-    """Edges of the lists, or cells of lists, of sorted (key, cell, sid, f0 to f3) rows."""
+def _bridges(words: np.ndarray, comp: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
+    """Edges of a forest over the components that verified pairs of different ones connect,
+    the least differing bits first.  The largest component is not compared with itself."""
+    names, comp = np.unique(comp, return_inverse=True)
+    most = np.argmax(np.bincount(comp))
+    rest, best = np.flatnonzero(comp != most), {}
+    for at in range(0, len(rest), max(1, 262_144 // len(words))):
+        mine = rest[at : at + max(1, 262_144 // len(words))]
+        x = words[mine][:, None, :] ^ words[None, :, :]
+        i, j = np.nonzero((tally(x) >= least) & (comp[mine][:, None] != comp[None, :]))
+        apart = np.bitwise_count(x[i, j]).sum(axis=-1, dtype=np.int64)
+        i, j, apart = mine[i[apart <= bits]], j[apart <= bits], apart[apart <= bits]
+        order = np.argsort(apart, kind="stable")
+        pair = np.sort(np.stack([comp[i], comp[j]]), axis=0)
+        first = np.unique(pair[0][order] * len(names) + pair[1][order], return_index=True)[1]
+        for k in order[first].tolist():
+            key, edge = (int(pair[0][k]), int(pair[1][k])), (int(apart[k]), int(i[k]), int(j[k]))
+            best[key] = min(best.get(key, edge), edge)
+    root, edges = list(range(len(names))), []
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for (u, v), (_, i, j) in sorted(best.items(), key=lambda e: e[1]):
+        u, v = find(u), find(v)
+        if u != v:
+            root[u] = v
+            edges.append((i, j))
+    return edges
+
+
+_SURE = 30  # differing bits of 256 under which nine tenths of the shingles are shared, as a rule
+
+
+def _followers(words: np.ndarray, rank: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
+    """For each member the leader that it is held against: of those that are surely near the
+    first by rank, the same in most lists, else the nearest."""
+    heads = np.flatnonzero(rank >= 0)
+    if not len(heads):
+        return []
+    heads, out = heads[np.argsort(rank[heads], kind="stable")], []
+    for at in range(0, len(words), 4_096):
+        x = words[at : at + 4_096, None, :] ^ words[None, heads, :]
+        apart = np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+        apart[(tally(x) < least) | (apart > bits) | (np.arange(at, at + len(x))[:, None] == heads[None, :])] = _FAR
+        sure = apart <= _SURE
+        pick = np.where(sure.any(axis=1), sure.argmax(axis=1), apart.argmin(axis=1))
+        near = apart[np.arange(len(x)), pick] < _FAR
+        out += [(at + int(i), int(heads[pick[i]])) for i in np.flatnonzero(near)]
+    return out
+
+
+def _cells(least: int, bits: int, leading: bool = False):
+    """Edges of the lists, or cells of lists, of sorted (key, cell, sid, mark, f0 to f3) rows;
+    mark is the component, or, ``leading``, a leader's rank, -1 for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(a: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.r_[True, np.any(a[1:, :2] != a[:-1, :2], axis=1)])
             ends = np.r_[starts[1:], len(a)]
-            words = np.ascontiguousarray(a[:, 3:]).view(np.uint64)
+            words = np.ascontiguousarray(a[:, 4:]).view(np.uint64)
             pairs = []
             crowded = _crowded(words, starts, ends, least, bits)
             for s, e in zip(starts[crowded].tolist(), ends[crowded].tolist()):
-                pairs += [(a[s + i, 2], a[s + j, 2]) for i, j in _tree(words[s:e], least, bits)]
+                if leading:
+                    found = _followers(words[s:e], a[s:e, 3], least, bits)
+                elif len(np.unique(a[s:e, 3])) == e - s:
+                    found = _tree(words[s:e], least, bits)
+                else:
+                    found = _bridges(words[s:e], a[s:e, 3], least, bits)
+                pairs += [(a[s + i, 2], a[s + j, 2]) for i, j in found]
             return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
 
         held = None
@@ -334,26 +397,66 @@ def _cells(least: int, bits: int):
     return run
 
 
-def _candidates(groups: DataFrame, tallied: int, bits: int, block: int) -> DataFrame:
-    """(a, b) sids: the forests of all lists of the long fingerprints."""
-    spark, n = groups.sparkSession, parallelism(groups.sparkSession)
+def _keys() -> Column:
     byte = lambda p: F.shiftrightunsigned(_LONG[p // 8], 8 * (p % 8)).bitwiseAND(F.lit(255))
-    keys = F.array(*[F.lit(q << 16).cast("bigint").bitwiseOR(F.shiftleft(byte(x), 8)).bitwiseOR(byte(y)) for q, (x, y) in enumerate(_POSITIONS)])
-    postings = groups.select("sid", *_LONG, F.explode(keys).alias("key"))
-    sizes = groups.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    sizes = materialize(sizes.select(F.col("key").alias("_key"), F.ceil(F.col("n") / block).cast("int").alias("_g")), "crowded")
-    crowded = sizes.count()
-    if crowded:
-        side = F.broadcast(sizes) if crowded <= _SMALL_KEYS else sizes
-        own = F.pmod(F.xxhash64("sid"), F.col("_g")).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda x: F.least(x, F.col("_own")) * F.col("_g") + F.greatest(x, F.col("_own")))
-        dealt = postings.join(side, F.col("key") == F.col("_key"), "left").withColumn("_own", own)
-        postings = dealt.withColumn("cell", F.explode(F.when(F.col("_g").isNull(), F.array(F.lit(0))).otherwise(cells)))
-    else:
-        postings = postings.withColumn("cell", F.lit(0))
-    rows = postings.select("key", F.col("cell").cast("bigint").alias("cell"), "sid", *_LONG)
-    dealt = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "sid")
-    return materialize(dealt.mapInArrow(_cells(tallied, bits), "a long, b long"), "candidates").distinct()
+    return F.array(*[F.lit(q << 16).cast("bigint").bitwiseOR(F.shiftleft(byte(x), 8)).bitwiseOR(byte(y)) for q, (x, y) in enumerate(_POSITIONS)])
+
+
+def _compared(postings: DataFrame, tallied: int, bits: int, leading: bool = False) -> DataFrame:
+    """(a, b) of the lists or cells of (key, cell, sid, mark, f0 to f3)."""
+    rows = postings.select("key", F.col("cell").cast("bigint").alias("cell"), "sid", F.col("mark").cast("bigint").alias("mark"), *_LONG)
+    dealt = rows.repartition(parallelism(postings.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "sid")
+    return materialize(dealt.mapInArrow(_cells(tallied, bits, leading), "a long, b long"), "candidates").distinct()
+
+
+_LEADERS = 32  # of a crowded list, about
+
+
+def _links(docs: DataFrame, fps: DataFrame, groups: DataFrame, k: int, least: float, tallied: int, bits: int, block: int, text: str) -> DataFrame:
+    """(a, b) sids of verified links that connect what all candidates connect.
+
+    Lists of ``block`` members at most are compared at once.  A larger one is mostly one group
+    of near copies: its members are first held against about 32 leaders, the same in all lists;
+    verified links make components, and then members of different components alone are
+    compared, in cells of ``block`` by ``block``.
+    """
+    verified = lambda edges: materialize(_verified(docs, fps, edges, k, least, text), "verified")
+    sizes = groups.select(F.explode(_keys()).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    crowded = materialize(sizes.select(F.col("key").alias("_key"), "n"), "crowded")
+    count = crowded.count()
+    all_ = groups.select("sid", F.col("sid").alias("mark"), *_LONG, F.explode(_keys()).alias("key"))
+    if not count:
+        return verified(_compared(all_.withColumn("cell", F.lit(0)), tallied, bits))
+    side = lambda df: F.broadcast(df) if count <= _SMALL_KEYS else df
+    same = F.col("key") == F.col("_key")
+    small = _compared(all_.join(side(crowded), same, "left_anti").withColumn("cell", F.lit(0)), tallied, bits)
+    # Leaders, in every cell of their list: those of the least ranks, which lists share.
+    cells = F.ceil(F.col("n") / block).cast("int")
+    rank = F.pmod(F.xxhash64("sid"), F.lit(1 << 40))
+    lead = rank < F.lit(float(_LEADERS << 40)) / F.col("n")
+    own = F.pmod(F.xxhash64("sid", F.lit(1)), cells).cast("int")
+    hot = all_.join(side(crowded), same).withColumn("mark", F.when(lead, rank).otherwise(-1))
+    hot = hot.withColumn("cell", F.explode(F.when(lead, F.sequence(F.lit(0), cells - 1)).otherwise(F.array(own))))
+    first = verified(small.unionByName(_compared(hot, tallied, bits, leading=True)).distinct())
+    named = groups.join(components(first), F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("mark"), *_LONG)
+    named = materialize(named, "named")
+    rest = named.select("sid", "mark", *_LONG, F.explode(_keys()).alias("key")).join(side(crowded.drop("n")), same, "left_semi")
+    # Chunks of a list: those of each component of over ``block`` members, then of the others.
+    found = rest.groupBy("key", "mark").agg(F.count("*").alias("n"))
+    large = F.col("n") > block
+    found = found.groupBy("key", F.when(large, F.col("mark")).alias("big")).agg(F.sum("n").alias("n"))
+    plan = found.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("big", F.ceil(F.col("n") / block).cast("int").alias("chunks")))).alias("bigs"))
+    plan = materialize(plan, "chunks")
+    of = lambda m: F.filter("bigs", lambda g: g["big"].eqNullSafe(m))
+    spread = rest.join(side(plan), same).withColumn("big", F.when(F.size(of(F.col("mark"))) > 0, F.col("mark")))
+    place = F.array_position(F.transform("bigs", lambda g: g["big"].eqNullSafe(F.col("big"))), True).cast("int")
+    spread = spread.withColumns({"place": place - 1, "all": F.aggregate("bigs", F.lit(0), lambda n, g: n + g["chunks"])})
+    spread = spread.withColumns({"start": F.aggregate(F.slice("bigs", 1, F.col("place")), F.lit(0), lambda n, g: n + g["chunks"]), "chunks": F.get("bigs", F.col("place"))["chunks"]})
+    spread = spread.withColumn("own", (F.col("start") + F.pmod(F.xxhash64("sid"), F.col("chunks"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda x: F.col("big").isNull() | (x < F.col("start")) | (x >= F.col("start") + F.col("chunks")))
+    cell = F.transform(others, lambda x: F.least(x, F.col("own")) * F.col("all") + F.greatest(x, F.col("own")))
+    last = verified(_compared(spread.withColumn("cell", F.explode(cell)), tallied, bits))
+    return first.unionByName(last)
 
 
 def _verified(docs: DataFrame, fps: DataFrame, edges: DataFrame, k: int, least: float, text: str) -> DataFrame:
@@ -395,7 +498,7 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, tallied:
     1 in 50 pairs of similarity 0.8 does not."""
     fps = materialize(long_fingerprints(docs, k, text), "fingerprints")
     groups = materialize(fps.groupBy("sid", *_LONG).agg(F.min("d").alias("least")), "groups")
-    links = _verified(docs, fps.select("d", "th", "sid"), _candidates(groups, tallied, bits, block), k, least, text)
+    links = _links(docs, fps.select("d", "th", "sid"), groups.drop("least"), k, least, tallied, bits, block, text)
     named = _named(groups.select("sid", "least"), components(links), "sid")
     return fps.select("d", "th", "sid").join(named, "sid").select("d", "th", "component_id")
 

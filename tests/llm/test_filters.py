@@ -227,6 +227,35 @@ def test_similar_components_match_brute_force(spark, block):
     assert all(want[i] == want[c] for i, c in got.items()) and apart <= 2, apart  # nothing is linked that should not be
 
 
+def test_bridges_join_what_near_pairs_of_components_join():
+    r = random.Random(4)
+    for _ in range(30):
+        n = r.randint(1, 60)
+        seeds = [[r.getrandbits(64) for _ in range(4)] for _ in range(4)]
+        words = np.array([[w ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 4))) for w in r.choice(seeds)] for _ in range(n)], dtype=np.uint64)
+        comp = np.array([r.choice([1, 1, 1, 5, 7, 100 + i]) for i in range(n)])
+        near = lambda i, j: simhash.tally(words[i] ^ words[j]) >= 4 and int(np.bitwise_count(words[i] ^ words[j]).sum()) <= 12  # noqa: E731, B023
+        alike = lambda i, j: comp[i] == comp[j] or near(i, j)  # noqa: E731, B023
+        want = brute_components([15 << 4 * i for i in range(n)], alike)
+        edges = simhash._bridges(words, comp, 4, 12)
+        assert all(comp[i] != comp[j] and near(i, j) for i, j in edges) and len(edges) < len(set(comp.tolist()))
+        linked = {(min(e), max(e)) for e in edges}
+        assert brute_components([15 << 4 * i for i in range(n)], lambda i, j: comp[i] == comp[j] or (j, i) in linked) == want
+        rank = np.array([r.randrange(100) if r.random() < 0.3 else -1 for _ in range(n)])
+        led = simhash._followers(words, rank, 4, 12)
+        assert all(rank[j] >= 0 and near(i, j) for i, j in led)
+        assert {i for i, _ in led} == {i for i in range(n) if any(rank[j] >= 0 and j != i and near(i, j) for j in range(n))}
+
+
+def test_a_dense_group_is_one_component(spark):
+    r = random.Random(5)
+    base = [str(r.randint(0, 9999)) for _ in range(120)]
+    texts = [edited(r, base, r.randint(1, 2)) for _ in range(300)] + [" ".join(str(r.randint(0, 9999)) for _ in range(90)) for _ in range(30)]
+    got = {x["d"]: x["component_id"] for x in simhash.similar_components(frame(spark, texts), block=32).collect()}
+    want = brute_similar(texts)
+    assert sum(got[i] != c for i, c in enumerate(want)) <= 3 and all(want[i] == want[c] for i, c in got.items())
+
+
 def test_one_of_each_passes_any_columns(spark):
     r = random.Random(8)
     base = [str(r.randint(0, 9999)) for _ in range(100)]
