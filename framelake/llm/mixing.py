@@ -122,12 +122,13 @@ def first_words(text: Column, n: Column) -> Column:
 def apply_mix(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: each row once for every whole repetition and, where a repetition is
     a part, with its first words; the columns of ``docs``."""
-    d, th, took, size, every, rank, copy, left = (fresh(docs, x) for x in ("d", "th", "source", "size", "all", "rank", "copy", "left"))
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID))
-    take = mixed.where("taken > 0").groupBy(key.alias(f"{d}2"), F.col("th").alias(f"{th}2"), F.col("source").alias(took)).agg(F.min("size").alias(size), F.sum("taken").alias(every))
-    same = (F.col(d) == F.col(f"{d}2")) & (F.col(th) == F.col(f"{th}2")) & F.col("source").eqNullSafe(F.col(took))
-    joined = docs.withColumns({d: key, th: F.xxhash64(text)}).join(take, same)
-    order = Window.partitionBy(d, th, took).orderBy(F.xxhash64(*columns(docs)))
+    d, th, source, none, size, every, rank, copy, left = (fresh(docs, x) for x in ("d", "th", "source", "none", "size", "all", "rank", "copy", "left"))
+    # A null source as two columns, by which rows are joined and ranked without another shuffle.
+    key = {d: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)), source: F.coalesce("source", F.lit("")), none: F.col("source").isNull()}
+    named = [c.alias(k) for k, c in key.items()]
+    take = mixed.where("taken > 0").groupBy(*named, F.col("th").alias(th)).agg(F.min("size").alias(size), F.sum("taken").alias(every))
+    joined = docs.withColumns({**key, th: F.xxhash64(text)}).join(take, [d, th, source, none])
+    order = Window.partitionBy(d, th, source, none).orderBy(F.xxhash64(*columns(docs)))
     joined = joined.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
     copies = F.sequence(F.lit(1), F.ceil(F.col(every) / F.col(size)).cast("int"))
     out = joined.withColumn(copy, F.explode(copies)).withColumn(left, F.col(every) - (F.col(copy) - 1) * F.col(size))

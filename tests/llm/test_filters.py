@@ -232,7 +232,7 @@ def test_bridges_join_what_near_pairs_of_components_join():
     for _ in range(30):
         n = r.randint(1, 60)
         seeds = [[r.getrandbits(64) for _ in range(4)] for _ in range(4)]
-        words = np.array([[w ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 4))) for w in r.choice(seeds)] for _ in range(n)], dtype=np.uint64)
+        words = np.array([[w ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 4))) & (1 << 64) - 1 for w in r.choice(seeds)] for _ in range(n)], dtype=np.uint64)
         comp = np.array([r.choice([1, 1, 1, 5, 7, 100 + i]) for i in range(n)])
         near = lambda i, j: simhash.tally(words[i] ^ words[j]) >= 4 and int(np.bitwise_count(words[i] ^ words[j]).sum()) <= 12  # noqa: E731, B023
         alike = lambda i, j: comp[i] == comp[j] or near(i, j)  # noqa: E731, B023
