@@ -35,19 +35,37 @@ def _at(found: list[str], i: int) -> str:
 
 
 def dataset_places(found: list[str]) -> list[int]:
-    """Places of the names after FROM; subqueries are passed over."""
-    out = []
+    """Places of the names after FROM and JOIN; subqueries are passed over, and so are the
+    FROM of IS DISTINCT FROM and of functions such as EXTRACT."""
+    out, inside = [], []
     for i, t in enumerate(found):
+        if t == "(":
+            inside.append(_at(found, _next(found, i, -1)).upper())
+        elif t == ")" and inside:
+            inside.pop()
+        before = _next(found, i, -1)
+        compared = _at(found, before).upper() == "DISTINCT" and _at(found, _next(found, before, -1)).upper() in ("IS", "NOT")
         j = _next(found, i)
-        if t.upper() == "FROM" and re.match(r"[A-Za-z_]", _at(found, j)):
-            k = j + 1
-            while k < len(found) and (found[k] in "/-." or re.fullmatch(r"[\w.]+", found[k])) and found[k] != " ":
-                k += 1
-            found[j:k] = ["".join(found[j:k]), *[""] * (k - j - 1)]
-            out.append(j)
+        if t.upper() not in ("FROM", "JOIN") or compared or (inside and inside[-1] in _WITH_FROM) or not re.match(r"[A-Za-z_]", _at(found, j)):
+            continue
+        k = j + 1
+        while k < len(found) and found[k] != " " and (found[k] in "/-." or re.fullmatch(r"[\w.]+", found[k])):
+            k += 1
+        found[j:k] = ["".join(found[j:k]), *[""] * (k - j - 1)]
+        out.append(j)
     return out
 
 
+def has_alias(found: list[str], i: int) -> bool:
+    """Whether a name follows the one at i."""
+    after = next((t for t in found[i + 1 :] if t.strip()), "")
+    return bool(re.match(r"[A-Za-z_`]", after)) and after.upper() not in _CLAUSES
+
+
+_CLAUSES = frozenset("WHERE GROUP HAVING ORDER LIMIT ON USING JOIN INNER LEFT RIGHT FULL CROSS OUTER SEMI ANTI NATURAL LATERAL UNION INTERSECT EXCEPT MINUS QUALIFY WINDOW CLUSTER DISTRIBUTE SORT OFFSET TABLESAMPLE PIVOT".split())
+_WITH_FROM = frozenset("EXTRACT TRIM SUBSTRING OVERLAY".split())
+
+
 def check_dataset(name: str) -> None:
     """A name starts with a letter and holds letters, digits and . / - _, none of the marks
     twice in a row."""

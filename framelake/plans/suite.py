@@ -53,7 +53,7 @@ both("sql_subquery", "orders", "SELECT o_custkey, n FROM (SELECT o_custkey, coun
 both(
     "sql_alias_where",
     "orders",
-    "SELECT y, count(*) AS n FROM (SELECT year(o_orderdate) AS y, o_totalprice FROM orders) AS t WHERE y >= 1995 GROUP BY y",
+    "SELECT YEAR(o_orderdate) AS y, COUNT(*) AS n FROM orders WHERE y >= 1995 GROUP BY YEAR(o_orderdate)",
     "SELECT y::INTEGER AS y, count(*) AS n FROM (SELECT year(o_orderdate) AS y FROM orders) WHERE y >= 1995 GROUP BY y",
 )
 

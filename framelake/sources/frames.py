@@ -13,13 +13,14 @@ from collections import defaultdict
 from .paths import sanitize
 
 CONTROL = (".ignore", ".complete", ".manifest", ".idx")
+_ASIDE = re.compile(r"/(BACKOUT|_temporary|_staging-[^/]*)/")  # dead letters, and what is being written
 _BY = re.compile(r"/by_([^/]+)/")
 _FRAME = re.compile(r"^(.*)/(as_at_[^/]+)/(.*)$")
 
 
 def is_data(path: str) -> bool:
     name = path.rsplit("/", 1)[-1]
-    return not name.startswith(("_", ".")) and not name.endswith(CONTROL) and "/BACKOUT/" not in path
+    return not name.startswith(("_", ".")) and not name.endswith(CONTROL) and not _ASIDE.search(path)
 
 
 def choose_partitioning(files: list[str], partition: tuple[str, str, str] | None = None) -> list[str]:
@@ -67,4 +68,5 @@ def newest_frames(files: list[str]) -> list[str]:
 
 
 def resolve(files: list[str], partition: tuple[str, str, str] | None = None) -> list[str]:
+    files = [f for f in files if not _ASIDE.search(f)]
     return [f for f in newest_frames(choose_partitioning(files, partition)) if is_data(f)]

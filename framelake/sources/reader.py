@@ -111,6 +111,9 @@ def sql(spark: SparkSession, statement: str, root: str = "", reader_options: dic
             names[name] = f"_dataset_{uuid.uuid4().hex}"
             df.createOrReplaceTempView(names[name])
             known[name] = df
-        tokens[i] = f"{names[name]} AS {name}" if name.isidentifier() else names[name]
+        tokens[i] = f"{names[name]} AS {name}" if name.isidentifier() and not dialect.has_alias(tokens, i) else names[name]
+    for name, df in known.items():
+        if name.isidentifier():  # for names elsewhere in the statement
+            df.createOrReplaceTempView(name)
     lists = {f.name.lower() for df in known.values() for f in df.schema.fields if isinstance(f.dataType, ArrayType)}
     return Dataset(spark.sql(dialect.lowered(dialect.labelled(dialect.aliased(tokens)), lists)))

@@ -40,7 +40,8 @@ def test_contract(spark):
     assert importlib.import_module("framelake").__doc__
 
 
-def test_works_without_the_training_data_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_works_without_the_training_data_operators(tmp_path, pipeline):
     import shutil
     import subprocess
     import sys
@@ -49,6 +50,8 @@ def test_works_without_the_training_data_operators(tmp_path):
     root = Path(entry.__file__).parent
     shutil.copytree(root / "framelake", tmp_path / "framelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if pipeline:
+        (tmp_path / "corpus_pipeline.py").write_text("from framelake.llm import quality\n")
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, timeout=120)
     assert out.stdout.split() == [str(len(suite.QUERIES)), str(len(suite.SQL))]

@@ -37,6 +37,7 @@ def test_frames():
     assert frames.resolve(by) == by[1:3] and frames.resolve(by, ("a", "=", 1)) == by[:1] and frames.resolve(by, ("b", "=", 9)) == [] and frames.resolve(by, ("z", "=", 1)) == by[1:3]
     with pytest.raises(NotImplementedError):
         frames.resolve(by, ("a", ">", 1))
+    assert frames.resolve(["d/x.jsonl", "d/_staging-1/by_z/x.jsonl", "d/_temporary/0/x.jsonl"]) == ["d/x.jsonl"]
 
 
 def test_formats(spark, tmp_path):
