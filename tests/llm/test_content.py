@@ -231,6 +231,14 @@ def test_copies_do_not_make_a_template(spark):
     assert out[3] == "t3\n\np3" and out[32] == "t2\n\np2"
 
 
+def test_near_copies_keep_their_text(spark):
+    body = "".join("<p>paragraph %d of a text that some pages share</p>" % i for i in range(9))
+    page = "<body><article><h1>t</h1>%s<p>edit %d</p></article></body>"
+    pages = [page % (body, i) for i in range(5)] + ["<body><article><h1>other</h1><p>words %d</p></article></body>" % i for i in range(2)]
+    out = extracted(spark, pages)
+    assert all(out[i].count("paragraph") == 9 and out[i].endswith(f"edit {i}") for i in range(5)) and out[6] == "other\n\nwords 1"
+
+
 def test_long_and_many_fixed_texts_are_dropped(spark):
     notices = "".join("<p>fixed line %d</p>" % i for i in range(70)) + "<p>%s</p>" % ("legal " * 80)
     out = extracted(spark, ["<body><nav>menu</nav><div><h2>t%d</h2><p>p%d</p></div><div>%s</div></body>" % (i, i, notices) for i in range(6)])
