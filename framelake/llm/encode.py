@@ -62,8 +62,7 @@ class Encoder:
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # bytes of each token
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(token.removesuffix("</w>") if self.kind == "words" else token)
-        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.other = re.compile(b"|".join([_OTHER.pattern, *map(re.escape, special)]))
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[bytes, bytes] = {}
         self.most = cache_pieces
 
@@ -80,13 +79,17 @@ class Encoder:
                 group, size = [], 0
         yield from self._group(group)
 
+    def _odd(self, t: bytes) -> bool:
+        """Whether a text is encoded whole: other letters, or a special token's string."""
+        return any(x in t for x in self.special) or (not t.isascii() and _OTHER.search(t) is not None)
+
     def _group(self, texts: list[bytes]) -> list[bytes]:
         if not self.kind:
             return self.whole([t.decode() for t in texts])
         if self.kind == "words":
             texts = [t.lower() for t in texts]
         cut = _PATTERNS[self.kind].findall
-        split = [None if self.other.search(t) else cut(t) for t in texts]
+        split = [None if self._odd(t) else cut(t) for t in texts]
         if len(self.cache) > self.most:
             self.cache.clear()
         self._learn(list({p for s in split if s is not None for p in s}.difference(self.cache)))
