@@ -145,53 +145,63 @@ def piece_starts(raw: bytes, begins: np.ndarray) -> np.ndarray:
     return at[starts[np.concatenate([[_OPEN], after[:-1]]), kind]]
 
 
-def _merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: the pair of least rank is joined, the leftmost of equal ones, until no
-    pair has a rank."""
-    if piece in ranks:
-        return [ranks[piece]]
-    if len(piece) > 64:
-        return _merge_long(piece, ranks)
-    none = len(ranks) + 256
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    rank = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-    while rank and (least := min(rank)) < none:
-        i = rank.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del rank[i]
-        if i:
-            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        if i < len(rank):
-            rank[i] = ranks.get(parts[i] + parts[i + 1], none)
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same through a heap, in n log n steps."""
-    n = len(piece)
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a place
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-
-    def offer(i: int) -> None:
-        if i >= 0 and end[i] < n and (r := ranks.get(piece[i : end[end[i]]])) is not None:
-            heapq.heappush(heap, (r, i, end[end[i]]))
-
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        if end[i] <= i or end[i] >= n or end[end[i]] != stop:
-            continue  # one of its parts has been joined since
-        middle = end[i]
-        end[i], end[middle] = stop, -1
-        if stop < n:
-            before[stop] = i
-        offer(i)
-        offer(before[i])
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+class Merges(dict):
+    """Bytes of the ids of each piece; a piece that is met first is merged: of its neighbours the
+    pair of least rank is joined, the leftmost of equal ones, until no pair has a rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.held = ranks, 0
+        self.single = [ranks[bytes([i])] for i in range(256)]
+        # A pair's rank is the id of what it makes.
+        self.pairs = {ranks[w[:i]] << 32 | ranks[w[i:]]: r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        self.held += len(piece)
+        self[piece] = out = np.array(self.merge(piece), dtype="<i4").tobytes()
+        return out
+
+    def merge(self, piece: bytes, long: int = 64) -> list[int]:
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        ids, pair = [self.single[c] for c in piece], self.pairs.get
+        if len(piece) > long:
+            return self._merge_long(ids)
+        none = 1 << 32
+        rank = [pair(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while rank and (least := min(rank)) < none:
+            i = rank.index(least)
+            ids[i] = least
+            del ids[i + 1], rank[i]
+            if i:
+                rank[i - 1] = pair(ids[i - 1] << 32 | least, none)
+            if i < len(rank):
+                rank[i] = pair(least << 32 | ids[i + 1], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same through a heap, in n log n steps."""
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n and (r := self.pairs.get(ids[i] << 32 | ids[after[i]])) is not None:
+                heapq.heappush(heap, (r, i, ids[i], ids[after[i]]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue  # one of the two has been joined since
+            ids[i], ids[j], after[i] = rank, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            offer(before[i])
+        return [x for x in ids if x >= 0]
 
 
 class Vocabulary:
@@ -208,8 +218,7 @@ class Vocabulary:
             self.sizes[i], pieces[i] = len(piece), piece
         self.at = np.cumsum(self.sizes) - self.sizes
         self.pieces = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self.cache: dict[bytes, bytes] = {}
-        self.held = 0
+        self.merges = Merges(self.ranks)
 
     def encode(self, texts: list[bytes], most: int = _GROUP) -> Iterator[np.ndarray]:
         """Ids of each text.  Texts are scanned together up to ``most`` bytes; a longer one is
@@ -235,13 +244,10 @@ class Vocabulary:
         bounds = np.searchsorted(starts, np.append(begins, len(raw) + 1)).tolist()
         ends = [*starts[1:].tolist(), len(raw)]
         pieces = [raw[a:b] for a, b in zip(starts.tolist(), ends)]
-        if self.held > _CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
-        for p in set(pieces).difference(self.cache):
-            self.cache[p] = np.array(_merge(p, self.ranks), dtype="<i4").tobytes()
-            self.held += len(p)
-        coded = list(map(self.cache.__getitem__, pieces))
+        if self.merges.held > _CACHE_BYTES:
+            self.merges.clear()
+            self.merges.held = 0
+        coded = list(map(self.merges.__getitem__, pieces))
         for k in range(len(texts)):
             # The byte between two texts is the last piece before the next text's first.
             last = bounds[k + 1] - (k + 1 < len(texts))

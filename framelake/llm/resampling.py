@@ -57,23 +57,29 @@ def _apply(tables: np.ndarray, which: np.ndarray, crc: np.ndarray) -> np.ndarray
     return out
 
 
-class Words:
+class Words(dict):
     """Numbers of the words met by a task, with the CRC of each and of a blank and it."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
+        super().__init__()
+        self.new: list[bytes] = []
         self.size, self.crc, self.joined = (np.zeros(0, dtype=t) for t in (np.int64, np.uint32, np.uint32))
 
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = out = len(self)
+        return out
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > _KNOWN_WORDS:
+        if len(self) > _KNOWN_WORDS:
+            self.clear()
             self.__init__()
-        new = list(set(words).difference(self.number))
-        for w in new:
-            self.number[w] = len(self.number)
-        self.size = np.append(self.size, [len(w) + 1 for w in new]).astype(np.int64)
-        self.crc = np.append(self.crc, np.array([zlib.crc32(w) for w in new], dtype=np.uint32))
-        self.joined = np.append(self.joined, np.array([zlib.crc32(b" " + w) for w in new], dtype=np.uint32))
-        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        out = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        self.size = np.append(self.size, [len(w) + 1 for w in self.new]).astype(np.int64)
+        self.crc = np.append(self.crc, np.array([zlib.crc32(w) for w in self.new], dtype=np.uint32))
+        self.joined = np.append(self.joined, np.array([zlib.crc32(b" " + w) for w in self.new], dtype=np.uint32))
+        self.new = []
+        return out
 
 
 class Trie:
