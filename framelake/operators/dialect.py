@@ -1,8 +1,9 @@
 """The query surface's spellings, rewritten token by token into Spark's.
 
-Nothing is parsed here: a statement or condition is cut into tokens, some of them are replaced,
-and Spark parses the rest.  Comparisons keep two-valued logic: ``!=`` is true beside a null, and
-so is a NOT over a test that null makes undecided.
+A statement or condition is cut into tokens, some of them are replaced, and Spark parses the rest.
+Comparisons keep two-valued logic: ``!=`` is true beside a null, and so is a NOT over a test that
+null makes undecided; the test under a NOT is found by precedence.  In ON, where tests
+pair rows, they stay Spark's, so that nulls meet nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from ..functions import SQL_NAMES
 _TOKEN = re.compile(r"""/\*.*?\*/|--[^\n]*|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`(?:[^`]|``)*`|[A-Za-z_][\w.]*(?:[/-][\w.]+)*(?=\s|\)|;|$)|[A-Za-z_][\w.]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|<=>|<>|!=|==|<=|>=|\s+|.""", re.S)
 _COMPARE = {"==": "<=>", "=": "<=>", "!=": "IS DISTINCT FROM", "<>": "IS DISTINCT FROM"}
 _AGGREGATES = frozenset("SUM MAX MIN AVG COUNT".split())
-_NOT_NAMES = frozenset("AND OR NOT IN LIKE IS MATCHES CONTAINS SELECT DISTINCT FROM WHERE GROUP BY HAVING ORDER LIMIT AS ASC DESC ILIKE RLIKE".split())
+_TESTS = frozenset("IN LIKE MATCHES CONTAINS ILIKE RLIKE REGEXP BETWEEN".split())  # a NOT may stand before these
+_NOT_NAMES = _TESTS | frozenset("AND OR NOT IS SELECT DISTINCT FROM WHERE GROUP BY HAVING ORDER LIMIT AS ASC DESC ON WHEN THEN ELSE CASE QUALIFY ESCAPE DIV ALL".split())
+_SIGNS = frozenset("+ - * / % || & | ^ DIV".split())
 
 
 def tokens(text: str) -> list[str]:
@@ -34,10 +37,33 @@ def _at(found: list[str], i: int) -> str:
     return found[i] if 0 <= i < len(found) else ""
 
 
+def _given_names(found: list[str]) -> set[str]:
+    """Names that WITH gives to subqueries, in lower case."""
+    out: set[str] = set()
+    for i, t in enumerate(found):
+        if t.upper() != "WITH":
+            continue
+        j = _next(found, i)
+        if _at(found, j).upper() == "RECURSIVE":
+            j = _next(found, j)
+        while re.match(r"[A-Za-z_`]", _at(found, j)):
+            name, j = found[j], _next(found, j)
+            if _at(found, j) == "(":
+                j = _next(found, _closing(found, j) - 1)
+            if _at(found, j).upper() != "AS" or _at(found, _next(found, j)) != "(":
+                break
+            out.add(name.strip("`").lower())
+            j = _next(found, _closing(found, _next(found, j)) - 1)
+            if _at(found, j) != ",":
+                break
+            j = _next(found, j)
+    return out
+
+
 def dataset_places(found: list[str]) -> list[int]:
-    """Places of the names after FROM and JOIN; subqueries are passed over, and so are the
-    FROM of IS DISTINCT FROM and of functions such as EXTRACT."""
-    out, inside = [], []
+    """Places of the names after FROM and JOIN; subqueries and their names are passed over, and so
+    are the FROM of IS DISTINCT FROM and of functions such as EXTRACT."""
+    out, inside, given = [], [], _given_names(found)
     for i, t in enumerate(found):
         if t == "(":
             inside.append(_at(found, _next(found, i, -1)).upper())
@@ -52,7 +78,8 @@ def dataset_places(found: list[str]) -> list[int]:
         while k < len(found) and found[k] != " " and (found[k] in "/-." or re.fullmatch(r"[\w.]+", found[k])):
             k += 1
         found[j:k] = ["".join(found[j:k]), *[""] * (k - j - 1)]
-        out.append(j)
+        if found[j].lower() not in given:
+            out.append(j)
     return out
 
 
@@ -146,55 +173,85 @@ def label(parts: list[str]) -> str:
     return "".join(named).replace("`", "``")
 
 
-def lowered(found: list[str] | str, lists: frozenset[str] | set[str] = frozenset()) -> str:
-    """The text for Spark.  ``lists``: lower-case names of columns that are arrays."""
+def _ends_operand(found: list[str], i: int) -> bool:
+    """Whether the last token before place i ends a value: a name, a literal or a call."""
+    t = _at(found, _next(found, i, -1))
+    return bool(t) and t not in _SIGNS and t not in "(,=<>" and t not in _COMPARE and t not in ("<=", ">=", "<=>", " ") and t.upper() not in _NOT_NAMES
+
+
+def lowered(found: list[str] | str, lists: frozenset[str] | set[str] = frozenset(), pairing: bool = False) -> str:
+    """The text for Spark.  ``lists``: lower-case names of columns that are arrays; ``pairing``:
+    the text is within ON."""
     found = tokens(found) if isinstance(found, str) else [t for t in found if t != ""]
     out: list[str] = []
+    outer: list[bool] = []
     i = 0
     while i < len(found):
-        t, word = found[i], found[i].upper()
-        if word == "NOT" and _at(found, _next(found, i, -1)).upper() != "IS" and _at(found, _next(found, i)).upper() not in ("LIKE", "IN", "NULL", "NONE", ""):
-            end = _condition(found, _next(found, i))
-            out.append(f"NOT coalesce({lowered(found[i + 1 : end], lists).strip()}, false)")
+        t, word, after = found[i], found[i].upper(), _next(found, i)
+        if t == "(":
+            outer.append(pairing)
+        elif t == ")" and outer:
+            pairing = outer.pop()
+        elif word == "ON":
+            pairing = True
+        elif word in _ENDS_ON:
+            pairing = False
+        if word == "NOT" and _at(found, after).upper() in _TESTS and _ends_operand(found, i):
+            start, end = _left(out), _condition(found, after, True)
+            test = lowered([*out[start:], " ", *found[after:end]], lists, pairing)
+            out[start:] = [f"NOT coalesce({test.strip()}, false)"]
             i = end
-            if i < len(found):
-                out.append(" ")
             continue
-        if word == "NOT" and _at(found, _next(found, i)).upper() in ("LIKE", "IN"):
-            start = _operand(out)
-            end = _condition(found, _next(found, i))
-            test = lowered([*out[start:], " ", *found[_next(found, i) : end]], lists)
-            out[start:] = [f"NOT coalesce({test.strip()}, false) "]
+        if word == "NOT" and _at(found, _next(found, i, -1)).upper() != "IS" and _at(found, after).upper() not in ("NULL", "NONE", "EXISTS", "DETERMINISTIC", ""):
+            end = _condition(found, after)
+            out.append(f"NOT coalesce({lowered(found[i + 1 : end], lists, pairing).strip()}, false)")
             i = end
             continue
         if t in _COMPARE:
-            out.append(f" {_COMPARE[t]} ")
+            out.append({"==": " = "}.get(t, f" {t} ") if pairing else f" {_COMPARE[t]} ")
         elif word == "LIKE":
             out.append("ILIKE")
         elif word == "MATCHES":
             out.append("RLIKE")
         elif word == "NONE" and _at(found, _next(found, i, -1)).upper() in ("IS", "NOT"):
             out.append("NULL")
-        elif word == "CONTAINS" and _at(found, _next(found, i)) != "(":
-            start, value = _operand(out), _next(found, i)
+        elif word == "CONTAINS" and _at(found, after) != "(":
+            start, value = _operand(out), after
             name = "".join(out[start:]).strip()
             test = "array_contains" if name.strip("`").lower() in lists else "contains"
             out[start:] = [f"{test}({name}, {_at(found, value)})"]
             i = value
-        elif word in SQL_NAMES and _at(found, _next(found, i)) == "(":
-            end = _closing(found, _next(found, i))
-            args = _arguments(found[_next(found, i) + 1 : end - 1])
-            out.append(SQL_NAMES[word]([lowered(a, lists).strip() for a in args], [a for a in args], lists))
+        elif word in SQL_NAMES and _at(found, after) == "(" and not (word in _TESTS and _ends_operand(found, i)):
+            end = _closing(found, after)
+            inside = found[after + 1 : end - 1]
+            args = _arguments(inside)
+            if word in _WITH_FROM and _own(inside, "FROM"):
+                out.append(f"{t}({lowered(inside, lists, pairing)})")
+            else:
+                out.append(SQL_NAMES[word]([lowered(a, lists, pairing).strip() for a in args], args, lists))
             i = end - 1
-        elif word in _AGGREGATES and _at(found, _next(found, i)) == "(":
+        elif word in _AGGREGATES and _at(found, after) == "(":
             out.append(t)
-            i = _next(found, i) - 1  # no blank before the parenthesis
+            i = after - 1  # no blank before the parenthesis
         else:
             out.append(t)
         i += 1
     return "".join(out)
 
 
+_ENDS_ON = frozenset("SELECT WHERE GROUP HAVING ORDER LIMIT QUALIFY UNION INTERSECT EXCEPT MINUS WINDOW".split())
+
+
+def _own(found: list[str], word: str) -> bool:
+    """Whether a word stands outside parentheses."""
+    depth = 0
+    for t in found:
+        depth += (t == "(") - (t == ")")
+        if not depth and t.upper() == word:
+            return True
+    return False
+
+
 def _arguments(found: list[str]) -> list[list[str]]:
     out, depth = [[]], 0
     for t in found:
@@ -206,23 +263,48 @@ def _arguments(found: list[str]) -> list[list[str]]:
     return [a for a in out if "".join(a).strip()]
 
 
-def _condition(found: list[str], i: int) -> int:
-    """The place behind the one condition that starts at i."""
-    depth = 0
+_ENDS_TEST = _ENDS_ON | frozenset("OR THEN WHEN ELSE AS ASC DESC NULLS FROM ON JOIN , )".split())
+_JOINS = frozenset("LEFT RIGHT INNER FULL CROSS NATURAL SEMI ANTI".split())
+
+
+def _condition(found: list[str], i: int, test: bool = False) -> int:
+    """The place behind the condition that starts at i: what binds closer than AND and OR, with the
+    AND of each BETWEEN and all within parentheses and CASE.  ``test``: i is at a test's word, whose
+    left side stands before."""
+    depth = between = 0
+    first = i
     while i < len(found):
         t = found[i].upper()
-        if t == "(":
+        if t in ("(", "CASE"):
             depth += 1
-        elif t == ")":
+        elif t in (")", "END"):
             depth -= 1
-        if depth < 0 or (not depth and t in ("AND", "OR", "GROUP", "HAVING", "ORDER", "LIMIT")):
+        if depth < 0:
             break
+        if not depth:
+            if t == "BETWEEN" and ((test and i == first) or _ends_operand(found[first:i], i - first)):
+                between += 1
+            elif t == "AND" and between:
+                between -= 1
+            elif t == "AND" or (t in _ENDS_TEST and found[i] not in "()") or (t in _JOINS and _at(found, _next(found, i)) != "("):
+                if not (t == "FROM" and _at(found, _next(found, i, -1)).upper() == "DISTINCT"):
+                    break
         i += 1
-    while i and found[i - 1] == " ":
+    while i > first and found[i - 1] == " ":
         i -= 1
     return i
 
 
+def _left(out: list[str]) -> int:
+    """Where the left side of a test at the end of ``out`` starts: operands joined by signs."""
+    start = _operand(out)
+    while (sign := _next(out, start, -1)) >= 0 and _at(out, sign).strip().upper() in _SIGNS:
+        if not _ends_operand(out, sign):  # a sign of its own
+            return sign
+        start = _operand(out[:sign])
+    return start
+
+
 def _operand(out: list[str]) -> int:
     """Where the operand at the end of ``out`` starts: a name, a value or a call."""
     i = len(out) - 1

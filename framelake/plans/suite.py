@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fn
 from ..operators import predicates as P
 from ..operators.dataset import Dataset
 from ..session import scratch_path
-from ..sources import storage, writers
+from ..sources import formats, storage, writers
 from ..sources.reader import reader
 from ..sources.reader import sql as run_sql
 from ..streaming import sink
@@ -155,6 +156,35 @@ def expr_string_null(spark, d):
     return nulled(spark, d).filter("u != 5 AND NOT u < 20 AND NOT u IN (30, 31)").select("event_id").df
 
 
+@query("expr_not_between", f"SELECT event_id FROM ({_NULLED}) WHERE NOT coalesce(u BETWEEN 10 AND 60, false) AND NOT coalesce(event_type = 'click', false)")
+def expr_not_between(spark, d):
+    return nulled(spark, d).filter("u NOT BETWEEN 10 AND 60 AND NOT event_type = 'click'").select("event_id").df
+
+
+@query("expr_not_precedence", f"SELECT event_id FROM ({_NULLED}) WHERE NOT coalesce(u BETWEEN 10 AND 60, false) AND u % 2 = 0 OR NOT coalesce(u + 5 > 2 * 30, false) AND event_type = 'view'")
+def expr_not_precedence(spark, d):
+    return nulled(spark, d).filter("NOT u BETWEEN 10 AND 60 AND u % 2 = 0 OR NOT u + 5 > 2 * 30 AND event_type = 'view'").select("event_id").df
+
+
+@query("sql_case_not", f"SELECT event_type, sum(CASE WHEN NOT coalesce(u > 50, false) THEN 1 ELSE 0 END)::BIGINT AS low, count(*) FILTER (u IS DISTINCT FROM 7) AS other, sum(if(coalesce(u IN (1, 2), false), 0, 1))::BIGINT AS out FROM ({_NULLED}) GROUP BY event_type")
+def sql_case_not(spark, d):
+    q = "SELECT event_type, sum(CASE WHEN NOT u > 50 THEN 1 ELSE 0 END) AS low, count_if(NOT u = 7) AS other, sum(IF(u NOT IN (1, 2), 1, 0)) AS out FROM e GROUP BY event_type"
+    return run_sql(spark, q, e=nulled(spark, d)).df
+
+
+@query("sql_cte", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000), per (k, n) AS (SELECT o_custkey, count(*) FROM big GROUP BY o_custkey) SELECT k, n FROM per WHERE n NOT BETWEEN 2 AND 3")
+def sql_cte(spark, d):
+    q = "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000), per (k, n) AS (SELECT o_custkey, count(*) FROM big GROUP BY o_custkey) SELECT k, n FROM per WHERE n NOT BETWEEN 2 AND 3"
+    return run_sql(spark, q, orders=read(spark, d, "orders")).df
+
+
+@query("sql_join_nulls", f"SELECT a.event_id AS x, c.c_name AS name FROM ({_NULLED}) a LEFT JOIN (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS k, c_name FROM customer) c ON a.u = c.k WHERE a.u IS DISTINCT FROM 10")
+def sql_join_nulls(spark, d):
+    """In ON a null meets nothing; in WHERE it is not 10."""
+    customers = read(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).alias("k"), "c_name")
+    return run_sql(spark, "SELECT a.event_id AS x, c.c_name AS name FROM a LEFT JOIN c ON a.u = c.k WHERE a.u != 10", a=nulled(spark, d), c=customers).df
+
+
 # scalar functions
 @query(
     "fn_date_parts",
@@ -328,6 +358,45 @@ def catalog_freshness(spark, d):
     return reader(spark, root, start_date="2024-02-06", freshness_limit="3d").df
 
 
+@query("catalog_csv_headers", "SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def catalog_csv_headers(spark, d):
+    """CSV files with columns of another order and number, each read by its own header."""
+    root, c = scratch_path(spark, "headers"), read(spark, d, "customer").df
+    for i, names in enumerate((("c_name", "c_custkey"), ("c_custkey", "c_mktsegment"), ("c_mktsegment", "c_custkey"))):
+        c.where(F.col("c_custkey") % 3 == i).select(*names).write.csv(f"{root}/{i}", header=True)
+    return reader(spark, root, raw_path=True, select=["c_custkey", "c_name", "c_mktsegment"]).df
+
+
+@query("catalog_schema_union", "SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::VARCHAR AS o_custkey, CASE WHEN o_orderkey % 4 IN (1, 3) THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 <> 2 THEN o_totalprice END AS o_totalprice FROM orders")
+def catalog_schema_union(spark, d):
+    """Parquet, ORC, JSON lines and CSV files whose columns differ in number and type."""
+    root, o = scratch_path(spark, "evolving"), read(spark, d, "orders").df
+    part = lambda i, *c: o.where(F.col("o_orderkey") % 4 == i).select(*c)
+    key, customer = F.col("o_orderkey").cast("int").alias("o_orderkey"), F.col("o_custkey").cast("string").alias("o_custkey")
+    part(0, key, "o_custkey", "o_totalprice").write.parquet(f"{root}/0")
+    part(1, F.col("o_orderkey").cast("bigint"), "o_orderstatus", customer, "o_totalprice").write.parquet(f"{root}/1")
+    part(2, key, customer).write.orc(f"{root}/2")
+    part(3, "o_orderstatus", "o_orderkey", "o_custkey", "o_totalprice").write.json(f"{root}/3")
+    return reader(spark, root, raw_path=True, select=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]).df
+
+
+@query("catalog_bad_blob", "SELECT o_orderkey, 1::BIGINT AS n_bad FROM orders WHERE o_orderkey % 10 <> 4")
+def catalog_bad_blob(spark, d):
+    """Ten folders of archives, one of which holds no archive: the rest is read, and one is counted."""
+    root = scratch_path(spark, "blobs")
+    orders = read(spark, d, "orders").df.select("o_orderkey", (F.col("o_orderkey") % 10).alias("part"))
+    writers.write_routed(orders.withColumn("_path", F.concat(F.lit("part-"), "part")).drop("part").repartition(4, "_path"), root, "zstd")
+    storage.delete(spark, f"{root}/part-4")
+    spark.createDataFrame([("no archive",)], "value string").coalesce(1).write.text(f"{root}/broken")
+    for f in storage.files(spark, f"{root}/broken"):
+        if f.endswith(".txt"):
+            storage.move(spark, f, f"{root}/part-4/blob.zstd")
+    lost = formats.Rejects()
+    out = reader(spark, root, raw_path=True, rejects=lost, schema=T.StructType.fromDDL("o_orderkey bigint")).df
+    out.count()
+    return out.withColumn("n_bad", F.lit(lost.count()).cast("bigint"))
+
+
 @query("cursor_resume", "SELECT n_nationkey, n_name FROM nation")
 def cursor_resume(spark, d):
     """A read that stops after seven rows and goes on from its cursor."""

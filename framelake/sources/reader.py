@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,9 +77,11 @@ def reader(
     persistence: Storage = Storage.NONE,
     valid_dataset_prefixes: list[str] | None = None,
     cursor: dict | str | None = None,
+    rejects: formats.Rejects | None = None,
 ) -> Dataset | CursorRead:
     """Selects after filtering, so filters may use columns that are not selected; Spark
-    pushes both to the scan.  With a ``cursor``, {} for the first read, rows come one by one
+    pushes both to the scan.  Blobs and lines that cannot be read are left out and told to
+    ``rejects``.  With a ``cursor``, {} for the first read, rows come one by one
     from a resumable ``CursorRead`` instead."""
     if valid_dataset_prefixes and not any(dataset.startswith(p) for p in valid_dataset_prefixes):
         raise AccessDenied(f"{dataset} is outside the allowed prefixes")
@@ -90,30 +93,38 @@ def reader(
 
     if cursor is not None:
         return CursorRead(spark, paths, cursor, schema, override_format, chosen)
-    df = formats.read_files(spark, paths, schema, override_format)
+    df = formats.read_files(spark, paths, schema, override_format, rejects)
     if df is None:
         raise DataNotFoundError(f"no data in {dataset}")
     return Dataset(chosen(df), persistence)
 
 
 def sql(spark: SparkSession, statement: str, root: str = "", reader_options: dict | None = None, **datasets: Dataset | DataFrame) -> Dataset:
-    """Spark SQL over datasets.  A name after FROM is one of ``datasets`` or, with dots for
-    slashes, a dataset's path below ``root``, read with ``reader_options`` (dates, filters and
-    so on).  Operators, function names and labels are those of ``dialect``."""
+    """Spark SQL over datasets.  A name after FROM is, in this order, that of a subquery in WITH, one of
+    ``datasets``, a view or table of the session, or, with dots for slashes, a dataset's path below
+    ``root``, read with ``reader_options`` (dates, filters and so on).  Operators, function
+    names and labels are those of ``dialect``.  The session's views stay as they are."""
     known = {k: v.df if isinstance(v, Dataset) else v for k, v in datasets.items()}
     tokens, names = dialect.tokens(statement), {}
-    for i in dialect.dataset_places(tokens):
-        name = tokens[i]
-        if name not in names:
-            path = name.replace(".", "/")
-            dialect.check_dataset(name)
-            df = known[name] if name in known else reader(spark, f"{root.rstrip('/')}/{path}" if root else path, **(reader_options or {})).df
-            names[name] = f"_dataset_{uuid.uuid4().hex}"
-            df.createOrReplaceTempView(names[name])
-            known[name] = df
-        tokens[i] = f"{names[name]} AS {name}" if name.isidentifier() and not dialect.has_alias(tokens, i) else names[name]
-    for name, df in known.items():
-        if name.isidentifier():  # for names elsewhere in the statement
-            df.createOrReplaceTempView(name)
-    lists = {f.name.lower() for df in known.values() for f in df.schema.fields if isinstance(f.dataType, ArrayType)}
-    return Dataset(spark.sql(dialect.lowered(dialect.labelled(dialect.aliased(tokens)), lists)))
+    try:
+        for i in dialect.dataset_places(tokens):
+            name = tokens[i]
+            if name not in known and _is_table(spark, name):
+                continue
+            if name not in names:
+                dialect.check_dataset(name)
+                path = name.replace(".", "/")
+                if name not in known:
+                    known[name] = reader(spark, f"{root.rstrip('/')}/{path}" if root else path, **(reader_options or {})).df
+                names[name] = f"_dataset_{uuid.uuid4().hex}"
+                known[name].createOrReplaceTempView(names[name])
+            tokens[i] = f"{names[name]} AS {name}" if name.isidentifier() and not dialect.has_alias(tokens, i) else names[name]
+        lists = {f.name.lower() for df in known.values() for f in df.schema.fields if isinstance(f.dataType, ArrayType)}
+        return Dataset(spark.sql(dialect.lowered(dialect.labelled(dialect.aliased(tokens)), lists)))
+    finally:
+        for view in names.values():  # the frame is analyzed by now
+            spark.catalog.dropTempView(view)
+
+
+def _is_table(spark: SparkSession, name: str) -> bool:
+    return re.fullmatch(r"\w+(\.\w+)?", name) is not None and spark.catalog.tableExists(name)
