@@ -20,15 +20,16 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_GROUP = 1 << 21  # bytes of text scanned at once
-_CACHE_BYTES = 24 << 20
+_GROUP = 1 << 20  # bytes of text scanned at once
+_CACHE_BYTES = 5 << 20  # of pieces; some 40 times as much in memory
+_BATCH_IDS = 1 << 19
 _ROWS = "doc_id long, ids array<int>, offsets array<int>"
 
 # Classes of code points.  A mark is an apostrophe before s, t, m, d or before re, ve, ll;
@@ -153,8 +154,12 @@ class Merges(dict):
         super().__init__()
         self.ranks, self.held = ranks, 0
         self.single = [ranks[bytes([i])] for i in range(256)]
-        # A pair's rank is the id of what it makes.
-        self.pairs = {ranks[w[:i]] << 32 | ranks[w[i:]]: r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """A pair's rank is the id of what it makes."""
+        r = self.ranks
+        return {r[w[:i]] << 32 | r[w[i:]]: k for w, k in r.items() for i in range(1, len(w)) if w[:i] in r and w[i:] in r}
 
     def __missing__(self, piece: bytes) -> bytes:
         self.held += len(piece)
@@ -315,13 +320,14 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for b in batches:
-            texts, first = _bytes(b.column(1)), 0
+            texts, first, size = _bytes(b.column(1)), 0, 0
             held: list[np.ndarray] = []
             for k, ids in enumerate(words.encode(texts)):
                 held.append(ids)
-                if sum(map(len, held[-64:])) > 1 << 20 or len(held) >= 2_000 or k + 1 == len(texts):
+                size += len(ids)
+                if size >= _BATCH_IDS or k + 1 == len(texts):
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), _lists(held), _lists([words.offsets(i) for i in held])], names=["doc_id", "ids", "offsets"])
-                    first, held = k + 1, []
+                    first, size, held = k + 1, 0, []
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col(text)).mapInArrow(run, _ROWS)
 
@@ -333,12 +339,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for b in batches:
-            out = []
-            for ids, offsets in zip(b.column("ids"), b.column("offsets")):
-                if ids.is_valid and len(ids):
-                    out.append(words.decode(ids.values.to_numpy(), offsets.values.to_numpy()))
-                else:
-                    out.append(b"")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "offsets", "decoded"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                out = [words.decode(i.values.to_numpy(), o.values.to_numpy()) if i.is_valid and len(i) else b"" for i, o in zip(part.column("ids"), part.column("offsets"))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "offsets", "decoded"])
 
     return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, _ROWS + ", decoded binary")
