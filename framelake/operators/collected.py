@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dataset import Dataset
+from .dataset import Dataset, name_of
 
 
 class CollectedSet:
@@ -18,7 +18,7 @@ class CollectedSet:
 
     def count(self) -> Dataset:
         """(key, count)."""
-        return Dataset(self.df.groupBy(self.key).agg(F.count("*").alias("count")))
+        return Dataset(self.df.groupBy(name_of(self.key)).agg(F.count("*").alias("count")))
 
     def aggregate(self, column: str, f: str | Callable[[list], Any], returns: str = "double", merge: Callable[[list], Any] | None = None) -> Dataset:
         """One value a key: 'max', 'min', 'sum', 'len', 'avg' in Spark, or a function of the
@@ -29,8 +29,8 @@ class CollectedSet:
         for fn, name in ((max, "max"), (min, "min"), (sum, "sum"), (len, "len")):
             f = name if f is fn else f
         if isinstance(f, str):
-            return Dataset(self.df.groupBy(self.key).agg(native[f](column).alias(column)))
-        rows, last = self.df.select(self.key, column), merge or f
+            return Dataset(self.df.groupBy(name_of(self.key)).agg(native[f](name_of(column)).alias(column)))
+        rows, last = self.df.select(name_of(self.key), name_of(column)), merge or f
         if merge is not None:
             key = rows.schema[self.key].dataType.simpleString()
 
@@ -41,21 +41,21 @@ class CollectedSet:
 
             rows = rows.mapInPandas(parts, f"k {key}, v {returns}").toDF(self.key, column)
         run = F.pandas_udf(lambda s: s.map(lambda v: last(list(v))), returns)
-        return Dataset(rows.groupBy(self.key).agg(F.collect_list(column).alias("_v")).select(self.key, run("_v").alias(column)))
+        return Dataset(rows.groupBy(name_of(self.key)).agg(F.collect_list(name_of(column)).alias("_v")).select(name_of(self.key), run("_v").alias(column)))
 
     def apply(self, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> Dataset:
         """A function of each key's records."""
-        return Dataset(self.df.groupBy(self.key).applyInPandas(f, schema))
+        return Dataset(self.df.groupBy(name_of(self.key)).applyInPandas(f, schema))
 
     def __len__(self) -> int:
-        return self.df.select(self.key).distinct().count()
+        return self.df.select(name_of(self.key)).distinct().count()
 
     def __contains__(self, value: Any) -> bool:
-        return not self.df.where(F.col(self.key).eqNullSafe(value)).isEmpty()
+        return not self.df.where(name_of(self.key).eqNullSafe(value)).isEmpty()
 
     def __getitem__(self, value: Any) -> Dataset:
-        return Dataset(self.df.where(F.col(self.key).eqNullSafe(value)))
+        return Dataset(self.df.where(name_of(self.key).eqNullSafe(value)))
 
     def items(self) -> Iterator[tuple[Any, Dataset]]:
-        for r in self.df.select(self.key).distinct().toLocalIterator():
+        for r in self.df.select(name_of(self.key)).distinct().toLocalIterator():
             yield r[0], self[r[0]]

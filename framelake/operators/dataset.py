@@ -14,6 +14,18 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, Numeric
 from . import dialect, display, predicates
 
 
+def name_of(name: str) -> Column:
+    """A column by its whole name, which may have dots; '*' is all."""
+    return F.col(name if name == "*" else "`" + name.replace("`", "``") + "`")
+
+
+def _ordered(t: DataType) -> bool:
+    """Whether values of a type can be compared."""
+    if isinstance(t, StructType):
+        return all(_ordered(f.dataType) for f in t)
+    return _ordered(t.elementType) if isinstance(t, ArrayType) else not isinstance(t, (MapType, VariantType))
+
+
 class Storage(Enum):
     """How a Dataset's rows are kept once computed."""
 
@@ -112,11 +124,13 @@ class Dataset:
         if not columns:
             return self._new(self.df.distinct())
         # A minimum over a struct combines before the shuffle; a window would not.
-        rest = [c for c in self.df.columns if c not in columns]
+        keys, rest = [name_of(c) for c in columns], [name_of(c) for c in self.df.columns if c not in columns]
         if not rest:
-            return self._new(self.df.select(*columns).distinct())
-        kept = self.df.groupBy(*columns).agg(F.min(F.struct(*rest)).alias("_first"))
-        return self._new(kept.select(*columns, "_first.*").select(*self.df.columns))
+            return self._new(self.df.select(*keys).distinct())
+        row = F.struct(*rest)
+        first = F.min(row) if all(_ordered(f.dataType) for f in self.df.schema if f.name not in columns) else F.min_by(row, F.to_json(row))
+        kept = self.df.groupBy(*keys).agg(first.alias("_first"))
+        return self._new(kept.select(*keys, "_first.*").select(*map(name_of, self.df.columns)))
 
     def sample(self, fraction: float, seed: int | None = None) -> Dataset:
         return self._new(self.df.sample(fraction, seed))
@@ -124,8 +138,8 @@ class Dataset:
     # order
     def sort_and_take(self, column: str, take: int = 5000, descending: bool = False) -> Dataset:
         """Top rows; nulls first ascending, last descending; equal ones by the other columns."""
-        c = F.col(column)
-        rest = [F.col(f"`{f.name}`") for f in self.df.schema if f.name != column and not isinstance(f.dataType, (MapType, VariantType))]
+        c = name_of(column)
+        rest = [name_of(f.name) if _ordered(f.dataType) else F.to_json(name_of(f.name)) for f in self.df.schema if f.name != column]
         return self._new(self.df.orderBy(c.desc() if descending else c.asc(), *rest).limit(take))
 
     def take(self, n: int) -> Dataset:
@@ -164,32 +178,32 @@ class Dataset:
         return r[0] if len(aggregates) == 1 else tuple(r)
 
     def min(self, c: str):
-        return self._one(F.min(c))
+        return self._one(F.min(name_of(c)))
 
     def max(self, c: str):
-        return self._one(F.max(c))
+        return self._one(F.max(name_of(c)))
 
     def sum(self, c: str):
-        return self._one(F.sum(c))
+        return self._one(F.sum(name_of(c)))
 
     def min_max(self, c: str):
-        return self._one(F.min(c), F.max(c))
+        return self._one(F.min(name_of(c)), F.max(name_of(c)))
 
     def mean(self, c: str):
-        return self._one(F.avg(c))
+        return self._one(F.avg(name_of(c)))
 
     def variance(self, c: str):
         """Of a sample."""
-        return self._one(F.var_samp(c))
+        return self._one(F.var_samp(name_of(c)))
 
     def standard_deviation(self, c: str):
-        return self._one(F.stddev_samp(c))
+        return self._one(F.stddev_samp(name_of(c)))
 
     def count(self) -> int:
         return self.df.count()
 
     def collect_list(self, column: str) -> list:
-        return [r[0] for r in self.df.select(column).collect()]
+        return [r[0] for r in self.df.select(name_of(column)).collect()]
 
     def collect_set(self, column: str, dedupe: bool = False):
         from .collected import CollectedSet
@@ -202,13 +216,15 @@ class Dataset:
         if low is None:
             return self._new(self.df.select(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("n")).limit(0))
         width = (1 + high - low) / max(bins - 1, 1)
-        b = F.floor((F.col(column) - F.lit(low)) / F.lit(float(width))).cast("int")
-        return self._new(self.df.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n")))
+        b = F.floor((name_of(column) - F.lit(low)) / F.lit(float(width))).cast("int")
+        return self._new(self.df.where(name_of(column).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n")))
 
     def set_hash(self) -> int:
-        """64 bits that do not depend on the order of rows or columns."""
-        names = sorted(self.df.columns)
-        return self.df.agg(F.coalesce(F.bit_xor(F.xxhash64(F.to_json(F.struct(*names)))), F.lit(0))).first()[0]
+        """64 bits that do not depend on the order of rows or columns, but on every row and how often
+        it is there: sums of two hashes of each row, and the number of rows."""
+        row = F.to_json(F.struct(*map(name_of, sorted(self.df.columns))))
+        sums = [F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string") for h in (F.xxhash64(row), F.xxhash64(F.lit("2"), row))]
+        return self.df.agg(F.xxhash64(*sums, F.count("*"))).first()[0]
 
     # schema and display
     def keys(self) -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dataset import Dataset
+from .dataset import Dataset, name_of
 
 AGGREGATES: dict[str, Callable[[str], Column]] = {
     "SUM": F.sum, "MAX": F.max, "MIN": F.min, "AVG": F.avg, "COUNT": F.count,
@@ -26,10 +26,11 @@ class GroupBy:
         for f, c in pairs:
             if f.upper() not in AGGREGATES:
                 raise ValueError(f"unknown aggregate {f!r}; known: {', '.join(AGGREGATES)}")
-            aggs.append(AGGREGATES[f.upper()](c).alias(f"{f.upper()}({c})"))
+            aggs.append(AGGREGATES[f.upper()](name_of(c)).alias(f"{f.upper()}({c})"))
         df = self.dataset.df
         if self.columns:
-            out = df.groupBy(*self.columns).agg(*aggs).select(*[f"`{f.upper()}({c})`" for f, c in pairs], *self.columns)
+            keys = [name_of(c) for c in self.columns]
+            out = df.groupBy(*keys).agg(*aggs).select(*[name_of(f"{f.upper()}({c})") for f, c in pairs], *keys)
         else:
             out = df.groupBy(F.lit(1).alias("_one")).agg(*aggs).drop("_one")
         return self.dataset._new(out)
@@ -54,4 +55,4 @@ class GroupBy:
 
     def groups(self) -> Dataset:
         """The distinct keys."""
-        return self.dataset._new(self.dataset.df.select(*self.columns).distinct())
+        return self.dataset._new(self.dataset.df.select(*map(name_of, self.columns)).distinct())

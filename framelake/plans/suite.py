@@ -13,7 +13,7 @@ from .. import functions as fn
 from ..operators import predicates as P
 from ..operators.dataset import Dataset
 from ..session import scratch_path
-from ..sources import formats, storage, writers
+from ..sources import direct, formats, storage, writers
 from ..sources.reader import reader
 from ..sources.reader import sql as run_sql
 from ..streaming import sink
@@ -306,6 +306,24 @@ def ds_set_value_flatten(spark, d):
     return e.df.select("event_id", F.col("`p.k`").alias("k"))
 
 
+@query("ds_flatten_group", "SELECT (props->>'$.k')::BIGINT AS k, count(*) AS n, max(event_id) AS most FROM events GROUP BY 1")
+def ds_flatten_group(spark, d):
+    """Flattened columns have dots in their names."""
+    e = read(spark, d, "events").set_value("p", F.from_json("props", "k bigint")).select("event_id", "p").flatten()
+    return e.group_by("p.k").aggregate([("COUNT", "*"), ("MAX", "event_id")]).df.toDF("n", "most", "k")
+
+
+@query("ds_set_hash", "SELECT true AS any_order, true AS repeats_count, true AS values_count")
+def ds_set_hash(spark, d):
+    """Equal for the same rows in any order; different when rows are repeated or changed."""
+    e = read(spark, d, "events").select("event_id", "event_type", "value")
+    whole = e.set_hash()
+    other = Dataset(e.df.select("value", "event_id", "event_type").orderBy(F.desc("value"), "event_id")).set_hash()
+    twice = Dataset(e.df.union(e.df.limit(1)).union(e.df.limit(1))).set_hash()
+    changed = e.set_value("value", F.when(F.col("event_id") == 7, -1.0).otherwise(F.col("value"))).set_hash()
+    return spark.createDataFrame([(whole == other, whole != twice, whole != changed)], "any_order boolean, repeats_count boolean, values_count boolean")
+
+
 @query("ds_rename", "SELECT r_regionkey AS id, r_name AS name FROM region")
 def ds_rename(spark, d):
     return read(spark, d, "region").select("r_regionkey", "r_name").rename({"r_regionkey": "id", "r_name": "name"}).df
@@ -332,6 +350,24 @@ def writer_roundtrip(spark, d):
     return out
 
 
+@query("writer_rollover", "SELECT f AS format, count(*) AS n, true AS bounded, true AS full FROM orders, (VALUES ('jsonl'), ('zstd'), ('flat'), ('lzma')) AS t(f) GROUP BY f")
+def writer_rollover(spark, d):
+    """Rows of very different lengths in files cut by bytes: none is beyond the bound, and all but a
+    task's last are within a fifth of it."""
+    out, most = None, 1 << 16
+    orders = read(spark, d, "orders").df.withColumn("note", F.expr("repeat('x', CASE WHEN o_orderkey % 50 = 0 THEN 4000 ELSE 10 END)"))
+    for format in ("jsonl", "zstd", "flat", "lzma"):
+        root = scratch_path(spark, "rollover")
+        made = direct.write(orders, root, format, file_bytes=most)
+        direct.commit(spark, root, made)
+        last = {m.name.split("-")[1]: m for m in sorted(made, key=lambda m: m.name)}
+        bounded, full = all(m.bytes <= most for m in made), all(m.bytes >= 0.8 * most for m in made if m not in last.values())
+        back = reader(spark, root, raw_path=True, select=["o_orderkey"]).df.agg(F.count("*").alias("n"))
+        back = back.select(F.lit(format).alias("format"), "n", F.lit(bounded).alias("bounded"), F.lit(full).alias("full"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 @query("catalog_frames", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def catalog_frames(spark, d):
     """The newest frame that is complete and not ignored."""

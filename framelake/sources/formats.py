@@ -123,6 +123,8 @@ def _lines(raw: bytes) -> Iterator[str]:
 
 
 def _unxz(content: bytes) -> Iterator[str]:
+    if not content:
+        return
     with lzma.open(io.BytesIO(content)) as f:
         yield from _split(iter(lambda: f.read(_BLOCK), b""))
 

@@ -2,15 +2,17 @@
 
 A dated folder may hold alternative partitionings (``by_<column>``, of which one is
 read), and each partition may hold frames (``as_at_<time>``): the newest frame with
-``frame.complete`` and without ``frame.ignore`` counts.  Only names are looked at.
+``frame.complete`` and without ``frame.ignore`` counts.  Where a write left a manifest, the files
+that it names count; else only names are looked at.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable
 
-from .paths import sanitize
+from .paths import bare, sanitize
 
 CONTROL = (".ignore", ".complete", ".manifest", ".idx")
 _ASIDE = re.compile(r"/(BACKOUT|_temporary|_staging-[^/]*)/")  # dead letters, and what is being written
@@ -67,6 +69,48 @@ def newest_frames(files: list[str]) -> list[str]:
     return sorted(out)
 
 
-def resolve(files: list[str], partition: tuple[str, str, str] | None = None) -> list[str]:
+def committed(files: list[str], listed: Callable[[list[str]], dict[str, list[str]]]) -> list[str]:
+    """Of the files below a folder with manifests those that its newest whole one names; in place of
+    an ignored frame's those of the next older one.  Control files pass.  ``listed`` gives the
+    names in each whole manifest.  A manifest above its frames makes them complete."""
+    by_folder: dict[str, list[str]] = defaultdict(list)
+    for f in files:
+        if f.endswith(".manifest"):
+            by_folder[f.rsplit("/", 1)[0]].append(f)
+    if not by_folder:
+        return files
+    names = listed([m for ms in by_folder.values() for m in ms])
+    ignored = {f.rsplit("/", 1)[0] for f in files if f.endswith("/frame.ignore")}
+    wanted: set[str] = set()
+    markers: set[str] = set()
+    for folder, manifests in by_folder.items():
+        open_: set[str] | None = None  # folders whose newest frame is ignored; at first all are open
+        for m in sorted(manifests, reverse=True):
+            if bare(m) not in names or open_ == set():
+                continue
+            passed: set[str] = set()
+            for f in (f"{folder}/{n}" for n in names[bare(m)]):
+                x = _FRAME.match(f)
+                above, frame = (x[1], f"{x[1]}/{x[2]}") if x else (folder, folder)
+                if frame in ignored:
+                    passed.add(above)
+                elif open_ is None or above in open_:
+                    wanted.add(f)
+                    markers |= {f"{frame}/frame.complete"} if frame != folder else set()
+            open_ = passed if open_ is None else open_ & passed
+
+    def passes(f: str) -> bool:
+        folder = f
+        while "/" in folder:
+            folder = folder.rsplit("/", 1)[0]
+            if folder in by_folder:
+                return f in wanted
+        return True
+
+    return sorted({f for f in files if not is_data(f) or passes(f)} | markers)
+
+
+def resolve(files: list[str], partition: tuple[str, str, str] | None = None, listed: Callable[[list[str]], dict[str, list[str]]] | None = None) -> list[str]:
     files = [f for f in files if not _ASIDE.search(f)]
+    files = committed(files, listed) if listed else files
     return [f for f in newest_frames(choose_partitioning(files, partition)) if is_data(f)]

@@ -7,11 +7,11 @@ import re
 
 TEMPLATE = "{date}"
 DAY_TEMPLATE = "year_{yyyy}/month_{mm}/day_{dd}"
-_DELTA = re.compile(r"(?:(\d+)w(?:eeks?)?)?\s*(?:(\d+)d(?:ays?)?)?\s*(?:(\d+)h(?:ours?)?)?\s*(?:(\d+)m(?:in(?:utes?)?)?)?\s*(?:(\d+)s(?:ec(?:onds?)?)?)?", re.I)
+_DELTA = re.compile(r"\s*".join(rf"(?:(-?\d+){unit})?" for unit in ("w(?:eeks?)?", "d(?:ays?)?", "h(?:ours?)?", "m(?:in(?:utes?)?)?", "s(?:ec(?:onds?)?)?")), re.I)
 
 
 def parse_delta(text: str) -> datetime.timedelta:
-    """'3d5h', '2 weeks', '90m' as a duration; ValueError if it is none."""
+    """'3d5h', '2 weeks', '-90m', '1d-2h' as a duration; ValueError if it is none."""
     s = (text or "").strip()
     m = _DELTA.fullmatch(re.sub(r"(?<=\d)\s+(?=[a-z])", "", s, flags=re.I))
     if not s or m is None:
@@ -53,3 +53,8 @@ def date_paths(template: str, start, end) -> list[str]:
 def sanitize(value) -> str:
     """A value as part of a path."""
     return re.sub(r"[^A-Za-z0-9_.@-]", "_", str(value))
+
+
+def bare(uri: str) -> str:
+    """A local file's path without its scheme."""
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith(("file:", "/")) else uri

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..operators import dialect
 from ..operators.dataset import Dataset, Storage
-from . import formats, frames, storage
+from . import direct, formats, frames, storage
 from .cursor import CursorRead
 from .paths import DAY_TEMPLATE, as_datetime, date_paths, parse_delta
 
@@ -40,14 +40,15 @@ def data_files(
 ) -> list[str]:
     """The files that a read of these dates sees.  ``freshness_limit`` steps back a day at
     a time, when start and end are one day, until data is found or the limit is past."""
+    listed = lambda manifests: direct.listed(spark, manifests)
     if raw_path:
-        return frames.resolve(storage.files(spark, dataset), partition_filter)
+        return frames.resolve(storage.files(spark, dataset), partition_filter, listed)
     today = datetime.date.today()
     start, end = start_date or today, end_date or start_date or today
 
     def found(a, b) -> list[str]:
         paths = date_paths(f"{dataset.rstrip('/')}/{template}", a, b)
-        return sorted({f for p in paths for f in frames.resolve(storage.files(spark, p), partition_filter)})
+        return sorted({f for p in paths for f in frames.resolve(storage.files(spark, p), partition_filter, listed)})
 
     out = found(start, end)
     if not out and freshness_limit:

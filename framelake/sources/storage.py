@@ -32,6 +32,22 @@ def touch(spark: SparkSession, path: str) -> None:
     _fs(spark, path).create(_path(spark, path), True).close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    out = _fs(spark, path).create(_path(spark, path), True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    stream = _fs(spark, path).open(_path(spark, path))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     _fs(spark, path).delete(_path(spark, path), True)
 
@@ -41,10 +57,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return _fs(spark, path).makeQualified(_path(spark, path)).toString()
 
 
-def make(spark: SparkSession, path: str) -> None:
-    _fs(spark, path).mkdirs(_path(spark, path))
-
-
 def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     """Folders right below ``path`` whose names start with ``prefix``."""
     fs, p = _fs(spark, path), _path(spark, path)
@@ -57,11 +69,3 @@ def move(spark: SparkSession, source: str, target: str) -> None:
     fs.mkdirs(to.getParent())
     if not fs.rename(_path(spark, source), to):
         raise OSError(f"cannot move {source} to {target}")
-
-
-def clear(spark: SparkSession, path: str, keep: str | None = None) -> None:
-    """Deletes what lies in a folder, but for one entry."""
-    fs = _fs(spark, path)
-    for s in fs.listStatus(_path(spark, path)):
-        if keep is None or s.getPath().getName() != keep.rsplit("/", 1)[-1]:
-            fs.delete(s.getPath(), True)

@@ -39,8 +39,10 @@ from pyspark.sql.types import (
     VariantType,
 )
 
+from ..operators.dataset import name_of
 from . import storage
 from .frames import is_data
+from .paths import bare
 
 _WHOLE = [ByteType(), ShortType(), IntegerType(), LongType()]
 _DIGITS = {ByteType(): 3, ShortType(): 5, IntegerType(): 10, LongType(): 19}
@@ -110,10 +112,6 @@ def _to(c: Column, have: DataType, want: DataType) -> Column:
     return c.cast(want)
 
 
-def name_of(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def as_schema(df: DataFrame, schema: StructType) -> DataFrame:
     """The schema's columns, by name; those that ``df`` lacks are null."""
     have = {f.name.lower(): f for f in df.schema}
@@ -130,17 +128,12 @@ def united(frames: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.union, [as_schema(f, schema) for f in frames])
 
 
-def _bare(uri: str) -> str:
-    """A local file's path without its scheme."""
-    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith(("file:", "/")) else uri
-
-
 def arrow_file(uri: str):
     """(file system, path) of a file's URI, for tasks."""
     from pyarrow import fs
 
     if uri.startswith(("file:", "/")):
-        return fs.LocalFileSystem(), _bare(uri)
+        return fs.LocalFileSystem(), bare(uri)
     return fs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", uri), safe="/:@=+$,;~%"))
 
 
@@ -220,10 +213,10 @@ def by_header(spark: SparkSession, paths: list[str], header: Callable) -> list[t
     else:
         files = spark.createDataFrame([(p,) for p in looked.values()], "path string").repartition(min(len(looked), 4 * spark.sparkContext.defaultParallelism))
         files = files.mapInPandas(_opened(header), "path string, header string")
-    found = {_bare(r["path"]): r["header"] for r in files.collect()}  # a row a listed file
+    found = {bare(r["path"]): r["header"] for r in files.collect()}  # a row a listed file
     out: dict[str, list[str]] = {}
     for p in paths:
-        said = found[_bare(looked[job[p]])]
+        said = found[bare(looked[job[p]])]
         inside = [f for f in storage.files(spark, p) if is_data(f)] if said == "/" else []
         for h, files in by_header(spark, inside, header) if inside else [] if said == "/" else [(said, [p])]:
             out.setdefault(h, []).extend(files)

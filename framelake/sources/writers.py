@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import datetime
 import re
-import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import quote, unquote
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.dataset import Dataset
-from . import storage
+from . import direct, frames, storage
+from .direct import FILE_BYTES, Made
 from .paths import DAY_TEMPLATE, as_datetime, fill
 from .schema import declared, expect
 
-FORMATS = ("jsonl", "zstd", "lzma", "parquet", "text", "flat")
+FORMATS = direct.FORMATS
 
 
 def check_name(dataset: str) -> str:
@@ -27,89 +26,24 @@ def check_name(dataset: str) -> str:
     return dataset
 
 
-def write_files(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite", rows_per_file: int = 1_000_000, schema: StructType | None = None) -> None:
-    """One of ``FORMATS``; files roll over after ``rows_per_file`` rows."""
-    if schema is not None:
-        df = declared(df, schema)
-    _write(df, path, format, mode, rows_per_file)
-
-
-def rows_of(df: DataFrame, file_bytes: int = 62 << 20, looked_at: int = 1_000) -> int:
-    """How many rows make a file of about ``file_bytes`` as JSON lines, told by the first
-    ``looked_at`` rows; for ``rows_per_file``."""
-    mean = df.limit(looked_at).agg(F.avg(F.length(F.to_json(F.struct("*"))))).first()[0]
-    return max(1, int(file_bytes / (mean + 1))) if mean else 1_000_000
-
-
-def _write(df: DataFrame, path: str, format: str, mode: str = "overwrite", rows_per_file: int = 1_000_000, by: str | None = None) -> None:
-    """``by``: one folder a value of that column, in the same job."""
-    if format not in FORMATS:
-        raise ValueError(f"format is one of {', '.join(FORMATS)}")
-    if format in ("zstd", "lzma"):
-        return write_archives(df, path, format, rows_per_file, mode, by)
-    if format == "flat":
-        df = Dataset(df.withColumnRenamed(by, "_by") if by else df).flatten().df
-        df = df.withColumnRenamed("_by", by) if by else df
-    elif format == "text":
-        names = [c for c in df.columns if c != by]
-        df = df.select(F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in names]).alias("value"), *([by] if by else []))
-    w = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
-    w = w.partitionBy(by) if by else w
-    if format == "parquet":
-        w.option("compression", "zstd").parquet(path)
-    elif format == "text":
-        w.text(path)
-    else:
-        w.json(path)
-
-
-def write_archives(df: DataFrame, path: str, format: str, rows_per_file: int = 100_000, mode: str = "overwrite", by: str | None = None) -> None:
-    """JSON lines in zstd or lzma files, on any file system that tasks reach.  Each attempt of
-    a task writes under names of its own in a staging folder and reports them; those of the
-    attempts that count are then moved to ``path``, so that a lost executor leaves nothing."""
-    spark = df.sparkSession
+def write_files(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite", file_bytes: int = FILE_BYTES, schema: StructType | None = None) -> None:
+    """A folder of files of one of ``FORMATS``, cut at ``file_bytes``.  Its manifest is the commit; what
+    ``overwrite`` replaces is deleted after it, and what ``append`` finds is named in it too."""
     if mode not in ("overwrite", "append"):
         raise ValueError("mode is overwrite or append")
-    storage.make(spark, path)
-    staging = f"{storage.qualified(spark, path)}/_staging-{uuid.uuid4().hex}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import lzma
-
-        import zstandard
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        pack = zstandard.compress if format == "zstd" else lzma.compress
-        where, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub("^s3[an]:", "s3:", staging)))
-        where.create_dir(root)
-        task, made, held = TaskContext.get(), [], {}
+    spark = df.sparkSession
+    df = declared(df, schema) if schema is not None else df
+    before = _present(spark, path) if mode == "append" else []
+    made = before + direct.write(df, path, format, file_bytes=file_bytes)
+    manifest = direct.commit(spark, path, made)
+    direct.supersede(spark, path, manifest, made)
 
-        def flush(value) -> None:
-            lines = held.pop(value)
-            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(made):04d}.{format}"
-            with where.open_output_stream(f"{root}/{name}") as f:
-                f.write(pack(("\n".join(lines) + "\n").encode()))
-            made.append((name, value))
 
-        for b in batches:
-            for value, line in zip(b["by"], b["value"]):
-                held.setdefault(value, []).append(line)
-                if len(held[value]) >= rows_per_file:
-                    flush(value)
-        for value in list(held):
-            flush(value)
-        yield pd.DataFrame(made, columns=["name", "by"])
-
-    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != by])
-    key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
-    made = df.select(F.to_json(rest).alias("value"), key.alias("by")).mapInPandas(run, "name string, by string").collect()  # one row a file
-    if mode == "overwrite":
-        storage.clear(spark, path, keep=staging)
-    for name, value in made:
-        folder = f"{path}/{by}={quote(value, safe='')}" if by else path
-        storage.move(spark, f"{staging}/{name}", f"{folder}/{re.sub(r'-[0-9]+-', '-', name, count=1) if mode == 'overwrite' else name}")
-    storage.delete(spark, staging)
+def _present(spark: SparkSession, path: str) -> list[Made]:
+    """The data files that a read of a folder would see."""
+    root = storage.qualified(spark, path)
+    found = frames.resolve(storage.files(spark, path), None, lambda m: direct.listed(spark, m))
+    return [Made("", f.removeprefix(f"{root}/"), 0, 0) for f in found]
 
 
 def frame_name() -> str:
@@ -128,13 +62,14 @@ def write_batch(
     frame_id: str | None = None,
     partition_by: list[str] | None = None,
     always_complete: bool = False,
-    rows_per_file: int = 1_000_000,
+    file_bytes: int = FILE_BYTES,
 ) -> str | None:
-    """Writes a frame and, last, its ``frame.complete``, which makes it visible; a failure
-    leaves the frame unseen.  An empty batch writes no frame unless ``always_complete``.
+    """Writes a frame, its manifest and ``frame.complete``.  A failure before both stand leaves the
+    frame unseen or, if it had been written before, as it was.  An empty batch writes no frame unless
+    ``always_complete``.
 
     ``partition_by`` writes one alternative partitioning, ``by_<column>``, a column: each in
-    one job, whose folders are then moved into place.
+    one job, whose manifest commits the frames of all values at once.
     """
     spark = df.sparkSession
     day = as_datetime(date) if date is not None else datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
@@ -147,11 +82,21 @@ def write_batch(
     if not always_complete and df.isEmpty():
         return None
     if not partition_by:
-        _write(df, f"{folder}/{frame}", format, rows_per_file=rows_per_file)
-        storage.touch(spark, f"{folder}/{frame}/frame.complete")
-        return f"{folder}/{frame}"
+        root = f"{folder}/{frame}"
+        made = direct.write(df, root, format, file_bytes=file_bytes)
+        made = made or direct.write_empty(df, root, format)
+        manifest = direct.commit(spark, root, made)
+        storage.touch(spark, f"{root}/frame.complete")
+        direct.supersede(spark, root, manifest, made)
+        return root
     for column in partition_by:
-        write_routed(df.withColumn("_path", F.concat(F.lit(f"by_{column}/{column}="), _safe(F.col(column)), F.lit(f"/{frame}"))), folder, format, rows_per_file, marker="frame.complete")
+        routed = df.withColumn("_path", F.concat(F.lit(f"{column}="), _safe(F.col(column)), F.lit(f"/{frame}")))
+        root = f"{folder}/by_{column}"
+        made = direct.write(routed, root, format, by="_path", file_bytes=file_bytes)
+        manifest = direct.commit(spark, root, made, frame)
+        below = {m.folder for m in made}
+        _each(below, lambda x: storage.touch(spark, f"{root}/{x}/frame.complete"))
+        direct.supersede(spark, root, manifest, made, below)
     return folder
 
 
@@ -159,21 +104,26 @@ def _safe(c):
     return F.coalesce(F.regexp_replace(c.cast("string"), "[^A-Za-z0-9_.@-]", "_"), F.lit("null"))
 
 
-def write_routed(routed: DataFrame, root: str, format: str, rows_per_file: int = 1_000_000, marker: str | None = None) -> list[str]:
-    """Rows into the folders below ``root`` that their ``_path`` names, which are replaced: one
-    job writes them all to a staging folder, and its folders are then moved."""
-    spark, staging = routed.sparkSession, f"{root}/_staging-{uuid.uuid4().hex}"
-    _write(routed, staging, format, rows_per_file=rows_per_file, by="_path")
-    out = []
-    for made in storage.folders(spark, staging, "_path="):
-        path = f"{root}/{unquote(made.split('_path=', 1)[1])}"
-        storage.delete(spark, path)
-        storage.move(spark, made, path)
-        if marker:
-            storage.touch(spark, f"{path}/{marker}")
-        out.append(path)
-    storage.delete(spark, staging)
-    return sorted(out)
+def _each(names: set[str], f: Callable[[str], None]) -> None:
+    """Small files, a few at a time."""
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(f, sorted(names)))
+
+
+def write_routed(routed: DataFrame, root: str, format: str, file_bytes: int = FILE_BYTES) -> list[str]:
+    """Rows into the folders below ``root`` that their ``_path`` names, whose former rows they
+    replace: one job writes all files in place, then each folder gets its manifest."""
+    spark = routed.sparkSession
+    by: dict[str, list[Made]] = {}
+    for m in direct.write(routed, root, format, by="_path", file_bytes=file_bytes):
+        by.setdefault(m.folder, []).append(m._replace(folder=""))
+
+    def replace(folder: str) -> None:
+        path = f"{root}/{folder}"
+        direct.supersede(spark, path, direct.commit(spark, path, by[folder]), by[folder])
+
+    _each(set(by), replace)
+    return sorted(f"{root}/{folder}" for folder in by)
 
 
 def write_database(df: DataFrame, commit: Callable[[pd.DataFrame], None], finalizer: Callable[[int], None] | None = None, batch_rows: int = 100) -> int:

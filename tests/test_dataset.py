@@ -125,3 +125,23 @@ def test_literal_rows_keep_their_column_order(spark):
 
     assert Dataset.of(spark, [{"a": None, "b": 1}, {"b": 2, "c": "x"}]).keys() == ["a", "b", "c"]
     assert Dataset.of(spark, [{"a": None}]).first() == {"a": None}
+
+
+def test_names_with_dots_and_map_columns(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 'a', 5), (2, 'a', 3), (2, 'b', 9), (NULL, 'b', 1) AS t(k, s, n)").select(F.struct("k", "s").alias("p"), "n")
+    flat = Dataset(df).flatten()
+    assert flat.keys() == ["p.k", "p.s", "n"]
+    assert sorted((r["p.s"], r["SUM(n)"], r["MAX(p.k)"]) for r in flat.group_by("p.s").aggregate([("SUM", "n"), ("MAX", "p.k")])) == [("a", 8, 2), ("b", 10, 2)]
+    assert sorted(r["p.s"] for r in flat.group_by("p.s").groups()) == ["a", "b"] and flat.min("p.k") == 1 and flat.min_max("p.k") == (1, 2)
+    assert sorted((r["p.s"], r["n"]) for r in flat.distinct("p.s")) == [("a", 5), ("b", 1)]  # the least by p.k, nulls first
+    assert [r["n"] for r in flat.sort_and_take("p.k", 2, descending=True)] == [3, 9] and sorted(flat.collect_list("p.s")) == ["a", "a", "b", "b"]
+    assert sorted((r["p.s"], r["n"]) for r in flat.collect_set("p.s").aggregate("n", "max")) == [("a", 5), ("b", 9)]
+    maps = Dataset(spark.sql("SELECT * FROM VALUES (1, map('x', 2)), (1, map('x', 1)), (2, map()) AS t(n, m)"))
+    assert sorted((r["n"], r["m"].get("x")) for r in maps.distinct("n")) == [(1, 1), (2, None)] and maps.sort_and_take("n", 1).first()["m"] == {"x": 1}
+
+
+def test_set_hash_counts_rows(spark):
+    h = lambda *v: Dataset(spark.createDataFrame([(x, str(x)) for x in v], "n int, s string")).set_hash()
+    assert h(1, 1, 2) == h(2, 1, 1) and len({h(1, 1, 2), h(2, 3, 3), h(1, 2), h(), h(1, 1, 1, 1, 2), h(2)}) == 6
+    df = spark.createDataFrame([(1, None), (None, "1")], "n int, s string")
+    assert Dataset(df).set_hash() == Dataset(df.select("s", "n").orderBy("s")).set_hash() != Dataset(df.limit(1)).set_hash()

@@ -15,7 +15,7 @@ LINES = [{"user": "a", "n": 1}, {"user": "b", "n": 2}, {"user": "c", "n": 3}]
 JSONL = "\n".join(map(json.dumps, LINES)) + "\n"
 
 
-@pytest.mark.parametrize("text,want", [("3d5h", (3, 5)), ("2 weeks", (14, 0)), ("1d", (1, 0)), ("48h", (2, 0)), ("90m", (0, 1.5)), ("1 day 2 hours", (1, 2))])
+@pytest.mark.parametrize("text,want", [("3d5h", (3, 5)), ("2 weeks", (14, 0)), ("1d", (1, 0)), ("48h", (2, 0)), ("90m", (0, 1.5)), ("1 day 2 hours", (1, 2)), ("-4d", (-4, 0)), ("-2H-30M", (0, -2.5)), ("2d-36h", (0.5, 0)), ("-1w 12h", (-7, 12))])
 def test_deltas(text, want):
     assert paths.parse_delta(text) == datetime.timedelta(days=want[0], hours=want[1])
     for bad in ("", "soon", "5x"):
@@ -144,7 +144,7 @@ def test_archives_overwrite_and_append(spark, tmp_path, format):
     assert n() == 3
     writers.write_files(df.limit(1), path, format)
     assert n() == 1
-    writers.write_files(df, path, format, mode="append", rows_per_file=1)
+    writers.write_files(df, path, format, mode="append", file_bytes=10)
     assert n() == 4
     writers.write_files(spark.range(25_003).coalesce(1), path, format)
     assert n() == 25_003
