@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 _GROUP = 1 << 20  # bytes of text scanned at once
 _CACHE_BYTES = 5 << 20  # of pieces; some 40 times as much in memory
 _BATCH_IDS = 1 << 19
+_ROWS_AT_ONCE = 500
 _ROWS = "doc_id long, ids array<int>, offsets array<int>"
 
 # Classes of code points.  A mark is an apostrophe before s, t, m, d or before re, ve, ll;
@@ -320,14 +321,15 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for b in batches:
-            texts, first, size = _bytes(b.column(1)), 0, 0
-            held: list[np.ndarray] = []
-            for k, ids in enumerate(words.encode(texts)):
-                held.append(ids)
-                size += len(ids)
-                if size >= _BATCH_IDS or k + 1 == len(texts):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), _lists(held), _lists([words.offsets(i) for i in held])], names=["doc_id", "ids", "offsets"])
-                    first, size, held = k + 1, 0, []
+            for at in range(0, b.num_rows, _ROWS_AT_ONCE):
+                part, first, size = b.slice(at, _ROWS_AT_ONCE), 0, 0
+                held: list[np.ndarray] = []
+                for k, ids in enumerate(words.encode(_bytes(part.column(1)))):
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= _BATCH_IDS or k + 1 == part.num_rows:
+                        yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(held)), _lists(held), _lists([words.offsets(i) for i in held])], names=["doc_id", "ids", "offsets"])
+                        first, size, held = k + 1, 0, []
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col(text)).mapInArrow(run, _ROWS)
 
@@ -339,8 +341,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, _ROWS_AT_ONCE):
+                part = b.slice(at, _ROWS_AT_ONCE)
                 out = [words.decode(i.values.to_numpy(), o.values.to_numpy()) if i.is_valid and len(i) else b"" for i, o in zip(part.column("ids"), part.column("offsets"))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "offsets", "decoded"])
 
