@@ -16,6 +16,7 @@ from ..session import scratch_path
 from ..sources import direct, formats, storage, writers
 from ..sources.reader import reader
 from ..sources.reader import sql as run_sql
+from ..sources.schema import Report, label
 from ..streaming import sink
 from ..streaming.sink import routed
 
@@ -433,16 +434,42 @@ def catalog_bad_blob(spark, d):
     return out.withColumn("n_bad", F.lit(lost.count()).cast("bigint"))
 
 
-@query("cursor_resume", "SELECT n_nationkey, n_name FROM nation")
+@query("cursor_resume", "SELECT o_orderkey, o_custkey, 1 AS times FROM orders")
 def cursor_resume(spark, d):
-    """A read that stops after seven rows and goes on from its cursor."""
+    """Reads that stop within files and go on from their cursors: every row, once."""
     root = scratch_path(spark, "cursor")
-    writers.write_batch(read(spark, d, "nation").df.repartition(3), root, DAY, format="jsonl")
+    writers.write_batch(read(spark, d, "orders").df.select("o_orderkey", "o_custkey").repartition(5), root, DAY, format="jsonl")
     start = lambda cursor: reader(spark, root, start_date=DAY, cursor=cursor)
-    first = start({})
-    rows = [r for _, r in zip(range(7), first)]
-    rows += list(start(first.cursor))
-    return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
+    out, cursor = None, {}
+    for rows in (7, 4_000, 1, None):
+        part = start(cursor)
+        batch = part.batch(rows)
+        cursor = part.cursor
+        if batch is not None:
+            out = batch.df if out is None else out.unionByName(batch.df)
+    return out.groupBy("o_orderkey", "o_custkey").agg(F.count("*").cast("int").alias("times"))
+
+
+@query(
+    "writer_expectations",
+    "SELECT * FROM (SELECT 'rows' AS what, count(*) AS n FROM orders UNION ALL SELECT 'price', count(*) FROM orders WHERE NOT o_totalprice BETWEEN 1000 AND 200000"
+    " UNION ALL SELECT 'status', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'kept', count(*) FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000 AND o_orderstatus IN ('F', 'O')"
+    " UNION ALL SELECT 'both', count(*) FROM orders WHERE NOT o_totalprice BETWEEN 1000 AND 200000 AND o_orderstatus NOT IN ('F', 'O'))",
+)
+def writer_expectations(spark, d):
+    """Rows that fail an expectation are counted and set aside, the others written."""
+    root, report = scratch_path(spark, "expectations"), Report()
+    rules = [
+        {"expectation": "expect_column_values_to_be_between", "column": "o_totalprice", "minimum": 1000, "maximum": 200_000},
+        {"expectation": "expect_column_values_to_be_in_set", "column": "o_orderstatus", "symbols": ["F", "O"]},
+    ]
+    writers.write_batch(read(spark, d, "orders").df, root, DAY, expectations=rules, report=report)
+    counts = report.counts()
+    kept = reader(spark, root, start_date=DAY).df.agg(F.lit("kept").alias("what"), F.count("*").alias("n"))
+    bad = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/BACKOUT")
+    both = bad.where(F.size("_failed") == 2).agg(F.lit("both").alias("what"), F.count("*").alias("n"))
+    seen = [("rows", counts["rows"]), ("price", counts[label(rules[0])]), ("status", counts[label(rules[1])])]
+    return spark.createDataFrame(seen, "what string, n long").unionByName(kept).unionByName(both)
 
 
 @query("sql_dataset_path", "SELECT upper(left(l_shipmode, 3)) AS mode, count(*) AS n, max(l_quantity) AS most FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) WHERE l_linestatus <> 'F' AND l_returnflag ILIKE 'n' GROUP BY 1")

@@ -115,10 +115,11 @@ def _lines(df: DataFrame, format: str, by: str | None) -> DataFrame:
     return df.select(value.alias("value"), *([name_of(by)] if by else []))
 
 
-def write(df: DataFrame, root: str, format: str = "parquet", by: str | None = None, file_bytes: int = FILE_BYTES) -> list[Made]:
+def write(df: DataFrame, root: str, format: str = "parquet", by: str | None = None, file_bytes: int = FILE_BYTES, aside: tuple[str, str] | None = None) -> list[Made]:
     """Writes rows below ``root``, in the folder that column ``by`` names; a file is cut where its next row
     would take it beyond ``file_bytes`` (a Parquet file: at the row group that reaches them).
-    Rows are sorted by folder within their partition, so that a task holds one file open."""
+    Rows are sorted by folder within their partition, so that a task holds one file open.
+    ``aside``: (column, folder): a column that only files below that folder have."""
     if format not in FORMATS:
         raise ValueError(f"format is one of {', '.join(FORMATS)}")
     spark, target = df.sparkSession, storage.qualified(df.sparkSession, root)
@@ -153,6 +154,8 @@ def write(df: DataFrame, root: str, format: str = "parquet", by: str | None = No
             for value, run_ in groupby(names):
                 n = sum(1 for _ in run_)
                 rest, at = part.slice(at, n), at + n
+                if aside and aside[0] in rest.schema.names and not (value or "").startswith(f"{aside[1]}/"):
+                    rest = rest.drop_columns([aside[0]])
                 while rest.num_rows:
                     if out is None or value != folder or out.full(file_bytes):
                         end()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -84,6 +84,54 @@ EXPECTATIONS: dict[str, Callable[..., Column]] = {
 }
 
 
+class Report:
+    """What expectations found: ``counts()`` are the rows that fail each one, by its label, and all
+    ``rows``, observed while the rows were written, so known after that."""
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[Observation, list[str]]] = []
+
+    def watch(self, df: DataFrame, failed: str, labels: list[str]) -> DataFrame:
+        seen = Observation()
+        self._seen.append((seen, labels))
+        each = [F.count(F.when(F.array_contains(failed, x), 1)).alias(f"n{i}") for i, x in enumerate(labels)]
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), *each)
+
+    def counts(self) -> dict[str, int]:
+        out: dict[str, int] = {"rows": 0}
+        for seen, labels in self._seen:
+            got = seen.get
+            out["rows"] += got["rows"]
+            for i, x in enumerate(labels):
+                out[x] = out.get(x, 0) + got[f"n{i}"]
+        return out
+
+
+def label(expectation: dict) -> str:
+    """expectation(column), with the other arguments, so that two of a kind are told apart."""
+    args = [f"{v}" if k == "column" else f"{k}={v}" for k, v in expectation.items() if k != "expectation"]
+    return f"{expectation['expectation']}({', '.join(args)})"
+
+
+def examine(df: DataFrame, expectations: list[dict], failed: str, report: Report | None = None) -> DataFrame:
+    """Adds ``failed``: the labels of the expectations that a row does not meet, null if it meets
+    all.  Every expectation is held against every row, in one pass."""
+    labels, tests = [], []
+    for e in expectations:
+        args = {k: v for k, v in e.items() if k != "expectation"}
+        if e["expectation"] == "expect_column_to_exist":
+            ok = F.lit(args["column"] in df.columns)
+        elif args.get("column") not in df.columns:
+            ok = F.lit(False)
+        else:
+            ok = F.coalesce(EXPECTATIONS[e["expectation"]](**args), F.lit(False))
+        labels.append(label(e))
+        tests.append(F.when(~ok, F.lit(labels[-1])))
+    found = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+    out = df.withColumn(failed, F.when(F.size(found) > 0, found))
+    return report.watch(out, failed, labels) if report else out
+
+
 def expect(df: DataFrame, expectations: list[dict]) -> DataFrame:
     """Rows pass through; the first row that fails an expectation stops the job."""
     for e in expectations:

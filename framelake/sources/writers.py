@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from . import direct, frames, storage
 from .direct import FILE_BYTES, Made
 from .paths import DAY_TEMPLATE, as_datetime, fill
-from .schema import declared, expect
+from .schema import Report, declared, examine, expect
 
 FORMATS = direct.FORMATS
 
@@ -63,6 +63,7 @@ def write_batch(
     partition_by: list[str] | None = None,
     always_complete: bool = False,
     file_bytes: int = FILE_BYTES,
+    report: Report | None = None,
 ) -> str | None:
     """Writes a frame, its manifest and ``frame.complete``.  A failure before both stand leaves the
     frame unseen or, if it had been written before, as it was.  An empty batch writes no frame unless
@@ -70,15 +71,23 @@ def write_batch(
 
     ``partition_by`` writes one alternative partitioning, ``by_<column>``, a column: each in
     one job, whose manifest commits the frames of all values at once.
+
+    Without a ``report`` the first row that fails an expectation stops the write.  With one, all rows
+    are examined; those that fail are written, by the same job, with the labels of what they
+    failed in ``_failed``, to the dataset's BACKOUT folder, and the report has the counts.
     """
     spark = df.sparkSession
     day = as_datetime(date) if date is not None else datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
     folder = f"{check_name(dataset)}/{fill(template, day)}"
     frame = frame_id or frame_name()
-    if expectations:
-        df = expect(df, expectations)
     if schema is not None:
         df = declared(df, schema)
+    if expectations and report is None:
+        df = expect(df, expectations)
+    elif expectations:
+        if partition_by:
+            raise ValueError("a report of expectations goes with one frame, not with partitions")
+        return _write_examined(examine(df, expectations, FAILED, report), dataset, fill(template, day), frame, format, file_bytes, always_complete)
     if not always_complete and df.isEmpty():
         return None
     if not partition_by:
@@ -100,6 +109,27 @@ def write_batch(
     return folder
 
 
+FAILED = "_failed"
+
+
+def _write_examined(df: DataFrame, dataset: str, day: str, frame: str, format: str, file_bytes: int, always_complete: bool) -> str | None:
+    """Rows without failures to their frame, the others to BACKOUT, in one job."""
+    spark, place, out = df.sparkSession, f"{day}/{frame}", f"BACKOUT/{day}/{frame}"
+    routed = df.withColumn("_path", F.when(F.col(FAILED).isNull(), F.lit(place)).otherwise(F.lit(out)))
+    made = direct.write(routed, dataset, format, by="_path", file_bytes=file_bytes, aside=(FAILED, "BACKOUT"))
+    bad, good = ([m._replace(folder="") for m in made if m.folder == x] for x in (out, place))
+    if bad:
+        direct.supersede(spark, f"{dataset}/{out}", direct.commit(spark, f"{dataset}/{out}", bad), bad)
+    if not good and not always_complete:
+        return None
+    root = f"{dataset}/{place}"
+    good = good or direct.write_empty(df.drop(FAILED), root, format)
+    manifest = direct.commit(spark, root, good)
+    storage.touch(spark, f"{root}/frame.complete")
+    direct.supersede(spark, root, manifest, good)
+    return root
+
+
 def _safe(c):
     return F.coalesce(F.regexp_replace(c.cast("string"), "[^A-Za-z0-9_.@-]", "_"), F.lit("null"))
 

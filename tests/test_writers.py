@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.sources import direct, frames, storage, writers
+from framelake.sources import direct, frames, schema, storage, writers
+from framelake.sources.cursor import CursorRead
 from framelake.sources.reader import DataNotFoundError, reader
 
 DAY = "2024-02-03"
@@ -140,3 +141,58 @@ def test_a_manifest_names_rows_and_bytes(spark, tmp_path):
     (manifest,) = [f for f in storage.files(spark, str(tmp_path)) if f.endswith(".manifest")]
     *files, end = map(json.loads, storage.read_text(spark, manifest).split("\n"))
     assert end == {"files": 2} and sum(f["rows"] for f in files) == 10 and all((tmp_path / f["file"]).stat().st_size == f["bytes"] for f in files)
+
+
+@pytest.mark.parametrize("format", ["parquet", "jsonl", "zstd"])
+def test_expectations_count_every_row_and_set_bad_ones_aside(spark, tmp_path, format):
+    r = random.Random(11)
+    rows = [(i, r.choice([None, 1, 5, 50]), r.choice([None, "ab", "Q7", ""])) for i in range(200)]
+    df = spark.createDataFrame(rows, "n long, size int, code string").repartition(3)
+    rules = [
+        {"expectation": "expect_column_values_to_not_be_null", "column": "size"},
+        {"expectation": "expect_column_values_to_be_between", "column": "size", "minimum": 2, "maximum": 10},
+        {"expectation": "expect_column_values_to_match_regex", "column": "code", "regex": "[a-z]"},
+        {"expectation": "expect_column_to_exist", "column": "n"},
+    ]
+    fails = lambda x: [x[1] is None, x[1] is not None and not 2 <= x[1] <= 10, x[2] is not None and not any(c.islower() for c in x[2]), False]
+    report = schema.Report()
+    writers.write_batch(df, str(tmp_path), DAY, format=format, expectations=rules, report=report)
+    assert seen(spark, str(tmp_path)) == [x[0] for x in rows if not any(fails(x))]
+    assert report.counts() == {"rows": 200} | {schema.label(e): sum(fails(x)[i] for x in rows) for i, e in enumerate(rules)}
+    back = spark.read.option("recursiveFileLookup", True)
+    if format != "zstd":
+        got = {x["n"]: x["_failed"] for x in (back.parquet if format == "parquet" else back.json)(str(tmp_path / "BACKOUT")).collect()}
+        assert got == {x[0]: [schema.label(e) for e, f in zip(rules, fails(x)) if f] for x in rows if any(fails(x))}
+    assert "_failed" not in reader(spark, str(tmp_path), start_date=DAY).keys()
+    assert writers.write_batch(df.where("false"), str(tmp_path), DAY, format=format, expectations=rules, report=schema.Report()) is None
+    with pytest.raises(Exception, match="failed"):  # without a report the write stops
+        writers.write_batch(df, str(tmp_path), DAY, format=format, expectations=rules)
+
+
+@pytest.mark.parametrize("format", ["jsonl", "parquet", "lzma"])
+def test_batches_from_a_cursor_are_every_row_once_in_order(spark, tmp_path, format):
+    rows = [(i, i % 3) for i in range(120)]
+    for k in range(6):
+        writers.write_files(spark.createDataFrame(rows[20 * k : 20 * k + 20], "n long, m int").repartition(1), str(tmp_path / f"{k}"), format)
+    files = sorted(f for f in storage.files(spark, str(tmp_path)) if frames.is_data(f))
+    start = lambda cursor: CursorRead(spark, files, cursor, chosen=lambda df: df.where("m < 2"))
+    want = [r["n"] for r in start({})]
+    assert sorted(want) == [n for n, m in rows if m < 2]
+    cursor, got, sizes = {}, [], iter([1, 5, 13, 0, 27, 14])
+    while True:
+        part = start(json.dumps(cursor))
+        batch = part.batch(next(sizes, None))
+        cursor = part.cursor
+        if batch is None and not part._left():
+            break
+        got.append(sorted(r["n"] for r in batch) if batch is not None else [])
+    assert [len(g) for g in got[:6]] == [1, 5, 13, 0, 27, 14]
+    at = 0
+    for g in got:
+        assert g == sorted(want[at : at + len(g)])
+        at += len(g)
+    assert at == len(want)
+    mixed = start({})
+    head = [next(iter(mixed))["n"]]
+    rest = start(mixed.cursor).batch()
+    assert sorted(head + [r["n"] for r in rest]) == sorted(want)
