@@ -16,6 +16,7 @@ article, such as adverts and reader comments.
 Texts that a template fixes are dropped, inside the region too.  They are counted over all
 pages: a text is fixed if more than half, and ``LEAST`` at least, of the distinct page contents
 of a host, or of one of its templates, that have text at its place have this text there.
+Headings that pages share stay where text of the page's own follows.
 
 Defined cases: a null or empty page gives an empty text; repeated rows and pages whose host
 cannot be read are handled like any other (host ''); broken markup is closed at the end, and
@@ -40,10 +41,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|math|select|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|annotation-xml|annotation|select|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _VOID = frozenset("doctype area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br del".split())
+_INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br del"
+    " math mfenced mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
 _DROP = frozenset("head nav footer aside form button menu dialog object audio video canvas".split())
 #: Names of parts that are no main text; a name's last word, or all its words but plain ones, must be here.
 _NOISE = frozenset(
@@ -426,17 +430,38 @@ def _place(sig: str, above: int) -> int:
     return xxhash.xxh64_intdigest(sig, above)
 
 
-def _blocks(node: Node, place: int, out: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """(text, place, key) of the texts that are not dropped; a place is a hash of the elements
-    around, a key one of place and text."""
+_HEADINGS = {f"h{i}": i for i in range(1, 7)}
+
+
+def _blocks(node: Node, place: int, out: list[tuple[str, int, int, int]], level: int = 0) -> list[tuple[str, int, int, int]]:
+    """(text, place, key, level) of the texts that are not dropped; a place is a hash of the elements
+    around, a key one of place and text, a level that of the heading around, 0 if there is none."""
+    level = _HEADINGS.get(node.tag, level)
     for k in node.kids:
         if isinstance(k, str):
-            out.append((k, _signed(place), _signed(xxhash.xxh64_intdigest(k, place))))
+            out.append((k, _signed(place), _signed(xxhash.xxh64_intdigest(k, place)), level))
         elif k.state != _DROPPED:
-            _blocks(k, _place(k.sig, place), out)
+            _blocks(k, _place(k.sig, place), out, level)
     return out
 
 
+def _own(blocks: list[tuple[str, int, int, int]], fixed: set[int]) -> list[tuple[str, int, int, int]]:
+    """The blocks without fixed texts.  A heading that many pages share stays where it heads text
+    of this page: text that is not fixed, before the next heading of its level or above."""
+    out, open_ = [], 0  # levels of headings with text of the page's own behind them, as bits
+    for b in reversed(blocks):
+        level = b[3]
+        if not level:
+            own = b[2] not in fixed
+            open_ = 0b1111110 if own else open_
+        else:
+            own = b[2] not in fixed or bool(open_ >> level & 1)
+            open_ &= (1 << level) - 1 if level > 1 else 0
+        if own:
+            out.append(b)
+    return out[::-1]
+
+
 def template(root: Node) -> int:
     """Names the skeleton: the containers of a page, four deep, down to its articles."""
     found = set()
@@ -469,12 +494,12 @@ def main_text(page: str | None, rules: dict | None = None) -> str:
         fixed = {*rules["fixed"].get(name, ()), *rules["fixed"].get("", ())}
     if not found or not any(_length(k) for k, _, _ in found):
         found = locate(root, region(_part(root), True))
-    blocks: list[tuple[str, int, int]] = []
+    blocks: list[tuple[str, int, int, int]] = []
     for node, place, heads in found:
         for h, above in heads:
             _blocks(h, _place(h.sig, above), blocks)
         _blocks(node, place, blocks)
-    own = [b for b in blocks if b[2] not in fixed]
+    own = _own(blocks, fixed)
     size = lambda x: sum(len(b[0]) for b in x)
     least = 4 if any(k.tag in ("article", "main") for k, _, _ in found) else size(blocks)
     return "\n\n".join(b[0] for b in (own if own and least * size(own) >= size(blocks) else blocks))
@@ -505,7 +530,7 @@ def _contents(sample: int, held: int = 2000):
             for h, x in zip(b.column(0), b.column(1)):
                 page = x.as_py() or ""
                 root = page_tree(page)
-                blocks = sorted({(p, k) for _, p, k in _blocks(root, 0, [])})
+                blocks = sorted({(p, k) for _, p, k, _ in _blocks(root, 0, [])})
                 names.append(template(root))
                 contents.append(_signed(xxhash.xxh64_intdigest(repr(blocks))))
                 found.append([{"place": p, "key": k} for p, k in blocks])

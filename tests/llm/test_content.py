@@ -374,3 +374,47 @@ def test_a_dump_of_keys_takes_one_sweep(spark):
     row = secret_scan.secret_spans(df).collect()[0]
     assert len(row["base"]) == 50_000 and row["n_confirmed"] > 49_000 and time.perf_counter() - began < 60
     assert secret_scan._log_tail(40) == pytest.approx(-804.6, abs=0.1) and secret_scan._log_at_least(3_000, 5_000, 0.3) < -500
+
+
+def test_headings_that_pages_share_stay(spark):
+    page = lambda i: f"<body><nav>Home</nav><article><h1>Report {i}</h1><h2>Introduction</h2><p>First part of {i}, at some length.</p><h2>Summary</h2><h3>In short</h3><p>Second part of {i}.</p><h2>About us</h2><p>We write reports.</p></article></body>"
+    for n in (2, 6, 9):
+        df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(n)], "page_id long, url string, html string")
+        for r in html_extract.extract(df).collect():
+            i = r["page_id"]
+            want = [f"Report {i}", "Introduction", f"First part of {i}, at some length.", "Summary", "In short", f"Second part of {i}."]
+            assert r["text"].split("\n\n")[:6] == want and ("We write reports." in r["text"]) == ("About us" in r["text"])
+
+
+def test_own_blocks_are_those_of_the_rule():
+    r = random.Random(8)
+    for _ in range(2_000):
+        blocks = [(str(i), 0, r.randint(0, 5), r.choice([0, 0, 0, 1, 2, 3])) for i in range(r.randint(0, 12))]
+        fixed = set(r.sample(range(6), 3))
+        want = []
+        for i, b in enumerate(blocks):
+            upto = next((j for j in range(i + 1, len(blocks)) if 0 < blocks[j][3] <= b[3]), len(blocks))
+            if b[2] not in fixed or (b[3] and any(x[3] == 0 and x[2] not in fixed for x in blocks[i + 1 : upto])):
+                want.append(b)
+        assert html_extract._own(blocks, fixed) == want
+
+
+def test_formulas_are_text():
+    assert html_extract.main_text("<article><p>Maths: <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> done</p></article>") == "Maths: x=2 done"
+
+
+def test_wrappers_find_articles_without_names(spark):
+    """The table with its articles renamed and its class names hashed: the wrapper's region is all there is."""
+    import hashlib
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    name = lambda m: 'class="%s"' % " ".join("c" + hashlib.md5(w.encode()).hexdigest()[:8] for w in m[1].split())
+    bare = lambda h: re.sub(r'class="([^"]*)"', name, re.sub(r"(</?)(article|main)\b", r"\1div", h))
+    rows = [(r["page_id"], r["url"], bare(r["html"])) for r in pages.collect() if r["html"]]
+    hidden = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(hidden).collect()}
+    wrong = [i for i in got if got[i] != want[i]]
+    off = [i for i, _, h in rows if html_extract.main_text(h) != want[i]]
+    assert len(wrong) <= len(rows) // 100 and len(off) > len(wrong), (len(wrong), len(off), len(rows))
