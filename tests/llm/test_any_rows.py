@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framelake.llm import html_extract, lang_id, line_dedup, mixing, packing, quality, secret_scan, simhash, token_file, winnowing
+from framelake.llm import byte_bpe, html_extract, lang_id, line_dedup, mixing, packing, quality, ranked_search, resampling, secret_scan, simhash, token_file, winnowing
 from framelake.llm.common import fresh, scratch_path
 from framelake.llm.encode import tokenizer_path
 
@@ -51,6 +51,9 @@ OPERATORS = {
     "op7": lambda s, d: simhash.near_components(d),
     "op8": lambda s, d: lang_id.classify(d, lang_id.train(d)),
     "op9": lambda s, d: packing.pack(d, tokenizer_path("byte_bpe_50k.json")),
+    "op11": lambda s, d: byte_bpe.decode(byte_bpe.encode(d, tokenizer_path("byte_bpe_50k.tiktoken")), tokenizer_path("byte_bpe_50k.tiktoken")),
+    "op12": lambda s, d: ranked_search.search(d, d.select(F.col("doc_id").alias("item_id"), "text", *[F.col(f"`{c}`") for c in EXTRA]), k=3),
+    "op13": lambda s, d: resampling.resample(d, d.where("doc_id < 9"), percent=50),
     "op10": lambda s, d: html_extract.extract(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), *[F.col(f"`{c}`") for c in EXTRA])),
 }
 
@@ -60,7 +63,9 @@ def test_operators(spark, docs, name):
     out = OPERATORS[name](spark, docs)
     key = "page_id" if name == "op10" else "doc_id"
     ids = lambda df, c: sorted((str(r[0]) for r in df.select(c).collect()))
-    if name == "op9":
+    if name == "op12":  # every row is asked, and those with a term find something
+        assert out.where("rank = 1").count() == docs.where("text RLIKE '[0-9A-Za-z]'").count()
+    elif name == "op9":
         assert set(ids(out, key)) == set(ids(docs, "doc_id"))
         assert out.where("start = 0").count() == docs.count()
     else:
