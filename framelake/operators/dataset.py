@@ -256,6 +256,12 @@ class Dataset:
 
     _repr_html_ = to_html_table
 
+    def asof_join(self, other: Dataset, keys: list[str], time: str, other_time: str | None = None) -> Dataset:
+        """Each row with the latest row of ``other`` of equal keys at or before its time."""
+        from .asof import asof_join
+
+        return self._new(asof_join(self.df, other.df, keys, time, other_time))
+
     def apply(self, f: Callable[[DataFrame], DataFrame]) -> Dataset:
         """Any DataFrame function: joins, windows, set operations."""
         return self._new(f(self.df))

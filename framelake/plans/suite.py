@@ -325,6 +325,19 @@ def ds_set_hash(spark, d):
     return spark.createDataFrame([(whole == other, whole != twice, whole != changed)], "any_order boolean, repeats_count boolean, values_count boolean")
 
 
+@query(
+    "ds_asof_join",
+    "WITH r AS (SELECT user_id, ts, max(event_id) AS last_view FROM events WHERE event_type = 'view' GROUP BY user_id, ts)"
+    " SELECT l.event_id, l.user_id, r.last_view, r.ts AS right_ts FROM (SELECT * FROM events WHERE event_type <> 'view') l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts",
+)
+def ds_asof_join(spark, d):
+    """To every other event of a user the last view before it."""
+    events = read(spark, d, "events")
+    views = events.filter("event_type = 'view'").select(F.col("event_id").alias("last_view"), "user_id", "ts")
+    out = events.filter("event_type != 'view'").select("event_id", "user_id", "ts").asof_join(views, ["user_id"], "ts")
+    return out.select("event_id", "user_id", "last_view", "right_ts").df
+
+
 @query("ds_rename", "SELECT r_regionkey AS id, r_name AS name FROM region")
 def ds_rename(spark, d):
     return read(spark, d, "region").select("r_regionkey", "r_name").rename({"r_regionkey": "id", "r_name": "name"}).df
@@ -439,7 +452,8 @@ def cursor_resume(spark, d):
     """Reads that stop within files and go on from their cursors: every row, once."""
     root = scratch_path(spark, "cursor")
     writers.write_batch(read(spark, d, "orders").df.select("o_orderkey", "o_custkey").repartition(5), root, DAY, format="jsonl")
-    start = lambda cursor: reader(spark, root, start_date=DAY, cursor=cursor)
+    kind = T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint")
+    start = lambda cursor: reader(spark, root, start_date=DAY, cursor=cursor, schema=kind)
     out, cursor = None, {}
     for rows in (7, 4_000, 1, None):
         part = start(cursor)
