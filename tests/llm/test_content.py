@@ -417,4 +417,4 @@ def test_wrappers_find_articles_without_names(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extract(hidden).collect()}
     wrong = [i for i in got if got[i] != want[i]]
     off = [i for i, _, h in rows if html_extract.main_text(h) != want[i]]
-    assert len(wrong) <= len(rows) // 100 and len(off) > len(wrong), (len(wrong), len(off), len(rows))
+    assert not wrong and off
