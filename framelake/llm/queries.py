@@ -48,7 +48,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.edited_fingerprints(table(spark, sf_dir, "documents"), roll=24)
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    digits = lambda c: F.array_join(F.col(c).cast("array<string>"), "").alias(c)
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", digits("steps"), digits("edited_steps"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

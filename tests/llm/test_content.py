@@ -1,6 +1,7 @@
 """Fingerprints, secret scans, language id and HTML extraction on small tables."""
 
 import base64
+import itertools
 import random
 
 import pytest
@@ -18,15 +19,23 @@ def brute_marks(text, k=4, w=8, unit=4):
 
     u = re.findall(r"[^\x20\x09-\x0D]{1,%d}" % unit, text or "")
 
-    def chain(parts):
-        seed = 42
-        for p in parts:
-            seed = xxhash.xxh64_intdigest(p.encode(), seed)
-        return seed - (1 << 64) if seed >> 63 else seed
+    turn = lambda x, n: (x << n | x >> 64 - n) & (1 << 64) - 1
+    one = [xxhash.xxh64_intdigest(p.encode(), 42) for p in u]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     if not u:
         return []
-    h = [chain(u[i : i + k]) for i in range(max(1, len(u) - k + 1))]
+    if len(u) < k:
+        whole = 42
+        for p in u:
+            whole = xxhash.xxh64_intdigest(p.encode(), whole)
+        h = [signed(whole)]
+    else:
+        state, h = 0, []
+        for i, x in enumerate(one):  # one unit in, one out
+            state = turn(state, 1) ^ x ^ (turn(one[i - k], k) if i >= k else 0)
+            if i >= k - 1:
+                h.append(signed(state))
     top = lambda v: v >> 30
     out = []
     for i in range(max(1, len(h) - w + 1)):
@@ -56,6 +65,8 @@ def test_winnowing_matches_brute_force(spark):
         want, ed, nx = brute_marks(t), brute_marks(edited), brute_marks(nxt)
         assert r["fingerprint"] == shown(want) and r["edited_fingerprint"] == shown(ed), t[:60]
         assert marked[i] == want
+        for steps, w in ((r["steps"], want), (r["edited_steps"], ed)):
+            assert list(itertools.accumulate(steps)) == [p for p, _ in w] and max(steps, default=0) <= 8
         hs = lambda x: {v >> 32 for _, v in x}
         assert r["near_edited"] == pytest.approx(sim(hs(want), hs(ed))) and r["near_next"] == pytest.approx(sim(hs(want), hs(nx)))
         marks[t] = want
@@ -70,6 +81,14 @@ def test_winnowing_guarantee():
         assert {h for _, h in one} & {h for _, h in two}
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 7, 8])
+def test_hashes_roll_for_any_k(spark, k):
+    texts = corpus(12, 8)
+    for w in (1, 6):
+        got = [[(m["pos"], m["hash"]) for m in x["m"]] for x in frame(spark, texts).orderBy("doc_id").select(winnowing.marks(F.col("text"), k=k, w=w).alias("m")).collect()]
+        assert got == [brute_marks(t, k, w) for t in texts]
+
+
 def test_winnowing_edges(spark):
     rows = winnowing.edited_fingerprints(frame(spark, ["same words here", "same words here", None, "z"], [4, 4, None, 9])).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == ["4", "4", "9", "None"]
@@ -90,16 +109,21 @@ def test_winnowing_rolls_over_unspaced_runs(spark):
     for signs in (han, code):
         text = lambda n: "".join(r.choices(signs, k=n))  # noqa: E731, B023
         shared = text(11)  # w + k - 1 units
-        runs = [text(20 + i) + shared + text(30) for i in range(4)] + ["short words and " + text(25) + " a-word-of-24-characters" + " x" * 9, "x" * 25 + " " + "y" * 24]
+        runs = [text(24 + i) + shared + text(30) for i in range(4)] + ["short words and " + text(25) + " a-word-of-24-characters" + " x" * 9, "x" * 25 + " " + "y" * 24]
         if signs is han:  # short runs of such scripts too
             runs[3] = text(2) + shared + " " + text(1)
         found = [[(m["pos"], m["hash"]) for m in x["m"]] for x in frame(spark, runs).orderBy("doc_id").select(winnowing.marks(F.col("text"), roll=24).alias("m")).collect()]
         assert all({h for _, h in a} & {h for _, h in b} for a in found[:4] for b in found[:4])
         for t, got in zip(runs, found):
-            parts = [p for w in re.findall("[%s]|[^ %s]+" % ("".join(han), "".join(han)), t) for p in (w if len(w) > 24 else re.findall(".{1,4}", w))]
+            parts = [p for w in re.findall("[%s]|[^ %s]+" % ("".join(han), "".join(han)), t) for p in (*re.findall(".{1,4}", w[:24]), *w[24:])]
             assert got == brute_marks(" ".join(parts)), t
     plain = frame(spark, ["Plain words, none of them long, and élan."]).select(winnowing.marks(F.col("text"), roll=24).alias("a"), winnowing.marks(F.col("text")).alias("b")).first()
     assert plain["a"] == plain["b"]
+    # A run that grows keeps its units, so all of its marks but those of the last windows.
+    grows = [text(n) for n in (24,)] + [text(40)]
+    grows += [grows[0] + text(1), grows[1] + text(1)]
+    found = [{m["hash"] for m in x["m"]} for x in frame(spark, grows).orderBy("doc_id").select(winnowing.marks(F.col("text"), k=2, w=2, roll=24).alias("m")).collect()]
+    assert all(len(a - b) <= 1 for a, b in zip(found, found[2:])) and all(found)
     near = winnowing.edited_fingerprints(frame(spark, runs[:2]), roll=24).collect()
     assert all(x["near_next"] > 0 for x in near)
 
