@@ -262,6 +262,24 @@ class Dataset:
 
         return self._new(asof_join(self.df, other.df, keys, time, other_time))
 
+    def interval_join(self, other: Dataset, keys: list[str], span: tuple[str, str], other_span: tuple[str, str] | None = None) -> Dataset:
+        """Every pair of rows with equal keys whose (start, end) intervals have a point in common."""
+        from .interval import interval_join
+
+        return self._new(interval_join(self.df, other.df, keys, span, other_span))
+
+    def sketch(self, keys: list[str], distinct=(), ranks=(), **bounds) -> Dataset:
+        """Mergeable distinct counts and quantiles a key, to be stored a frame."""
+        from .sketches import sketch
+
+        return self._new(sketch(self.df, keys, distinct, ranks, **bounds))
+
+    def unite_sketches(self, keys: list[str]) -> Dataset:
+        """Sketches of many frames or keys as one row for each of ``keys``."""
+        from .sketches import unite
+
+        return self._new(unite(self.df, keys))
+
     def apply(self, f: Callable[[DataFrame], DataFrame]) -> Dataset:
         """Any DataFrame function: joins, windows, set operations."""
         return self._new(f(self.df))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .. import functions as fn
 from ..operators import predicates as P
+from ..operators import sketches
 from ..operators.dataset import Dataset
 from ..session import scratch_path
 from ..sources import direct, formats, storage, writers
@@ -338,6 +339,36 @@ def ds_asof_join(spark, d):
     return out.select("event_id", "user_id", "last_view", "right_ts").df
 
 
+@query(
+    "ds_interval_join",
+    "SELECT v.event_id, p.event_id AS right_event_id, p.value AS right_value FROM events v JOIN events p ON v.user_id = p.user_id AND v.ts BETWEEN p.ts AND p.ts + to_hours(6)"
+    " WHERE v.event_type = 'view' AND p.event_type = 'purchase'",
+)
+def ds_interval_join(spark, d):
+    """Every view of a user within six hours after a purchase."""
+    events = read(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    bought = events.filter("event_type = 'purchase'").df.withColumn("till", F.col("ts") + F.expr("INTERVAL 6 HOURS"))
+    views = events.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    return views.interval_join(Dataset(bought), ["user_id"], ("ts", "ts"), ("ts", "till")).select("event_id", "right_event_id", "value").df.withColumnRenamed("value", "right_value")
+
+
+@query("agg_sketch_merge", "SELECT o_orderpriority, count(*) AS n, true AS customers_near, true AS median_near FROM orders GROUP BY o_orderpriority")
+def agg_sketch_merge(spark, d):
+    """Two frames' sketches, stored and united, are held against exact counts and ranks."""
+    root, orders = scratch_path(spark, "sketches"), read(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_custkey", "o_totalprice", "o_orderdate")
+    for day, part in (("2024-02-03", "o_orderdate < '1995-01-01'"), ("2024-02-04", "NOT o_orderdate < '1995-01-01'")):
+        frame = orders.filter(part).sketch(["o_orderpriority", "o_orderstatus"], distinct=["o_custkey"], ranks=["o_totalprice"])
+        writers.write_batch(frame.df, root, day, always_complete=True)
+    united = reader(spark, root, start_date="2024-02-03", end_date="2024-02-04").unite_sketches(["o_orderpriority"]).df
+    told = united.select("o_orderpriority", F.col("rows").alias("n"), sketches.n_distinct("o_custkey").alias("customers"), sketches.quantile("o_totalprice", 0.5).alias("median"))
+    exact = orders.df.join(told, "o_orderpriority")
+    below = F.avg((F.col("o_totalprice") <= F.col("median")).cast("int"))
+    return exact.groupBy("o_orderpriority", "n").agg(
+        (F.abs(F.countDistinct("o_custkey") - F.max("customers")) <= 0.07 * F.countDistinct("o_custkey")).alias("customers_near"),
+        (F.abs(below - 0.5) < F.greatest(F.lit(0.02), 1 / F.count("*"))).alias("median_near"),
+    )
+
+
 @query("ds_rename", "SELECT r_regionkey AS id, r_name AS name FROM region")
 def ds_rename(spark, d):
     return read(spark, d, "region").select("r_regionkey", "r_name").rename({"r_regionkey": "id", "r_name": "name"}).df

@@ -126,7 +126,7 @@ def write(df: DataFrame, root: str, format: str = "parquet", by: str | None = No
     rows = df if format == "parquet" else _lines(df, format, by)
     if by:
         rows = rows.sortWithinPartitions(name_of(by))
-    ext = _EXTENSIONS.get(format, format)
+    ext, columns = _EXTENSIONS.get(format, format), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -148,6 +148,7 @@ def write(df: DataFrame, root: str, format: str = "parquet", by: str | None = No
                 made[-1][2:] = out.rows, out.size
 
         for b in batches:
+            b = b.rename_columns(columns)
             names = b.column(by).to_pylist() if by else [""] * b.num_rows
             part = b.drop_columns([by]) if by else b
             at = 0
@@ -168,7 +169,8 @@ def write(df: DataFrame, root: str, format: str = "parquet", by: str | None = No
         end()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["folder", "name", "rows", "bytes"])
 
-    return [Made(*r) for r in rows.mapInArrow(run, _MADE).collect()]  # a row a file
+    plain = rows.toDF(*[f"_{i}" for i in range(len(columns))])  # mapInArrow takes no names with dots
+    return [Made(*r) for r in plain.mapInArrow(run, _MADE).collect()]  # a row a file
 
 
 def write_empty(df: DataFrame, root: str, format: str) -> list[Made]:

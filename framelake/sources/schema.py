@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .unite import name_of
+
 TYPES = {
     "VARCHAR": "string", "INTEGER": "bigint", "DOUBLE": "double", "NUMERIC": "double", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp",
     "DATE": "date", "TIME": "string", "LIST": "array<string>", "ARRAY": "array<string>", "STRUCT": "map<string,string>", "BLOB": "binary",
@@ -67,20 +69,20 @@ def declared(df: DataFrame, schema: StructType) -> DataFrame:
 def conform(df: DataFrame, schema: StructType) -> tuple[DataFrame, Column]:
     """(rows with a ``_typed`` struct of the schema's types, validity of a row): text that
     does not read as its column's type makes the row invalid; nulls are valid."""
-    typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    typed = [name_of(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
     present = all(f.name in df.columns for f in schema)
     out = df.withColumn("_typed", F.struct(*typed))
-    fine = [F.col(f.name).isNull() | F.col(f"_typed.{f.name}").isNotNull() for f in schema if f.name in df.columns]
+    fine = [name_of(f.name).isNull() | F.col("_typed").getField(f.name).isNotNull() for f in schema if f.name in df.columns]
     return out, reduce(lambda a, b: a & b, fine, F.lit(present))
 
 
 #: Expectations: name -> predicate of a row.
 EXPECTATIONS: dict[str, Callable[..., Column]] = {
-    "expect_column_values_to_not_be_null": lambda column: F.col(column).isNotNull(),
-    "expect_column_values_to_be_in_set": lambda column, symbols: F.col(column).isNull() | F.col(column).isin(list(symbols)),
-    "expect_column_values_to_be_between": lambda column, minimum, maximum: F.col(column).isNull() | F.col(column).between(minimum, maximum),
-    "expect_column_values_to_match_regex": lambda column, regex: F.col(column).isNull() | F.col(column).rlike(regex),
-    "expect_column_values_length_to_be_between": lambda column, minimum, maximum: F.col(column).isNull() | F.length(column).between(minimum, maximum),
+    "expect_column_values_to_not_be_null": lambda column: name_of(column).isNotNull(),
+    "expect_column_values_to_be_in_set": lambda column, symbols: name_of(column).isNull() | name_of(column).isin(list(symbols)),
+    "expect_column_values_to_be_between": lambda column, minimum, maximum: name_of(column).isNull() | name_of(column).between(minimum, maximum),
+    "expect_column_values_to_match_regex": lambda column, regex: name_of(column).isNull() | name_of(column).rlike(regex),
+    "expect_column_values_length_to_be_between": lambda column, minimum, maximum: name_of(column).isNull() | F.length(column).between(minimum, maximum),
 }
 
 

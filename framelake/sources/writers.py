@@ -16,6 +16,7 @@ from . import direct, frames, storage
 from .direct import FILE_BYTES, Made
 from .paths import DAY_TEMPLATE, as_datetime, fill
 from .schema import Report, declared, examine, expect
+from .unite import name_of
 
 FORMATS = direct.FORMATS
 
@@ -99,7 +100,7 @@ def write_batch(
         direct.supersede(spark, root, manifest, made)
         return root
     for column in partition_by:
-        routed = df.withColumn("_path", F.concat(F.lit(f"{column}="), _safe(F.col(column)), F.lit(f"/{frame}")))
+        routed = df.withColumn("_path", F.concat(F.lit(f"{column}="), _safe(name_of(column)), F.lit(f"/{frame}")))
         root = f"{folder}/by_{column}"
         made = direct.write(routed, root, format, by="_path", file_bytes=file_bytes)
         manifest = direct.commit(spark, root, made, frame)

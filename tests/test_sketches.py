@@ -1,0 +1,56 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from framelake.operators import sketches
+from framelake.operators.dataset import Dataset
+from framelake.sources import writers
+from framelake.sources.reader import reader
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    r = random.Random(5)
+    return [(d, "hot" if r.random() < 0.8 else r.choice("abc"), r.randint(0, 9000) if r.random() < 0.9 else None, f"u{int(r.paretovariate(0.4))}", r.gauss(5, 2)) for d in range(1, 5) for _ in range(8000)]
+
+
+def test_days_unite_into_months_within_their_bounds(spark, rows, tmp_path):
+    df = spark.createDataFrame(rows, "day int, kind string, number long, `user.name` string, size double")
+    for d in range(1, 5):
+        part = sketches.sketch(df.where(F.col("day") == d), ["kind"], distinct=["number", "user.name", "size"], ranks=["size", "number"])
+        writers.write_batch(part, f"{tmp_path}/sketches", f"2024-02-0{d}")
+    for first, last in ((1, 4), (2, 3)):
+        stored = reader(spark, f"{tmp_path}/sketches", start_date=f"2024-02-0{first}", end_date=f"2024-02-0{last}")
+        for keys in (["kind"], []):
+            got = stored.unite_sketches(keys).df.select(*keys, "rows", *[sketches.n_distinct(c).alias(c) for c in ("number", "size")], sketches.n_distinct("user.name").alias("user"), *[sketches.quantile("size", q).alias(f"q{q}".replace(".", "_")) for q in (0.0, 0.1, 0.5, 0.99, 1.0)], sketches.n_ranked("number").alias("n"), sketches.rank("size", 5.0).alias("r")).collect()
+            kinds = {k for _, k, *_ in rows} if keys else {None}
+            assert len(got) == len(kinds)
+            for x in got:
+                mine = [v for v in rows if first <= v[0] <= last and (not keys or v[1] == x["kind"])]
+                assert x["rows"] == len(mine) and x["n"] == sum(v[2] is not None for v in mine)
+                for c, at in (("number", 2), ("user", 3), ("size", 4)):
+                    true = len({v[at] for v in mine} - {None})
+                    assert abs(x[c] - true) <= 4 * 1.04 / 64 * true
+                sizes = sorted(v[4] for v in mine)
+                for q in (0.1, 0.5, 0.99):
+                    assert abs(sum(s <= x[f"q{q}".replace(".", "_")] for s in sizes) / len(sizes) - q) < 0.015
+                assert x["q0_0"] == sizes[0] and x["q1_0"] == sizes[-1]
+                assert abs(x["r"] - sum(s <= 5 for s in sizes) / len(sizes)) < 0.015
+
+
+def test_unions_nest_and_small_counts_are_exact(spark):
+    df = spark.createDataFrame([(i % 7, i % 3, str(i % 11)) for i in range(200)], "a int, b int, c string")
+    parts = Dataset(df).sketch(["a", "b"], distinct=["c"], ranks=["a"]).df
+    once = sketches.unite(parts, []).select("rows", sketches.n_distinct("c"), sketches.quantile("a", 0.5)).first()
+    twice = sketches.unite(sketches.unite(parts, ["b"]), []).select("rows", sketches.n_distinct("c"), sketches.quantile("a", 0.5)).first()
+    assert tuple(once) == tuple(twice) == (200, 11, 3.0)
+
+
+def test_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (None, 2.0)], "k int, v double")
+    got = {x["k"]: tuple(x)[1:] for x in sketches.sketch(df, ["k"], ["v"], ["v"]).select("k", "rows", sketches.n_distinct("v"), sketches.quantile("v", 0.5), sketches.n_ranked("v"), sketches.rank("v", 1)).collect()}
+    assert got == {1: (2, 0, None, 0, None), None: (1, 1, 2.0, 1, 0.0)}
+    none = sketches.unite(sketches.sketch(df.limit(0), ["k"], ["v"], ["v"]), []).select("rows", sketches.n_distinct("v"), sketches.quantile("v", 0.5)).first()
+    assert tuple(none) == (0, 0, None)
+    assert sketches.sketch(df.limit(0), ["k"], ["v"]).count() == 0

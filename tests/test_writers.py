@@ -196,3 +196,15 @@ def test_batches_from_a_cursor_are_every_row_once_in_order(spark, tmp_path, form
     head = [next(iter(mixed))["n"]]
     rest = start(mixed.cursor).batch()
     assert sorted(head + [r["n"] for r in rest]) == sorted(want)
+
+
+@pytest.mark.parametrize("format", ["parquet", "jsonl", "zstd"])
+def test_names_with_dots(spark, tmp_path, format):
+    df = spark.createDataFrame([(1, "x", 5), (2, "y", 50), (3, None, 7)], "`a.b` int, `c.d` string, e int")
+    report, root = schema.Report(), str(tmp_path)
+    rule = {"expectation": "expect_column_values_to_be_between", "column": "a.b", "minimum": 1, "maximum": 2}
+    writers.write_batch(df, f"{root}/one", "2024-02-03", format=format, expectations=[rule], report=report)
+    assert sorted(tuple(r) for r in reader(spark, f"{root}/one", start_date="2024-02-03").df.select("`a.b`", "`c.d`", "e").collect()) == [(1, "x", 5), (2, "y", 50)]
+    assert report.counts()["rows"] == 3
+    writers.write_batch(df, f"{root}/two", "2024-02-03", format=format, partition_by=["c.d"])
+    assert {f.split("c.d=")[1].split("/")[0] for f in storage.files(spark, f"{root}/two") if "c.d=" in f} == {"x", "y", "null"}
