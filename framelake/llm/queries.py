@@ -103,7 +103,19 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1's counts and base rules say of each document; the ratio has no SQL."""
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def op6_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's spans of the fixed patterns; the tests of randomness have no SQL."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_base": op1_base,
+    "op6_base": op6_base,
     "op1_quality_rules": op1_quality_rules,
     "op2_token_file": op2_token_file,
     "op3_line_dedup": op3_line_dedup,
@@ -119,6 +131,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_resampling": op13_resampling,
 }
 
+_OP1_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), lines AS (
+    SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs
+), dup AS (
+    SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), cut AS (
+    SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM docs
+), shingles AS (
+    SELECT r, i, word, lead(word) OVER o AS second, lead(word, 2) OVER o AS third FROM cut WINDOW o AS (PARTITION BY r ORDER BY i)
+), repeated AS (
+    SELECT r, i FROM shingles WHERE third IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, word, second, third) > 1
+), held AS (
+    SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM repeated) GROUP BY r
+), found AS (
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(held.n, 0)::BIGINT AS n_repeat_words
+    FROM docs LEFT JOIN dup USING (r) LEFT JOIN held USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found
+"""
+
+_OP6_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), kinds AS (
+    SELECT 0 AS kind, 'assign' AS name, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS pattern, 2 AS part, 8 AS least
+    UNION ALL SELECT 1, 'access', '(AKIA[A-Z0-9]+)', 1, 16
+    UNION ALL SELECT 2, 'hex', '([0-9a-f]+)', 1, 32
+), cut AS (
+    SELECT r, kind, name, least, regexp_extract_all(text, pattern) AS found, CASE part WHEN 1 THEN regexp_extract_all(text, pattern, 1) ELSE regexp_extract_all(text, pattern, 2) END AS parts, regexp_split_to_array(text, pattern) AS gaps
+    FROM docs, kinds
+), hits AS (
+    SELECT r, kind, name, least, unnest(found) AS hit, unnest(parts) AS part, unnest(gaps[1:len(found)]) AS ahead, generate_subscripts(found, 1) AS i FROM cut WHERE len(found) > 0
+), placed AS (
+    SELECT *, sum(length(ahead) + length(hit)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM hits
+), spans AS (
+    SELECT r, kind, stop - length(hit) AS start, name || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS span FROM placed WHERE length(part) >= least
+), told AS (
+    SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(span, ',' ORDER BY start, kind) AS spans FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM docs LEFT JOIN told USING (r)
+"""
+
 _OP3_SQL = r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p
@@ -191,4 +249,4 @@ FROM scores WHERE score > 0 QUALIFY rank <= 10
 
 #: The other operators rest on hash functions, vocabularies, compressors or parsers that
 #: DuckDB lacks; tests hold them to brute force or exact round trips.
-SQL: dict[str, str] = {"op3_line_dedup": _OP3_SQL, "op4_mixing": _OP4_SQL, "op12_ranked_search": _OP12_SQL}
+SQL: dict[str, str] = {"op1_base": _OP1_SQL, "op6_base": _OP6_SQL, "op3_line_dedup": _OP3_SQL, "op4_mixing": _OP4_SQL, "op12_ranked_search": _OP12_SQL}
