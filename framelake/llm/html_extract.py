@@ -30,7 +30,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Set
 
 import numpy as np
 import pandas as pd
@@ -480,18 +480,15 @@ def template(root: Node) -> int:
     return _signed(xxhash.xxh64_intdigest("\n".join(sorted(found))))
 
 
-def main_text(page: str | None, rules: dict | None = None) -> str:
-    """Texts of the region in page order, joined by two newlines.  rules: the regions and the
-    keys of the fixed texts, {region: {template: way}, fixed: {template: keys}}, fixed ones of
-    '' for all templates."""
+def main_text(page: str | None, rule: Callable[[int], tuple[list | None, Set[int]]] | None = None) -> str:
+    """Texts of the region in page order, joined by two newlines.  ``rule`` gives the way to the
+    region, if known, and the keys of the fixed texts of a template."""
     if not page:
         return ""
-    root, found, fixed = page_tree(page), [], set()
-    if rules:
-        name = str(template(root))
-        way = rules["region"].get(name)
+    root, found, fixed = page_tree(page), [], frozenset()
+    if rule:
+        way, fixed = rule(template(root))
         found = locate(root, way) if way is not None else []
-        fixed = {*rules["fixed"].get(name, ()), *rules["fixed"].get("", ())}
     if not found or not any(_length(k) for k, _, _ in found):
         found = locate(root, region(_part(root), True))
     blocks: list[tuple[str, int, int, int]] = []
@@ -509,9 +506,9 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def _contents(sample: int, held: int = 2000):
+def _contents(sample: int, held: int = 1 << 25):
     """A row a page without its html; besides, with it, the ``sample`` least contents of each
-    template in the task's share, given out whenever ``held`` pages are kept."""
+    template in the task's share, given out whenever ``held`` characters are kept."""
     kind = pa.list_(pa.struct([("place", pa.int64()), ("key", pa.int64())]))
 
     def out(hosts, names, contents, blocks, pages) -> pa.RecordBatch:
@@ -535,15 +532,15 @@ def _contents(sample: int, held: int = 2000):
                 contents.append(_signed(xxhash.xxh64_intdigest(repr(blocks))))
                 found.append([{"place": p, "key": k} for p, k in blocks])
                 few = least.setdefault((h.as_py(), names[-1]), {})
-                n -= len(few)
-                few.setdefault(contents[-1], page)
-                if len(few) > sample:
-                    del few[max(few)]
-                n += len(few)
+                if contents[-1] not in few:
+                    few[contents[-1]] = page
+                    n += len(page) + 1
+                    if len(few) > sample:
+                        n -= len(few.pop(max(few))) + 1
+                if n > held:
+                    yield given()
+                    least, n = {}, 0
             yield out(b.column(0), names, contents, found, [None] * len(names))
-            if n > held:
-                yield given()
-                least, n = {}, 0
         if n:
             yield given()
 
@@ -580,43 +577,69 @@ def _seen(pages: DataFrame, sample: int) -> DataFrame:
     return materialize(rows.mapInArrow(_contents(sample), "host string, template long, content long, blocks array<struct<place:long,key:long>>, h string"), "contents")
 
 
-def host_rules(pages: DataFrame, sample: int = 6) -> DataFrame:
-    """(host, rules): the region of each template of two contents or more, and the fixed
-    texts, counted over all pages."""
+def template_rules(pages: DataFrame, sample: int = 6) -> DataFrame:
+    """(host, template, region, fixed): the region of each template of two contents or more, and the
+    keys of the texts on its pages that are fixed in it or in its host, counted over all pages.
+
+    A row is a template's, never a host's: it holds no more keys than its pages have texts.
+    """
     seen = _seen(pages, sample)
     contents = materialize(seen.where("blocks IS NOT NULL").groupBy("host", "template", "content").agg(F.first("blocks").alias("blocks")), "distinct")
-    name = F.col("template").cast("string")
-    regions = wrappers(pages, sample, seen).where("n > 1").select("host", name.alias("t"), "region")
-    regions = regions.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("t", "region"))).alias("region"))
-    fixed = _fixed(contents, "host").select("host", F.lit("").alias("t"), "key").unionByName(_fixed(contents, "host", "template").select("host", name.alias("t"), "key"))
-    fixed = fixed.groupBy("host", "t").agg(F.collect_list("key").alias("keys")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("t", "keys"))).alias("fixed"))
-    return regions.join(fixed, "host", "full").select("host", F.to_json(F.struct("region", "fixed")).alias("rules"))
+    regions = wrappers(pages, sample, seen).where("n > 1").select("host", "template", "region")
+    texts = contents.select("host", "template", F.explode("blocks.key").alias("key")).distinct()
+    shared = texts.join(_fixed(contents, "host").distinct(), ["host", "key"]).select("host", "template", "key")
+    fixed = shared.unionByName(_fixed(contents, "host", "template")).groupBy("host", "template").agg(F.collect_set("key").alias("fixed"))
+    return regions.join(fixed, ["host", "template"], "full")
+
 
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        names = [template(page_tree(h.as_py() or "")) for h in b.column(2)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], names=[*b.schema.names, "template"])
 
-def extract(pages: DataFrame, sample: int = 6, small_hosts: int = 20_000) -> DataFrame:
+
+def extract(pages: DataFrame, sample: int = 6, small_rules: int = 20_000, small_chars: int = 1 << 24) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
-    Rules are broadcast when they, counted first, are few and small; beyond that the hosts
-    that have some are joined, by a shuffle that Spark splits where a host is large.
+    Rules that are few and small, both counted first, go to every task once, to be looked up by
+    host and template.  Others are joined: pages get their template by a pass of its own and a
+    row its template's rule alone, by a shuffle that Spark splits where a template is large.
     """
-    needed = materialize(host_rules(pages, sample), "rules")
-    count, chars = needed.agg(F.count("*"), F.coalesce(F.sum(F.length("rules")), F.lit(0))).first()
-    small = count <= small_hosts and chars <= 1 << 26
+    needed = materialize(template_rules(pages, sample), "rules")
+    size = F.coalesce(F.length("region"), F.lit(0)) + 20 * F.greatest(F.size(F.coalesce("fixed", F.array().cast("array<bigint>"))), F.lit(0))
+    count, chars = needed.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     keyed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.col("html").alias("h"), host(F.col("url")).alias("host"))
-    rows = keyed.join(F.broadcast(needed) if small else needed, "host", "left").select("page_id", "url", "h", "rules")
+    if count <= small_rules and chars <= small_chars:
+        held = pages.sparkSession.sparkContext.broadcast({(r["host"], r["template"]): (r["region"], r["fixed"]) for r in needed.collect()})
+        return keyed.mapInArrow(_extractor(lambda: held.value), _TEXTS)
+    kind = "page_id long, url string, h string, host string, template long"
+    rows = keyed.mapInArrow(_templates, kind).join(needed, ["host", "template"], "left")
+    return rows.select("page_id", "url", "h", "host", "template", "region", "fixed").mapInArrow(_extractor(None), _TEXTS)
+
+
+_TEXTS = "page_id long, url string, text string, n_chars long"
+
+
+def _extractor(held: Callable[[], dict] | None):
+    """The texts of pages by the rules of ``held`` or, without, by those in the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        rules, known = held() if held else {}, {}
+
+        def rule(of: str, name: int) -> tuple[list | None, Set[int]]:
+            if (of, name) not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                region, fixed = rules.get((of, name)) or (None, None)
+                known[of, name] = json.loads(region) if region else None, frozenset(fixed or ())
+            return known[of, name]
+
         for b in batches:
             texts = []
-            for h, r in zip(b.column(2), b.column(3)):
-                rule = r.as_py()
-                if rule and rule not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    x = json.loads(rule)
-                    known[rule] = {"region": {t: json.loads(w) for t, w in (x.get("region") or {}).items()}, "fixed": {t: frozenset(k) for t, k in (x.get("fixed") or {}).items()}}
-                texts.append(main_text(h.as_py(), known.get(rule)))
+            for i, (h, site) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
+                if not held:
+                    rules = {(site, b.column(4)[i].as_py()): (b.column(5)[i].as_py(), b.column(6)[i].as_py())}
+                texts.append(main_text(h.as_py(), lambda name: rule(site, name)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return run

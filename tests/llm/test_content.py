@@ -255,6 +255,31 @@ def test_copies_do_not_make_a_template(spark):
     assert out[3] == "t3\n\np3" and out[32] == "t2\n\np2"
 
 
+def test_rules_that_are_joined_give_what_rules_sent_to_tasks_give(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "bad url", "<p>x"), (-2, "bad url", "<p>x"), (None, "http://one.example/", "")], LINKS)
+    # A host whose pages have a template each, with a notice that all of them share.
+    own = spark.createDataFrame([(10_000 + i, f"http://own.example/{i}", f"<body><div class='c{i}'><h2>t{i}</h2><p>own words of page {i}</p></div><div><p>Notice to all</p></div></body>") for i in range(40)], LINKS)
+    rows = pages.select("page_id", "url", "html").unionByName(odd).unionByName(own)
+    texts = lambda df: sorted((repr(r["page_id"]), r["text"]) for r in df.collect())
+    sent, joined = html_extract.extract(rows), html_extract.extract(rows, small_rules=0)
+    assert texts(sent) == texts(joined) and sent.count() == rows.count()
+    found = {r["page_id"]: r["text"] for r in joined.where("page_id >= 10000").collect()}
+    assert found == {10_000 + i: f"t{i}\n\nown words of page {i}" for i in range(40)}
+    rules = html_extract.template_rules(own).collect()
+    assert len(rules) == 40 and all(len(r["fixed"]) == 1 for r in rules)
+
+
+def test_pages_kept_for_wrappers_are_held_by_their_length():
+    import pyarrow as pa
+
+    pages = ["<div class='a%d'><p>%s</p></div>" % (i, "x" * 500) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["h"] * 20), pa.array(pages)], names=["host", "html"])
+    out = list(html_extract._contents(6, held=2_000)(iter([batch])))
+    kept = [[p for p in b.column(4).to_pylist() if p is not None] for b in out]
+    assert sorted(p for b in kept for p in b) == sorted(pages) and max(map(len, kept)) == 4
+
+
 def test_near_copies_keep_their_text(spark):
     body = "".join("<p>paragraph %d of a text that some pages share</p>" % i for i in range(9))
     page = "<body><article><h1>t</h1>%s<p>edit %d</p></article></body>"
