@@ -10,7 +10,7 @@ import datetime
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, StructType
@@ -45,16 +45,29 @@ def routed(df: DataFrame, template: str) -> DataFrame:
     return out.withColumn("_path", F.concat(*path)).drop(*[f"_v{i}" for i in order.values()])
 
 
+def _root(template: str) -> str:
+    return template.split("{")[0].rsplit("/", 1)[0]
+
+
+def _batch(spark: SparkSession, batch_id: int) -> str:
+    stream = (spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream")[:8]
+    return f"batch-{stream}-{batch_id:012d}"
+
+
+def backout(spark: SparkSession, template: str, batch_id: int) -> str:
+    """The folder of a batch's rows that are set aside."""
+    return f"{_root(template)}/BACKOUT/{_batch(spark, batch_id)}"
+
+
 def write_batch(df: DataFrame, batch_id: int, template: str, schema: StructType | None = None, at: datetime.datetime | None = None, format: str = "jsonl") -> None:
     """One micro-batch.  ``template`` is a path with date places, filled from the clock, and
     {column} places; rows that do not fit ``schema`` go to a BACKOUT folder beside it.  Its
     files lie in a folder of the stream's and the batch's name, beside those of other batches:
     a reader sees all of them, and a batch that runs twice replaces its own."""
     spark = df.sparkSession
-    root = template.split("{")[0].rsplit("/", 1)[0]
+    root = _root(template)
     rest = fill(template, at or datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None))[len(root) + 1 :]
-    stream = (spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream")[:8]
-    name = f"batch-{stream}-{batch_id:012d}"
+    name = _batch(spark, batch_id)
     df.persist()
     try:
         good = df
@@ -62,7 +75,7 @@ def write_batch(df: DataFrame, batch_id: int, template: str, schema: StructType
             typed, valid = conform(df, schema)
             bad = typed.where(~valid).drop("_typed")
             if not bad.isEmpty():
-                writers.write_files(bad, f"{root}/BACKOUT/{name}", format)
+                writers.write_files(bad, backout(spark, template, batch_id), format)
             good = typed.where(valid).select("_typed.*")
         rows = routed(good, rest)
         writers.write_routed(rows.withColumn("_path", F.concat("_path", F.lit(f"/{name}"))), root, format)
