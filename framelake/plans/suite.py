@@ -19,6 +19,7 @@ from ..sources.reader import reader
 from ..sources.reader import sql as run_sql
 from ..sources.schema import Report, label
 from ..streaming import sink
+from ..streaming import windows as event_windows
 from ..streaming.sink import routed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -550,6 +551,73 @@ def stream_batches(spark, d):
     return reader(spark, root, start_date=DAY, template="{date}", select=["event_id", "event_type"]).df
 
 
+#: Events in four batches by their number, but for some that come with the last one, days late.
+_BATCHES = """e AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 3 ELSE least(3, event_id * 4 // (SELECT count(*) FROM events)) END AS b FROM events),
+marks AS (SELECT b, (SELECT max(ts) FROM e AS x WHERE x.b < y.b) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT b FROM e) AS y),
+last AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM e)"""
+
+
+def _streamed(spark, d, windows: event_windows.EventWindows):
+    """(closed windows, open ones, late rows) of the events as a stream of four batches."""
+    source, root, marks = (scratch_path(spark, x) for x in ("events", "windows", "marks"))
+    events = read(spark, d, "events").df
+    n = max(events.count(), 1)
+    number = F.when(F.col("event_id") % 97 == 0, 3).otherwise(F.least(F.lit(3), F.floor(F.col("event_id") * 4 / n)))
+    rows = events.select("event_id", "ts", "user_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"), number.alias("b"))
+    for b in range(4):
+        rows.where(F.col("b") == b).drop("b").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.drop("b").schema).parquet(source)
+        event_windows.start(stream, windows, f"{root}/{{date}}", marks, clock=lambda: datetime.datetime(2024, 2, 3), format="parquet").awaitTermination()
+    still = event_windows.open_windows(spark, windows, marks)
+    files = storage.files(spark, root)
+    day = [f for f in files if "/2024-02-03/" in f and f.endswith(".parquet")]
+    aside = [f for f in files if "/BACKOUT/" in f and f.endswith(".parquet")]
+    given = spark.read.schema(still.schema).parquet(*day) if day else still.limit(0)
+    return given, still, spark.read.parquet(*aside) if aside else rows.drop("b").limit(0)
+
+
+def _all_windows(given: DataFrame, still: DataFrame) -> DataFrame:
+    when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    both = given.withColumn("is_open", F.lit(False)).unionByName(still.withColumn("is_open", F.lit(True)))
+    return both.withColumns({c: when(c) for c in ("window_start", "window_end")})
+
+
+@query(
+    "stream_windows",
+    f"""WITH {_BATCHES}, w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS over FROM e JOIN marks USING (b))
+SELECT event_type, strftime(over - INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime(over, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents, max(user_id) AS most, over > (SELECT mark FROM last) AS is_open
+FROM w WHERE mark IS NULL OR over > mark GROUP BY event_type, over""",
+)
+def stream_windows(spark, d):
+    """Windows of six hours with an hour's delay: given out once closed, or still open at the end."""
+    aggs = {"n": ("count", None), "cents": ("sum", "cents"), "most": ("max", "user_id")}
+    given, still, _ = _streamed(spark, d, event_windows.EventWindows("ts", ["event_type"], aggs, length=datetime.timedelta(hours=6), delay=datetime.timedelta(hours=1)))
+    return _all_windows(given, still)
+
+
+@query(
+    "stream_sessions",
+    f"""WITH {_BATCHES}, k AS (SELECT * FROM e JOIN marks USING (b) WHERE mark IS NULL OR ts >= mark),
+c AS (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 HOUR)::INT, 1) AS opens FROM k),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM c)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents, max(ts) + INTERVAL 2 HOUR >= (SELECT mark FROM last) AS is_open FROM s GROUP BY user_id, session""",
+)
+def stream_sessions(spark, d):
+    """Sessions of users over the batches of a stream: rows not more than two hours apart."""
+    aggs = {"n": ("count", None), "cents": ("sum", "cents")}
+    given, still, _ = _streamed(spark, d, event_windows.EventWindows("ts", ["user_id"], aggs, gap=datetime.timedelta(hours=2), delay=datetime.timedelta(hours=1)))
+    return _all_windows(given, still)
+
+
+@query("stream_late", f"WITH {_BATCHES} SELECT event_id, event_type FROM e JOIN marks USING (b) WHERE time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR <= mark")
+def stream_late(spark, d):
+    """The rows that came after their windows were closed."""
+    windows = event_windows.EventWindows("ts", ["event_type"], {"n": ("count", None)}, length=datetime.timedelta(hours=6), delay=datetime.timedelta(hours=1))
+    return _streamed(spark, d, windows)[2].select("event_id", "event_type")
+
+
 @query("ds_items", "SELECT o_orderkey, o_custkey, (row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1)::BIGINT AS place FROM orders QUALIFY place IN (0, 7, 1000)")
 def ds_items(spark, d):
     places = (0, 7, 1000)
