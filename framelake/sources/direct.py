@@ -210,7 +210,8 @@ def listed(spark: SparkSession, manifests: list[str]) -> dict[str, list[str]]:
 def supersede(spark: SparkSession, folder: str, manifest: str, made: list[Made], below: set[str] | None = None) -> None:
     """Deletes what a committed write replaces in its folders: other data files, be they an earlier
     write's or a failed attempt's, and earlier manifests beside it."""
-    kept = {f"{folder}/{m.folder}/{m.name}".replace("//", "/") for m in made} | {manifest}
+    # A path may begin with a scheme, whose slashes stay.
+    kept = {"/".join(p for p in (folder.rstrip("/"), m.folder.strip("/"), m.name) if p) for m in made} | {manifest}
     kept = {bare(storage.qualified(spark, k)) for k in kept}
     for sub in below if below is not None else {""}:
         for f in storage.files(spark, f"{folder}/{sub}".rstrip("/")):

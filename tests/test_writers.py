@@ -66,6 +66,23 @@ def test_a_write_that_is_killed_leaves_the_old_or_the_new(spark, tmp_path, monke
     raise AssertionError("never came to an end")
 
 
+@pytest.mark.parametrize("format", ["jsonl", "parquet"])
+@pytest.mark.parametrize("options", [{}, {"partition_by": ["k"]}])
+def test_a_root_with_a_scheme_keeps_what_is_written(spark, tmp_path, format, options):
+    root = f"file://{tmp_path}/data"
+    for first in (0, 10):
+        df = spark.createDataFrame([(first + i, f"k{i % 3}") for i in range(6)], "n long, k string").repartition(2)
+        writers.write_batch(df, root, DAY, frame_id="as_at_1", format=format, **options)
+        assert seen(spark, root) == seen(spark, f"{tmp_path}/data") == list(range(first, first + 6))
+
+
+def test_a_routed_root_with_a_scheme_keeps_what_is_written(spark, tmp_path):
+    for n in (3, 4):
+        rows = spark.range(n).withColumn("_path", F.concat(F.lit("p"), F.col("id") % 2, F.lit("/x")))
+        writers.write_routed(rows, f"file://{tmp_path}/routed", "parquet")
+        assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/routed/*/x").collect()) == list(range(n))
+
+
 def test_a_failed_attempt_s_files_do_not_count(spark, tmp_path):
     root = str(tmp_path)
     path = writers.write_batch(spark.range(4).toDF("n"), root, DAY, format="jsonl")
