@@ -10,15 +10,17 @@ than ``block`` fingerprints is not compared in one place: its members go to anot
 under four narrower keys, an exact split, since three differing bits leave at least one of
 four bit groups equal.
 
-``similar_components`` serves another contract: texts that share ``least`` of their distinct
-five-word shingles.  At a similarity of 0.8 two 64-bit fingerprints differ in about 8 bits,
-which guarantees no shared byte, so texts get 256 bits over their distinct shingles and are
-listed under 48 pairs of the 32 byte positions; about 95 of 100 pairs of similarity 0.8, and
-more above, meet in a list.  Tally and bits retain candidates only: the forest of the most
-alike ones is then verified by an exact count of shared shingles, and nothing is linked
-without it.  In a crowded list, mostly one group of near copies, members are first held against
-a few leaders; components of what that links are not compared within themselves again, and all
-other pairs still meet, in cells of ``block`` by ``block`` members.
+``similar_components`` serves another contract: it joins all texts that share ``least`` of their
+distinct five-word shingles, and loses no pair.  Sets of n shingles that do so share one at least of
+the first n - ceil(least * n) + 1 in any order that is one for all sets, so each set is listed
+under those of its shingles, rare ones first; the order decides how long lists get, never
+which pairs meet.  Members also carry the parities of their shingles' numbers in 256 buckets: as
+many buckets as these differ in, so many shingles at least are in one set alone, which rules pairs
+out without a doubt.  A forest of the others, the least differing first, is counted exactly and
+gives first components.  Then every pair of a list that is in two components and not ruled out
+is counted from the sets themselves, in cells of ``block`` by ``block`` members; only links
+between components leave a cell.  A list of over ``block`` members, mostly one group of near
+copies, begins with a few leaders instead of a forest.
 
 Defined cases: a text without words has fingerprint 0, linked like any other; repeated rows
 share a fingerprint; a null doc_id gets its group's component, and never names one; columns
@@ -41,10 +43,12 @@ from .graph import components
 
 _ALL = (1 << 64) - 1
 _FAR = np.uint16(65_535)
-_LONG = ["f0", "f1", "f2", "f3"]  # a long fingerprint's words
+_LONG = ["f0", "f1", "f2", "f3"]  # the words of a set's parities
 _BYTES = 8 * len(_LONG)
-#: Pairs of byte positions that long fingerprints are listed under: three perfect matchings.
-_POSITIONS = [(i, i + 1) for i in range(0, _BYTES, 2)] + [(i, i + _BYTES // 2) for i in range(_BYTES // 2)] + [(i, _BYTES - 1 - i) for i in range(_BYTES // 2)]
+_SETS = ", ".join(f"{x} long" for x in ["n", *_LONG])
+#: Shingles that the order puts last, 4 bytes of each: the most frequent ones.
+_FREQUENT = 1 << 20
+_HELD = 1 << 22  # hashes that a task holds before it deals them out
 _SMALL_KEYS = 200_000
 _SMALL_IDS = 200_000
 
@@ -128,8 +132,12 @@ def _tree(words: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
     i, j, x = retained(words, least)
     apart = np.bitwise_count(x).sum(axis=-1, dtype=np.uint16)
     near = apart <= bits
-    i, j, apart = i[near], j[near], apart[near]
-    n, edges = len(words), []
+    return _spanning(len(words), i[near], j[near], apart[near])
+
+
+def _spanning(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a forest over the pairs, the least apart first."""
+    edges = []
     if not len(i):
         return edges
     far = np.full((n, n), _FAR, dtype=np.uint16)
@@ -275,33 +283,208 @@ class _Shingler:
         return np.unique(g ^ g >> np.uint64(27))
 
 
-def _long_bits(distinct: np.ndarray) -> np.ndarray:
-    if not len(distinct):
-        return np.zeros(len(_LONG), dtype=np.int64)
-    h = np.empty((len(distinct), len(_LONG)), dtype=np.uint64)
-    for i in range(len(_LONG)):
-        g = (distinct + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & _ALL)) * np.uint64(0x94D049BB133111EB)
-        g = (g ^ g >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        h[:, i] = g ^ g >> np.uint64(32)
-    return _majority(h)
+def _parities(distinct: np.ndarray) -> np.ndarray:
+    """Whether each of 256 buckets has an odd number of a set's hashes.  Two sets' words differ in no
+    more bits than hashes are in one of the sets alone."""
+    odd = np.bincount((distinct & np.uint64(8 * _BYTES - 1)).astype(np.int64), minlength=8 * _BYTES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def long_fingerprints(docs: DataFrame, k: int = 5, text: str = "text") -> DataFrame:
-    """(d, th, sid, f0 to f3): 256 bits over the distinct k-word shingles; sid names the set
-    of shingles, th the text."""
+def shingle_sets(docs: DataFrame, k: int = 5, text: str = "text") -> DataFrame:
+    """(d, th, sid, n, f0 to f3): sid names the set of distinct k-word shingles, n is its size, th
+    names the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _Shingler(k)
         for b in batches:
-            out = np.empty((b.num_rows, 1 + len(_LONG)), dtype=np.int64)
+            out = np.empty((b.num_rows, 2 + len(_LONG)), dtype=np.int64)
             for i, x in enumerate(b.column(2)):
                 s = shingles(x.as_py())
-                out[i, 0] = _signed(xxhash.xxh3_64_intdigest(s.tobytes()))
-                out[i, 1:] = _long_bits(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, out.T.copy())], names=["d", "th", "sid", *_LONG])
+                out[i, :2] = _sid(s), len(s)
+                out[i, 2:] = _parities(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, out.T.copy())], names=["d", "th", "sid", "n", *_LONG])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x"))
-    return rows.mapInArrow(run, "d long, th long, sid long, " + ", ".join(f"{x} long" for x in _LONG))
+    return rows.mapInArrow(run, f"d long, th long, sid long, {_SETS}")
+
+
+def _sid(distinct: np.ndarray) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(distinct.tobytes()))
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.where(F.col(text).isNotNull()).select(F.col(text).cast("binary").alias("x"))
+
+
+def _held(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sets of the texts of a task, many at a time and each once: their hashes one after the
+    other, the number of each set's and its sid."""
+    shingles, given, sets, sids, size = _Shingler(k), set(), [], [], 0
+
+    def held() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.array([len(s) for s in sets], dtype=np.int64), np.array(sids, dtype=np.int64)
+
+    for b in batches:
+        for x in b.column(0):
+            s = shingles(x.as_py())
+            sid = _sid(s)
+            if len(s) and sid not in given:
+                given.add(sid)
+                sets.append(s)
+                sids.append(sid)
+                size += len(s)
+                if size > _HELD:
+                    yield held()
+                    sets, sids, size = [], [], 0
+    if size:
+        yield held()
+
+
+def _part(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def _dealt(columns: list[np.ndarray], by: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part: the values of each column whose ``by`` falls to it, as bytes."""
+    place = by % parts
+    order = np.argsort(place, kind="stable")
+    at = np.searchsorted(place[order], np.arange(parts + 1))
+    rows = [[c[order][i:j].tobytes() for i, j in zip(at[:-1], at[1:])] for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int64()), *[pa.array(r, pa.binary()) for r in rows]], names=["part", *[f"c{i}" for i in range(len(columns))]])
+
+
+def _frequent(docs: DataFrame, k: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 4-byte parts of frequent hashes, ``_FREQUENT`` at most, and the logarithm of how
+    many sets have each.  They decide the order of shingles alone."""
+    parts = parallelism(docs.sparkSession)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, _, _ in _held(batches, k):
+            mine = _part(hashes)
+            yield _dealt([mine], mine, parts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(v, dtype=np.uint32) for b in batches for v in b.column(0).to_pylist()]
+        if held:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            found, n = found[n >= 8], n[n >= 8]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.log2(n).astype(np.int64))], names=["part", "level"])
+
+    dealt = _texts(docs, text).mapInArrow(deal, "part long, c0 binary").repartition(parts, "part")
+    found = materialize(dealt.select("c0").mapInArrow(count, "part long, level long"), "frequent")
+    total, lowest = 0, 64
+    for level, n in sorted(found.groupBy("level").count().collect(), reverse=True):  # 60 rows at most
+        total += n
+        if total > _FREQUENT:
+            break
+        lowest = level
+    rows = found.where(F.col("level") >= lowest).toArrow()
+    part, level = rows["part"].to_numpy().astype(np.uint32), rows["level"].to_numpy().astype(np.uint8)
+    order = np.argsort(part)
+    return part[order], level[order]
+
+
+def _prefix(hashes: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """Where in ``hashes`` the shingles stand that sets are listed under: of sets of n, one of the first
+    n - ceil(least * n) + 1 is in every set that shares ``least`` with it."""
+    parts, levels = frequent
+    level = np.zeros(len(hashes), dtype=np.int64)
+    if len(parts):
+        mine = _part(hashes)
+        at = np.minimum(np.searchsorted(parts, mine), len(parts) - 1)
+        level = np.where(parts[at] == mine, levels[at], 0).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(owner << 8 | level, kind="stable")  # hashes are in order within a set
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = sizes - np.ceil(least * sizes - 1e-6).astype(np.int64) + 1
+    return order[place < np.repeat(first, sizes)]
+
+
+def _lists(docs: DataFrame, k: int, least: float, text: str) -> DataFrame:
+    """(key, sid): the lists of two sets or more, under the shingles of ``_prefix``."""
+    spark, parts = docs.sparkSession, parallelism(docs.sparkSession)
+    frequent = spark.sparkContext.broadcast(_frequent(docs, k, text))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, sizes, sids in _held(batches, k):
+            at = _prefix(hashes, sizes, frequent.value, least)
+            keys = hashes[at]
+            yield _dealt([keys, np.repeat(sids, sizes)[at]], keys, parts)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[np.frombuffer(v, dtype=np.int64) for v in c.to_pylist()] for b in batches for c in b.columns]
+        if held:
+            keys, sids = (np.concatenate([x for part in held[i::2] for x in part]) for i in (0, 1))
+            order = np.lexsort((sids, keys))
+            keys, sids = keys[order], sids[order]
+            new = np.r_[True, (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])][: len(keys)]
+            keys, sids = keys[new], sids[new]  # tasks may give the same set
+            same = keys[1:] == keys[:-1]
+            shared = np.r_[False, same][: len(keys)] | np.r_[same, False][: len(keys)]
+            keys, sids = keys[shared], sids[shared]
+            for at in range(0, len(keys), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 65_536]), pa.array(sids[at : at + 65_536])], names=["key", "sid"])
+
+    dealt = _texts(docs, text).mapInArrow(deal, "part long, c0 binary, c1 binary").repartition(parts, "part")
+    return materialize(dealt.select("c0", "c1").mapInArrow(group, "key long, sid long"), "lists")
+
+
+def _possible(words: np.ndarray, n: np.ndarray, least: float, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing bits) of the pairs i < j, of different ``comp``, that sizes and parities do not rule out."""
+    found, step = [], max(1, 262_144 // max(1, len(words)))
+    for at in range(0, len(words), step):
+        a, b = n[at : at + step, None], n[None, at:]
+        apart = np.bitwise_count(words[at : at + step, None, :] ^ words[None, at:, :]).sum(axis=-1, dtype=np.int64)
+        ok = (apart <= (1 - least) / (1 + least) * (a + b) + 1e-6) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6)
+        if comp is not None:
+            ok &= comp[at : at + step, None] != comp[None, at:]
+        i, j = np.nonzero(np.triu(ok, 1))
+        found.append((i + at, j + at, apart[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    at = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]  # numbers of hashes of two sets or more
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    owner, at, out = owner[order], at[order], np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4_096):
+        s, e = np.searchsorted(at, [low, low + 4_096])
+        has = np.zeros((len(sets), min(4_096, int(at[-1]) + 1 - low)), dtype=np.float32)
+        has[owner[s:e], at[s:e] - low] = 1
+        out += has @ has.T
+    return out.astype(np.int64)  # float32 counts exactly to 2 ** 24
+
+
+def _joining(sets: list[np.ndarray], comp: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a forest over the components: pairs of different ones that share ``least``."""
+    names, comp = np.unique(comp, return_inverse=True)
+    n, both = np.array([len(s) for s in sets]), _shared(sets)
+    i, j = np.nonzero(np.triu((both >= least * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :]), 1))
+    pair = np.sort(np.stack([comp[i], comp[j]]), axis=0)
+    first = np.unique(pair[0] * len(names) + pair[1], return_index=True)[1]
+    return _forest(len(names), [(int(comp[i[k]]), int(comp[j[k]]), (int(i[k]), int(j[k]))) for k in first.tolist()])
+
+
+def _forest(n: int, pairs: list[tuple]) -> list:
+    """What stands beside the pairs (u, v, it), in order, that join parts of ``n`` nodes."""
+    root, kept = list(range(n)), []
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for u, v, it in pairs:
+        u, v = find(u), find(v)
+        if u != v:
+            root[u] = v
+            kept.append(it)
+    return kept
 
 
 def _bridges(words: np.ndarray, comp: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
@@ -322,23 +505,10 @@ def _bridges(words: np.ndarray, comp: np.ndarray, least: int, bits: int) -> list
         for k in order[first].tolist():
             key, edge = (int(pair[0][k]), int(pair[1][k])), (int(apart[k]), int(i[k]), int(j[k]))
             best[key] = min(best.get(key, edge), edge)
-    root, edges = list(range(len(names))), []
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    for (u, v), (_, i, j) in sorted(best.items(), key=lambda e: e[1]):
-        u, v = find(u), find(v)
-        if u != v:
-            root[u] = v
-            edges.append((i, j))
-    return edges
+    return _forest(len(names), [(u, v, (i, j)) for (u, v), (_, i, j) in sorted(best.items(), key=lambda e: e[1])])
 
 
-_SURE = 30  # differing bits of 256 under which nine tenths of the shingles are shared, as a rule
+_SURE = 12  # differing bits of 256 under which most sets share enough
 
 
 def _followers(words: np.ndarray, rank: np.ndarray, least: int, bits: int) -> list[tuple[int, int]]:
@@ -359,88 +529,121 @@ def _followers(words: np.ndarray, rank: np.ndarray, least: int, bits: int) -> li
     return out
 
 
-def _cells(least: int, bits: int, leading: bool = False):
-    """Edges of the lists, or cells of lists, of sorted (key, cell, sid, mark, f0 to f3) rows;
-    mark is the component, or, ``leading``, a leader's rank, -1 for others."""
+def _by_cell(rows: DataFrame, f, schema: str, name: str) -> DataFrame:
+    """What ``f`` gives, as columns, for the rows of each list or cell of a list: their numbers after
+    key and cell in columns, and their last column, bytes, where it is one."""
+    held_names = [x.split()[0] for x in schema.split(", ")]
+    last = dict(rows.dtypes)[rows.columns[-1]] == "binary"
+    wide = len(rows.columns) - last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(a: np.ndarray) -> pa.RecordBatch:
+        def give(a: np.ndarray, x: list) -> pa.RecordBatch:
             starts = np.flatnonzero(np.r_[True, np.any(a[1:, :2] != a[:-1, :2], axis=1)])
-            ends = np.r_[starts[1:], len(a)]
-            words = np.ascontiguousarray(a[:, 4:]).view(np.uint64)
-            pairs = []
-            crowded = _crowded(words, starts, ends, least, bits)
-            for s, e in zip(starts[crowded].tolist(), ends[crowded].tolist()):
-                if leading:
-                    found = _followers(words[s:e], a[s:e, 3], least, bits)
-                elif len(np.unique(a[s:e, 3])) == e - s:
-                    found = _tree(words[s:e], least, bits)
-                else:
-                    found = _bridges(words[s:e], a[s:e, 3], least, bits)
-                pairs += [(a[s + i, 2], a[s + j, 2]) for i, j in found]
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
-
-        held = None
+            out = [f(a[s:e], x[s:e]) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(a)]) if e - s > 1]
+            table = np.array([row for part in out for row in part], dtype=np.int64).reshape(-1, len(held_names))
+            return pa.RecordBatch.from_arrays(list(map(pa.array, table.T.copy())), names=held_names)
+
+        held, tail = np.empty((0, wide), dtype=np.int64), []
         for b in batches:
-            new = np.column_stack([c.to_numpy() for c in b.columns])
-            a = new if held is None else np.concatenate([held, new])
-            if not len(a):
-                continue
-            last = np.flatnonzero(np.any(a[1:, :2] != a[:-1, :2], axis=1))
-            cut = int(last[-1]) + 1 if len(last) else 0
+            a = np.concatenate([held, np.column_stack([c.to_numpy() for c in b.columns[:wide]])])
+            x = [*tail, *b.column(wide).to_pylist()] if last else []
+            ends = np.flatnonzero(np.any(a[1:, :2] != a[:-1, :2], axis=1))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
             if cut:
-                yield edges(a[:cut])
-            held = a[cut:]
-        if held is not None and len(held):
-            yield edges(held)
+                yield give(a[:cut], x[:cut])
+            held, tail = a[cut:], x[cut:]
+        if len(held):
+            yield give(held, tail)
 
-    return run
+    dealt = rows.repartition(parallelism(rows.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "sid")
+    return materialize(dealt.mapInArrow(run, schema), name)
 
 
-def _keys() -> Column:
-    byte = lambda p: F.shiftrightunsigned(_LONG[p // 8], 8 * (p % 8)).bitwiseAND(F.lit(255))
-    return F.array(*[F.lit(q << 16).cast("bigint").bitwiseOR(F.shiftleft(byte(x), 8)).bitwiseOR(byte(y)) for q, (x, y) in enumerate(_POSITIONS)])
+def _compared(rows: DataFrame, least: float, leading: bool = False) -> DataFrame:
+    """(a, b) of a forest of what may be links, or of what may link to leaders, of the lists or
+    cells of (key, cell, sid, mark, n, f0 to f3); mark is a leader's rank, -1 for others."""
 
+    def edges(a: np.ndarray, _) -> list[tuple[int, int]]:
+        words, n = np.ascontiguousarray(a[:, 5:]).view(np.uint64), a[:, 4]
+        if leading:
+            found = _followers(words, a[:, 3], 0, int((1 - least) / (1 + least) * 2 * n.max()))
+        else:
+            found = _spanning(len(a), *_possible(words, n, least))
+        return [(min(p), max(p)) for p in ((a[i, 2], a[j, 2]) for i, j in found)]
 
-def _compared(postings: DataFrame, tallied: int, bits: int, leading: bool = False) -> DataFrame:
-    """(a, b) of the lists or cells of (key, cell, sid, mark, f0 to f3)."""
-    rows = postings.select("key", F.col("cell").cast("bigint").alias("cell"), "sid", F.col("mark").cast("bigint").alias("mark"), *_LONG)
-    dealt = rows.repartition(parallelism(postings.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "sid")
-    return materialize(dealt.mapInArrow(_cells(tallied, bits, leading), "a long, b long"), "candidates").distinct()
+    return _by_cell(rows.select("key", F.col("cell").cast("bigint"), "sid", F.col("mark").cast("bigint"), "n", *_LONG), edges, "a long, b long", "candidates").distinct()
+
+
+def _open(rows: DataFrame, least: float) -> DataFrame:
+    """Of (key, cell, sid, mark, n, f0 to f3) what different components, marks, may have in common.  Few
+    pairs of a cell are rows (sid, other); of many, their members are rows without ``other``, under a
+    key that cells of the same members share."""
+
+    def found(a: np.ndarray, _) -> list:
+        i, j, _ = _possible(np.ascontiguousarray(a[:, 5:]).view(np.uint64), a[:, 4], least, a[:, 3])
+        members = np.unique(np.concatenate([i, j]))
+        if len(i) <= 4 * len(members):
+            return [(0, 1, min(p), max(p)) for p in zip(a[i, 2].tolist(), a[j, 2].tolist())]
+        key = _sid(a[members, 2].view(np.uint64))
+        return [(key, 0, sid, mark) for sid, mark in a[members, 2:4].tolist()]
+
+    rows = rows.select("key", F.col("cell").cast("bigint"), "sid", F.col("mark").cast("bigint"), "n", *_LONG)
+    return _by_cell(rows, found, "key long, pair long, sid long, mark long", "open").distinct()
+
+
+def _joined(docs: DataFrame, fps: DataFrame, cells: DataFrame, k: int, least: float, text: str) -> DataFrame:
+    """(a, b) links that join the components, marks, of (key, sid, mark) wherever two members share
+    ``least``: all pairs are counted."""
+
+    def counted(a: np.ndarray, x: list) -> list[tuple[int, int]]:
+        shingles = _Shingler(k)
+        found = _joining([shingles(v) for v in x], a[:, 3], least)
+        return [(min(p), max(p)) for p in ((a[i, 2], a[j, 2]) for i, j in found)]
+
+    held = _of(docs, fps, cells.select("sid").distinct(), text)
+    rows = cells.join(held, "sid").select("key", F.lit(0).cast("bigint").alias("cell"), "sid", "mark", "x")
+    return _by_cell(rows, counted, "a long, b long", "joined")
 
 
 _LEADERS = 32  # of a crowded list, about
 
 
-def _links(docs: DataFrame, fps: DataFrame, groups: DataFrame, k: int, least: float, tallied: int, bits: int, block: int, text: str) -> DataFrame:
-    """(a, b) sids of verified links that connect what all candidates connect.
+def _links(docs: DataFrame, fps: DataFrame, groups: DataFrame, k: int, least: float, block: int, text: str) -> DataFrame:
+    """(a, b) sids of verified links that connect exactly the sets that share ``least``.
 
-    Lists of ``block`` members at most are compared at once.  A larger one is mostly one group
-    of near copies: its members are first held against about 32 leaders, the same in all lists;
-    verified links make components, and then members of different components alone are
-    compared, in cells of ``block`` by ``block``.
+    Each list gives a forest of its most alike members, one of over ``block`` their likeness to about
+    32 leaders, the same in all lists; verified links make components, and then all members of
+    different components of a list are compared, in cells of ``block`` by ``block``.
     """
-    verified = lambda edges: materialize(_verified(docs, fps, edges, k, least, text), "verified")
-    sizes = groups.select(F.explode(_keys()).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    crowded = materialize(sizes.select(F.col("key").alias("_key"), "n"), "crowded")
+    lists = materialize(_lists(docs, k, least, text).join(groups, "sid").select("key", "sid", "n", *_LONG), "postings")
+    sizes = lists.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block)
+    crowded = materialize(sizes.select(F.col("key").alias("_key"), "size"), "crowded")
     count = crowded.count()
-    all_ = groups.select("sid", F.col("sid").alias("mark"), *_LONG, F.explode(_keys()).alias("key"))
-    if not count:
-        return verified(_compared(all_.withColumn("cell", F.lit(0)), tallied, bits))
+    all_ = lists.withColumn("mark", F.lit(-1))
     side = lambda df: F.broadcast(df) if count <= _SMALL_KEYS else df
     same = F.col("key") == F.col("_key")
-    small = _compared(all_.join(side(crowded), same, "left_anti").withColumn("cell", F.lit(0)), tallied, bits)
-    # Leaders, in every cell of their list: those of the least ranks, which lists share.
-    cells = F.ceil(F.col("n") / block).cast("int")
-    rank = F.pmod(F.xxhash64("sid"), F.lit(1 << 40))
-    lead = rank < F.lit(float(_LEADERS << 40)) / F.col("n")
-    own = F.pmod(F.xxhash64("sid", F.lit(1)), cells).cast("int")
-    hot = all_.join(side(crowded), same).withColumn("mark", F.when(lead, rank).otherwise(-1))
-    hot = hot.withColumn("cell", F.explode(F.when(lead, F.sequence(F.lit(0), cells - 1)).otherwise(F.array(own))))
-    first = verified(small.unionByName(_compared(hot, tallied, bits, leading=True)).distinct())
-    named = groups.join(components(first), F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("mark"), *_LONG)
-    named = materialize(named, "named")
-    rest = named.select("sid", "mark", *_LONG, F.explode(_keys()).alias("key")).join(side(crowded.drop("n")), same, "left_semi")
+    first = _compared((all_.join(side(crowded), same, "left_anti") if count else all_).withColumn("cell", F.lit(0)), least)
+    if count:
+        # Leaders, in every cell of their list: those of the least ranks, which lists share.
+        cells = F.ceil(F.col("size") / block).cast("int")
+        rank = F.pmod(F.xxhash64("sid"), F.lit(1 << 40))
+        lead = rank < F.lit(float(_LEADERS << 40)) / F.col("size")
+        own = F.pmod(F.xxhash64("sid", F.lit(1)), cells).cast("int")
+        hot = all_.join(side(crowded), same).withColumn("mark", F.when(lead, rank).otherwise(-1))
+        hot = hot.withColumn("cell", F.explode(F.when(lead, F.sequence(F.lit(0), cells - 1)).otherwise(F.array(own))))
+        first = first.unionByName(_compared(hot, least, leading=True)).distinct()
+    tried = materialize(first, "tried")
+    first = materialize(_verified(docs, fps, tried, k, least, text), "verified")
+    # Lists with members of two components or more.
+    rest = lists.join(components(first), F.col("sid") == F.col("node"), "left").withColumn("mark", F.coalesce("root", "sid")).drop("node", "root")
+    rest = materialize(rest, "marked")
+    split = rest.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
+    rest = rest.join(split.select("key"), "key", "left_semi")
+    small = (rest.join(side(crowded), same, "left_anti") if count else rest).withColumn("cell", F.lit(0))
+    small = _open(small, least)
+    if not count:
+        return first.unionByName(_last(docs, fps, small, tried, k, least, text))
+    rest = rest.join(side(crowded.select("_key")), same, "left_semi")
     # Chunks of a list: those of each component of over ``block`` members, then of the others.
     found = rest.groupBy("key", "mark").agg(F.count("*").alias("n"))
     large = F.col("n") > block
@@ -455,20 +658,35 @@ def _links(docs: DataFrame, fps: DataFrame, groups: DataFrame, k: int, least: fl
     spread = spread.withColumn("own", (F.col("start") + F.pmod(F.xxhash64("sid"), F.col("chunks"))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda x: F.col("big").isNull() | (x < F.col("start")) | (x >= F.col("start") + F.col("chunks")))
     cell = F.transform(others, lambda x: F.least(x, F.col("own")) * F.col("all") + F.greatest(x, F.col("own")))
-    last = verified(_compared(spread.withColumn("cell", F.explode(cell)), tallied, bits))
-    return first.unionByName(last)
+    open_ = small.unionByName(_open(spread.withColumn("cell", F.explode(cell)), least))
+    return first.unionByName(_last(docs, fps, open_, tried, k, least, text))
 
 
-def _verified(docs: DataFrame, fps: DataFrame, edges: DataFrame, k: int, least: float, text: str) -> DataFrame:
-    """The edges whose texts share ``least`` of their distinct shingles, counted exactly."""
-    edges = materialize(edges, "edges")
-    ids = materialize(edges.select(F.col("a").alias("sid")).unionByName(edges.select(F.col("b").alias("sid"))).distinct(), "ids")
+def _last(docs: DataFrame, fps: DataFrame, open_: DataFrame, tried: DataFrame, k: int, least: float, text: str) -> DataFrame:
+    """(a, b) links of what is open: pairs but those that were counted before, and cells."""
+    pairs = open_.where("pair = 1").select(F.col("sid").alias("a"), F.col("mark").alias("b")).distinct()
+    pairs = _verified(docs, fps, pairs.join(tried, ["a", "b"], "left_anti"), k, least, text)
+    cells = materialize(open_.where("pair = 0").select("key", "sid", "mark").distinct(), "cells")
+    if cells.isEmpty():
+        return pairs
+    return pairs.unionByName(_joined(docs, fps, cells, k, least, text))
+
+
+def _of(docs: DataFrame, fps: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """(sid, x): a text of each of the sets ``ids``."""
+    ids = materialize(ids, "ids")
     one = fps.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("d", "th")).alias("x"))
     one = materialize(one.select("sid", F.col("x.d").alias("_d"), F.col("x.th").alias("_th")), "texts_of")
     small = one.limit(_SMALL_IDS + 1).count() <= _SMALL_IDS
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x"))
     found = keyed.join(F.broadcast(one) if small else one, F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))).select("sid", "x")
-    found = materialize(found.groupBy("sid").agg(F.first("x").alias("x")), "texts")
+    return materialize(found.groupBy("sid").agg(F.first("x").alias("x")), "texts")
+
+
+def _verified(docs: DataFrame, fps: DataFrame, edges: DataFrame, k: int, least: float, text: str) -> DataFrame:
+    """The edges whose texts share ``least`` of their distinct shingles, counted exactly."""
+    edges = materialize(edges, "edges")
+    found = _of(docs, fps, edges.select(F.col("a").alias("sid")).unionByName(edges.select(F.col("b").alias("sid"))).distinct(), text)
     a, b = found.select(F.col("sid").alias("a"), F.col("x").alias("ax")), found.select(F.col("sid").alias("b"), F.col("x").alias("bx"))
     pairs = edges.join(a, "a").join(b, "b").select("a", "b", "ax", "bx")
 
@@ -491,16 +709,15 @@ def _verified(docs: DataFrame, fps: DataFrame, edges: DataFrame, k: int, least:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, tallied: int = 4, bits: int = 60, block: int = 1024, text: str = "text") -> DataFrame:
-    """(d, th, component_id) for every row: the least doc_id of the texts that verified links
-    join.  A link: ``least`` of the distinct k-word shingles of both are shared.  Candidates
-    share ``tallied`` of 32 positional bytes and differ in ``bits`` of 256 bits at most, which
-    1 in 50 pairs of similarity 0.8 does not."""
-    fps = materialize(long_fingerprints(docs, k, text), "fingerprints")
-    groups = materialize(fps.groupBy("sid", *_LONG).agg(F.min("d").alias("least")), "groups")
-    links = _links(docs, fps.select("d", "th", "sid"), groups.drop("least"), k, least, tallied, bits, block, text)
+def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, block: int = 1024, text: str = "text") -> DataFrame:
+    """(d, th, component_id) for every row: the least doc_id of the texts that links join.  A link:
+    ``least`` of the distinct k-word shingles of both are shared, whatever the texts."""
+    fps = materialize(shingle_sets(docs, k, text), "fingerprints")
+    groups = materialize(fps.groupBy("sid", "n", *_LONG).agg(F.min("d").alias("least")), "groups")
+    fps = fps.select("d", "th", "sid")
+    links = _links(docs, fps, groups.drop("least"), k, least, block, text)
     named = _named(groups.select("sid", "least"), components(links), "sid")
-    return fps.select("d", "th", "sid").join(named, "sid").select("d", "th", "component_id")
+    return fps.join(named, "sid").select("d", "th", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8, text: str = "text") -> DataFrame:

@@ -256,6 +256,45 @@ def test_a_dense_group_is_one_component(spark):
     assert sum(got[i] != c for i, c in enumerate(want)) <= 3 and all(want[i] == want[c] for i, c in got.items())
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_no_pair_that_reaches_the_share_is_left_out(spark, block):
+    r = random.Random(11)
+    number = lambda: str(r.randint(0, 999_999))
+    texts = []
+    for _ in range(150):  # 36 of 44 or 45 shingles and near it: just over and just under four fifths
+        base = [number() for _ in range(44)]
+        texts += [" ".join(base), " ".join([*base[: r.randint(39, 41)], *[number() for _ in range(4)]])]
+    chain = [number() for _ in range(400)]  # each is like the next alone
+    texts += [" ".join(chain[i : i + 60]) for i in range(0, 340, 5)]
+    base = [number() for _ in range(80)]  # a crowded group about the share, and what all its texts have
+    texts += [edited(r, base, r.randint(0, 3)) for _ in range(90)]
+    got = {x["d"]: x["component_id"] for x in simhash.similar_components(frame(spark, texts), block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_similar(texts)
+
+
+def test_sets_that_share_enough_meet_in_a_list_and_are_not_ruled_out():
+    r = np.random.default_rng(12)
+    for _ in range(200):
+        n, least = int(r.integers(1, 300)), float(r.choice([0.5, 0.8, 0.9, 1.0]))
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[int(r.integers(0, n // 6 + 1)) :], r.integers(0, 1 << 63, int(r.integers(0, n // 8 + 1))).astype(np.uint64)])
+        sets = [np.unique(a), np.unique(b)]
+        shared = len(np.intersect1d(*sets))
+        assert simhash._shared(sets)[0, 1] == shared
+        hashes, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+        some = np.unique(simhash._part(r.choice(hashes, 1 + len(hashes) // 3)))
+        frequent = some, r.integers(3, 60, len(some)).astype(np.uint8)
+        at = simhash._prefix(hashes, sizes, frequent, least)
+        meet = set(hashes[at[at < sizes[0]]].tolist()) & set(hashes[at[at >= sizes[0]]].tolist())
+        words = np.stack([simhash._parities(x) for x in sets]).view(np.uint64)
+        if shared >= least * (sizes.sum() - shared):
+            assert meet and len(simhash._possible(words, sizes, least)[0]) == 1
+            assert simhash._joining(sets, np.array([7, 9]), least) == [(0, 1)]
+        else:
+            assert simhash._joining(sets, np.array([7, 9]), least) == []
+        assert simhash._joining(sets, np.array([7, 7]), least) == []
+
+
 def test_one_of_each_passes_any_columns(spark):
     r = random.Random(8)
     base = [str(r.randint(0, 9999)) for _ in range(100)]
