@@ -2,9 +2,13 @@
 
 import datetime
 import decimal
+import io
 import json
+import lzma
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +229,27 @@ def test_names_with_dots(spark, tmp_path, format):
     assert report.counts()["rows"] == 3
     writers.write_batch(df, f"{root}/two", "2024-02-03", format=format, partition_by=["c.d"])
     assert {f.split("c.d=")[1].split("/")[0] for f in storage.files(spark, f"{root}/two") if "c.d=" in f} == {"x", "y", "null"}
+
+
+def test_a_listing_starts_no_process_a_file(spark, tmp_path):
+    for i in range(1_500):
+        folder = tmp_path / f"a b={i % 7}" / "é"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"_{i}.x").touch()
+    start = time.monotonic()
+    found = storage.files(spark, str(tmp_path))
+    assert time.monotonic() - start < 5  # 10 s with a process a file
+    assert found == sorted(f"file:{tmp_path}/a b={i % 7}/é/_{i}.x" for i in range(1_500))
+    (tmp_path / "none").mkdir()
+    assert storage.files(spark, f"{tmp_path}/none") == storage.files(spark, f"{tmp_path}/no") == []
+
+
+def test_a_small_file_gets_a_small_lzma_dictionary():
+    assert [direct._lzma(n)["dict_size"] for n in (1, 1 << 16, 62 << 20)] == [4096, 1 << 16, 8 << 20]
+    line, out = pa.RecordBatch.from_arrays([pa.array(["xy" * 100_000])], names=["value"]), io.BytesIO()
+    out.close, close = lambda: None, out.close
+    f = direct._LineFile(out, "lzma", 1 << 16)
+    assert f.write(line, 1 << 16) == 1
+    f.close()
+    assert lzma.decompress(out.getvalue()) == b"xy" * 100_000 + b"\n"
+    close()
