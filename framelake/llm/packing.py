@@ -17,7 +17,6 @@ sorts first; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,30 +42,39 @@ def best_cuts(ends: np.ndarray, penalties: np.ndarray, total: int, length: int,
     """
     places, cost = _places(ends, penalties, total, length)
     n = len(places)
-    # Starts that make a window of a power of two, which takes no padding.
-    exact: dict[int, list[int]] = {}
+    # Starts that make a window of a power of two, which takes no padding, by end and size.
+    index = np.full(total + 1, -1)
+    index[places] = np.arange(n)
+    ones = []
     for w in (1 << k for k in range(length.bit_length()) if 64 <= 1 << k <= length):
-        start = np.searchsorted(places, places - w)
-        for i in np.flatnonzero(places[start] == places - w).tolist():
-            exact.setdefault(i, []).append(int(start[i]))
+        skip = int(np.searchsorted(places, w))
+        start = index[places[skip:] - w]
+        found = np.flatnonzero(start >= 0)
+        ones.append(np.stack([found + skip, start[found]]))
+    exact = np.concatenate(ones, axis=1) if ones else np.empty((2, 0), dtype=np.int64)
+    exact = exact[:, np.argsort(exact[0], kind="stable")]
+    exact_end, exact_start = np.append(exact[0], n).tolist(), exact[1].tolist()
     low = np.searchsorted(places, places - length).tolist()  # the first start in reach
     at, fixed = places.tolist(), (cost + _WINDOW).tolist()
     best, back = [0.0] * n, [0] * n
-    queue: deque[int] = deque([0])  # starts by best + place, ascending
+    queue, head = [0], 0  # starts by best + place, ascending, from head on
     keys = [0.0] * n
+    turn = 0  # in exact
     for i in range(1, n):
         e, first = at[i], low[i]
-        while queue[0] < first:
-            queue.popleft()
-        j = queue[0]
+        while queue[head] < first:
+            head += 1
+        j = queue[head]
         value = keys[j] + length - e
-        for k in exact.get(i, ()):
+        while exact_end[turn] == i:
+            k = exact_start[turn]
+            turn += 1
             if best[k] <= value:
                 value, j = best[k], k
         value += fixed[i]
         best[i], back[i] = value, j
         key = keys[i] = value + e
-        while queue and keys[queue[-1]] >= key:
+        while len(queue) > head and keys[queue[-1]] >= key:
             queue.pop()
         queue.append(i)
     cuts, i = [], n - 1

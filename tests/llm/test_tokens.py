@@ -1,6 +1,7 @@
 """Token files, mixing and packing: round trips and brute force on small tables."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -34,6 +35,65 @@ def test_encoder_on_odd_texts(texts):
         assert list(enc.encode(t.encode() for t in texts)) == want
 
 
+LETTERS, MARKS = rb"A-Za-z\x80-\xff", rb"!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f"
+ENDINGS = rb"'s|'t|'re|'ve|'m|'ll|'d|"
+PATTERNS = {
+    True: re.compile(ENDINGS + rb"[" + LETTERS + rb"]+|[0-9]|[" + MARKS + rb"]+|\s+"),
+    False: re.compile(ENDINGS + rb" ?[" + LETTERS + rb"]+| ?[0-9]+| ?[" + MARKS + rb"]+|\s+(?!\S)|\s+"),
+}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBrelsvt' .!\n\t\x0b7é"), max_size=14), min_size=1, max_size=5))
+def test_cut_equals_the_patterns(texts):
+    raw = [t.encode() for t in texts]
+    data, ends = b"".join(raw), np.cumsum([len(t) for t in raw])
+    if data:
+        for words, pattern in PATTERNS.items():
+            want = [end - len(t) + m.start() for t, end in zip(raw, ends.tolist()) for m in pattern.finditer(t)]
+            assert encode.cut(data, ends, words).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_group_looks_each_distinct_piece_up_once(name):
+    asked = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    enc = encode.Encoder(encode.tokenizer_path(name))
+    list(enc.encode([b"some words, again and again"]))
+    enc.cache = Counted(enc.cache)
+    list(enc.encode([b"some words, again and again " * 500] * 4))
+    assert len(asked) <= 20  # 12,000 pieces
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_in_use_outlive_a_full_cache(name):
+    enc, learned = encode.Encoder(encode.tokenizer_path(name), cache_pieces=20), []
+    text = " ".join("w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)).encode()
+    want = list(enc.encode([text]))
+    learn = enc._learn
+    enc._learn = lambda pieces: (learned.extend(pieces), learn(pieces))
+    assert list(enc.encode([text])) == want and not learned
+    list(enc.encode([b"another"]))
+    assert len(enc.cache) <= 20
+
+
+def test_special_tokens_are_told_by_case():
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = encode.encoder(encode.tokenizer_path(name))
+        texts = ["a <|ENDOFTEXT|> b", "<|endoftext|>", "", "×", "a ÷", "x"]
+        want = [np.array(e.ids, dtype=enc.dtype).tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert list(enc.encode(t.encode() for t in texts)) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=1500))
 def test_elias_fano_round_trip(sizes):
