@@ -1,8 +1,8 @@
 """Token ids of whole texts, through a bounded cache of word pieces.
 
 Two common pre-tokenizers never merge across the pieces that their pattern cuts, so a
-dictionary of encoded pieces answers most of a corpus.  Some megabytes of text are cut at
-once by the classes of their bytes, each distinct piece is looked up once, and new pieces
+dictionary of encoded pieces answers most of a corpus.  A megabyte of text is cut at
+once by the classes of its bytes, each distinct piece is looked up once, and new pieces
 go to the tokenizer joined into long strings.  The patterns are restated for texts of ASCII
 and Latin-1 letters; any other text, and any other tokenizer, is encoded whole.
 """
@@ -31,8 +31,8 @@ _ENDINGS = {1: [b"s", b"t", b"m", b"d"], 2: [b"re", b"ve", b"ll"]}  # that an ap
 # The characters that stand for bytes in both vocabularies; a space is none of them.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _STAND_INS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_GROUP = 4_000_000  # bytes of text taken at once
-_CHUNK = 200  # pieces joined into one string
+_GROUP = 1_000_000  # bytes of text taken at once
+_CHUNK = 200  # pieces joined into one string, so that the tokenizer holds few ids at once
 
 
 def tokenizer_path(name: str) -> str:
@@ -131,7 +131,8 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         take = sizes[codes]
         after = np.cumsum(take)
-        source = np.repeat((np.cumsum(sizes) - sizes)[codes] - (after - take), take) + np.arange(after[-1])
+        source = np.repeat((np.cumsum(sizes) - sizes)[codes] - (after - take), take)
+        source += np.arange(len(source))
         ids = np.frombuffer(b"".join(found), dtype=self.dtype)[source]
         at = np.append(0, after)[np.searchsorted(cuts, ends)]
         return ids.tobytes(), (at * self.dtype.itemsize).tolist()
@@ -144,8 +145,8 @@ class Encoder:
             return
         normal = pieces if self.kind == "bytes" else [p if p.isascii() else p.decode().lower().encode() for p in pieces]
         shown = [p.decode("latin-1").translate(_STAND_INS) for p in normal]
-        joined = [" ".join(shown[at : at + _CHUNK]) for at in range(0, len(shown), _CHUNK)]
-        ids = np.concatenate([np.array(e.ids, dtype=self.dtype) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+        joined = (" ".join(shown[at : at + _CHUNK]) for at in range(0, len(shown), _CHUNK))
+        ids = np.concatenate([np.array(e.ids, dtype=self.dtype) for x in joined for e in self.plain.encode_batch_fast([x], add_special_tokens=False)])
         ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p) for p in normal])) + 1
         raw, start = ids.tobytes(), 0
         for key, end in zip(pieces, (ends * self.dtype.itemsize).tolist()):
